@@ -65,3 +65,36 @@ def with_manifest(select: str) -> str:
 
 def with_sources(select: str) -> str:
     return "WITH " + SOURCES + "\n" + select
+
+INVENTORY = """inventory AS (
+  SELECT printf('page_%06d.jpg', page_id) AS path FROM pages WHERE starts_with(url, 'https://')
+  UNION ALL
+  SELECT CASE WHEN s = 1 THEN printf('images/conv_%06d.jpg', conv_id) ELSE printf('conv_%06d.jpg', conv_id) END
+  FROM (SELECT conv_id, max(CASE WHEN role = 'system' THEN 1 ELSE 0 END) AS s FROM conversations GROUP BY conv_id)
+  UNION ALL
+  SELECT printf('%s_%06d.wav', source, idx)
+  FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx
+        FROM documents WHERE source IN ('src0', 'src1', 'src2'))
+  WHERE doc_id IN (SELECT doc_id FROM labels))"""
+
+PARSED = """parsed AS (
+  SELECT idx, query_type, query_value, positive_type, positive_value,
+         CASE WHEN source = 'chat' THEN negative_type END AS negative_type,
+         CASE WHEN source = 'chat' THEN negative_value END AS negative_value,
+         source, CAST(NULL AS VARCHAR) AS error
+  FROM manifest)"""
+
+ITEMS = """items AS (
+  SELECT idx, 'query' AS role, query_type AS modality, query_value AS value FROM manifest
+  UNION ALL SELECT idx, 'positive', positive_type, positive_value FROM manifest
+  UNION ALL SELECT idx, 'negative', negative_type, negative_value FROM manifest WHERE negative_type IS NOT NULL)"""
+
+
+def with_manifest_and(*blocks: str) -> str:
+    return WITH_MANIFEST.rstrip() + ",\n" + ",\n".join(blocks) + "\n"
+
+
+def payload_cols(role: str, out: str | None = None, src: str | None = None) -> str:
+    out = out or role
+    src = src or role
+    return ", ".join(f"CASE WHEN {src}_type = '{m}' THEN {src}_value END AS {out}_{m}" for m in ("text", "image", "audio"))

@@ -108,3 +108,136 @@ FROM documents""")
 def q_split(spark, sf):
     ix = global_index(_docs(spark, sf).select("doc_id"), ["doc_id"])
     return positional_split(ix.df, ix.total, 0.3).select("doc_id", "split")
+
+
+# ---------------------------------------------------------------- B1, A1, B0a: parse and JSONL round trips
+from pairforge.functions.parse import parse_records  # noqa: E402
+from pairforge.operators import media as media_ops  # noqa: E402
+from pairforge.operators import records as rec  # noqa: E402
+from pairforge.session import scratch_path  # noqa: E402
+from pairforge.sources.manifest import read_manifest, write_manifest  # noqa: E402
+
+
+def manifest_lines(m: DataFrame) -> DataFrame:
+    """The manifest as JSON lines in all four accepted schemas: text rows as texts_a/texts_b (with a
+    negative that must be ignored), caption rows as image_path/caption, chat rows as triplets, audio rows
+    as audio_path/caption."""
+    def item(role):
+        return F.struct(F.col(f"{role}_type").alias("type"), F.col(f"{role}_value").alias("value"))
+    line = (F.when(F.col("group_name") == "text",
+                   F.to_json(F.struct(F.col("query_value").alias("texts_a"), F.col("positive_value").alias("texts_b"),
+                                      item("negative").alias("negative"))))
+             .when(F.col("source") == "caption",
+                   F.to_json(F.struct(F.col("query_value").alias("image_path"),
+                                      F.col("positive_value").alias("caption"), "source")))
+             .when(F.col("source") == "chat",
+                   F.to_json(F.struct(item("query").alias("query"), item("positive").alias("positive"),
+                                      item("negative").alias("negative"), "source")))
+             .otherwise(F.to_json(F.struct(F.col("query_value").alias("audio_path"),
+                                           F.col("positive_value").alias("caption"), "source"))))
+    return m.select("idx", line.alias("line"))
+
+
+def _parsed(spark, sf):
+    return parse_records(manifest_lines(training_manifest(spark, sf).df), "line", keep=("idx",))
+
+
+@register("b1_parse_records", osql.with_manifest_and(osql.PARSED) + "SELECT * FROM parsed")
+def q_parse(spark, sf):
+    return _parsed(spark, sf)
+
+
+@register("a1_read_manifest", osql.with_manifest("""
+SELECT idx, query_type, query_value, positive_type, positive_value, negative_type, negative_value, source
+FROM manifest"""))
+def q_read_manifest(spark, sf):
+    m = training_manifest(spark, sf).df
+    path = scratch_path(spark, "manifest")
+    write_manifest(m, path)
+    return read_manifest(spark, path).records.drop("file", "line_no")
+
+
+# ---------------------------------------------------------------- B3-B6, C0a, C0b
+@register("b3_unpivot_items", osql.with_manifest_and(osql.ITEMS) + "SELECT * FROM items")
+def q_unpivot(spark, sf):
+    return rec.unpivot_items(training_manifest(spark, sf).df)
+
+
+@register("b4_resolve_media", osql.with_manifest("""
+SELECT idx,
+  CASE WHEN query_type = 'image' AND NOT starts_with(query_value, '/') THEN '/data/images/' || query_value
+       WHEN query_type = 'audio' AND NOT starts_with(query_value, '/') THEN '/data/audio/' || query_value
+       ELSE query_value END AS query_value,
+  positive_value, negative_value
+FROM manifest"""))
+def q_resolve(spark, sf):
+    m = rec.resolve_media(training_manifest(spark, sf).df, image_root="/data/images", audio_root="/data/audio/")
+    return m.select("idx", "query_value", "positive_value", "negative_value")
+
+
+def _flat_payloads(df: DataFrame, roles) -> DataFrame:
+    cols = [F.col("idx")]
+    for r in roles:
+        cols += [F.col(f"{r}.{m}").alias(f"{r}_{m}") for m in ("text", "image", "audio")]
+    return df.select(*cols)
+
+
+@register("b5_trainer_rows", osql.with_manifest(
+    "SELECT idx, " + osql.payload_cols("query") + ", " + osql.payload_cols("positive") + ", "
+    + osql.payload_cols("negative_0", src="negative") + " FROM manifest"))
+def q_trainer_rows(spark, sf):
+    rows = rec.to_trainer_rows(training_manifest(spark, sf).df, include_negative=True)
+    return _flat_payloads(rows, ("query", "positive", "negative_0"))
+
+
+@register("b6_uniform_negative", osql.with_manifest_and(osql.PARSED) + """
+SELECT idx, """ + osql.payload_cols("query") + ", " + osql.payload_cols("positive") + " FROM parsed")
+def q_uniform_negative(spark, sf):
+    rows = rec.project_uniform_negative(_parsed(spark, sf))
+    roles = ("query", "positive", "negative_0") if "negative_0" in rows.columns else ("query", "positive")
+    return _flat_payloads(rows, roles)
+
+
+@register("c0a_filter_modalities", osql.with_manifest("""
+SELECT idx, source FROM manifest
+WHERE query_type IN ('image') AND query_type IN ('text', 'image') AND positive_type IN ('text', 'image')
+  AND (negative_type IS NULL OR negative_type IN ('text', 'image'))"""))
+def q_filter_modalities(spark, sf):
+    m = training_manifest(spark, sf).df
+    return rec.filter_modalities(m, allowed=["text", "image"], query=["image"]).select("idx", "source")
+
+
+@register("c0b_require_negative", osql.with_manifest_and(osql.PARSED)
+          + "SELECT idx, source FROM parsed WHERE negative_type IS NOT NULL")
+def q_require_negative(spark, sf):
+    return rec.require_negative(_parsed(spark, sf)).select("idx", "source")
+
+
+# ---------------------------------------------------------------- media: A6, A7, D1, D2
+@register("d1_missing_media", osql.with_manifest_and(osql.ITEMS, osql.INVENTORY) + """
+SELECT idx, role, modality, value AS path FROM items
+WHERE modality IN ('image', 'audio') AND value NOT IN (SELECT path FROM inventory)""")
+def q_missing_media(spark, sf):
+    return media_ops.missing_media(training_manifest(spark, sf).df, fx.fx_inventory(spark, sf))
+
+
+@register("d2_keep_existing_media", osql.with_manifest_and(osql.INVENTORY) + """
+SELECT idx, query_type, query_value FROM manifest WHERE query_value IN (SELECT path FROM inventory)""")
+def q_keep_existing(spark, sf):
+    m = training_manifest(spark, sf).df.where(F.col("query_type").isin("image", "audio"))
+    return media_ops.keep_existing_media(m, fx.fx_inventory(spark, sf)).select("idx", "query_type", "query_value")
+
+
+@register("a6_count_images", "WITH " + osql.INVENTORY + """
+SELECT count(*) FILTER (WHERE lower(path) LIKE '%.jpg' OR lower(path) LIKE '%.jpeg' OR lower(path) LIKE '%.png')
+       AS num_images FROM inventory""")
+def q_count_images(spark, sf):
+    return media_ops.count_images(fx.fx_inventory(spark, sf))
+
+
+@register("a7_first_existing", "WITH " + osql.INVENTORY + ",\n" + osql.CHAT_SRC.replace(
+    "printf('conv_%06d.jpg', conv_id) AS query_value", """CASE WHEN printf('conv_%06d.jpg', conv_id) IN (SELECT path FROM inventory)
+         THEN printf('conv_%06d.jpg', conv_id) ELSE printf('images/conv_%06d.jpg', conv_id) END AS query_value""")
+    + " SELECT * FROM chat_src WHERE query_value IN (SELECT path FROM inventory)")
+def q_first_existing(spark, sf):
+    return chat_caption_pairs(fx.fx_chats(spark, sf), inventory=fx.fx_inventory(spark, sf), source="chat")
