@@ -241,3 +241,319 @@ def q_count_images(spark, sf):
     + " SELECT * FROM chat_src WHERE query_value IN (SELECT path FROM inventory)")
 def q_first_existing(spark, sf):
     return chat_caption_pairs(fx.fx_chats(spark, sf), inventory=fx.fx_inventory(spark, sf), source="chat")
+
+
+# ---------------------------------------------------------------- E1, E2, E7 summaries
+from pairforge.operators import batches as bat  # noqa: E402
+from pairforge.operators import shards as sh  # noqa: E402
+from pairforge.operators import summary as summ  # noqa: E402
+
+_SUMMARY_COLS = ["modalities", "num_rows", "has_uniform_negatives", "num_negatives_present",
+                 "num_negatives_missing", "skipped_rows"]
+
+
+def _joined_mods(df):
+    return df.withColumn("modalities", F.array_join("modalities", ","))
+
+
+@register("e1_summarize_manifest", osql.with_manifest_and(osql.PARSED, """flagged AS (
+  SELECT *, (query_type IN ('text', 'image') AND positive_type IN ('text', 'image')
+             AND (negative_type IS NULL OR negative_type IN ('text', 'image'))) AS ok FROM parsed)""") + """
+SELECT (SELECT array_to_string(list_sort(list_distinct(list(m))), ',')
+        FROM (SELECT unnest([query_type, positive_type, negative_type]) AS m FROM flagged WHERE ok) WHERE m IS NOT NULL)
+         AS modalities,
+       count(*) FILTER (WHERE ok) AS num_rows,
+       (count(*) FILTER (WHERE ok AND negative_type IS NOT NULL) > 0
+        AND count(*) FILTER (WHERE ok AND negative_type IS NULL) = 0) AS has_uniform_negatives,
+       count(*) FILTER (WHERE ok AND negative_type IS NOT NULL) AS num_negatives_present,
+       count(*) FILTER (WHERE ok AND negative_type IS NULL) AS num_negatives_missing,
+       count(*) FILTER (WHERE NOT ok) AS skipped_rows
+FROM flagged""")
+def q_summarize(spark, sf):
+    return _joined_mods(summ.summarize_manifest(_parsed(spark, sf), allowed=["text", "image"]))
+
+
+@register("e1_summarize_capped", osql.with_manifest_and("""flagged AS (SELECT *, query_type IN ('image') AS ok FROM manifest)""",
+                                                         """capped AS (
+  SELECT * FROM flagged WHERE idx <= coalesce(
+    (SELECT idx FROM (SELECT idx, row_number() OVER (ORDER BY idx) AS r FROM flagged WHERE ok) WHERE r = 200),
+    (SELECT max(idx) FROM flagged)))""") + """
+SELECT (SELECT array_to_string(list_sort(list_distinct(list(m))), ',')
+        FROM (SELECT unnest([query_type, positive_type, negative_type]) AS m FROM capped WHERE ok) WHERE m IS NOT NULL)
+         AS modalities,
+       count(*) FILTER (WHERE ok) AS num_rows,
+       (count(*) FILTER (WHERE ok AND negative_type IS NOT NULL) > 0
+        AND count(*) FILTER (WHERE ok AND negative_type IS NULL) = 0) AS has_uniform_negatives,
+       count(*) FILTER (WHERE ok AND negative_type IS NOT NULL) AS num_negatives_present,
+       count(*) FILTER (WHERE ok AND negative_type IS NULL) AS num_negatives_missing,
+       count(*) FILTER (WHERE NOT ok) AS skipped_rows
+FROM capped""")
+def q_summarize_capped(spark, sf):
+    m = training_manifest(spark, sf).df
+    return _joined_mods(summ.summarize_manifest(m, query=["image"], max_records=200))
+
+
+@register("e2_summarize_sample", osql.with_manifest("""
+SELECT count(*) AS num_rows,
+       (SELECT array_to_string(list_sort(list_distinct(list(m))), ',')
+        FROM (SELECT unnest([query_type, positive_type, negative_type]) AS m FROM manifest WHERE idx < 256)
+        WHERE m IS NOT NULL) AS modalities,
+       count(*) FILTER (WHERE idx < 256 AND negative_type IS NOT NULL) AS num_negatives_present,
+       count(*) FILTER (WHERE idx < 256 AND negative_type IS NULL) AS num_negatives_missing,
+       count(*) FILTER (WHERE idx < 256) AS sampled_rows,
+       (count(*) FILTER (WHERE idx < 256 AND negative_type IS NOT NULL) = 0
+        OR count(*) FILTER (WHERE idx < 256 AND negative_type IS NULL) = 0) AS has_uniform_negatives
+FROM manifest"""))
+def q_summarize_sample(spark, sf):
+    return _joined_mods(summ.summarize_sample(training_manifest(spark, sf).df, 256))
+
+
+@register("e7_unsupported_modalities", osql.with_manifest_and(osql.ITEMS) + """
+SELECT modality, count(*) AS n_items FROM items WHERE modality NOT IN ('text', 'image') GROUP BY modality""")
+def q_unsupported(spark, sf):
+    return summ.unsupported_modalities(training_manifest(spark, sf).df, ["text", "image"])
+
+
+# ---------------------------------------------------------------- F1-F7, E4-E6, E8, E9, D4: shards and ranks
+SHARDS = """shards AS (
+  SELECT idx, CAST(floor(idx / 64) AS INTEGER) AS shard_id, CAST(idx % 64 AS INTEGER) AS shard_pos,
+         printf('shard_%05d', CAST(floor(idx / 64) AS INTEGER)) AS shard_name, query_type, split
+  FROM manifest)"""
+
+
+def _shards(spark, sf, size=64):
+    return sh.assign_shards(training_manifest(spark, sf).df, size)
+
+
+@register("f1_assign_shards", osql.with_manifest_and(SHARDS) + "SELECT idx, shard_id, shard_pos, shard_name FROM shards")
+def q_assign_shards(spark, sf):
+    return _shards(spark, sf).select("idx", "shard_id", "shard_pos", "shard_name")
+
+
+@register("e4_shard_counts", osql.with_manifest_and(SHARDS)
+          + "SELECT shard_id, count(*) AS num_records FROM shards GROUP BY shard_id")
+def q_shard_counts(spark, sf):
+    return sh.shard_counts(_shards(spark, sf))
+
+
+@register("e5_shard_sizes", osql.with_manifest("""
+SELECT CAST(s AS INTEGER) AS shard_id,
+       CAST(CASE WHEN s = ns - 1 THEN n - 64 * (ns - 1) ELSE 64 END AS BIGINT) AS size
+FROM (SELECT count(*) AS n, CAST(ceil(count(*) / 64) AS BIGINT) AS ns FROM manifest),
+     LATERAL (SELECT unnest(range(0, ns)) AS s)"""))
+def q_shard_sizes(spark, sf):
+    m = training_manifest(spark, sf).df
+    meta = m.agg(F.count(F.lit(1)).alias("num_records")).select(
+        "num_records", F.ceil(F.col("num_records") / 64).cast("int").alias("num_shards"), F.lit(64).alias("shard_size"))
+    return sh.shard_sizes_from_metadata(meta)
+
+
+SOURCE_SHARDS = """src_sizes AS (
+  SELECT CAST(row_number() OVER (ORDER BY group_name, coalesce(source, '')) - 1 AS INTEGER) AS shard_id, count(*) AS size
+  FROM manifest GROUP BY group_name, source),
+offsets AS (
+  SELECT shard_id, size, sum(size) OVER (ORDER BY shard_id) - size AS start, sum(size) OVER (ORDER BY shard_id) AS "end"
+  FROM src_sizes)"""
+
+
+def _source_offsets(spark, sf):
+    m = training_manifest(spark, sf).df
+    sizes = m.groupBy("group_name", F.coalesce("source", F.lit("")).alias("src")).agg(F.count(F.lit(1)).alias("size"))
+    sizes = global_index(sizes, ["group_name", "src"], "shard_id").df
+    sizes = sizes.select(F.col("shard_id").cast("int").alias("shard_id"), "size")
+    return m, sh.shard_offsets(sizes)
+
+
+@register("e6_shard_offsets", osql.with_manifest_and(SOURCE_SHARDS) + "SELECT * FROM offsets")
+def q_shard_offsets(spark, sf):
+    return _source_offsets(spark, sf)[1]
+
+
+@register("d4_locate", osql.with_manifest_and(SOURCE_SHARDS) + """
+SELECT m.idx AS position, o.shard_id, m.idx - o.start AS local_pos
+FROM manifest m JOIN offsets o ON m.idx >= o.start AND m.idx < o."end\"""")
+def q_locate(spark, sf):
+    m, off = _source_offsets(spark, sf)
+    return sh.locate(m.select(F.col("idx").alias("position")), off)
+
+
+@register("f2_resume_after", osql.with_manifest_and(SHARDS, """existing AS (
+  SELECT shard_id, count(*) AS num_records FROM shards WHERE split = 'train' GROUP BY shard_id),
+expected AS (SELECT count(*) AS n, CAST(ceil(count(*) / 64) AS BIGINT) AS ns FROM manifest)""") + """
+SELECT idx, shard_id FROM shards
+WHERE shard_id NOT IN (
+  SELECT e.shard_id FROM existing e, expected x
+  WHERE e.num_records = CASE WHEN e.shard_id = x.ns - 1 THEN x.n - 64 * (x.ns - 1) ELSE 64 END)""")
+def q_resume(spark, sf):
+    man = training_manifest(spark, sf)
+    shards = sh.assign_shards(man.df, 64)
+    existing = sh.shard_counts(shards.where(F.col("split") == "train"))
+    return sh.resume_after(shards, existing, 64, man.num_rows).select("idx", "shard_id")
+
+
+RANKS = """ids AS (SELECT DISTINCT shard_id FROM shards),
+ordered AS (SELECT shard_id, row_number() OVER (ORDER BY {key}, shard_id) - 1 AS p, count(*) OVER () AS s FROM ids),
+ranked AS (
+  SELECT {epoch} AS epoch, CAST(p % 3 AS INTEGER) AS rank, CAST(floor(p / 3) AS INTEGER) AS local_pos, shard_id FROM ordered
+  UNION ALL
+  SELECT {epoch}, CAST(p AS INTEGER), CAST(ceil(s / 3) - 1 AS INTEGER), shard_id FROM ordered
+  WHERE p < 3 AND ceil((s - p) / 3) < ceil(s / 3))"""
+
+
+@register("f3_rank_shards", osql.with_manifest_and(SHARDS, RANKS.format(key="shard_id", epoch=0))
+          + "SELECT * FROM ranked")
+def q_rank_shards(spark, sf):
+    return sh.rank_shards(_shards(spark, sf), world_size=3)
+
+
+@register("f3_rank_shards_shuffled", osql.with_manifest_and(
+    SHARDS, RANKS.format(key="md5(concat_ws(':', '43', CAST(shard_id AS VARCHAR)))", epoch=1))
+    + "SELECT * FROM ranked")
+def q_rank_shards_shuffled(spark, sf):
+    return sh.rank_shards(_shards(spark, sf), world_size=3, epoch=1, shuffle=True)
+
+
+@register("f4_pad_shard", osql.with_manifest_and(SHARDS, """sizes AS (SELECT shard_id, count(*) AS n FROM shards GROUP BY shard_id)""") + """
+SELECT s.shard_id, s.idx, r * z.n + s.shard_pos AS padded_pos
+FROM shards s JOIN sizes z USING (shard_id), LATERAL (SELECT unnest(range(0, CAST(ceil(64 / z.n) AS BIGINT))) AS r)
+WHERE r * z.n + s.shard_pos < 64""")
+def q_pad_shard(spark, sf):
+    return sh.pad_shard(_shards(spark, sf), 64).select("shard_id", "idx", "padded_pos")
+
+
+@register("f5_rank_rows", osql.with_manifest("""
+SELECT idx, matched_index, CAST(matched_index % 6 AS INTEGER) AS slot, CAST(floor((matched_index % 6) / 2) AS INTEGER) AS rank,
+       CAST(matched_index % 6 % 2 AS INTEGER) AS worker
+FROM (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS matched_index FROM manifest
+      WHERE query_type IN ('text', 'image') AND positive_type IN ('text', 'image')
+        AND (negative_type IS NULL OR negative_type IN ('text', 'image')))"""))
+def q_rank_rows(spark, sf):
+    rows = sh.rank_rows(training_manifest(spark, sf).df, world_size=3, num_workers=2, allowed=["text", "image"])
+    return rows.select("idx", "matched_index", "slot", "rank", "worker")
+
+
+@register("f6_node_partition", osql.with_manifest_and(SHARDS) + """
+SELECT shard_id, CAST(node AS INTEGER) AS node,
+       CAST((row_number() OVER (PARTITION BY node ORDER BY shard_id) - 1) % 2 AS INTEGER) AS local_rank
+FROM (SELECT shard_id, ntile(3) OVER (ORDER BY shard_id) - 1 AS node FROM (SELECT DISTINCT shard_id FROM shards))""")
+def q_node_partition(spark, sf):
+    return sh.node_partition(_shards(spark, sf), num_nodes=3, ranks_per_node=2)
+
+
+STRAT = """strat AS (
+  SELECT idx, query_type, row_number() OVER (ORDER BY key, query_type, idx) - 1 AS strat_idx
+  FROM (SELECT idx, query_type,
+               (CAST(row_number() OVER (PARTITION BY query_type ORDER BY idx) - 1 AS DOUBLE) + 0.5)
+                 / count(*) OVER (PARTITION BY query_type) AS key
+        FROM manifest))"""
+
+
+@register("f7_stratified_order", osql.with_manifest_and(STRAT) + "SELECT idx, strat_idx FROM strat")
+def q_stratified(spark, sf):
+    return sh.stratified_order(training_manifest(spark, sf).df).select("idx", "strat_idx")
+
+
+@register("e8_shard_modality_profile", osql.with_manifest_and(STRAT) + """
+SELECT shard_id, count(*) AS num_records,
+  count(*) FILTER (WHERE query_type = 'text') AS n_text, round(count(*) FILTER (WHERE query_type = 'text') / count(*), 6) AS share_text,
+  count(*) FILTER (WHERE query_type = 'image') AS n_image, round(count(*) FILTER (WHERE query_type = 'image') / count(*), 6) AS share_image,
+  count(*) FILTER (WHERE query_type = 'audio') AS n_audio, round(count(*) FILTER (WHERE query_type = 'audio') / count(*), 6) AS share_audio
+FROM (SELECT CAST(floor(strat_idx / 64) AS INTEGER) AS shard_id, query_type FROM strat) GROUP BY shard_id""")
+def q_profile(spark, sf):
+    strat = sh.stratified_order(training_manifest(spark, sf).df)
+    return sh.shard_modality_profile(sh.assign_shards(strat, 64, idx_col="strat_idx"))
+
+
+@register("e9_step_budget", osql.with_manifest("""
+SELECT group_name, num_rows, micro AS micro_steps_per_epoch, opt AS optimizer_steps_per_epoch,
+       total AS max_steps, CAST(ceil(total * CAST(0.1 AS DOUBLE)) AS BIGINT) AS warmup_steps
+FROM (SELECT *, CAST(greatest(1, ceil(CAST(10.0 AS DOUBLE) * opt)) AS BIGINT) AS total
+      FROM (SELECT *, CAST(greatest(1, ceil(micro / CAST(8.0 AS DOUBLE))) AS BIGINT) AS opt
+            FROM (SELECT group_name, count(*) AS num_rows, CAST(floor(count(*) / 24) AS BIGINT) AS micro
+                  FROM manifest WHERE split = 'train' GROUP BY group_name)))"""))
+def q_step_budget(spark, sf):
+    m = training_manifest(spark, sf).df.where(F.col("split") == "train")
+    counts = m.groupBy("group_name").agg(F.count(F.lit(1)).alias("num_rows"))
+    return sh.step_budget(counts, batch_size=12, world_size=2, grad_accum=8, epochs=10, warmup_ratio=0.1)
+
+
+# ---------------------------------------------------------------- H1-H6 batch plans
+@register("h2_sequential_batches", osql.with_manifest("""
+SELECT idx, CAST(floor(idx / 32) AS BIGINT) AS batch_id, CAST(idx % 32 AS INTEGER) AS pos_in_batch FROM manifest
+WHERE floor(idx / 32) < floor((SELECT count(*) FROM manifest) / 32)"""))
+def q_sequential(spark, sf):
+    return bat.sequential_batches(training_manifest(spark, sf).df, 32).select("idx", "batch_id", "pos_in_batch")
+
+
+@register("h3_shuffled_batches", osql.with_manifest("""
+SELECT idx, perm_pos, CAST(floor(perm_pos / 32) AS BIGINT) AS batch_id, CAST(perm_pos % 32 AS INTEGER) AS pos_in_batch
+FROM (SELECT idx, row_number() OVER (ORDER BY md5(concat_ws(':', '42', CAST(idx AS VARCHAR))), idx) - 1 AS perm_pos
+      FROM manifest)
+WHERE floor(perm_pos / 32) < floor((SELECT count(*) FROM manifest) / 32)"""))
+def q_shuffled(spark, sf):
+    out = bat.shuffled_batches(training_manifest(spark, sf).df, 32, seed=42, epoch=0)
+    return out.select("idx", "perm_pos", "batch_id", "pos_in_batch")
+
+
+@register("h3_shuffled_within_shard", osql.with_manifest_and(SHARDS) + """
+SELECT shard_id, idx, perm_pos, batch_id, pos_in_batch FROM (
+  SELECT *, CAST(floor(perm_pos / 12) AS BIGINT) AS batch_id, CAST(perm_pos % 12 AS INTEGER) AS pos_in_batch,
+         count(*) OVER (PARTITION BY shard_id, floor(perm_pos / 12)) AS bn
+  FROM (SELECT shard_id, idx,
+               row_number() OVER (PARTITION BY shard_id ORDER BY md5(concat_ws(':', '45', CAST(idx AS VARCHAR))), idx) - 1 AS perm_pos
+        FROM shards))
+WHERE bn >= 12""")
+def q_shuffled_within(spark, sf):
+    out = bat.shuffled_batches(_shards(spark, sf), 12, seed=42, epoch=3, within=["shard_id"])
+    return out.select("shard_id", "idx", "perm_pos", "batch_id", "pos_in_batch")
+
+
+@register("h1_collate", osql.with_manifest("""
+SELECT CAST(floor(idx / 32) AS BIGINT) AS batch_id, count(*) AS n_rows,
+       string_agg(query_value, chr(31) ORDER BY idx) AS queries,
+       string_agg(positive_value, chr(31) ORDER BY idx) AS positives,
+       count(negative_value) AS n_negatives
+FROM manifest GROUP BY 1"""))
+def q_collate(spark, sf):
+    plan = bat.sequential_batches(training_manifest(spark, sf).df, 32, drop_last=False)
+    c = bat.collate(plan)
+    return c.select("batch_id", F.size("query").alias("n_rows"),
+                    F.array_join(F.transform("query", lambda x: x.getField("value")), "\x1f").alias("queries"),
+                    F.array_join(F.transform("positive", lambda x: x.getField("value")), "\x1f").alias("positives"),
+                    F.size(F.filter("negative", lambda x: x.isNotNull())).alias("n_negatives"))
+
+
+@register("h4_interleave_pattern", osql.with_manifest("""
+SELECT row_number() OVER (ORDER BY first_idx) - 1 AS slot, modality, first_idx
+FROM (SELECT query_type AS modality, min(idx) AS first_idx FROM manifest WHERE idx < 18 GROUP BY 1)
+QUALIFY row_number() OVER (ORDER BY first_idx) - 1 < 3"""))
+def q_pattern(spark, sf):
+    return bat.interleave_pattern(training_manifest(spark, sf).df)
+
+
+@register("h5_modality_batches", osql.with_manifest("""
+, rows AS (
+  SELECT idx, ['text', 'image', 'audio'][idx % 3 + 1] AS modality, CAST(floor(idx / 3) AS BIGINT) AS j FROM manifest),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY modality ORDER BY md5(concat_ws(':', '42', modality, CAST(j AS VARCHAR))), j) - 1 AS r,
+         count(*) OVER (PARTITION BY modality) AS n
+  FROM rows),
+kept AS (SELECT *, CAST(floor(r / 12) AS BIGINT) AS batch_idx, CAST(r % 12 AS INTEGER) AS pos_in_batch FROM ranked
+         WHERE (floor(r / 12) + 1) * 12 <= n),
+border AS (
+  SELECT modality, batch_idx,
+         row_number() OVER (ORDER BY md5(concat_ws(':', '42', 'batch', modality, CAST(batch_idx AS VARCHAR))), modality, batch_idx) - 1
+           AS batch_order
+  FROM (SELECT DISTINCT modality, batch_idx FROM kept))
+SELECT b.batch_order, k.modality, k.batch_idx, k.pos_in_batch, k.idx FROM kept k JOIN border b USING (modality, batch_idx)""").replace("\n\n,", ","))
+def q_modality_batches(spark, sf):
+    m = training_manifest(spark, sf).df
+    return bat.modality_batches(m, ["text", "image", "audio"], 12, seed=42, epoch=0)
+
+
+@register("h6_no_duplicate_batches")
+def q_no_dup(spark, sf):
+    d = _docs(spark, sf).select(F.col("doc_id").alias("idx"), F.col("text").alias("query_value"),
+                                F.split_part("text", F.lit("\n"), F.lit(1)).alias("positive_value"),
+                                F.lit(None).cast("string").alias("negative_value"))
+    return bat.no_duplicate_batches(d, 32, drop_last=False)
