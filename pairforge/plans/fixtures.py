@@ -81,3 +81,20 @@ def fx_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     audio = (ranked.join(lab, "doc_id", "left_semi")
                    .select(F.format_string("%s_%06d.wav", "source", "idx").alias("path")))
     return page_paths.unionByName(chat_paths).unionByName(audio)
+
+
+def fx_pairs(spark: SparkSession, sf_dir: str, batch_size: int = 32) -> DataFrame:
+    """FX7: embedding pairs. Every row is used: pair i = vec_id div 2, query = the even id, positive = the odd
+    one (a bounded group of two); batch = pair div batch_size."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    g = (e.groupBy(F.floor(F.col("vec_id") / 2).alias("pair_id"))
+          .agg(F.count(F.lit(1)).alias("_n"), F.min_by("embedding", "vec_id").alias("q"),
+               F.max_by("embedding", "vec_id").alias("p")))
+    return g.where(F.col("_n") == 2).select("pair_id", F.floor(F.col("pair_id") / batch_size).alias("batch_id"), "q", "p")
+
+
+def fx_triples(spark: SparkSession, sf_dir: str, batch_size: int = 32) -> DataFrame:
+    """FX7 triples: negative of pair i = positive of the next pair (ring over pair order, C1)."""
+    from pairforge.operators.order import ring_negatives
+    pairs = fx_pairs(spark, sf_dir, batch_size)
+    return ring_negatives(pairs, [], ["pair_id"], value_col="p", type_col=None, out_value="n")

@@ -98,3 +98,50 @@ def payload_cols(role: str, out: str | None = None, src: str | None = None) -> s
     out = out or role
     src = src or role
     return ", ".join(f"CASE WHEN {src}_type = '{m}' THEN {src}_value END AS {out}_{m}" for m in ("text", "image", "audio"))
+
+PAIRS = """pairs AS (
+  SELECT vec_id // 2 AS pair_id, arg_min(embedding, vec_id) AS q0, arg_max(embedding, vec_id) AS p0
+  FROM embeddings GROUP BY 1 HAVING count(*) = 2),
+fx AS (SELECT pair_id, pair_id // 32 AS batch_id, CAST(q0 AS DOUBLE[]) AS q, CAST(p0 AS DOUBLE[]) AS p FROM pairs),
+tri AS (
+  SELECT pair_id, batch_id, q, p,
+         coalesce(lead(p) OVER (ORDER BY pair_id), first_value(p) OVER (ORDER BY pair_id)) AS n FROM fx)"""
+
+BATCH_ROWS = """scores AS (
+  SELECT a.batch_id, a.pair_id AS i, b.pair_id AS j, list_dot_product(a.q, b.p) * 20.0 AS s
+  FROM fx a JOIN fx b USING (batch_id)),
+sw AS (SELECT *, max(s) OVER (PARTITION BY batch_id, i) AS rm, max(s) OVER (PARTITION BY batch_id, j) AS cm FROM scores),
+rws AS (
+  SELECT batch_id, i AS pair_id, max(CASE WHEN i = j THEN s END) AS diag, max(s) AS row_max,
+         min(CASE WHEN s = rm THEN j END) AS argmax_pair, max(rm) + ln(sum(exp(s - rm))) AS row_lse
+  FROM sw GROUP BY batch_id, i),
+cls AS (SELECT batch_id, j AS pair_id, max(cm) + ln(sum(exp(s - cm))) AS col_lse FROM sw GROUP BY batch_id, j),
+brows AS (SELECT r.*, c.col_lse, CASE WHEN argmax_pair = pair_id THEN 1 ELSE 0 END AS hit FROM rws r JOIN cls c USING (batch_id, pair_id)),
+per_batch AS (
+  SELECT batch_id, count(*) AS n, 0.5 * (avg(row_lse - diag) + avg(col_lse - diag)) AS loss,
+         avg(row_lse - diag) AS row_ce, avg(hit) AS top1
+  FROM brows GROUP BY batch_id)"""
+
+
+def cos_sql(a: str, b: str) -> str:
+    return (f"(list_dot_product({a}, {b}) / (greatest(sqrt(list_dot_product({a}, {a})), 1e-12)"
+            f" * greatest(sqrt(list_dot_product({b}, {b})), 1e-12)))")
+
+
+
+def neg_batches_sql(dim: str | None = None) -> str:
+    """L4 per (dim, batch) over triples: candidates = batch positives then batch negatives, cosine x 20."""
+    def tr(x):
+        return f"list_slice({x}, 1, d)" if dim else x
+    dims = f"(SELECT unnest({dim}) AS d)" if dim else "(SELECT 0 AS d)"
+    return f"""cand AS (SELECT batch_id, pair_id AS j, 0 AS kind, p AS v FROM tri
+              UNION ALL SELECT batch_id, pair_id, 1, n FROM tri),
+ns AS (SELECT dd.d, t.batch_id, t.pair_id AS i, c.j, c.kind, 20.0 * {cos_sql(tr('t.q'), tr('c.v'))} AS s
+       FROM tri t JOIN cand c USING (batch_id), {dims} dd),
+nw AS (SELECT *, max(s) OVER (PARTITION BY d, batch_id, i) AS rm FROM ns),
+nrows AS (SELECT d, batch_id, i, max(CASE WHEN kind = 0 AND i = j THEN s END) AS diag,
+                 max(rm) + ln(sum(exp(s - rm))) AS lse,
+                 min(CASE WHEN s = rm THEN kind * 1000000000000 + j END) AS best
+          FROM nw GROUP BY d, batch_id, i),
+nbatch AS (SELECT d, batch_id, count(*) AS n, avg(lse - diag) AS loss,
+                  avg(CASE WHEN best = i THEN 1 ELSE 0 END) AS top1 FROM nrows GROUP BY d, batch_id)"""

@@ -557,3 +557,164 @@ def q_no_dup(spark, sf):
                                 F.split_part("text", F.lit("\n"), F.lit(1)).alias("positive_value"),
                                 F.lit(None).cast("string").alias("negative_value"))
     return bat.no_duplicate_batches(d, 32, drop_last=False)
+
+
+# ---------------------------------------------------------------- K2-K6, D5, D6, L1-L7: vectors and metrics
+from pairforge.functions import vectors as vx  # noqa: E402
+from pairforge.operators import metrics as met  # noqa: E402
+from pairforge.operators import vectors as vop  # noqa: E402
+
+
+def _r(c, name=None):
+    return F.round(F.col(c) if isinstance(c, str) else c, 6).alias(name or c)
+
+
+@register("d5_batch_scores", "WITH " + osql.PAIRS + ",\n" + osql.BATCH_ROWS + """
+SELECT batch_id, pair_id, round(diag, 6) AS diag, round(row_max, 6) AS row_max, argmax_pair,
+       round(row_lse, 6) AS row_lse, round(col_lse, 6) AS col_lse, hit FROM brows""")
+def q_batch_scores(spark, sf):
+    rows = met.batch_scores(fx.fx_pairs(spark, sf))
+    return rows.select("batch_id", "pair_id", _r("diag"), _r("row_max"), "argmax_pair", _r("row_lse"),
+                       _r("col_lse"), "hit")
+
+
+@register("l1_batch_mnrl", "WITH " + osql.PAIRS + ",\n" + osql.BATCH_ROWS + """
+SELECT batch_id, n, round(loss, 6) AS loss, round(row_ce, 6) AS row_ce, round(top1, 6) AS top1 FROM per_batch""")
+def q_mnrl(spark, sf):
+    b = met.batch_mnrl(fx.fx_pairs(spark, sf))
+    return b.select("batch_id", "n", _r("loss"), _r("row_ce"), _r("top1"))
+
+
+@register("l3_evaluate_pairs", "WITH " + osql.PAIRS + ",\n" + osql.BATCH_ROWS + """
+SELECT round(avg(loss), 6) AS eval_loss, round(avg(top1), 6) AS eval_top1, count(*) AS num_batches FROM per_batch""")
+def q_evaluate(spark, sf):
+    e = met.evaluate_pairs(fx.fx_pairs(spark, sf))
+    return e.select(_r("eval_loss"), _r("eval_top1"), "num_batches")
+
+
+@register("l7_quality_gate", "WITH " + osql.PAIRS + ",\n" + osql.BATCH_ROWS + """
+SELECT batch_id, NOT (top1 < 0.85 OR loss > 0.45) AS passed,
+       CASE WHEN top1 < 0.85 THEN 'low_top1' WHEN loss > 0.45 THEN 'high_loss' END AS reason_code
+FROM per_batch""")
+def q_gate(spark, sf):
+    runs = met.batch_mnrl(fx.fx_pairs(spark, sf)).select("batch_id", F.col("loss").alias("eval_loss"),
+                                                          F.col("top1").alias("eval_top1"))
+    return met.quality_gate(runs).select("batch_id", "passed", "reason_code")
+
+
+@register("l4_mnrl_negatives", "WITH " + osql.PAIRS + ",\n" + osql.neg_batches_sql() + """
+SELECT batch_id, n, round(loss, 6) AS loss, round(top1, 6) AS top1 FROM nbatch""")
+def q_mnrl_neg(spark, sf):
+    b = met.mnrl_with_negatives(fx.fx_triples(spark, sf))
+    return b.select("batch_id", "n", _r("loss"), _r("top1"))
+
+
+@register("l5_matryoshka_loss", "WITH " + osql.PAIRS + ",\n" + osql.neg_batches_sql("[64, 32, 16, 8]") + """
+SELECT batch_id, round(sum(loss), 6) AS loss, count(*) AS num_dims FROM nbatch GROUP BY batch_id""")
+def q_matryoshka(spark, sf):
+    b = met.matryoshka_loss(fx.fx_triples(spark, sf), [64, 32, 16, 8])
+    return b.select("batch_id", _r("loss"), "num_dims")
+
+
+IR = """qs AS (SELECT pair_id AS query_id, q FROM tri),
+corpus AS (SELECT pair_id AS doc_id, p AS vec FROM tri
+           UNION ALL SELECT pair_id + (SELECT count(*) FROM tri), n FROM tri),
+sc AS (SELECT query_id, doc_id, round(""" + osql.cos_sql("q", "vec") + """, 9) AS s FROM qs, corpus),
+rel AS (SELECT query_id, s AS rs FROM sc WHERE doc_id = query_id),
+ranks AS (SELECT sc.query_id, 1 + count(*) FILTER (WHERE doc_id <> sc.query_id AND (s > rs OR (s = rs AND doc_id < sc.query_id))) AS rank
+          FROM sc JOIN rel USING (query_id) GROUP BY sc.query_id)"""
+
+
+def _ir_inputs(spark, sf):
+    tri = fx.fx_triples(spark, sf)
+    n = tri.count()
+    queries = tri.select(F.col("pair_id").alias("query_id"), F.col("q").alias("vec"))
+    corpus = tri.select(F.col("pair_id").alias("doc_id"), F.col("p").alias("vec")).unionByName(
+        tri.select((F.col("pair_id") + n).alias("doc_id"), F.col("n").alias("vec")))
+    qrels = tri.select(F.col("pair_id").alias("query_id"), F.col("pair_id").alias("doc_id"))
+    return queries, corpus, qrels
+
+
+_IR_COLS = [f"{m}_at_{k}" for k in (1, 3, 5, 10) for m in ("accuracy", "precision", "recall")] + \
+    ["mrr_at_10", "ndcg_at_10", "map_at_100"]
+
+
+@register("l6_ir_metrics", "WITH " + osql.PAIRS + ",\n" + IR + "\nSELECT " + ", ".join(
+    [f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS accuracy_at_{k}, "
+     f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END / {k}), 6) AS precision_at_{k}, "
+     f"round(avg(CASE WHEN rank <= {k} THEN 1.0 ELSE 0.0 END), 6) AS recall_at_{k}" for k in (1, 3, 5, 10)]
+    + ["round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0.0 END), 6) AS mrr_at_10",
+       "round(avg(CASE WHEN rank <= 10 THEN 1.0 / log2(rank + 1) ELSE 0.0 END), 6) AS ndcg_at_10",
+       "round(avg(CASE WHEN rank <= 100 THEN 1.0 / rank ELSE 0.0 END), 6) AS map_at_100",
+       "count(*) AS num_queries"]) + " FROM ranks")
+def q_ir(spark, sf):
+    q, c, rels = _ir_inputs(spark, sf)
+    m = met.ir_metrics(met.relevant_ranks(q, c, rels))
+    return m.select(*[_r(x) for x in _IR_COLS], "num_queries")
+
+
+@register("d6_retrieval_topk", "WITH " + osql.PAIRS + ",\n" + IR + """
+SELECT query_id, doc_id, round(s, 6) AS score, rank FROM (
+  SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM sc)
+WHERE rank <= 10""")
+def q_topk(spark, sf):
+    q, c, _ = _ir_inputs(spark, sf)
+    t = met.retrieval_topk(q, c, k=10)
+    return t.select("query_id", "doc_id", _r("score"), "rank")
+
+
+@register("k4_l2_normalize", """
+SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(v[1], 6) AS first_value
+FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]),
+        lambda x: x / greatest(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 1e-12)) AS v
+      FROM embeddings)""")
+def q_normalize(spark, sf):
+    e = vop.normalize(fx.table(spark, sf, "embeddings"), "embedding", "v")
+    return e.select("vec_id", _r(vx.l2_norm("v"), "norm"), _r(F.element_at("v", 1), "first_value"))
+
+
+@register("k5_truncate_dims", """
+SELECT vec_id, d AS dim, round(v[1], 6) AS first_value, round(sqrt(list_dot_product(v, v)), 6) AS norm
+FROM (SELECT vec_id, d, list_transform(list_slice(CAST(embedding AS DOUBLE[]), 1, d),
+        lambda x: x / greatest(sqrt(list_dot_product(list_slice(CAST(embedding AS DOUBLE[]), 1, d),
+                                                list_slice(CAST(embedding AS DOUBLE[]), 1, d))), 1e-12)) AS v
+      FROM embeddings, (SELECT unnest([64, 32, 16, 8]) AS d))""")
+def q_truncate(spark, sf):
+    e = vop.truncate_all(fx.table(spark, sf, "embeddings"), "embedding", [64, 32, 16, 8], "v")
+    return e.select("vec_id", "dim", _r(F.element_at("v", 1), "first_value"), _r(vx.l2_norm("v"), "norm"))
+
+
+@register("k6_cosine", "WITH " + osql.PAIRS + """
+SELECT pair_id, round(list_dot_product(q, p), 6) AS dot, round(""" + osql.cos_sql("q", "p") + """, 6) AS cosine FROM fx""")
+def q_cosine(spark, sf):
+    p = fx.fx_pairs(spark, sf)
+    return p.select("pair_id", _r(vx.dot("q", "p"), "dot"), _r(vx.cosine("q", "p"), "cosine"))
+
+
+@register("k2_mean_pool", "WITH " + osql.PAIRS + """
+SELECT pair_id, round(sqrt(list_dot_product(m, m)), 6) AS norm, round(m[1], 6) AS first_value
+FROM (SELECT pair_id, list_transform(list_zip(p, n), lambda z: (z[1] + z[2]) / 2.0) AS m FROM tri)""")
+def q_mean_pool(spark, sf):
+    t = fx.fx_triples(spark, sf).withColumn("tokens", F.array("q", "p", "n"))
+    pooled = vop.mean_pool(t, "tokens", skip_first=True)
+    return pooled.select("pair_id", _r(vx.l2_norm("pooled"), "norm"), _r(F.element_at("pooled", 1), "first_value"))
+
+
+@register("k3_project", """
+WITH el AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i
+            FROM embeddings),
+cent AS (SELECT label, i, avg(x) AS c FROM el GROUP BY label, i),
+rows AS (SELECT label, dense_rank() OVER (ORDER BY label) - 1 AS row FROM (SELECT DISTINCT label FROM embeddings)),
+proj AS (SELECT e.vec_id, r.row, sum(e.x * c.c) AS s FROM el e JOIN cent c USING (i) JOIN rows r ON r.label = c.label
+         GROUP BY e.vec_id, r.row)
+SELECT vec_id, CAST(row AS INTEGER) AS best_row, round(s, 6) AS best_score FROM proj
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, row) = 1""")
+def q_project(spark, sf):
+    e = fx.table(spark, sf, "embeddings")
+    dim = len(e.select("embedding").first()[0])
+    cent = e.groupBy("label").agg(*[F.avg(F.element_at("embedding", i + 1).cast("double")).alias(f"c{i}")
+                                    for i in range(dim)])
+    w = cent.select(F.col("label").alias("row"), F.array(*[F.col(f"c{i}") for i in range(dim)]).alias("w"))
+    pr = vop.project(e.select("vec_id", "embedding"), "embedding", w)
+    best = (F.array_position(pr["projected"], F.array_max("projected")) - 1).cast("int")
+    return pr.select("vec_id", best.alias("best_row"), _r(F.array_max("projected"), "best_score"))
