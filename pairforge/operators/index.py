@@ -29,6 +29,8 @@ from pairforge.session import default_parallelism, ensure_checkpoint_dir
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 _MONO = "_pf_mono"
+# Largest per-group table (rows) joined back by broadcast; ~40 bytes a row keeps it under ~8 MB.
+BROADCAST_GROUPS = 200_000
 
 
 class Indexed(NamedTuple):
@@ -88,7 +90,10 @@ def group_index_stats(df: DataFrame, group_cols: Sequence[str], order: Sequence[
     public = stats.select(*group_cols, F.col("_pf_st0").alias("start"), F.col("_pf_sz0").alias("size"))
     stats = stats.select(*[F.col(c).alias(f"_pf_g_{c}") for c in group_cols], "_pf_st0", "_pf_sz0")
     cond = [g[c].eqNullSafe(stats[f"_pf_g_{c}"]) for c in group_cols] or [F.lit(True)]
-    out = g.join(stats, cond, "inner").drop(*[f"_pf_g_{c}" for c in group_cols])
+    # One row per group: broadcast it when its row count is checked under the bound (no shuffle of the data
+    # by a possibly skewed group key); otherwise a regular join that AQE may split on skew.
+    small = stats.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+    out = g.join(F.broadcast(stats) if small else stats, cond, "inner").drop(*[f"_pf_g_{c}" for c in group_cols])
     out = out.withColumn(pos_col, F.col(gidx) - F.col("_pf_st0"))
     if size_col:
         out = out.withColumn(size_col, F.col("_pf_sz0"))
