@@ -718,3 +718,66 @@ def q_project(spark, sf):
     pr = vop.project(e.select("vec_id", "embedding"), "embedding", w)
     best = (F.array_position(pr["projected"], F.array_max("projected")) - 1).cast("int")
     return pr.select("vec_id", best.alias("best_row"), _r(F.array_max("projected"), "best_score"))
+
+
+# ---------------------------------------------------------------- J1, J2, J4, J6, J7, K1: feature jobs
+from pairforge.operators import features as feat  # noqa: E402
+
+_NWORDS = "len(list_filter(string_split_regex(coalesce({t}, ''), '\\s+'), lambda x: x <> ''))"
+
+
+@register("j1_tokenize", f"""
+SELECT doc_id, CAST(least({_NWORDS.format(t='text')}, 256) AS INTEGER) AS n_tokens,
+       {_NWORDS.format(t='text')} > 256 AS truncated FROM documents""")
+def q_tokenize(spark, sf):
+    return feat.tokenize(_docs(spark, sf).select("doc_id", "text"), "text", 256).select("doc_id", "n_tokens", "truncated")
+
+
+@register("j2_pad_tokens", f"""
+SELECT doc_id, batch_id, padded_len, CAST(padded_len - n_tokens AS INTEGER) AS n_pad FROM (
+  SELECT doc_id, doc_id // 32 AS batch_id, n_tokens, max(n_tokens) OVER (PARTITION BY doc_id // 32) AS padded_len
+  FROM (SELECT doc_id, CAST(least({_NWORDS.format(t='text')}, 256) AS INTEGER) AS n_tokens FROM documents))""")
+def q_pad(spark, sf):
+    t = feat.tokenize(_docs(spark, sf).select("doc_id", "text"), "text", 256)
+    t = t.withColumn("batch_id", F.floor(F.col("doc_id") / 32))
+    p = feat.pad_tokens(t)
+    return p.select("doc_id", "batch_id", "padded_len",
+                    F.aggregate("attention_mask", F.lit(0), lambda a, x: a + F.when(x == 0, 1).otherwise(0)).alias("n_pad"))
+
+
+@register("j4_fix_waveform", """
+SELECT vec_id, 100 AS n_samples, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total,
+       0.0 AS last_value FROM embeddings""")
+def q_fix_waveform(spark, sf):
+    e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("waveform"))
+    w = feat.fix_waveform(e, "waveform", 100)
+    return w.select("vec_id", F.size("waveform").alias("n_samples"), _r(vx.vector_sum("waveform"), "total"),
+                    F.element_at("waveform", -1).cast("double").alias("last_value"))
+
+
+@register("j6_normalize_payload", osql.with_manifest("""
+SELECT idx, CASE WHEN query_type = 'image' THEN 1 ELSE 0 END AS num_images, 0 AS num_videos, 1 AS n_fields
+FROM manifest"""))
+def q_payload(spark, sf):
+    rows = rec.to_trainer_rows(training_manifest(spark, sf).df, include_negative=False)
+    out = feat.normalize_payload(rows, "query")
+    return out.select("idx", "num_images", "num_videos", F.size("query_fields").alias("n_fields"))
+
+
+@register("j7_featurize_text", osql.with_manifest_and(osql.ITEMS) + f"""
+SELECT idx,
+  max(CASE WHEN role = 'query' THEN n END) AS query_n_tokens,
+  max(CASE WHEN role = 'positive' THEN n END) AS positive_n_tokens,
+  max(CASE WHEN role = 'negative' THEN n END) AS negative_n_tokens
+FROM (SELECT idx, role, CAST(least({_NWORDS.format(t='value')}, 256) AS INTEGER) AS n FROM items WHERE modality = 'text')
+GROUP BY idx""")
+def q_featurize(spark, sf):
+    return feat.featurize_text(training_manifest(spark, sf).df, 256)
+
+
+@register("k1_encode_items", osql.with_manifest_and(osql.ITEMS) + f"""
+SELECT idx, role, CASE WHEN {_NWORDS.format(t='value')} > 0 THEN 1.0 ELSE 0.0 END AS norm
+FROM items WHERE modality = 'text'""")
+def q_encode(spark, sf):
+    emb = feat.encode_items(training_manifest(spark, sf).df)
+    return emb.select("idx", "role", _r(vx.l2_norm("embedding"), "norm"))
