@@ -781,3 +781,76 @@ FROM items WHERE modality = 'text'""")
 def q_encode(spark, sf):
     emb = feat.encode_items(training_manifest(spark, sf).df)
     return emb.select("idx", "role", _r(vx.l2_norm("embedding"), "norm"))
+
+
+# ---------------------------------------------------------------- S1-S4 streaming twins (stream result = batch)
+from pairforge.streaming import jobs as stream  # noqa: E402
+
+
+def _manifest_files(spark, sf) -> str:
+    """FX8 written as JSONL in several files (one per group and split), the input folder of the streams."""
+    m = training_manifest(spark, sf).df
+    path = scratch_path(spark, "stream-in")
+    parts = [m.where((F.col("group_name") == g) & (F.col("split") == s))
+             for g in ("text", "image", "audio") for s in ("train", "val")]
+    for i, part in enumerate(parts):
+        write_manifest(part, f"{path}/part{i}")
+    return f"{path}/*"
+
+
+@register("s1_stream_manifest", osql.with_manifest("""
+SELECT query_type, query_value, positive_type, positive_value, negative_type, negative_value, source FROM manifest
+WHERE query_type IN ('text', 'image') AND positive_type IN ('text', 'image')
+  AND (negative_type IS NULL OR negative_type IN ('text', 'image'))"""))
+def q_stream_manifest(spark, sf):
+    src = _manifest_files(spark, sf)
+    out = stream.stream_manifest(spark, src, scratch_path(spark, "s1-out"), allowed=["text", "image"])
+    return spark.read.parquet(out)
+
+
+@register("s2_stream_append", osql.with_manifest("""
+SELECT query_type, query_value, positive_type, positive_value, negative_type, negative_value, source FROM manifest"""))
+def q_stream_append(spark, sf):
+    src = _manifest_files(spark, sf)
+    out = stream.stream_append(spark, src, scratch_path(spark, "s2-out"), files_per_trigger=2)
+    return spark.read.parquet(out).drop("batch_id")
+
+
+READY_SQL = """
+SELECT user_id AS dir, greatest(min(ts) FILTER (WHERE event_type = 'purchase'), min(ts) FILTER (WHERE event_type = 'signup'))
+         AS ready_ts
+FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY user_id
+HAVING count(*) FILTER (WHERE event_type = 'purchase') > 0 AND count(*) FILTER (WHERE event_type = 'signup') > 0"""
+
+
+@register("s3_ready_dirs", READY_SQL)
+def q_ready(spark, sf):
+    ev = fx.table(spark, sf, "events").select(F.col("user_id").alias("dir"), F.col("event_type").alias("name"), "ts")
+    return stream.ready_dirs(ev, ["purchase", "signup"])
+
+
+@register("s3_stream_ready", READY_SQL)
+def q_stream_ready(spark, sf):
+    path = scratch_path(spark, "s3-in")
+    fx.table(spark, sf, "events").repartitionByRange(4, "ts").write.parquet(path)
+    return stream.stream_ready(spark, path, "event_id long, ts timestamp, user_id long, event_type string, "
+                               "value double, props string", ["purchase", "signup"], scratch_path(spark, "s3-out"),
+                               dir_col="user_id", name_col="event_type", files_per_trigger=1)
+
+
+@register("s4_stream_summary", osql.with_manifest("""
+SELECT (SELECT array_to_string(list_sort(list_distinct(list(m))), ',')
+        FROM (SELECT unnest([query_type, positive_type, negative_type]) AS m FROM manifest WHERE query_type <> 'audio')
+        WHERE m IS NOT NULL) AS modalities,
+       count(*) FILTER (WHERE query_type <> 'audio') AS num_rows,
+       count(*) FILTER (WHERE query_type <> 'audio' AND negative_type IS NOT NULL) AS num_negatives_present,
+       count(*) FILTER (WHERE query_type <> 'audio' AND negative_type IS NULL) AS num_negatives_missing,
+       count(*) FILTER (WHERE query_type = 'audio') AS skipped_rows,
+       (count(*) FILTER (WHERE query_type <> 'audio' AND negative_type IS NOT NULL) > 0
+        AND count(*) FILTER (WHERE query_type <> 'audio' AND negative_type IS NULL) = 0) AS has_uniform_negatives
+FROM manifest"""))
+def q_stream_summary(spark, sf):
+    src = _manifest_files(spark, sf)
+    res = stream.stream_summary(spark, src, scratch_path(spark, "s4-out"), allowed=["text", "image"],
+                                files_per_trigger=2)
+    return res.withColumn("modalities", F.array_join("modalities", ","))
