@@ -108,3 +108,15 @@ def positional_split(df: DataFrame, n: int, val_fraction: float, idx_col: str =
     """First k rows train, the rest val (val may be empty)."""
     k = split_point(n, val_fraction)
     return df.withColumn(split_col, F.when(F.col(idx_col) < k, F.lit("train")).otherwise(F.lit("val")))
+
+
+def prefer_source(candidates: Sequence[DataFrame], source_col: str = "source") -> DataFrame:
+    """Source precedence. ``candidates`` in priority order (own cache, legacy cache, build...); for each
+    source keep the rows of the highest-priority candidate that has it. The per-source minimum is a
+    partial/final aggregate (one row per source) joined back."""
+    tagged = [c.withColumn("priority", F.lit(i)) for i, c in enumerate(candidates)]
+    union = tagged[0]
+    for t in tagged[1:]:
+        union = union.unionByName(t, allowMissingColumns=True)
+    best = union.groupBy(source_col).agg(F.min("priority").alias("_pf_best"))
+    return union.join(best, [source_col]).where(F.col("priority") == F.col("_pf_best")).drop("_pf_best")

@@ -854,3 +854,39 @@ def q_stream_summary(spark, sf):
     res = stream.stream_summary(spark, src, scratch_path(spark, "s4-out"), allowed=["text", "image"],
                                 files_per_trigger=2)
     return res.withColumn("modalities", F.array_join("modalities", ","))
+
+
+# ---------------------------------------------------------------- A8 source precedence, B0c/A9 shard round trip
+from pairforge.operators.order import prefer_source  # noqa: E402
+from pairforge.sources.shards_io import read_shard_metadata, read_shards, write_shards  # noqa: E402
+
+
+@register("a8_prefer_source", """
+WITH cand AS (
+  SELECT doc_id, source, 0 AS priority FROM documents WHERE lang = 'de'
+  UNION ALL SELECT doc_id, source, 1 FROM documents WHERE lang = 'fr'
+  UNION ALL SELECT doc_id, source, 2 FROM documents)
+SELECT doc_id, source, priority FROM cand
+WHERE priority = (SELECT min(priority) FROM cand c2 WHERE c2.source = cand.source)""")
+def q_prefer(spark, sf):
+    d = _docs(spark, sf).select("doc_id", "source", "lang")
+    cands = [d.where(F.col("lang") == "de"), d.where(F.col("lang") == "fr"), d]
+    return prefer_source([c.drop("lang") for c in cands]).select("doc_id", "source", "priority")
+
+
+@register("a9_read_shards", osql.with_manifest_and(SHARDS) + """
+SELECT s.idx, s.shard_id, s.shard_pos, m.query_value, m.negative_value FROM shards s JOIN manifest m USING (idx)""")
+def q_read_shards(spark, sf):
+    man = training_manifest(spark, sf)
+    path = scratch_path(spark, "shards")
+    write_shards(man.df, path, 64, total=man.num_rows)
+    return read_shards(spark, path).select("idx", "shard_id", "shard_pos", "query_value", "negative_value")
+
+
+@register("b0c_shard_metadata", osql.with_manifest("""
+SELECT count(*) AS num_records, CAST(ceil(count(*) / 64) AS INTEGER) AS num_shards, 64 AS shard_size FROM manifest"""))
+def q_shard_meta(spark, sf):
+    man = training_manifest(spark, sf)
+    path = scratch_path(spark, "shards")
+    write_shards(man.df, path, 64, total=man.num_rows)
+    return read_shard_metadata(spark, path)
