@@ -81,18 +81,32 @@ def group_index_stats(df: DataFrame, group_cols: Sequence[str], order: Sequence[
                       start_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """As ``group_index``, also returning the per-group table (group cols, ``start``, ``size``).
 
-    One global index over (group, order) plus a per-group (start, size) aggregate joined back; the aggregate
-    is partial/final (skew-safe) and has one row per group, so AQE broadcasts it when it is measured small.
+    One global index over (group, order) plus a per-group (start, size) aggregate (partial/final, skew-safe)
+    joined back. Without group columns the start is 0 and the size is the total: no join at all.
     """
     gidx = gidx_col or "_pf_gidx"
-    g = global_index(df, [*group_cols, *order], gidx).df
+    spark = df.sparkSession
+    ix = global_index(df, [*group_cols, *order], gidx)
+    g = ix.df
+    if not group_cols:
+        out = g.withColumn(pos_col, F.col(gidx))
+        if size_col:
+            out = out.withColumn(size_col, F.lit(ix.total).cast("bigint"))
+        if start_col:
+            out = out.withColumn(start_col, F.lit(0).cast("bigint"))
+        public = spark.createDataFrame([(0, ix.total)], "start long, size long")
+        return (out if gidx_col else out.drop(gidx)), public
     stats = g.groupBy(*group_cols).agg(F.min(gidx).alias("_pf_st0"), F.count(F.lit(1)).alias("_pf_sz0"))
+    # One row per group. When the row count is under the bound, the collected rows become a local table that is
+    # broadcast (no shuffle of the data by a possibly skewed group key, no second pass over the stats);
+    # otherwise a regular join that AQE may split on skew.
+    rows = stats.limit(BROADCAST_GROUPS + 1).collect()
+    small = len(rows) <= BROADCAST_GROUPS
+    if small:
+        stats = spark.createDataFrame(rows, stats.schema)
     public = stats.select(*group_cols, F.col("_pf_st0").alias("start"), F.col("_pf_sz0").alias("size"))
     stats = stats.select(*[F.col(c).alias(f"_pf_g_{c}") for c in group_cols], "_pf_st0", "_pf_sz0")
     cond = [g[c].eqNullSafe(stats[f"_pf_g_{c}"]) for c in group_cols] or [F.lit(True)]
-    # One row per group: broadcast it when its row count is checked under the bound (no shuffle of the data
-    # by a possibly skewed group key); otherwise a regular join that AQE may split on skew.
-    small = stats.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
     out = g.join(F.broadcast(stats) if small else stats, cond, "inner").drop(*[f"_pf_g_{c}" for c in group_cols])
     out = out.withColumn(pos_col, F.col(gidx) - F.col("_pf_st0"))
     if size_col:
