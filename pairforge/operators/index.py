@@ -127,3 +127,43 @@ def take_first(df: DataFrame, n: int | None, order: Sequence[str | Column], zero
     if n <= 0:
         raise ValueError("max_records must be positive")
     return global_index(df, order, "_pf_take").df.where(F.col("_pf_take") < n).drop("_pf_take")
+
+
+def running_sum(df: DataFrame, order: Sequence[str | Column], value_col: str, out_col: str = "running",
+                num_partitions: int | None = None) -> DataFrame:
+    """Inclusive running sum of ``value_col`` in ``order`` without a single-partition window.
+
+    Same staging as P1 (range partition, sort, checkpoint); each partition's total is collected (one number
+    per partition), and inside a partition the sum runs in ``mapInPandas`` with a carry across Arrow batches
+    (a partition's batches arrive in order)."""
+    import pandas as pd  # noqa: F401 - used inside the task
+    from pyspark.sql import types as T
+
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n_parts = num_partitions or default_parallelism(spark)
+    keys = _cols(order)
+    staged = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+                .withColumn(_MONO, F.monotonically_increasing_id()).checkpoint(eager=True))
+    part = F.shiftright(F.col(_MONO), _POS_BITS).cast("int")
+    sums = sorted(tuple(r) for r in staged.groupBy(part.alias("p")).agg(F.sum(value_col)).collect())
+    offsets = [0] * ((sums[-1][0] + 1) if sums else 1)
+    run = 0
+    for p, v in sums:
+        offsets[p] = run
+        run += v or 0
+    schema = T.StructType(staged.schema.fields + [T.StructField(out_col, staged.schema[value_col].dataType)])
+
+    def cumulate(batches):
+        carry = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if carry is None:
+                carry = offsets[int(pdf[_MONO].iloc[0]) >> _POS_BITS]
+            c = pdf[value_col].fillna(0).cumsum() + carry
+            carry = c.iloc[-1]
+            pdf = pdf.copy()
+            pdf[out_col] = c
+            yield pdf
+    return staged.mapInPandas(cumulate, schema).drop(_MONO)

@@ -118,5 +118,6 @@ def prefer_source(candidates: Sequence[DataFrame], source_col: str = "source") -
     union = tagged[0]
     for t in tagged[1:]:
         union = union.unionByName(t, allowMissingColumns=True)
+    from pairforge.operators.joins import join_bounded
     best = union.groupBy(source_col).agg(F.min("priority").alias("_pf_best"))
-    return union.join(best, [source_col]).where(F.col("priority") == F.col("_pf_best")).drop("_pf_best")
+    return join_bounded(union, best, [source_col]).where(F.col("priority") == F.col("_pf_best")).drop("_pf_best")

@@ -890,3 +890,52 @@ def q_shard_meta(spark, sf):
     path = scratch_path(spark, "shards")
     write_shards(man.df, path, 64, total=man.num_rows)
     return read_shard_metadata(spark, path)
+
+
+# ---------------------------------------------------------------- B0b, B7, C0c, E9 (shard path)
+from pairforge.operators.order import concat_sources  # noqa: E402
+from pairforge.sources.manifest import append_manifest  # noqa: E402
+
+
+@register("b0b_append_manifest", osql.with_manifest("""
+SELECT query_type, query_value, positive_type, positive_value, negative_type, negative_value, source FROM manifest"""))
+def q_append(spark, sf):
+    m = training_manifest(spark, sf).df
+    path = scratch_path(spark, "append")
+    for g in ("text", "image", "audio"):
+        append_manifest(m.where(F.col("group_name") == g), path)
+    append_manifest(m.where(F.lit(False)), path)  # empty input: no-op
+    return read_manifest(spark, path).records.drop("idx", "file", "line_no")
+
+
+@register("b7_concat_sources", osql.with_sources("""
+SELECT source, k, row_number() OVER (ORDER BY s, k) - 1 AS pos
+FROM (SELECT source, k, 0 AS s FROM cap_src UNION ALL SELECT source, k, 1 FROM chat_src)"""))
+def q_concat(spark, sf):
+    caps = caption_pairs(fx.fx_captions(spark, sf), source="caption")
+    chats = chat_caption_pairs(fx.fx_chats(spark, sf), source="chat")
+    return concat_sources([caps, chats], ["k"]).select("source", "k", "pos")
+
+
+@register("c0c_limit_after_filter", osql.with_sources(
+    "SELECT * FROM text_src QUALIFY row_number() OVER (ORDER BY k) <= 100"))
+def q_limit_after(spark, sf):
+    return qqp_pairs(fx.fx_questions(spark, sf), limit=100)
+
+
+@register("c0c_limit_before_filter", osql.with_sources(
+    "SELECT * FROM cap_src WHERE k IN (SELECT page_id FROM pages ORDER BY page_id LIMIT 100)"))
+def q_limit_before(spark, sf):
+    return caption_pairs(fx.fx_captions(spark, sf), limit=100, source="caption")
+
+
+@register("e9_shard_step_budget", osql.with_manifest_and(SHARDS, RANKS.format(key="shard_id", epoch=0)) + """
+SELECT rank, local_shards, batches AS batches_per_epoch, updates AS updates_per_epoch, steps AS max_steps,
+       CAST(ceil(steps * CAST(0.1 AS DOUBLE)) AS BIGINT) AS warmup_steps
+FROM (SELECT *, CAST(ceil(CAST(10.0 AS DOUBLE) * updates) AS BIGINT) AS steps
+      FROM (SELECT *, CAST(greatest(1, ceil(batches / CAST(8.0 AS DOUBLE))) AS BIGINT) AS updates
+            FROM (SELECT rank, count(*) AS local_shards, CAST((64 // 12) * greatest(count(*), 1) AS BIGINT) AS batches
+                  FROM ranked GROUP BY rank)))""")
+def q_shard_budget(spark, sf):
+    plan = sh.rank_shards(_shards(spark, sf), world_size=3)
+    return sh.shard_step_budget(plan, 64, 12, grad_accum=8, epochs=10, warmup_ratio=0.1)

@@ -26,6 +26,8 @@ def get_session(master: str | None = None, app: str = "pairforge", shuffle_parti
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.showConsoleProgress": "false",
+        # checkpoints of P1 indexes are removed once their RDD is garbage-collected
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
