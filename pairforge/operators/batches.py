@@ -11,6 +11,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
+from pairforge.session import ship_package
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,6 +164,7 @@ def no_duplicate_batches(df: DataFrame, batch_size: int, seed: int = DEFAULT_SEE
     incomplete batch are re-blocked and retried for ``rounds`` rounds; in the last round incomplete batches
     are kept (duplicate-free) unless ``drop_last``. Output: (idx, batch_id, pos_in_batch).
     """
+    ship_package(df.sparkSession)
     texts = F.array("query_value", "positive_value", "negative_value")
     work = df.select(idx_col, texts.alias("_pf_texts"), perm_key(seed, epoch, F.col(idx_col)).alias("_pf_key"))
     rows_per_block = block_batches * batch_size

@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+from pairforge.session import ship_package
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +55,7 @@ def tokenize_with(df: DataFrame, text_col: str, encode: Callable[[list[str]], li
                   max_len: int = MAX_TEXT_TOKENS) -> DataFrame:
     """J1 with a pluggable tokenizer (e.g. a ``tokenizers`` object loaded in the worker): one call per Arrow
     batch in ``mapInPandas``; truncation to ``max_len``."""
+    ship_package(df.sparkSession)
     schema = T.StructType(df.schema.fields + [T.StructField("input_ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
@@ -87,6 +89,7 @@ def fix_waveform(df: DataFrame, wave_col: str = "waveform", n: int = WAVE_SAMPLE
 def read_wav(spark, path: str) -> DataFrame:
     """Audio input: ``binaryFile`` scan -> (path, sample_rate, waveform float32 mono in [-1, 1], error).
     16-bit PCM WAV only; anything else is quarantined with a reason."""
+    ship_package(spark)
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
     schema = "path string, sample_rate int, waveform array<float>, error string"
 
@@ -162,6 +165,7 @@ def log_mel_array(wave_arr: np.ndarray, filters: np.ndarray | None = None) -> np
 
 def log_mel(df: DataFrame, wave_col: str = "waveform", out_col: str = "log_mel") -> DataFrame:
     """J5 over a DataFrame: adds ``out_col`` STRUCT<shape ARRAY<INT>, data ARRAY<FLOAT>> (80 x 3000, row-major)."""
+    ship_package(df.sparkSession)
     feat = T.StructType([T.StructField("shape", T.ArrayType(T.IntegerType())),
                          T.StructField("data", T.ArrayType(T.FloatType()))])
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, feat)])
@@ -209,6 +213,7 @@ def image_array(row_struct, size: int = IMAGE_SIZE, mean: float = IMAGE_MEAN, st
 def image_tensors(spark, path: str, size: int = IMAGE_SIZE, mean: float = IMAGE_MEAN,
                   std: float = IMAGE_STD) -> DataFrame:
     """Spark ``image`` source (JVM decode) -> (path, tensor STRUCT<shape, data>) via numpy per batch."""
+    ship_package(spark)
     imgs = spark.read.format("image").option("dropInvalid", "true").load(path).select("image")
     feat = "path string, tensor struct<shape: array<int>, data: array<float>>"
 
@@ -258,6 +263,7 @@ def encode_items(df: DataFrame, encoders: dict | None = None, dim: int = 64, idx
 
     ``encoders`` maps modality -> callable(list[value]) -> 2-D array, run per Arrow batch in ``mapInPandas``
     (model loaded once per Python worker by the callable); text defaults to ``hashed_embedding``."""
+    ship_package(df.sparkSession)
     items = unpivot_items(df, idx_col)
     encoders = encoders or {}
     parts = []

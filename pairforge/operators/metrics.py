@@ -14,6 +14,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pairforge.session import ship_package
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -82,6 +83,7 @@ def batch_scores(pairs: DataFrame, scale: float = DEFAULT_SCALE, use_negative: b
 
     Input: ``batch_id``, ``pair_id``, ``q``, ``p`` (and ``n`` with ``use_negative``); ``group_cols`` adds outer
     grouping (e.g. the Matryoshka dim). Scores = q . p * scale (cosine when asked)."""
+    ship_package(pairs.sparkSession)
     key = F.concat_ws("|", *[F.col(c).cast("string") for c in group_cols]) if group_cols else F.lit("")
     cols = ["batch_id", "pair_id", "q", "p"] + (["n"] if use_negative else [])
     staged = pairs.select(key.alias("group_key"), *cols)
@@ -136,6 +138,7 @@ def retrieval_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, max_queri
     """Top-k corpus docs per query by cosine, ties by doc id. Input: queries (query_id, vec), corpus
     (doc_id, vec). The query block (bounded) is broadcast; each corpus partition emits its partial top-k per
     query; a per-query window keeps the final k (k x partitions rows per query)."""
+    ship_package(queries.sparkSession)
     spark = queries.sparkSession
     qids, qmat = _collect_bounded(queries.select("query_id", l2_normalize("vec").alias("vec")), "query_id", "vec",
                                   max_queries)
@@ -163,6 +166,7 @@ def retrieval_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, max_queri
 def relevant_ranks(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, max_queries: int = IR_MAX_ROWS) -> DataFrame:
     """Rank (1-based, cosine desc, ties by doc id) of each query's relevant doc: 1 + number of corpus docs that
     beat it. Counts are summed per query over corpus partitions, so no score row leaves a task."""
+    ship_package(queries.sparkSession)
     spark = queries.sparkSession
     qn = queries.select("query_id", l2_normalize("vec").alias("vec"))
     rel = (qrels.join(qn, "query_id")

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pairforge.session import ship_package
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +48,7 @@ def project(df: DataFrame, vec_col: str, weights: DataFrame, bias: float | Seque
 
     W is bounded by ``max_rows`` output dimensions (checked before collecting); identity when absent is the
     caller's choice (skip the call)."""
+    ship_package(df.sparkSession)
     n = weights.count()
     if n > max_rows:
         raise ValueError(f"projection has {n} output rows, above the broadcast bound {max_rows}")
