@@ -39,7 +39,8 @@ def qqp_pairs(df: DataFrame, limit: int = 0, key: str = "k") -> DataFrame:
 
     Input: ``question1``, ``question2``, ``label`` and an order key. Text rows carry no source.
     """
-    kept = df.where(F.coalesce(F.col("label").cast("int"), F.lit(0)) == 1)
+    # missing label = 0, i.e. not kept: ``label = 1`` is the same predicate and reaches the parquet scan
+    kept = df.where(F.col("label").cast("int") == 1)
     kept = take_first(kept, limit, [key])
     return kept.select(*_record(F.col(key), "text", F.col("question1"), F.col("question2"), None))
 
