@@ -352,7 +352,8 @@ SOURCE_SHARDS = """src_sizes AS (
   SELECT CAST(row_number() OVER (ORDER BY group_name, coalesce(source, '')) - 1 AS INTEGER) AS shard_id, count(*) AS size
   FROM manifest GROUP BY group_name, source),
 offsets AS (
-  SELECT shard_id, size, sum(size) OVER (ORDER BY shard_id) - size AS start, sum(size) OVER (ORDER BY shard_id) AS "end"
+  SELECT shard_id, size, CAST(sum(size) OVER (ORDER BY shard_id) - size AS BIGINT) AS start,
+         CAST(sum(size) OVER (ORDER BY shard_id) AS BIGINT) AS "end"
   FROM src_sizes)"""
 
 
@@ -517,10 +518,10 @@ FROM manifest GROUP BY 1"""))
 def q_collate(spark, sf):
     plan = bat.sequential_batches(training_manifest(spark, sf).df, 32, drop_last=False)
     c = bat.collate(plan)
-    return c.select("batch_id", F.size("query").alias("n_rows"),
+    return c.select("batch_id", F.size("query").cast("bigint").alias("n_rows"),
                     F.array_join(F.transform("query", lambda x: x.getField("value")), "\x1f").alias("queries"),
                     F.array_join(F.transform("positive", lambda x: x.getField("value")), "\x1f").alias("positives"),
-                    F.size(F.filter("negative", lambda x: x.isNotNull())).alias("n_negatives"))
+                    F.size(F.filter("negative", lambda x: x.isNotNull())).cast("bigint").alias("n_negatives"))
 
 
 @register("h4_interleave_pattern", osql.with_manifest("""
@@ -660,7 +661,7 @@ WHERE rank <= 10""")
 def q_topk(spark, sf):
     q, c, _ = _ir_inputs(spark, sf)
     t = met.retrieval_topk(q, c, k=10)
-    return t.select("query_id", "doc_id", _r("score"), "rank")
+    return t.select("query_id", "doc_id", _r("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @register("k4_l2_normalize", """
@@ -746,8 +747,9 @@ def q_pad(spark, sf):
 
 
 @register("j4_fix_waveform", """
-SELECT vec_id, 100 AS n_samples, round(list_sum(CAST(embedding AS DOUBLE[])), 6) AS total,
-       0.0 AS last_value FROM embeddings""")
+SELECT vec_id, 100 AS n_samples, round(list_sum(CAST(list_slice(embedding, 1, 100) AS DOUBLE[])), 6) AS total,
+       CAST(CASE WHEN len(embedding) >= 100 THEN embedding[100] ELSE 0 END AS DOUBLE) AS last_value
+FROM embeddings""")
 def q_fix_waveform(spark, sf):
     e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("waveform"))
     w = feat.fix_waveform(e, "waveform", 100)
@@ -776,7 +778,7 @@ def q_featurize(spark, sf):
 
 
 @register("k1_encode_items", osql.with_manifest_and(osql.ITEMS) + f"""
-SELECT idx, role, CASE WHEN {_NWORDS.format(t='value')} > 0 THEN 1.0 ELSE 0.0 END AS norm
+SELECT idx, role, CAST(CASE WHEN {_NWORDS.format(t='value')} > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS norm
 FROM items WHERE modality = 'text'""")
 def q_encode(spark, sf):
     emb = feat.encode_items(training_manifest(spark, sf).df)
