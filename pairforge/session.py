@@ -40,6 +40,7 @@ def get_session(master: str | None = None, app: str = "pairforge", shuffle_parti
 
 
 _SHIPPED: set[str] = set()
+_LOCAL_ROOTS: dict[str, str] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -69,9 +70,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
-        # Unset only outside a cluster (tests): take a private folder once.
+        root = spark.sparkContext.getCheckpointDir() or _LOCAL_ROOTS.get(spark.sparkContext.applicationId)
+    if not root:
+        # Unset only outside a cluster (tests): take a private folder once per application.
         root = tempfile.mkdtemp(prefix="pairforge-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _LOCAL_ROOTS[spark.sparkContext.applicationId] = root
     return root
 
 
