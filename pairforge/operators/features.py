@@ -303,3 +303,33 @@ def featurize_text(df: DataFrame, max_len: int = MAX_TEXT_TOKENS, idx_col: str =
 
 
 _ = math
+
+
+def featurize(df: DataFrame, image_root: str | None = None, audio_root: str | None = None,
+              max_len: int = MAX_TEXT_TOKENS, image_size: int = IMAGE_SIZE, idx_col: str = "idx") -> DataFrame:
+    """Group items by modality across roles, process each group in bulk, scatter back to (record, role).
+
+    Text items are tokenized (J1); image items join the decoded tensors of ``image_root`` (J3) on their path;
+    audio items join the 30 s log-mel features of the WAV files under ``audio_root`` (J4 + J5) on their path.
+    Paths are compared relative to the roots (as written in manifests). Output: one row per (idx, role) with
+    ``modality``, ``input_ids`` (text), ``tensor`` (image) or ``log_mel`` (audio); missing media give NULL
+    features (see D1 to list them first). Joins are on the path key: equi-joins on bulk-processed tables."""
+    from pairforge.sources.media import _strip_root
+    spark = df.sparkSession
+    items = unpivot_items(df, idx_col)
+    text = tokenize(items.where(F.col("modality") == "text"), "value", max_len).select(
+        idx_col, "role", "modality", "input_ids")
+    parts = [text]
+    if image_root:
+        imgs = image_tensors(spark, image_root, image_size).withColumn("value", _strip_root("path", image_root))
+        parts.append(items.where(F.col("modality") == "image")
+                     .join(imgs.select("value", "tensor"), "value", "left").select(idx_col, "role", "modality", "tensor"))
+    if audio_root:
+        waves = read_wav(spark, audio_root).where(F.col("error").isNull())
+        mel = log_mel(fix_waveform(waves)).withColumn("value", _strip_root("path", audio_root))
+        parts.append(items.where(F.col("modality") == "audio")
+                     .join(mel.select("value", "log_mel"), "value", "left").select(idx_col, "role", "modality", "log_mel"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out

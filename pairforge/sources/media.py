@@ -26,7 +26,13 @@ def media_inventory(spark: SparkSession, root: str, glob: str | None = None, rec
     except AnalysisException:
         return spark.createDataFrame([], SCHEMA)
     if relative:
-        prefix = r"^[A-Za-z][A-Za-z0-9+.-]*:(//)?" + re.escape(root.rstrip("/").lstrip("/")) + "/"
-        df = df.withColumn("path", F.regexp_replace(F.regexp_replace("path", r"^([A-Za-z][A-Za-z0-9+.-]*:)/+", "$1"),
-                                                    prefix.replace("(//)?", ""), ""))
+        df = df.withColumn("path", _strip_root("path", root))
     return df
+
+
+def _strip_root(col: str, root: str):
+    """File URI or path -> path relative to ``root`` (scheme and any number of leading slashes ignored)."""
+    no_scheme = F.regexp_replace(F.col(col), r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    no_slash = F.regexp_replace(no_scheme, r"^/+", "")
+    prefix = "^" + re.escape(root.strip("/")) + "/"
+    return F.regexp_replace(no_slash, prefix, "")

@@ -81,3 +81,22 @@ def test_ready_dirs_fx12(spark, tmp_path):
     got = stream.stream_ready(spark, f"{src}/*", "dir string, name string, ts timestamp",
                               ["model.pt", "config.json"], str(tmp_path / "out"), files_per_trigger=1)
     assert {r.dir: r.ready_ts for r in got.collect()} == batch
+
+
+def test_featurize_scatters_all_modalities(spark, tmp_path):
+    img_root, wav_root = tmp_path / "img", tmp_path / "wav"
+    img_root.mkdir()
+    wav_root.mkdir()
+    _png(str(img_root / "a.png"), [[(255, 0, 0), (0, 255, 0)], [(0, 0, 255), (255, 255, 255)]])
+    _wav(str(wav_root / "s.wav"), 0.25)
+    rows = [(0, "image", "a.png", "text", "red green", "text", "blue"),
+            (1, "audio", "s.wav", "text", "a tone", None, None),
+            (2, "image", "missing.png", "text", "none", None, None)]
+    df = spark.createDataFrame(rows, "idx long, query_type string, query_value string, positive_type string, "
+                                     "positive_value string, negative_type string, negative_value string")
+    out = {(r.idx, r.role): r for r in feat.featurize(df, str(img_root), str(wav_root), image_size=4).collect()}
+    assert len(out) == 7
+    assert list(out[(0, "query")].tensor.shape) == [3, 4, 4]
+    assert list(out[(1, "query")].log_mel.shape) == [80, 3000]
+    assert out[(2, "query")].tensor is None  # missing media: NULL feature
+    assert len(out[(0, "positive")].input_ids) == 2 and len(out[(0, "negative")].input_ids) == 1
