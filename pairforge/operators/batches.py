@@ -7,7 +7,6 @@ use the key md5(concat_ws(':', seed + epoch, ...)) in place of a PRNG stream (sa
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 import pandas as pd

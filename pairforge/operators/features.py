@@ -9,7 +9,6 @@ bytes with ``binaryFile``.
 from __future__ import annotations
 
 import io
-import math
 import wave
 from collections.abc import Callable
 
@@ -302,9 +301,6 @@ def featurize_text(df: DataFrame, max_len: int = MAX_TEXT_TOKENS, idx_col: str =
               .select(idx_col, *[F.col(r).alias(f"{r}_n_tokens") for r in ROLES])
 
 
-_ = math
-
-
 def featurize(df: DataFrame, image_root: str | None = None, audio_root: str | None = None,
               max_len: int = MAX_TEXT_TOKENS, image_size: int = IMAGE_SIZE, idx_col: str = "idx") -> DataFrame:
     """Group items by modality across roles, process each group in bulk, scatter back to (record, role).

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pairforge.session import ship_package
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,4 +70,3 @@ def project(df: DataFrame, vec_col: str, weights: DataFrame, bias: float | Seque
 
 
 __all__ = ["mean_pool", "normalize", "truncate_all", "truncate_dims", "project"]
-_ = pd

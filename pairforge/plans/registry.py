@@ -10,13 +10,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.functions import vectors as vx
+from pairforge.functions.parse import parse_records
+from pairforge.operators import batches as bat
+from pairforge.operators import features as feat
+from pairforge.operators import media as media_ops
+from pairforge.operators import metrics as met
+from pairforge.operators import records as rec
+from pairforge.operators import shards as sh
+from pairforge.operators import summary as summ
+from pairforge.operators import vectors as vop
 from pairforge.operators.index import global_index
-from pairforge.operators.order import interleave, positional_split, ring_negatives
+from pairforge.operators.order import concat_sources, interleave, positional_split, prefer_source, ring_negatives
 from pairforge.plans import fixtures as fx
 from pairforge.plans import oracle_sql as osql
 from pairforge.plans.assemble import dataset_summary
 from pairforge.plans.manifests import training_manifest
+from pairforge.session import scratch_path
+from pairforge.sources.manifest import append_manifest, read_manifest, write_manifest
+from pairforge.sources.shards_io import read_shard_metadata, read_shards, write_shards
 from pairforge.sources.tables import caption_pairs, chat_caption_pairs, qqp_pairs, transcript_pairs
+from pairforge.streaming import jobs as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,11 +125,6 @@ def q_split(spark, sf):
 
 
 # ---------------------------------------------------------------- B1, A1, B0a: parse and JSONL round trips
-from pairforge.functions.parse import parse_records  # noqa: E402
-from pairforge.operators import media as media_ops  # noqa: E402
-from pairforge.operators import records as rec  # noqa: E402
-from pairforge.session import scratch_path  # noqa: E402
-from pairforge.sources.manifest import read_manifest, write_manifest  # noqa: E402
 
 
 def manifest_lines(m: DataFrame) -> DataFrame:
@@ -244,9 +253,6 @@ def q_first_existing(spark, sf):
 
 
 # ---------------------------------------------------------------- E1, E2, E7 summaries
-from pairforge.operators import batches as bat  # noqa: E402
-from pairforge.operators import shards as sh  # noqa: E402
-from pairforge.operators import summary as summ  # noqa: E402
 
 _SUMMARY_COLS = ["modalities", "num_rows", "has_uniform_negatives", "num_negatives_present",
                  "num_negatives_missing", "skipped_rows"]
@@ -561,9 +567,6 @@ def q_no_dup(spark, sf):
 
 
 # ---------------------------------------------------------------- K2-K6, D5, D6, L1-L7: vectors and metrics
-from pairforge.functions import vectors as vx  # noqa: E402
-from pairforge.operators import metrics as met  # noqa: E402
-from pairforge.operators import vectors as vop  # noqa: E402
 
 
 def _r(c, name=None):
@@ -722,7 +725,6 @@ def q_project(spark, sf):
 
 
 # ---------------------------------------------------------------- J1, J2, J4, J6, J7, K1: feature jobs
-from pairforge.operators import features as feat  # noqa: E402
 
 _NWORDS = "len(list_filter(string_split_regex(coalesce({t}, ''), '\\s+'), lambda x: x <> ''))"
 
@@ -786,7 +788,6 @@ def q_encode(spark, sf):
 
 
 # ---------------------------------------------------------------- S1-S4 streaming twins (stream result = batch)
-from pairforge.streaming import jobs as stream  # noqa: E402
 
 
 def _manifest_files(spark, sf) -> str:
@@ -859,8 +860,6 @@ def q_stream_summary(spark, sf):
 
 
 # ---------------------------------------------------------------- A8 source precedence, B0c/A9 shard round trip
-from pairforge.operators.order import prefer_source  # noqa: E402
-from pairforge.sources.shards_io import read_shard_metadata, read_shards, write_shards  # noqa: E402
 
 
 @register("a8_prefer_source", """
@@ -895,8 +894,6 @@ def q_shard_meta(spark, sf):
 
 
 # ---------------------------------------------------------------- B0b, B7, C0c, E9 (shard path)
-from pairforge.operators.order import concat_sources  # noqa: E402
-from pairforge.sources.manifest import append_manifest  # noqa: E402
 
 
 @register("b0b_append_manifest", osql.with_manifest("""
