@@ -24,7 +24,7 @@ def mean_pool(df: DataFrame, tokens_col: str, out_col: str = "pooled", skip_firs
     toks = F.col(tokens_col)
     if skip_first:
         toks = F.when(F.size(toks) > 1, F.slice(toks, 2, F.size(toks) - 1)).otherwise(toks)
-    first = F.transform(as_double(F.element_at(toks, 1)), lambda x: x * 0.0)
+    first = F.transform(as_double(F.try_element_at(toks, F.lit(1))), lambda x: x * 0.0)
     total = F.aggregate(toks, first, lambda acc, t: F.zip_with(acc, as_double(t), lambda a, b: a + b))
     n = F.size(toks).cast("double")
     return df.withColumn(out_col, F.transform(total, lambda x: x / n))

@@ -51,7 +51,7 @@ def _first_caption(sentences_type: T.DataType) -> Column:
     if isinstance(sentences_type, T.StructType):
         return s.getField("raw")
     if isinstance(sentences_type, T.ArrayType):
-        first = F.element_at(s, 1)
+        first = F.try_element_at(s, F.lit(1))
         if isinstance(sentences_type.elementType, T.StructType):
             return first.getField("raw")
         return first.cast("string")
@@ -67,11 +67,14 @@ def caption_pairs(df: DataFrame, inventory: DataFrame | None = None, limit: int
     """
     limited = take_first(df, limit, [key])
     names = [c for c in ("filename", "filepath") if c in df.columns]
-    fname = F.coalesce(*[F.col(c) for c in names]) if names else F.lit(None).cast("string")
+    # ``filename or filepath`` with Python truthiness: an empty filename falls back to the filepath
+    fname = F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in names]) if names else F.lit(None).cast("string")
     if image_root:
-        path = F.when(fname.isNotNull() & (fname != ""), F.concat(F.lit(image_root.rstrip("/") + "/"), fname))
+        # os.path.join semantics: an absolute name ignores the root; one separator is added when missing
+        base = image_root if image_root.endswith("/") else image_root + "/"
+        path = F.when(fname.startswith("/"), fname).otherwise(F.concat(F.lit(base), fname))
     else:
-        path = F.when(fname != "", fname)
+        path = fname
     caption = F.coalesce(_first_caption(df.schema["sentences"].dataType), F.lit(""))
     rows = limited.select(F.col(key).alias("_k"), path.alias("_path"), caption.alias("_caption"))
     rows = rows.where((F.col("_caption") != "") & F.col("_path").isNotNull())
@@ -101,7 +104,7 @@ def chat_caption_pairs(df: DataFrame, inventory: DataFrame | None = None, limit:
         caption = F.col("caption")
     else:
         turns = F.filter("conversations", lambda t: (t.getField("from") == "gpt") & (t.getField("value") != ""))
-        caption = F.element_at(turns, 1).getField("value")
+        caption = F.try_element_at(turns, F.lit(1)).getField("value")
     if "candidates" in df.columns:
         cands = F.col("candidates")
     else:
@@ -112,7 +115,7 @@ def chat_caption_pairs(df: DataFrame, inventory: DataFrame | None = None, limit:
         from pairforge.operators.media import first_existing
         rows = first_existing(rows, "_cands", inventory, key="_k", out_col="_path")
     else:
-        rows = rows.withColumn("_path", F.element_at(F.filter("_cands", lambda c: c.isNotNull() & (c != "")), 1))
+        rows = rows.withColumn("_path", F.try_element_at(F.filter("_cands", lambda c: c.isNotNull() & (c != "")), F.lit(1)))
     rows = rows.where(F.col("_path").isNotNull())
     rows = take_first(rows, limit, ["_k"])
     return rows.select(*_record(F.col("_k"), "image", F.col("_path"), F.col("_caption"), F.lit(source)))

@@ -120,3 +120,26 @@ def test_step_budget_zero_steps_fails(spark):
         sh.step_budget(counts, batch_size=12, world_size=1).collect()
     row = sh.step_budget(counts, batch_size=12, drop_last=False, epochs=2.5, warmup_ratio=0.1).collect()[0]
     assert (row.micro_steps_per_epoch, row.optimizer_steps_per_epoch, row.max_steps, row.warmup_steps) == (1, 1, 3, 1)
+
+
+def test_caption_sources_shapes(spark):
+    from pairforge.sources.tables import caption_pairs, chat_caption_pairs
+    structs = spark.createDataFrame(
+        [(0, "a.jpg", None, {"raw": "cap a"}), (1, "", "b.jpg", {"raw": "cap b"}), (2, "c.jpg", None, {"raw": ""}),
+         (3, "/abs/d.jpg", None, {"raw": "cap d"})],
+        "k long, filename string, filepath string, sentences struct<raw: string>")
+    got = {r.k: (r.query_value, r.positive_value) for r in caption_pairs(structs, image_root="/img").collect()}
+    assert got == {0: ("/img/a.jpg", "cap a"), 1: ("/img/b.jpg", "cap b"), 3: ("/abs/d.jpg", "cap d")}
+    arrays = spark.createDataFrame([(0, "a.jpg", [{"raw": "first"}, {"raw": "second"}]), (1, "b.jpg", [])],
+                                   "k long, filename string, sentences array<struct<raw: string>>")
+    assert [(r.k, r.positive_value) for r in caption_pairs(arrays).collect()] == [(0, "first")]
+    strings = spark.createDataFrame([(0, "a.jpg", ["s0", "s1"])], "k long, filename string, sentences array<string>")
+    assert caption_pairs(strings).collect()[0].positive_value == "s0"
+    # limit before the filter: the first two rows are taken, one of them has no caption
+    assert caption_pairs(structs, limit=3).count() == 2
+    chats = spark.createDataFrame(
+        [(0, "x.jpg", [{"from": "human", "value": "q"}, {"from": "gpt", "value": ""}, {"from": "gpt", "value": "ans"}]),
+         (1, "", [{"from": "gpt", "value": "no image"}]), (2, "z.jpg", [{"from": "human", "value": "only"}])],
+        "k long, image string, conversations array<struct<from: string, value: string>>")
+    got = [(r.k, r.query_value, r.positive_value) for r in chat_caption_pairs(chats).collect()]
+    assert got == [(0, "x.jpg", "ans")]
