@@ -121,18 +121,27 @@ def chat_caption_pairs(df: DataFrame, inventory: DataFrame | None = None, limit:
     return rows.select(*_record(F.col("_k"), "image", F.col("_path"), F.col("_caption"), F.lit(source)))
 
 
-def transcript_pairs(df: DataFrame, name: str, limit: int = 0, key: str = "k", text_col: str | None = None,
-                     prefix: str | None = None, source_col: str | None = None) -> DataFrame:
-    """A5: transcribed audio. Limit *before* the empty-text filter; file ``{prefix}_{idx:06d}.wav`` where idx
-    counts rows before the filter (0-based, in key order).
+def transcript_pairs(df: DataFrame | list[DataFrame], name: str, limit: int = 0, key: str = "k",
+                     text_col: str | None = None, prefix: str | None = None, source_col: str | None = None) -> DataFrame:
+    """A5: transcribed audio. Splits (a list of DataFrames) are concatenated in order; limit *before* the
+    empty-text filter; file ``{prefix}_{idx:06d}.wav`` where idx counts rows before the filter (0-based, in
+    (split, key) order).
 
     With ``source_col`` one call handles many sources at once: idx restarts per source and the prefix is
     the source value (``name`` is then unused for paths).
     """
     cfg = TRANSCRIPT_CONFIGS.get(name, {})
     text_col = text_col or cfg.get("text_column", "text")
+    if isinstance(df, list):
+        parts = [d.withColumn("_split", F.lit(i)) for i, d in enumerate(df)]
+        df = parts[0]
+        for p in parts[1:]:
+            df = df.unionByName(p, allowMissingColumns=True)
+        order = ["_split", key]
+    else:
+        order = [key]
     group = [source_col] if source_col else []
-    ix = group_index(df, group, [key], pos_col="_idx", size_col=None)
+    ix = group_index(df, group, order, pos_col="_idx", size_col=None)
     if limit and limit > 0:
         ix = ix.where(F.col("_idx") < limit)
     pfx = F.col(source_col) if source_col else F.lit(prefix or cfg.get("prefix", name))

@@ -143,3 +143,40 @@ def test_caption_sources_shapes(spark):
         "k long, image string, conversations array<struct<from: string, value: string>>")
     got = [(r.k, r.query_value, r.positive_value) for r in chat_caption_pairs(chats).collect()]
     assert got == [(0, "x.jpg", "ans")]
+
+
+def test_transcript_splits_concatenate(spark):
+    from pairforge.sources.tables import transcript_pairs
+    a = spark.createDataFrame([(0, "x"), (1, "")], "k long, text string")
+    b = spark.createDataFrame([(0, "y"), (5, "z")], "k long, text string")
+    got = [(r.query_value, r.positive_value) for r in transcript_pairs([a, b], "librispeech_clean").collect()]
+    assert sorted(got) == [("librispeech_000000.wav", "x"), ("librispeech_000002.wav", "y"),
+                           ("librispeech_000003.wav", "z")]
+    limited = sorted(r.query_value for r in transcript_pairs([a, b], "librispeech_clean", limit=3).collect())
+    assert limited == ["librispeech_000000.wav", "librispeech_000002.wav"]  # limit before the empty-text filter
+
+
+def test_resolve_shard_sizes_fallback(spark, manifest):
+    m, rows = manifest
+    shards = sh.assign_shards(m, 64)
+    n = len(rows)
+    good = spark.createDataFrame([(n, -(-n // 64), 64)], "num_records long, num_shards long, shard_size long")
+    bad = spark.createDataFrame([(n, 99, 64)], "num_records long, num_shards long, shard_size long")
+    counted = sorted(tuple(r) for r in sh.shard_counts(shards).collect())
+    assert sorted(tuple(r) for r in sh.resolve_shard_sizes(good, shards).collect()) == counted
+    assert sorted(tuple(r) for r in sh.resolve_shard_sizes(bad, shards).collect()) == counted
+    assert sh.resolve_shard_sizes(None, shards).count() == len(counted)
+
+
+def test_pluggable_tokenizer_and_encoder(spark, manifest):
+    import numpy as np
+    from pairforge.operators import features as feat
+    m, rows = manifest
+    toks = feat.tokenize_with(m.select("idx", "query_value"), "query_value",
+                              lambda texts: [[len(w) for w in t.split()] for t in texts], max_len=3)
+    got = {r.idx: list(r.input_ids) for r in toks.collect()}
+    assert got == {r.idx: [len(w) for w in r.query_value.split()][:3] for r in rows}
+    emb = feat.encode_items(m, encoders={"image": lambda vals: np.ones((len(vals), 4))}, dim=8)
+    norms = {(r.idx, r.role, r.modality): float(np.linalg.norm(r.embedding)) for r in emb.collect()}
+    assert all(abs(v - 1.0) < 1e-9 for k, v in norms.items() if k[2] == "image")
+    assert not any(k[2] == "audio" for k in norms)  # no audio encoder given: audio items are not encoded
