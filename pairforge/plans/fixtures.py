@@ -22,13 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fx_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX1: duplicate-question shape (k, question1, question2, label) from documents joined with labels."""
+    """FX1: duplicate-question shape (k, question1, question2, label) from documents joined with labels:
+    question1 = the document's first line, question2 = the whole document."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return (d.join(lab, "doc_id")
              .select(F.col("doc_id").alias("k"),
                      F.split_part(F.col("text"), F.lit(NL), F.lit(1)).alias("question1"),
-                     F.substring("text", 1, 200).alias("question2"),
+                     F.col("text").alias("question2"),
                      F.col("quality").alias("label")))
 
 
@@ -54,11 +55,9 @@ def fx_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX4: transcribed-audio shape (k, source, text = first line) from documents of the audio sources."""
+    """FX4: transcribed-audio shape (k, source, text = the whole document) from documents of the audio sources."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return (d.where(F.col("source").isin(*AUDIO_SOURCES))
-             .select(F.col("doc_id").alias("k"), "source",
-                     F.split_part(F.col("text"), F.lit(NL), F.lit(1)).alias("text")))
+    return d.where(F.col("source").isin(*AUDIO_SOURCES)).select(F.col("doc_id").alias("k"), "source", "text")
 
 
 def fx_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ in association order.
 from __future__ import annotations
 
 FX_TEXT = """fx_text AS (
-  SELECT d.doc_id AS k, split_part(d.text, chr(10), 1) AS question1, substring(d.text, 1, 200) AS question2,
+  SELECT d.doc_id AS k, split_part(d.text, chr(10), 1) AS question1, d.text AS question2,
          l.quality AS label
   FROM documents d JOIN labels l USING (doc_id))"""
 
@@ -30,7 +30,7 @@ CHAT_SRC = """chat_src AS (
 AUDIO_SRC = """audio_src AS (
   SELECT k, 'audio' AS query_type, printf('%s_%06d.wav', source, idx) AS query_value, 'text' AS positive_type,
          text AS positive_value, source
-  FROM (SELECT doc_id AS k, source, split_part(text, chr(10), 1) AS text,
+  FROM (SELECT doc_id AS k, source, text,
                row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx
         FROM documents WHERE source IN ('src0', 'src1', 'src2'))
   WHERE text <> '')"""

@@ -94,13 +94,12 @@ def q_global_index(spark, sf):
 
 @register("c1_ring_negatives", """
 SELECT doc_id, source,
-       CASE WHEN count(*) OVER w > 1 THEN coalesce(lead(first_line) OVER wo, first_value(first_line) OVER wo) END
-         AS negative_value
-FROM (SELECT doc_id, source, split_part(text, chr(10), 1) AS first_line FROM documents)
+       CASE WHEN count(*) OVER w > 1 THEN coalesce(lead(text) OVER wo, first_value(text) OVER wo) END AS negative_value
+FROM documents
 WINDOW w AS (PARTITION BY source), wo AS (PARTITION BY source ORDER BY doc_id)""")
 def q_ring(spark, sf):
-    d = _docs(spark, sf).select("doc_id", "source", F.split_part("text", F.lit("\n"), F.lit(1)).alias("first_line"))
-    return ring_negatives(d, ["source"], ["doc_id"], value_col="first_line", type_col=None).drop("first_line")
+    d = _docs(spark, sf).select("doc_id", "source", "text")
+    return ring_negatives(d, ["source"], ["doc_id"], value_col="text", type_col=None).drop("text")
 
 
 @register("c2_interleave", """
@@ -730,18 +729,18 @@ _NWORDS = "len(list_filter(string_split_regex(coalesce({t}, ''), '\\s+'), lambda
 
 
 @register("j1_tokenize", f"""
-SELECT doc_id, CAST(least({_NWORDS.format(t='text')}, 256) AS INTEGER) AS n_tokens,
-       {_NWORDS.format(t='text')} > 256 AS truncated FROM documents""")
+SELECT doc_id, CAST(least({_NWORDS.format(t='text')}, 32768) AS INTEGER) AS n_tokens,
+       {_NWORDS.format(t='text')} > 32768 AS truncated FROM documents""")
 def q_tokenize(spark, sf):
-    return feat.tokenize(_docs(spark, sf).select("doc_id", "text"), "text", 256).select("doc_id", "n_tokens", "truncated")
+    return feat.tokenize(_docs(spark, sf).select("doc_id", "text"), "text", feat.MAX_TEXT_TOKENS).select("doc_id", "n_tokens", "truncated")
 
 
 @register("j2_pad_tokens", f"""
 SELECT doc_id, batch_id, padded_len, CAST(padded_len - n_tokens AS INTEGER) AS n_pad FROM (
   SELECT doc_id, doc_id // 32 AS batch_id, n_tokens, max(n_tokens) OVER (PARTITION BY doc_id // 32) AS padded_len
-  FROM (SELECT doc_id, CAST(least({_NWORDS.format(t='text')}, 256) AS INTEGER) AS n_tokens FROM documents))""")
+  FROM (SELECT doc_id, CAST(least({_NWORDS.format(t='text')}, 32768) AS INTEGER) AS n_tokens FROM documents))""")
 def q_pad(spark, sf):
-    t = feat.tokenize(_docs(spark, sf).select("doc_id", "text"), "text", 256)
+    t = feat.tokenize(_docs(spark, sf).select("doc_id", "text"), "text", feat.MAX_TEXT_TOKENS)
     t = t.withColumn("batch_id", F.floor(F.col("doc_id") / 32))
     p = feat.pad_tokens(t)
     return p.select("doc_id", "batch_id", "padded_len",
@@ -773,10 +772,10 @@ SELECT idx,
   max(CASE WHEN role = 'query' THEN n END) AS query_n_tokens,
   max(CASE WHEN role = 'positive' THEN n END) AS positive_n_tokens,
   max(CASE WHEN role = 'negative' THEN n END) AS negative_n_tokens
-FROM (SELECT idx, role, CAST(least({_NWORDS.format(t='value')}, 256) AS INTEGER) AS n FROM items WHERE modality = 'text')
+FROM (SELECT idx, role, CAST(least({_NWORDS.format(t='value')}, 32768) AS INTEGER) AS n FROM items WHERE modality = 'text')
 GROUP BY idx""")
 def q_featurize(spark, sf):
-    return feat.featurize_text(training_manifest(spark, sf).df, 256)
+    return feat.featurize_text(training_manifest(spark, sf).df, feat.MAX_TEXT_TOKENS)
 
 
 @register("k1_encode_items", osql.with_manifest_and(osql.ITEMS) + f"""
