@@ -15,7 +15,7 @@ from pairforge.operators.index import global_index, group_index, group_index_sta
 
 
 def ring_join(df: DataFrame, gidx_col: str, start_col: str, pos_col: str, size_col: str,
-              value_col: str = "positive_value", type_col: str = "positive_type",
+              value_col: str | None = "positive_value", type_col: str = "positive_type",
               out_value: str = "negative_value", out_type: str = "negative_type") -> DataFrame:
     """D3: row i of a group takes the value of row (i+1) mod n; none when n <= 1.
 
@@ -24,9 +24,10 @@ def ring_join(df: DataFrame, gidx_col: str, start_col: str, pos_col: str, size_c
     """
     n, pos = F.col(size_col), F.col(pos_col)
     cols = [F.col(type_col).alias(out_type)] if type_col else []
+    if value_col:
+        cols.append(F.col(value_col).alias(out_value))
     donors = (df.where(n > 1)
-                .select((F.col(start_col) + (pos - 1 + n) % n).alias("_pf_target"),
-                        *cols, F.col(value_col).alias(out_value)))
+                .select((F.col(start_col) + (pos - 1 + n) % n).alias("_pf_target"), *cols))
     return df.join(donors, df[gidx_col] == donors["_pf_target"], "left").drop("_pf_target")
 
 

@@ -33,16 +33,21 @@ class Manifest(NamedTuple):
 
 
 def assemble(groups: Sequence[tuple[str, Sequence[DataFrame]]], val_fraction: float | None = 0.1,
-             ring: bool = True) -> Manifest:
+             ring: bool = True, values: bool = True) -> Manifest:
     """Build the interleaved manifest from ``[(group_name, [source_df, ...]), ...]`` in order.
 
     Each source is a record table (``RECORD_COLUMNS``) ordered by ``k``; sources of a group are concatenated
     in the given order (e.g. captions then chat for images); ring negatives are per source.
+
+    ``values=False`` builds the positional skeleton only (keys, types, negatives' presence, split): the value
+    columns are NULL and never enter the P1 checkpoint, which Catalyst cannot prune through. Plans that need
+    only positions and modalities (shards, ranks, batch plans, summaries) use it.
     """
+    keep = RECORD_COLUMNS if values else [c for c in RECORD_COLUMNS if not c.endswith("_value")]
     parts = []
     for g, (_, sources) in enumerate(groups):
         for s, src in enumerate(sources):
-            parts.append(src.select(*RECORD_COLUMNS).withColumn("_g", F.lit(g)).withColumn("_s", F.lit(s)))
+            parts.append(src.select(*keep).withColumn("_g", F.lit(g)).withColumn("_s", F.lit(s)))
     if not parts:
         raise ValueError("no sources")
     union = reduce(lambda a, b: a.unionByName(b), parts)
@@ -50,7 +55,7 @@ def assemble(groups: Sequence[tuple[str, Sequence[DataFrame]]], val_fraction: fl
                                   gidx_col="_gidx", start_col="_start")
     src_sizes = {(int(r["_g"]), int(r["_s"])): int(r["size"]) for r in stats.collect()}
     if ring:
-        ix = ring_join(ix, "_gidx", "_start", "_pos", "_n")
+        ix = ring_join(ix, "_gidx", "_start", "_pos", "_n", "positive_value" if values else None)
     else:
         ix = ix.withColumn("negative_type", F.lit(None).cast("string")).withColumn(
             "negative_value", F.lit(None).cast("string"))
@@ -72,6 +77,9 @@ def assemble(groups: Sequence[tuple[str, Sequence[DataFrame]]], val_fraction: fl
     for g, (name, _) in enumerate(groups):
         names = F.when(F.col("_g") == g, F.lit(name)).otherwise(names)
     out = ix.withColumn("idx", interleave_index(gpos, F.col("_g"), group_sizes)).withColumn("group_name", names)
+    for c in ("query_value", "positive_value", "negative_value"):
+        if c not in out.columns:
+            out = out.withColumn(c, F.lit(None).cast("string"))
     k = total if val_fraction is None else split_point(total, val_fraction)
     out = out.withColumn("split", F.when(F.col("idx") < k, F.lit("train")).otherwise(F.lit("val")))
     return Manifest(out.select(*MANIFEST_COLUMNS), total, k,

@@ -21,5 +21,6 @@ def source_groups(spark: SparkSession, sf_dir: str, inventory: DataFrame | None
 
 
 def training_manifest(spark: SparkSession, sf_dir: str, val_fraction: float | None = 0.1,
-                      inventory: DataFrame | None = None) -> Manifest:
-    return assemble(source_groups(spark, sf_dir, inventory), val_fraction)
+                      inventory: DataFrame | None = None, values: bool = True) -> Manifest:
+    """The interleaved manifest; ``values=False`` gives the positional skeleton (no value columns checkpointed)."""
+    return assemble(source_groups(spark, sf_dir, inventory), val_fraction, values=values)

@@ -61,7 +61,7 @@ SELECT CASE WHEN grouping(split) = 0 THEN 'split' WHEN grouping(source) = 0 THEN
          AS dimension, split, group_name, source, count(*) AS n
 FROM manifest GROUP BY GROUPING SETS ((split), (group_name), (group_name, source))"""))
 def q_dataset_summary(spark, sf):
-    return dataset_summary(training_manifest(spark, sf).df)
+    return dataset_summary(training_manifest(spark, sf, values=False).df)
 
 
 # ---------------------------------------------------------------- A2-A5 sources
@@ -211,7 +211,7 @@ SELECT idx, source FROM manifest
 WHERE query_type IN ('image') AND query_type IN ('text', 'image') AND positive_type IN ('text', 'image')
   AND (negative_type IS NULL OR negative_type IN ('text', 'image'))"""))
 def q_filter_modalities(spark, sf):
-    m = training_manifest(spark, sf).df
+    m = training_manifest(spark, sf, values=False).df
     return rec.filter_modalities(m, allowed=["text", "image"], query=["image"]).select("idx", "source")
 
 
@@ -294,7 +294,7 @@ SELECT (SELECT array_to_string(list_sort(list_distinct(list(m))), ',')
        count(*) FILTER (WHERE NOT ok) AS skipped_rows
 FROM capped""")
 def q_summarize_capped(spark, sf):
-    m = training_manifest(spark, sf).df
+    m = training_manifest(spark, sf, values=False).df
     return _joined_mods(summ.summarize_manifest(m, query=["image"], max_records=200))
 
 
@@ -310,13 +310,13 @@ SELECT count(*) AS num_rows,
         OR count(*) FILTER (WHERE idx < 256 AND negative_type IS NULL) = 0) AS has_uniform_negatives
 FROM manifest"""))
 def q_summarize_sample(spark, sf):
-    return _joined_mods(summ.summarize_sample(training_manifest(spark, sf).df, 256))
+    return _joined_mods(summ.summarize_sample(training_manifest(spark, sf, values=False).df, 256))
 
 
 @register("e7_unsupported_modalities", osql.with_manifest_and(osql.ITEMS) + """
 SELECT modality, count(*) AS n_items FROM items WHERE modality NOT IN ('text', 'image') GROUP BY modality""")
 def q_unsupported(spark, sf):
-    return summ.unsupported_modalities(training_manifest(spark, sf).df, ["text", "image"])
+    return summ.unsupported_modalities(training_manifest(spark, sf, values=False).df, ["text", "image"])
 
 
 # ---------------------------------------------------------------- F1-F7, E4-E6, E8, E9, D4: shards and ranks
@@ -327,7 +327,7 @@ SHARDS = """shards AS (
 
 
 def _shards(spark, sf, size=64):
-    return sh.assign_shards(training_manifest(spark, sf).df, size)
+    return sh.assign_shards(training_manifest(spark, sf, values=False).df, size)
 
 
 @register("f1_assign_shards", osql.with_manifest_and(SHARDS) + "SELECT idx, shard_id, shard_pos, shard_name FROM shards")
@@ -347,7 +347,7 @@ SELECT CAST(s AS INTEGER) AS shard_id,
 FROM (SELECT count(*) AS n, CAST(ceil(count(*) / 64) AS BIGINT) AS ns FROM manifest),
      LATERAL (SELECT unnest(range(0, ns)) AS s)"""))
 def q_shard_sizes(spark, sf):
-    m = training_manifest(spark, sf).df
+    m = training_manifest(spark, sf, values=False).df
     meta = m.agg(F.count(F.lit(1)).alias("num_records")).select(
         "num_records", F.ceil(F.col("num_records") / 64).cast("int").alias("num_shards"), F.lit(64).alias("shard_size"))
     return sh.shard_sizes_from_metadata(meta)
@@ -363,7 +363,7 @@ offsets AS (
 
 
 def _source_offsets(spark, sf):
-    m = training_manifest(spark, sf).df
+    m = training_manifest(spark, sf, values=False).df
     sizes = m.groupBy("group_name", F.coalesce("source", F.lit("")).alias("src")).agg(F.count(F.lit(1)).alias("size"))
     sizes = global_index(sizes, ["group_name", "src"], "shard_id").df
     sizes = sizes.select(F.col("shard_id").cast("int").alias("shard_id"), "size")
@@ -391,7 +391,7 @@ WHERE shard_id NOT IN (
   SELECT e.shard_id FROM existing e, expected x
   WHERE e.num_records = CASE WHEN e.shard_id = x.ns - 1 THEN x.n - 64 * (x.ns - 1) ELSE 64 END)""")
 def q_resume(spark, sf):
-    man = training_manifest(spark, sf)
+    man = training_manifest(spark, sf, values=False)
     shards = sh.assign_shards(man.df, 64)
     existing = sh.shard_counts(shards.where(F.col("split") == "train"))
     return sh.resume_after(shards, existing, 64, man.num_rows).select("idx", "shard_id")
@@ -434,7 +434,7 @@ FROM (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS matched_index FROM man
       WHERE query_type IN ('text', 'image') AND positive_type IN ('text', 'image')
         AND (negative_type IS NULL OR negative_type IN ('text', 'image')))"""))
 def q_rank_rows(spark, sf):
-    rows = sh.rank_rows(training_manifest(spark, sf).df, world_size=3, num_workers=2, allowed=["text", "image"])
+    rows = sh.rank_rows(training_manifest(spark, sf, values=False).df, world_size=3, num_workers=2, allowed=["text", "image"])
     return rows.select("idx", "matched_index", "slot", "rank", "worker")
 
 
@@ -456,7 +456,7 @@ STRAT = """strat AS (
 
 @register("f7_stratified_order", osql.with_manifest_and(STRAT) + "SELECT idx, strat_idx FROM strat")
 def q_stratified(spark, sf):
-    return sh.stratified_order(training_manifest(spark, sf).df).select("idx", "strat_idx")
+    return sh.stratified_order(training_manifest(spark, sf, values=False).df).select("idx", "strat_idx")
 
 
 @register("e8_shard_modality_profile", osql.with_manifest_and(STRAT) + """
@@ -466,7 +466,7 @@ SELECT shard_id, count(*) AS num_records,
   count(*) FILTER (WHERE query_type = 'audio') AS n_audio, round(count(*) FILTER (WHERE query_type = 'audio') / count(*), 6) AS share_audio
 FROM (SELECT CAST(floor(strat_idx / 64) AS INTEGER) AS shard_id, query_type FROM strat) GROUP BY shard_id""")
 def q_profile(spark, sf):
-    strat = sh.stratified_order(training_manifest(spark, sf).df)
+    strat = sh.stratified_order(training_manifest(spark, sf, values=False).df)
     return sh.shard_modality_profile(sh.assign_shards(strat, 64, idx_col="strat_idx"))
 
 
@@ -478,7 +478,7 @@ FROM (SELECT *, CAST(greatest(1, ceil(CAST(10.0 AS DOUBLE) * opt)) AS BIGINT) AS
             FROM (SELECT group_name, count(*) AS num_rows, CAST(floor(count(*) / 24) AS BIGINT) AS micro
                   FROM manifest WHERE split = 'train' GROUP BY group_name)))"""))
 def q_step_budget(spark, sf):
-    m = training_manifest(spark, sf).df.where(F.col("split") == "train")
+    m = training_manifest(spark, sf, values=False).df.where(F.col("split") == "train")
     counts = m.groupBy("group_name").agg(F.count(F.lit(1)).alias("num_rows"))
     return sh.step_budget(counts, batch_size=12, world_size=2, grad_accum=8, epochs=10, warmup_ratio=0.1)
 
@@ -488,7 +488,7 @@ def q_step_budget(spark, sf):
 SELECT idx, CAST(floor(idx / 32) AS BIGINT) AS batch_id, CAST(idx % 32 AS INTEGER) AS pos_in_batch FROM manifest
 WHERE floor(idx / 32) < floor((SELECT count(*) FROM manifest) / 32)"""))
 def q_sequential(spark, sf):
-    return bat.sequential_batches(training_manifest(spark, sf).df, 32).select("idx", "batch_id", "pos_in_batch")
+    return bat.sequential_batches(training_manifest(spark, sf, values=False).df, 32).select("idx", "batch_id", "pos_in_batch")
 
 
 @register("h3_shuffled_batches", osql.with_manifest("""
@@ -497,7 +497,7 @@ FROM (SELECT idx, row_number() OVER (ORDER BY md5(concat_ws(':', '42', CAST(idx
       FROM manifest)
 WHERE floor(perm_pos / 32) < floor((SELECT count(*) FROM manifest) / 32)"""))
 def q_shuffled(spark, sf):
-    out = bat.shuffled_batches(training_manifest(spark, sf).df, 32, seed=42, epoch=0)
+    out = bat.shuffled_batches(training_manifest(spark, sf, values=False).df, 32, seed=42, epoch=0)
     return out.select("idx", "perm_pos", "batch_id", "pos_in_batch")
 
 
@@ -534,7 +534,7 @@ SELECT row_number() OVER (ORDER BY first_idx) - 1 AS slot, modality, first_idx
 FROM (SELECT query_type AS modality, min(idx) AS first_idx FROM manifest WHERE idx < 18 GROUP BY 1)
 QUALIFY row_number() OVER (ORDER BY first_idx) - 1 < 3"""))
 def q_pattern(spark, sf):
-    return bat.interleave_pattern(training_manifest(spark, sf).df)
+    return bat.interleave_pattern(training_manifest(spark, sf, values=False).df)
 
 
 @register("h5_modality_batches", osql.with_manifest("""
@@ -553,7 +553,7 @@ border AS (
   FROM (SELECT DISTINCT modality, batch_idx FROM kept))
 SELECT b.batch_order, k.modality, k.batch_idx, k.pos_in_batch, k.idx FROM kept k JOIN border b USING (modality, batch_idx)""").replace("\n\n,", ","))
 def q_modality_batches(spark, sf):
-    m = training_manifest(spark, sf).df
+    m = training_manifest(spark, sf, values=False).df
     return bat.modality_batches(m, ["text", "image", "audio"], 12, seed=42, epoch=0)
 
 
