@@ -180,3 +180,19 @@ def test_pluggable_tokenizer_and_encoder(spark, manifest):
     norms = {(r.idx, r.role, r.modality): float(np.linalg.norm(r.embedding)) for r in emb.collect()}
     assert all(abs(v - 1.0) < 1e-9 for k, v in norms.items() if k[2] == "image")
     assert not any(k[2] == "audio" for k in norms)  # no audio encoder given: audio items are not encoded
+
+
+def test_locate_uniform_and_missing_report(spark, manifest):
+    m, rows = manifest
+    pos = spark.createDataFrame([(0,), (63,), (64,), (len(rows) - 1,)], "position long")
+    got = {r.position: (r.shard_id, r.local_pos) for r in sh.locate_uniform(pos, 64, len(rows)).collect()}
+    assert got == {0: (0, 0), 63: (0, 63), 64: (1, 0), len(rows) - 1: ((len(rows) - 1) // 64, (len(rows) - 1) % 64)}
+    with pytest.raises(Exception, match="out of range"):
+        sh.locate_uniform(spark.createDataFrame([(len(rows),)], "position long"), 64, len(rows)).collect()
+    inv = spark.createDataFrame([(r.query_value,) for r in rows if r.query_type != "text"][::2], "path string")
+    head, total = media_ops.missing_media_report(m, inv)
+    media_items = [(r.idx, r.query_value) for r in rows if r.query_type != "text"]
+    kept = {p for (p,) in [(r.query_value,) for r in rows if r.query_type != "text"][::2]}
+    want = [(i, p) for i, p in media_items if p not in kept]
+    assert total == len(want)
+    assert [(r.idx, r.path) for r in head] == want[:20]
