@@ -230,9 +230,11 @@ def normalize_payload(df: DataFrame, payload_col: str) -> DataFrame:
     """Keep only non-null modality fields of a text/image/audio/video payload struct (as a map); if all are
     null keep the value as is; count images/videos per sample (null 0, list = its length, else 1)."""
     fields = [f.name for f in df.schema[payload_col].dataType.fields]
-    entries = F.map_from_entries(F.filter(
-        F.array(*[F.struct(F.lit(f).alias("k"), F.col(f"{payload_col}.{f}").cast("string").alias("v")) for f in fields]),
-        lambda e: e.getField("v").isNotNull()))
+    everything = F.array(*[F.struct(F.lit(f).alias("k"), F.col(f"{payload_col}.{f}").cast("string").alias("v"))
+                           for f in fields])
+    kept = F.filter(everything, lambda e: e.getField("v").isNotNull())
+    # all fields null: the payload is kept as it is (every key, NULL values)
+    entries = F.map_from_entries(F.when(F.size(kept) > 0, kept).otherwise(everything))
     out = df.withColumn(f"{payload_col}_fields", entries)
 
     def count(name):

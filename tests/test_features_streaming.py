@@ -100,3 +100,13 @@ def test_featurize_scatters_all_modalities(spark, tmp_path):
     assert list(out[(1, "query")].log_mel.shape) == [80, 3000]
     assert out[(2, "query")].tensor is None  # missing media: NULL feature
     assert len(out[(0, "positive")].input_ids) == 2 and len(out[(0, "negative")].input_ids) == 1
+
+
+def test_normalize_payload_counts_and_all_null(spark):
+    df = spark.createDataFrame([(1, ("t", None, None, None)), (2, (None, None, None, None)),
+                                (3, (None, "i.jpg", None, "v.mp4"))],
+                               "idx int, p struct<text: string, image: string, audio: string, video: string>")
+    got = {r.idx: (dict(r.p_fields), r.num_images, r.num_videos) for r in feat.normalize_payload(df, "p").collect()}
+    assert got[1] == ({"text": "t"}, 0, 0)
+    assert got[2] == ({"text": None, "image": None, "audio": None, "video": None}, 0, 0)
+    assert got[3] == ({"image": "i.jpg", "video": "v.mp4"}, 1, 1)
