@@ -937,3 +937,18 @@ FROM (SELECT *, CAST(ceil(CAST(10.0 AS DOUBLE) * updates) AS BIGINT) AS steps
 def q_shard_budget(spark, sf):
     plan = sh.rank_shards(_shards(spark, sf), world_size=3)
     return sh.shard_step_budget(plan, 64, 12, grad_accum=8, epochs=10, warmup_ratio=0.1)
+
+
+@register("s3_stream_ready_once", """
+SELECT CAST(user_id AS VARCHAR) AS dir,
+       greatest(min(ts) FILTER (WHERE event_type = 'purchase'), min(ts) FILTER (WHERE event_type = 'signup')) AS ready_ts
+FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY user_id
+HAVING count(*) FILTER (WHERE event_type = 'purchase') > 0 AND count(*) FILTER (WHERE event_type = 'signup') > 0""")
+def q_stream_ready_once(spark, sf):
+    path = scratch_path(spark, "s3once-in")
+    fx.table(spark, sf, "events").write.parquet(path)
+    out = stream.stream_ready_once(spark, path, "event_id long, ts timestamp, user_id long, event_type string, "
+                                   "value double, props string", ["purchase", "signup"],
+                                   scratch_path(spark, "s3once-out"), dir_col="user_id", name_col="event_type",
+                                   watermark="31 days")
+    return spark.read.parquet(out)

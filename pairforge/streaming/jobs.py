@@ -136,3 +136,58 @@ def stream_summary(spark: SparkSession, path: str, out: str, checkpoint: str | N
     out_df = res.where(F.col("batch_id") == last).drop("batch_id")
     return out_df.withColumn("has_uniform_negatives",
                              (F.col("num_negatives_present") > 0) & (F.col("num_negatives_missing") == 0))
+
+
+def stream_ready_once(spark: SparkSession, events_path: str, schema: str, required: Sequence[str], out: str,
+                      dir_col: str = "dir", name_col: str = "name", ts_col: str = "ts", watermark: str = "1 day",
+                      checkpoint: str | None = None, files_per_trigger: int | None = None) -> str:
+    """S3 as the watcher behaves: a directory fires exactly once, when every required file has arrived, with
+    ready_ts = the latest first-arrival time of the required names. Custom state per directory
+    (``applyInPandasWithState``): the first-arrival time of each required name and a fired flag. State is
+    dropped by an event-time timeout once the watermark passes ``watermark`` beyond the directory's last event,
+    so it stays bounded by the directories active within that delay. Output: parquet file sink (append)."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from pairforge.session import ship_package
+    ship_package(spark)
+    req = list(required)
+    delay_ms = int(pd.Timedelta(watermark).total_seconds() * 1000)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
+    ev = (reader.parquet(events_path)
+                .select(F.col(dir_col).cast("string").alias("dir"), F.col(name_col).alias("name"),
+                        F.col(ts_col).cast("timestamp").alias("ts"))
+                .where(F.col("name").isin(*req))
+                .withWatermark("ts", watermark))
+
+    def fire(key, batches, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        firsts, fired = (list(state.get[0]), bool(state.get[1])) if state.exists else ([None] * len(req), False)
+        last = None
+        for pdf in batches:
+            for name, ts in zip(pdf["name"], pdf["ts"]):
+                t = int(pd.Timestamp(ts).value // 1000)
+                i = req.index(name)
+                firsts[i] = t if firsts[i] is None else min(firsts[i], t)
+                last = t if last is None else max(last, t)
+        emitted = []
+        if not fired and all(f is not None for f in firsts):
+            emitted.append((key[0], pd.Timestamp(max(firsts), unit="us")))
+            fired = True
+        state.update((firsts, fired))
+        base = max(last // 1000 if last is not None else 0, state.getCurrentWatermarkMs())
+        state.setTimeoutTimestamp(base + delay_ms)
+        yield pd.DataFrame(emitted, columns=["dir", "ready_ts"])
+
+    fired = ev.groupBy("dir").applyInPandasWithState(
+        fire, "dir string, ready_ts timestamp", "firsts array<long>, fired boolean", "append",
+        GroupStateTimeout.EventTimeTimeout)
+    q = (fired.writeStream.format("parquet").option("path", out)
+              .option("checkpointLocation", checkpoint or scratch_path(spark, "s3once-ckpt"))
+              .outputMode("append").trigger(availableNow=True).start())
+    _run(q)
+    return out

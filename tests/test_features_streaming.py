@@ -110,3 +110,19 @@ def test_normalize_payload_counts_and_all_null(spark):
     assert got[1] == ({"text": "t"}, 0, 0)
     assert got[2] == ({"text": None, "image": None, "audio": None, "video": None}, 0, 0)
     assert got[3] == ({"image": "i.jpg", "video": "v.mp4"}, 1, 1)
+
+
+def test_ready_fires_once_with_bounded_state(spark, tmp_path):
+    rows = [("a", "model.pt", "2024-01-01 00:00:01"), ("b", "config.json", "2024-01-01 00:00:02"),
+            ("a", "config.json", "2024-01-01 00:00:03"), ("a", "config.json", "2024-01-01 00:00:04"),
+            ("c", "config.json", "2024-01-01 00:00:05"), ("c", "model.pt", "2024-01-01 00:00:06")]
+    src = str(tmp_path / "events")
+    for i, r in enumerate(rows):
+        spark.createDataFrame([r], "dir string, name string, ts string").withColumn(
+            "ts", F.to_timestamp("ts")).write.parquet(f"{src}/f{i}")
+    out = stream.stream_ready_once(spark, f"{src}/*", "dir string, name string, ts timestamp",
+                                   ["model.pt", "config.json"], str(tmp_path / "out"), files_per_trigger=1)
+    got = sorted((r.dir, str(r.ready_ts)) for r in spark.read.parquet(out).collect())
+    ev = spark.createDataFrame(rows, "dir string, name string, ts string").withColumn("ts", F.to_timestamp("ts"))
+    want = sorted((r.dir, str(r.ready_ts)) for r in stream.ready_dirs(ev, ["model.pt", "config.json"]).collect())
+    assert got == want == [("a", "2024-01-01 00:00:03"), ("c", "2024-01-01 00:00:06")]  # each fired exactly once
