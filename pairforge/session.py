@@ -92,7 +92,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def default_parallelism(spark: SparkSession) -> int:
-    try:
-        return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    except Exception:  # pragma: no cover - conf always present in practice
-        return max(1, os.cpu_count() or 1)
+    """Range partitions for P1 indexes: ``pairforge.index.partitions`` if set, else the shuffle partitions.
+
+    Size it like any shuffle: input bytes / target partition bytes (e.g. 100 TB at ~2 GB -> ~50,000); the driver
+    receives one count per partition.
+    """
+    for key in ("pairforge.index.partitions", "spark.sql.shuffle.partitions"):
+        try:
+            v = spark.conf.get(key, None)
+        except Exception:  # pragma: no cover - unknown key on some deployments
+            v = None
+        if v:
+            return max(1, int(v))
+    return max(1, os.cpu_count() or 1)

@@ -81,3 +81,14 @@ def test_positional_split_partitions_rows(spark):
     counts = {r["split"]: r["count"] for r in s}
     assert counts["train"] == split_point(ix.total, 0.25)
     assert counts["train"] + counts.get("val", 0) == ix.total
+
+
+def test_index_partitions_setting(spark):
+    d = docs(spark)
+    spark.conf.set("pairforge.index.partitions", "3")
+    try:
+        ix = global_index(d, ["doc_id"])
+        assert ix.df.rdd.getNumPartitions() == 3
+        assert sorted(r.idx for r in ix.df.collect()) == list(range(d.count()))
+    finally:
+        spark.conf.unset("pairforge.index.partitions")
