@@ -952,3 +952,23 @@ def q_stream_ready_once(spark, sf):
                                    scratch_path(spark, "s3once-out"), dir_col="user_id", name_col="event_type",
                                    watermark="31 days")
     return spark.read.parquet(out)
+
+
+@register("b2_parse_items", """
+SELECT conv_id, turn,
+       CASE WHEN err IS NULL THEN 'text' END AS query_type, CASE WHEN err IS NULL THEN text END AS query_value,
+       CASE WHEN err IS NULL THEN 'text' END AS positive_type,
+       CASE WHEN err IS NULL THEN CAST(turn AS VARCHAR) END AS positive_value, err AS error
+FROM (SELECT conv_id, turn, text,
+             CASE WHEN role = 'system' THEN 'Unsupported modality ''system'' in query'
+                  WHEN turn = 0 THEN 'positive must include type/value' END AS err
+      FROM conversations)""")
+def q_parse_items(spark, sf):
+    """B2 on lines derived from every conversation turn: query = {type: role mapped to text, or the unsupported
+    'system'; value: the turn text}, positive = {type: text, value: the turn number} (0 is falsy)."""
+    t = fx.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    qtype = F.when(F.col("role") == "system", F.lit("system")).otherwise(F.lit("text"))
+    line = F.to_json(F.struct(F.struct(qtype.alias("type"), F.col("text").alias("value")).alias("query"),
+                              F.struct(F.lit("text").alias("type"), F.col("turn").alias("value")).alias("positive")))
+    parsed = parse_records(t.select("conv_id", "turn", line.alias("line")), "line", keep=("conv_id", "turn"))
+    return parsed.select("conv_id", "turn", "query_type", "query_value", "positive_type", "positive_value", "error")
