@@ -49,3 +49,15 @@ def test_manifest_plan_has_no_single_partition_exchange(spark):
     m = training_manifest(spark, SF0001).df
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+ROW_SCALE = ["t1_manifest", "c2_interleave", "h3_shuffled_batches", "h5_modality_batches", "f7_stratified_order",
+             "d1_missing_media", "b1_parse_records", "d4_locate", "e6_shard_offsets", "d6_retrieval_topk"]
+
+
+@pytest.mark.parametrize("name", ROW_SCALE)
+def test_row_scale_plans_have_no_single_partition_exchange(spark, name):
+    df = entry.queries()[name](spark, SF0001)
+    df.count()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan, name
