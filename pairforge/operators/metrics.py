@@ -27,6 +27,7 @@ GATE_MIN_TOP1 = 0.85
 GATE_MAX_LOSS = 0.45
 IR_KS = (1, 3, 5, 10)
 IR_MAX_ROWS = 2048
+MATRYOSHKA_DIMS = (1024, 768, 512, 256, 128, 64)
 # Retrieval scores are compared at 1e-9 resolution, so duplicate documents tie (then doc id decides) whatever
 # the summation order of the engine.
 SCORE_DECIMALS = 9
@@ -115,8 +116,10 @@ def mnrl_with_negatives(triples: DataFrame, scale: float = DEFAULT_SCALE, group_
         F.count(F.lit(1)).alias("n"), F.avg(F.col("row_lse") - F.col("diag")).alias("loss"), F.avg("hit").alias("top1"))
 
 
-def matryoshka_loss(triples: DataFrame, dims: Sequence[int], scale: float = DEFAULT_SCALE) -> DataFrame:
-    """Per batch, sum over dims (weight 1 each) of L4 on vectors truncated to the first d dimensions."""
+def matryoshka_loss(triples: DataFrame, dims: Sequence[int] = MATRYOSHKA_DIMS,
+                    scale: float = DEFAULT_SCALE) -> DataFrame:
+    """Per batch, sum over dims (weight 1 each) of L4 on vectors truncated to the first d dimensions
+    (a dim at or above the vector length uses the whole vector)."""
     staged = triples.withColumn("dim", F.explode(F.array(*[F.lit(int(d)) for d in dims])))
     staged = staged.withColumn("q", F.slice("q", 1, F.col("dim"))).withColumn("p", F.slice("p", 1, F.col("dim"))) \
                    .withColumn("n", F.slice("n", 1, F.col("dim")))
