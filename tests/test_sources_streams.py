@@ -62,3 +62,17 @@ def test_streams_equal_batch(spark, tmp_path):
     for c in ("num_rows", "num_negatives_present", "num_negatives_missing", "skipped_rows", "has_uniform_negatives"):
         assert s4[c] == e1[c], c
     assert list(s4.modalities) == list(e1.modalities)
+
+
+def test_stream_append_resumes_from_checkpoint(spark, tmp_path):
+    m = training_manifest(spark, SF0001).df
+    src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    write_manifest(m.where("group_name = 'text'"), str(src / "p0"))
+    stream.stream_append(spark, str(src / "*"), out, checkpoint=ckpt)
+    first = spark.read.parquet(out).count()
+    write_manifest(m.where("group_name <> 'text'"), str(src / "p1"))
+    stream.stream_append(spark, str(src / "*"), out, checkpoint=ckpt)  # restart: only the new files
+    res = spark.read.parquet(out)
+    assert first == m.where("group_name = 'text'").count()
+    assert _rows(res.drop("batch_id")) == _rows(m)
+    assert res.select("batch_id").distinct().count() >= 2
