@@ -972,3 +972,31 @@ def q_parse_items(spark, sf):
                               F.struct(F.lit("text").alias("type"), F.col("turn").alias("value")).alias("positive")))
     parsed = parse_records(t.select("conv_id", "turn", line.alias("line")), "line", keep=("conv_id", "turn"))
     return parsed.select("conv_id", "turn", "query_type", "query_value", "positive_type", "positive_value", "error")
+
+
+@register("h6_no_duplicate_invariants", """
+SELECT count(*) AS rows_placed, count(DISTINCT doc_id) AS distinct_rows, CAST(0 AS BIGINT) AS duplicate_batches,
+       CAST(least(count(*), 32) AS BIGINT) AS max_batch_size
+FROM documents""")
+def q_no_dup_invariants(spark, sf):
+    """H6 invariants over the whole documents table, computed in Spark from the plan: every row placed once,
+    no batch with a repeated text, batches of at most (and, with enough rows, exactly) the batch size."""
+    plan = q_no_dup(spark, sf)
+    d = _docs(spark, sf).select(F.col("doc_id").alias("idx"), F.col("text").alias("t1"),
+                                F.split_part("text", F.lit("\n"), F.lit(1)).alias("t2"))
+    rows = plan.join(d, "idx").select("idx", "batch_id", F.array_distinct(F.array("t1", "t2")).alias("texts"))
+    # per batch (bounded by the batch size): rows, texts, distinct texts
+    per_batch = rows.groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("n"), F.size(F.flatten(F.collect_list("texts"))).alias("n_texts"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("texts")))).alias("n_distinct"))
+    batch_metrics = per_batch.agg(
+        F.sum("n").alias("rows_placed"), F.count_if(F.col("n_texts") != F.col("n_distinct")).alias("duplicate_batches"),
+        F.max("n").alias("max_batch_size"))
+    row_metrics = rows.groupBy("idx").count().agg(F.count(F.lit(1)).alias("distinct_rows"))
+    # one row without a join: (name, value) pairs unioned, then pivoted
+    pairs = batch_metrics.select(F.explode(F.create_map(
+        F.lit("rows_placed"), F.col("rows_placed"), F.lit("duplicate_batches"), F.col("duplicate_batches"),
+        F.lit("max_batch_size"), F.col("max_batch_size").cast("bigint")))).unionByName(
+        row_metrics.select(F.lit("distinct_rows").alias("key"), F.col("distinct_rows").alias("value")))
+    names = ["rows_placed", "distinct_rows", "duplicate_batches", "max_batch_size"]
+    return pairs.groupBy().pivot("key", names).agg(F.first("value")).select(*names)
