@@ -106,7 +106,7 @@ def group_index_stats(df: DataFrame, group_cols: Sequence[str], order: Sequence[
         stats = spark.createDataFrame(rows, stats.schema)
     public = stats.select(*group_cols, F.col("_pf_st0").alias("start"), F.col("_pf_sz0").alias("size"))
     stats = stats.select(*[F.col(c).alias(f"_pf_g_{c}") for c in group_cols], "_pf_st0", "_pf_sz0")
-    cond = [g[c].eqNullSafe(stats[f"_pf_g_{c}"]) for c in group_cols] or [F.lit(True)]
+    cond = [g[c].eqNullSafe(stats[f"_pf_g_{c}"]) for c in group_cols]
     out = g.join(F.broadcast(stats) if small else stats, cond, "inner").drop(*[f"_pf_g_{c}" for c in group_cols])
     out = out.withColumn(pos_col, F.col(gidx) - F.col("_pf_st0"))
     if size_col:
