@@ -24,7 +24,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.session import default_parallelism, ensure_checkpoint_dir
+from pairforge.session import ensure_checkpoint_dir
 
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
@@ -42,14 +42,25 @@ def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
 
+def _range(df: DataFrame, keys: list[Column], num_partitions: int | None) -> DataFrame:
+    """Range-partition on ``keys``. With an explicit count (argument or ``pairforge.index.partitions``) exactly that
+    many ranges; otherwise ``spark.sql.shuffle.partitions`` ranges that AQE may coalesce at runtime (it merges
+    adjacent ranges, so order stays contiguous)."""
+    spark = df.sparkSession
+    n = num_partitions
+    if n is None:
+        conf = spark.conf.get("pairforge.index.partitions", None)
+        n = int(conf) if conf else None
+    return df.repartitionByRange(n, *keys) if n else df.repartitionByRange(*keys)
+
+
 def global_index(df: DataFrame, order: Sequence[str | Column], idx_col: str = "idx",
                  num_partitions: int | None = None) -> Indexed:
     """Add ``idx_col`` = 0-based rank of the row in ``order``; also return the row count."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n_parts = num_partitions or default_parallelism(spark)
     keys = _cols(order)
-    staged = (df.repartitionByRange(n_parts, *keys)
+    staged = (_range(df, keys, num_partitions)
                 .sortWithinPartitions(*keys)
                 .withColumn(_MONO, F.monotonically_increasing_id())
                 .checkpoint(eager=True))
@@ -141,9 +152,8 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value_col: str, ou
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    n_parts = num_partitions or default_parallelism(spark)
     keys = _cols(order)
-    staged = (df.repartitionByRange(n_parts, *keys).sortWithinPartitions(*keys)
+    staged = (_range(df, keys, num_partitions).sortWithinPartitions(*keys)
                 .withColumn(_MONO, F.monotonically_increasing_id()).checkpoint(eager=True))
     part = F.shiftright(F.col(_MONO), _POS_BITS).cast("int")
     sums = sorted(tuple(r) for r in staged.groupBy(part.alias("p")).agg(F.sum(value_col)).collect())
