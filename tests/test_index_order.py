@@ -92,3 +92,13 @@ def test_index_partitions_setting(spark):
         assert sorted(r.idx for r in ix.df.collect()) == list(range(d.count()))
     finally:
         spark.conf.unset("pairforge.index.partitions")
+
+
+def test_join_bounded_both_paths(spark):
+    from pairforge.operators.joins import join_bounded
+    d = docs(spark)
+    small = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    broadcast = join_bounded(d, small, ["source"])
+    regular = join_bounded(d, small, ["source"], max_rows=0)  # over the bound: a regular join
+    assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in broadcast.collect()) == sorted(tuple(r) for r in regular.collect())
