@@ -76,3 +76,17 @@ def test_stream_append_resumes_from_checkpoint(spark, tmp_path):
     assert first == m.where("group_name = 'text'").count()
     assert _rows(res.drop("batch_id")) == _rows(m)
     assert res.select("batch_id").distinct().count() >= 2
+
+
+def test_write_shards_rewrites_only_its_shards(spark, tmp_path):
+    from pairforge.sources.shards_io import read_shard_metadata, read_shards, write_shards
+    m = training_manifest(spark, SF0001).df
+    path = str(tmp_path / "shards")
+    n = m.count()
+    assert write_shards(m, path, 64, total=n) == -(-n // 64)
+    before = {r.shard_id: r["count"] for r in read_shards(spark, path).groupBy("shard_id").count().collect()}
+    write_shards(m.where("idx < 64"), path, 64, total=n)  # a resumed job rewriting shard 0 only
+    after = read_shards(spark, path)
+    assert {r.shard_id: r["count"] for r in after.groupBy("shard_id").count().collect()} == before
+    assert _rows(after) == _rows(m)
+    assert read_shard_metadata(spark, path).collect()[0].num_shards == -(-n // 64)
