@@ -18,6 +18,7 @@ from __future__ import annotations
 import codecs
 import json
 import re
+import sys
 from array import array
 from collections.abc import Iterator
 
@@ -37,7 +38,7 @@ _PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 #: Python's \s also has these; texts with them are cut by the full pattern.
 _ODD = re.compile("[\x1c-\x1f]")
 STEP = 256
-MEMO = 200_000
+MEMO = 250_000
 NO_MERGE = 1 << 60
 
 
@@ -49,25 +50,41 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Memo(dict):
-    """Results for pieces of up to 64 characters seen lately: when ``most`` of them are held they become the old ones,
-    and what was old before goes."""
-
-    def __init__(self, make, most: int):
-        super().__init__()
-        self._make, self._most, self._old = make, most, {}
-
-    def __missing__(self, piece: str):
-        got = self._old.get(piece)
-        if got is None:
-            got = self._make(piece)
-            if len(piece) > 64:
-                return got
-        if len(self) >= self._most:
-            self._old = dict(self)
-            self.clear()
-        self[piece] = got
-        return got
+class _Pairs:
+    """Merge ranks by pair of ids, for whole arrays of pairs: an open-addressed table."""
+
+    def __init__(self, rank_of: dict[tuple[int, int], int]):
+        keys = np.array([a << 32 | b for a, b in rank_of], np.int64).reshape(-1)
+        ranks = np.array(list(rank_of.values()), np.int64)
+        self._bits = max(10, (4 * len(keys)).bit_length())
+        self._keys = np.full(1 << self._bits, -1, np.int64)
+        self._ranks = np.full(1 << self._bits, NO_MERGE, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # the first to reach a free slot gets it, the others move on
+            free = self._keys[at[left]] == -1
+            cand = left[free]
+            _, first = np.unique(at[cand], return_index=True)
+            won = cand[first]
+            self._keys[at[won]], self._ranks[at[won]] = keys[won], ranks[won]
+            left = np.setdiff1d(left, won)
+            at[left] = (at[left] + 1) & (len(self._keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = a << 32 | b
+        at = self._slot(keys)
+        found = self._keys[at]
+        out = np.where(found == keys, self._ranks[at], NO_MERGE)
+        miss = np.flatnonzero((found != keys) & (found != -1))
+        while len(miss):
+            at[miss] = (at[miss] + 1) & (len(self._keys) - 1)
+            found = self._keys[at[miss]]
+            hit = found == keys[miss]
+            out[miss[hit]] = self._ranks[at[miss[hit]]]
+            miss = miss[~hit & (found != -1)]
+        return out
 
 
 class Transducer:
@@ -94,7 +111,11 @@ class Transducer:
         self.lookahead = self._lookahead()
         self._rank_of = {a << 32 | b: rank for (a, b), (rank, _) in self.merges.items()}
         self._made = {rank: c for rank, c in self.merges.values()}
-        self._memo, self._words = _Memo(self._piece, MEMO), _Memo(self._pre_token, MEMO // 2)
+        self._pairs = _Pairs({pair: rank for pair, (rank, _) in self.merges.items()})
+        self._made_at = np.array([self._made.get(r, -1) for r in range(len(pairs))], np.int64)
+        self._byte_ids = np.array(self.byte_id, np.int64)
+        self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def _lookahead(self) -> int:
         made_from: dict[int, int] = {}  # token -> left part of the merge that makes it
@@ -144,32 +165,90 @@ class Transducer:
             tail = tail[done:]
         yield from self._merge([ids_of[b] for b in tail])
 
-    def _pre_token(self, pre: str) -> list[int]:
-        data = pre.encode()
-        return self._merge([self.byte_id[b] for b in data]) if len(data) <= STEP else list(self.stream(data))
-
-    def _piece(self, text: str) -> bytes:
-        out = array("i")
-        for pre in _PRE.findall(text):
-            out.extend(self._words[pre])
-        return out.tobytes()
-
-    def _plain(self, text: str) -> list[bytes]:
-        if _ODD.search(text):
-            return [self._piece(text)]
+    def _merge_many(self, streams: list[bytes]) -> list[bytes]:
+        """Ids of many short pre-tokens, whose windows advance together: each round every window applies its lowest rank."""
+        out_of = np.repeat(np.arange(len(streams)), list(map(len, streams)))
+        ids = self._byte_ids[np.frombuffer(b"".join(streams), np.uint8)]
+        done_of, done_ids = [], []
+        while len(ids):
+            rank = np.full(len(ids), NO_MERGE, np.int64)
+            inner = np.flatnonzero(out_of[1:] == out_of[:-1])
+            rank[inner] = self._pairs.ranks(ids[inner], ids[inner + 1])
+            starts = np.flatnonzero(np.r_[True, out_of[1:] != out_of[:-1]])
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(ids)]))
+            live = best < NO_MERGE
+            done_of.append(out_of[~live])
+            done_ids.append(ids[~live])
+            ids, out_of, rank, best = ids[live], out_of[live], rank[live], best[live]
+            hit = np.flatnonzero(rank == best)
+            if not len(hit):
+                break
+            # of overlapping places (the same token three times and more) every second one, from the left
+            run = np.r_[True, (hit[1:] != hit[:-1] + 1) | (best[hit[1:]] != best[hit[:-1]])]
+            at = np.arange(len(hit))
+            hit = hit[(at - np.maximum.accumulate(np.where(run, at, 0))) % 2 == 0]
+            ids[hit] = self._made_at[best[hit]]
+            keep = np.ones(len(ids), bool)
+            keep[hit + 1] = False
+            ids, out_of = ids[keep], out_of[keep]
+        owner, flat = np.concatenate(done_of), np.concatenate(done_ids).astype(np.int32)
+        order = np.argsort(owner, kind="stable")
+        raw, ends = flat[order].tobytes(), np.cumsum(np.bincount(owner, minlength=len(streams))) * 4
+        return [raw[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
+    def _ids_of(self, pres: list[str]) -> dict[str, bytes]:
+        """Ids of distinct pre-tokens: short ones together, long ones as streams."""
+        data = [p.encode("utf-8", "surrogatepass") for p in pres]
+        short = [i for i, d in enumerate(data) if len(d) <= STEP]
+        out = dict(zip([pres[i] for i in short], self._merge_many([data[i] for i in short]), strict=True)) if short else {}
+        for p, d in zip(pres, data, strict=True):
+            if len(d) > STEP:
+                out[p] = array("i", self.stream(d)).tobytes()
+        return out
+
+    def _learn(self, pieces: set[str]) -> None:
+        """Afterwards the memo has all ``pieces``."""
         memo = self._memo
-        return [memo[p] for p in _PIECE.findall(text)]
+        new = [p for p in pieces if p not in memo]
+        if len(memo) + len(new) > MEMO:
+            self._old, self._memo = memo, {}
+            memo, new = self._memo, list(pieces)
+        old, ask = self._old, {}
+        for p in new:
+            got = old.get(p)
+            if got is not None:
+                memo[p] = got
+            else:
+                ask[p] = [p] if (p[1:] if p[0] == " " else p).isalpha() else _PRE.findall(p)
+        if ask:
+            ids = self._ids_of(list({x for pres in ask.values() for x in pres}))
+            for p, pres in ask.items():
+                memo[p] = ids[p] if len(pres) == 1 else b"".join([ids[x] for x in pres])
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of whole texts as native 32-bit integers; special tokens in a text get their own id."""
+        segments = [self._segments(t) for t in texts]
+        cut = [[p for s in segs if s not in self.special for p in self._pieces(s)] for segs in segments]
+        self._learn(set().union(*cut))
+        memo, out = self._memo, []
+        for segs, pieces in zip(segments, cut, strict=True):
+            if len(segs) == 1 and segs[0] not in self.special:
+                out.append(b"".join([memo[p] for p in pieces]))
+            else:
+                out.append(b"".join([self.special[s].to_bytes(4, sys.byteorder) if s in self.special
+                                     else b"".join([memo[p] for p in self._pieces(s)]) for s in segs]))
+        return out
+
+    def _segments(self, text: str) -> list[str]:
+        """The text cut at its special tokens."""
+        return self._split.split(text) if self._split and any(s in text for s in self.special) else [text]
+
+    @staticmethod
+    def _pieces(text: str) -> list[str]:
+        return _PRE.findall(text) if _ODD.search(text) else _PIECE.findall(text)
 
     def encode(self, text: str) -> bytes:
-        """Ids of a whole text as native 32-bit integers; special tokens in the text get their own id."""
-        parts = self._split.split(text) if self._split and any(s in text for s in self.special) else [text]
-        out: list[bytes] = []
-        for p in parts:
-            if p in self.special:
-                out.append(array("i", [self.special[p]]).tobytes())
-            elif p:
-                out += self._plain(p)
-        return b"".join(out)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: list[int], block: int = 65_536) -> str:
         """Text of ``ids``, by the incremental state machine, a block at a time; unknown ids give nothing."""
@@ -211,7 +290,7 @@ def encode(docs: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: s
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                got = [np.frombuffer(t.encode(x), np.int32) if x else np.zeros(0, np.int32) for x in part.column(1).to_pylist()]
+                got = [np.frombuffer(x, np.int32) for x in t.encode_many([x or "" for x in part.column(1).to_pylist()])]
                 ends = np.cumsum([0, *map(len, got)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(got) if got else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_col, "ids"])
@@ -227,7 +306,12 @@ def decode(encoded: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col:
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
-                text = [t.decode([i for i in x if i is not None] if None in x else x) if x else "" for x in part.column(1).to_pylist()]
+                lists = part.column(1)
+                flat, ends = lists.values, lists.offsets.to_numpy()
+                text = []
+                for i in range(part.num_rows):
+                    ids = flat.slice(ends[i], ends[i + 1] - ends[i]).drop_null() if lists.is_valid()[i].as_py() else None
+                    text.append(t.decode(ids.to_numpy(zero_copy_only=False).tolist()) if ids is not None else "")
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string())], names=[id_col, "ids", "text"])
     return encoded.select(id_col, F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(
         run, f"`{id_col}` {dict(encoded.dtypes)[id_col]}, ids array<int>, text string")
