@@ -18,7 +18,6 @@ import bisect
 import itertools
 import json
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -33,8 +32,9 @@ from pairforge.llm.bpe import byte_alphabet
 from pairforge.llm.common import staged
 from pairforge.session import ensure_checkpoint_dir
 
-MEMO = 300_000
-_ODD = re.compile("[\x1c-\x1f]")
+MEMO = 400_000
+#: Python takes these for white space, the vocabulary doesn't.
+_ODD = "\x1c\x1d\x1e\x1f"
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------
@@ -68,15 +68,6 @@ class _WordIds:
     def _whole(self, text: str) -> bytes:
         return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _of_pre(self, pre: str) -> bytes:
-        got = self._pre_ids.get(pre)
-        if got is None:
-            if len(self._pre_ids) >= self._most:
-                self._pre_ids.clear()
-            mapped = pre if pre.isascii() and pre.isprintable() else "".join([self._byte_char[b] for b in pre.encode()])
-            got = self._pre_ids[pre] = array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
-        return got
-
     def _learn(self, words: set[str]) -> None:
         """Afterwards the memo has all of ``words``."""
         memo = self._memo
@@ -84,22 +75,38 @@ class _WordIds:
         if len(memo) + len(new) > self._most:
             self._old, self._memo = memo, {}
             memo, new = self._memo, list(words)
-        old, ask = self._old, []
+        old, plain, other = self._old, [], []
         for w in new:
             got = old.get(w)
             if got is not None:
                 memo[w] = got
-            elif any(s in w for s in self._special):
-                memo[w] = self._whole(w)
             else:
-                ask.append(w)
-        if ask:  # the normaliser keeps words apart: one space stays one space
-            for w, normal in zip(ask, self._normal.normalize_str(" ".join(ask)).split(" "), strict=True):
-                memo[w] = b"".join([self._of_pre(p) for p in self._pre.findall(normal)])
+                (plain if w.isascii() else other).append(w)
+        for ask, ascii_only in ((plain, True), (other, False)):
+            joined = " ".join(ask)  # the normaliser keeps words apart: one space stays one space
+            if any(s in joined for s in self._special):
+                memo.update((w, self._whole(w)) for w in ask if any(s in w for s in self._special))
+                ask = [w for w in ask if w not in memo]
+                joined = " ".join(ask)
+            if ask:
+                self._learn_plain(ask, (joined.lower() if ascii_only else self._normal.normalize_str(joined)).split(" "))
+
+    def _learn_plain(self, words: list[str], normal: list[str]) -> None:
+        """Pre-tokenise the normalised words and ask the model for pre-tokens not seen lately."""
+        memo, find, tokenize = self._memo, self._pre.findall, self._model.tokenize
+        cut = [[n] if n.isalpha() else find(n) for n in normal]
+        if len(self._pre_ids) >= self._most:
+            self._pre_ids.clear()
+        ids = self._pre_ids
+        for pre in {x for c in cut for x in c if x not in ids}:
+            mapped = pre if pre.isascii() and pre.isprintable() else "".join([self._byte_char[b] for b in pre.encode("utf-8", "surrogatepass")])
+            ids[pre] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
+        for w, c in zip(words, cut, strict=True):
+            memo[w] = ids[c[0]] if len(c) == 1 else b"".join([ids[x] for x in c])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as native unsigned 32-bit integers."""
-        split = [None if _ODD.search(t) else t.split() for t in texts]
+        split = [None if any(c in t for c in _ODD) else t.split() for t in texts]
         self._learn(set().union(*(w for w in split if w)))
         memo = self._memo
         return [self._whole(t) if words is None else b"".join([memo[w] for w in words])
