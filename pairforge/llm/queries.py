@@ -6,9 +6,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, license_scan, packing, repetition, url_filter
-from pairforge.llm.common import table
+from pairforge.llm import bpe, language, license_scan, packing, repetition, toxicity, url_filter
+from pairforge.llm.common import id_text_crc, table
 
 #: The rules that op5 applies.
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -34,11 +35,29 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = (id_text_crc(F.col("doc_id")) % 3) == 1
+    model = language.learn_profiles(docs.filter(~held_out))
+    return language.identify(docs, model).withColumn("held_out", held_out)
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def toxicity_network(spark: SparkSession, sf_dir: str) -> toxicity.Network | None:
+    """The network learned from the labels outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").filter((id_text_crc(F.col("doc_id")) % 5) != 0)
+    return toxicity.learn(table(spark, sf_dir, "documents"), labels)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score(table(spark, sf_dir, "documents"), toxicity_network(spark, sf_dir))
+    return scored.withColumn("held_out", (id_text_crc(F.col("doc_id")) % 5) == 0)
+
+
 def op8_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
@@ -47,7 +66,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_round_trip, op5_url_filter, op8_repetition_rules, op9_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_round_trip, op4_language_mixture, op5_url_filter, op7_toxicity,
+                                  op8_repetition_rules, op9_license_scan)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {

@@ -15,6 +15,7 @@ worker, so a step of the recurrence is a gather and one small matrix product.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -168,9 +169,10 @@ def _index(docs: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndar
 
 
 def train(sample: list[tuple[int, list[list[bytes]]]], epochs: int = 3, batch: int = 64, rate: float = 0.01, seed: int = 0, least: int = 8,
-          decay: float = 2e-2) -> Network | None:
+          decay: float = 2e-2, steps: int = 180) -> Network | None:
     """Fit a network to (label, windows of words) documents; None without both labels. Words of fewer than ``least``
-    documents share the embedding of unknown words; embeddings shrink by ``decay`` a step."""
+    documents share the embedding of unknown words; embeddings shrink by ``decay`` a step. There are at
+    least ``epochs`` passes and ``steps`` steps."""
     sample = [(y, [x for x in ws if x] or [[b""]]) for y, ws in sample]
     if len({y for y, _ in sample}) < 2:
         return None
@@ -181,7 +183,7 @@ def train(sample: list[tuple[int, list[list[bytes]]]], epochs: int = 3, batch: i
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.w.items()}
     step = 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-steps * batch // len(sample)))):
         order = rng.permutation(len(sample))
         for s in range(0, len(order), batch):
             part = [sample[i] for i in order[s:s + batch]]
@@ -337,7 +339,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     """
     ensure_checkpoint_dir(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
-    key = shared._jbroadcast.id() if hasattr(shared, "_jbroadcast") and shared._jbroadcast is not None else id(shared)
+    key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _READY:
