@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,3 +67,37 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class IntTable:
+    """Values by non-negative integer key, for whole arrays of keys: an open-addressed table of numpy arrays."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: int = -1):
+        keys, values = np.asarray(keys, np.int64), np.asarray(values, np.int64)
+        self._missing = missing
+        self._bits = max(10, (4 * len(keys)).bit_length())
+        self._keys = np.full(1 << self._bits, -1, np.int64)
+        self._values = np.full(1 << self._bits, missing, np.int64)
+        at, left = self._slot(keys), np.arange(len(keys))
+        while len(left):  # the first to reach a free slot gets it, the others move on
+            cand = left[self._keys[at[left]] == -1]
+            won = cand[np.unique(at[cand], return_index=True)[1]]
+            self._keys[at[won]], self._values[at[won]] = keys[won], values[won]
+            left = np.setdiff1d(left, won)
+            at[left] = (at[left] + 1) & (len(self._keys) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self._slot(keys)
+        found = self._keys[at]
+        out = np.where(found == keys, self._values[at], self._missing)
+        miss = np.flatnonzero((found != keys) & (found != -1))
+        while len(miss):
+            at[miss] = (at[miss] + 1) & (len(self._keys) - 1)
+            found = self._keys[at[miss]]
+            hit = found == keys[miss]
+            out[miss[hit]] = self._values[at[miss[hit]]]
+            miss = miss[~hit & (found != -1)]
+        return out

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, language, license_scan, packing, repetition, toxicity, url_filter
+from pairforge.llm import bpe, hilbert_search, language, license_scan, packing, repetition, suffix_tree, toxicity, url_filter
 from pairforge.llm.common import id_text_crc, table
 
 #: The rules that op5 applies.
@@ -47,6 +47,15 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = (id_text_crc(F.col("doc_id")) % 7) == 2
+    known = docs.filter(~held_out)
+    counts = suffix_tree.count_words(known)
+    tree = suffix_tree.grow(known, counts)
+    return suffix_tree.score(docs, tree, counts, keep={"held_out": held_out})
+
+
 def toxicity_network(spark: SparkSession, sf_dir: str) -> toxicity.Network | None:
     """The network learned from the labels outside the held-out fold."""
     labels = table(spark, sf_dir, "labels").filter((id_text_crc(F.col("doc_id")) % 5) != 0)
@@ -66,8 +75,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_round_trip, op4_language_mixture, op5_url_filter, op7_toxicity,
-                                  op8_repetition_rules, op9_license_scan)}
+def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_round_trip, op4_language_mixture, op5_url_filter, op6_suffix_tree_scores,
+                                  op7_toxicity, op8_repetition_rules, op9_license_scan, op10_hilbert_neighbours)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {
