@@ -28,6 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.llm.common import IntTable
 from pairforge.session import ensure_checkpoint_dir
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
@@ -50,43 +51,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-class _Pairs:
-    """Merge ranks by pair of ids, for whole arrays of pairs: an open-addressed table."""
-
-    def __init__(self, rank_of: dict[tuple[int, int], int]):
-        keys = np.array([a << 32 | b for a, b in rank_of], np.int64).reshape(-1)
-        ranks = np.array(list(rank_of.values()), np.int64)
-        self._bits = max(10, (4 * len(keys)).bit_length())
-        self._keys = np.full(1 << self._bits, -1, np.int64)
-        self._ranks = np.full(1 << self._bits, NO_MERGE, np.int64)
-        at, left = self._slot(keys), np.arange(len(keys))
-        while len(left):  # the first to reach a free slot gets it, the others move on
-            free = self._keys[at[left]] == -1
-            cand = left[free]
-            _, first = np.unique(at[cand], return_index=True)
-            won = cand[first]
-            self._keys[at[won]], self._ranks[at[won]] = keys[won], ranks[won]
-            left = np.setdiff1d(left, won)
-            at[left] = (at[left] + 1) & (len(self._keys) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
-
-    def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        keys = a << 32 | b
-        at = self._slot(keys)
-        found = self._keys[at]
-        out = np.where(found == keys, self._ranks[at], NO_MERGE)
-        miss = np.flatnonzero((found != keys) & (found != -1))
-        while len(miss):
-            at[miss] = (at[miss] + 1) & (len(self._keys) - 1)
-            found = self._keys[at[miss]]
-            hit = found == keys[miss]
-            out[miss[hit]] = self._ranks[at[miss[hit]]]
-            miss = miss[~hit & (found != -1)]
-        return out
-
-
 class Transducer:
     """Streaming encoder and decoder for one merge list."""
 
@@ -111,7 +75,7 @@ class Transducer:
         self.lookahead = self._lookahead()
         self._rank_of = {a << 32 | b: rank for (a, b), (rank, _) in self.merges.items()}
         self._made = {rank: c for rank, c in self.merges.values()}
-        self._pairs = _Pairs({pair: rank for pair, (rank, _) in self.merges.items()})
+        self._pairs = IntTable([a << 32 | b for a, b in self.merges], [rank for rank, _ in self.merges.values()], NO_MERGE)
         self._made_at = np.array([self._made.get(r, -1) for r in range(len(pairs))], np.int64)
         self._byte_ids = np.array(self.byte_id, np.int64)
         self._memo: dict[str, bytes] = {}
@@ -173,7 +137,7 @@ class Transducer:
         while len(ids):
             rank = np.full(len(ids), NO_MERGE, np.int64)
             inner = np.flatnonzero(out_of[1:] == out_of[:-1])
-            rank[inner] = self._pairs.ranks(ids[inner], ids[inner + 1])
+            rank[inner] = self._pairs.find(ids[inner] << 32 | ids[inner + 1])
             starts = np.flatnonzero(np.r_[True, out_of[1:] != out_of[:-1]])
             best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.r_[starts, len(ids)]))
             live = best < NO_MERGE

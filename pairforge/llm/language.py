@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.session import ensure_checkpoint_dir
@@ -139,6 +139,13 @@ def identify(docs: DataFrame, model: Profiles, id_col: str = "doc_id", text_col:
         run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, lang_pred string, score double, languages string")
 
 
-def accepted(lang_pred: Column, score: Column, least: float = 0.5) -> Column:
-    """Whether a text is mostly in one known language."""
-    return (lang_pred != "und") & (score >= least)
+def keep_identified(docs: DataFrame, model: Profiles, text_col: str = "text", least: float = 0.4) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose text has a language of at least the proportion ``least``."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            yield b.filter(pa.array([max(infer(t, m).values(), default=0.0) >= least if t else False for t in b.column(at).to_pylist()], pa.bool_()))
+    return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairforge.llm import bpe, hilbert_search, language, license_scan, packing, repetition, suffix_tree, toxicity, url_filter
+from pairforge.llm import bpe, hilbert_search, jaccard, language, license_scan, packing, repetition, suffix_tree, toxicity, url_filter
 from pairforge.llm.common import id_text_crc, table
 
 #: The rules that op5 applies.
@@ -26,6 +26,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_classes(table(spark, sf_dir, "documents"), k=3, part=90).drop("class")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), PACK_TOKENS, PACK_END)
 
@@ -35,11 +39,14 @@ def op3_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path))
 
 
+def language_profiles(spark: SparkSession, sf_dir: str) -> language.Profiles:
+    """The profiles learned outside the held-out fold."""
+    return language.learn_profiles(table(spark, sf_dir, "documents").filter((id_text_crc(F.col("doc_id")) % 3) != 1))
+
+
 def op4_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    held_out = (id_text_crc(F.col("doc_id")) % 3) == 1
-    model = language.learn_profiles(docs.filter(~held_out))
-    return language.identify(docs, model).withColumn("held_out", held_out)
+    found = language.identify(table(spark, sf_dir, "documents"), language_profiles(spark, sf_dir))
+    return found.withColumn("held_out", (id_text_crc(F.col("doc_id")) % 3) == 1)
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +86,7 @@ def op10_hilbert_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_search.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_bpe_round_trip, op4_language_mixture, op5_url_filter, op6_suffix_tree_scores,
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing, op3_bpe_round_trip, op4_language_mixture, op5_url_filter, op6_suffix_tree_scores,
                                   op7_toxicity, op8_repetition_rules, op9_license_scan, op10_hilbert_neighbours)}
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)

@@ -331,6 +331,29 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 _READY: dict = {}
 
 
+def _scorer(key: str, shared) -> Scorer | None:
+    """One scorer (with its word table) per worker and network."""
+    if key not in _READY:
+        _READY.clear()
+        _READY[key] = Scorer(shared.value) if shared.value is not None else None
+    return _READY[key]
+
+
+def keep_clean(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose whole text scores below ``least``; without a network all rows."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    shared, key, names = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex, docs.columns
+    at = names.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = _scorer(key, shared)
+        for b in batches:
+            for s in range(0, b.num_rows, 128):
+                part = b.slice(s, 128)
+                yield part.filter(pa.array([x < least for x in scorer.scores(part.column(at).to_pylist())], pa.bool_())) if scorer else part
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, score, predicted) of every whole text: the probability of label 1, and whether it is at least 0.5.
 
@@ -342,10 +365,7 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     key = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = Scorer(shared.value) if shared.value is not None else None
-        scorer = _READY[key]
+        scorer = _scorer(key, shared)
         for b in batches:
             for s in range(0, b.num_rows, 128):
                 part = b.slice(s, 128)
