@@ -67,8 +67,8 @@ def _matrix(col: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
 
 
 def distinct_vectors(rows: DataFrame, id_col: str, vec_col: str, is_query: Column, keep: int) -> DataFrame:
-    """(rep, ids: the ``keep`` smallest, vec, query): a row per distinct usable vector; staged. Each task sends at most
-    ``keep`` rows of a group of copies, so a hot vector doesn't meet in one task."""
+    """(rep, ids: the ``keep`` smallest, vec, query): a row per distinct usable vector; staged. Each task sends the
+    ``keep`` smallest ids of a group of copies only, so a hot vector doesn't meet in one task."""
     v = (rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: x.cast("double") + F.lit(0.0)).alias("vec"),
                      F.coalesce(is_query, F.lit(False)).alias("query"))
          .filter(usable(F.col("vec")) & F.col("id").isNotNull()))
@@ -76,7 +76,7 @@ def distinct_vectors(rows: DataFrame, id_col: str, vec_col: str, is_query: Colum
     v = v.filter(F.size("vec") == (sizes[0]["d"] if sizes else 0))
     key = F.xxhash64("vec")  # sorts cheaply; equal hashes of different vectors are told apart by the vector itself
     w = Window.partitionBy("key", "vec").orderBy("id")
-    few = v.withColumn("key", key).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= keep)
+    few = v.withColumn("key", key).withColumn("n", F.dense_rank().over(w)).filter(F.col("n") <= keep)  # a repeated id counts once
     # whether any of the copies is a query: one bit per task and group
     asked = v.filter("query").select(key.alias("key"), "vec").distinct().withColumn("query", F.lit(True))
     got = few.groupBy("key", "vec").agg(F.sort_array(F.collect_set("id")).alias("ids"))

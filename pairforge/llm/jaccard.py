@@ -539,15 +539,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     many = rows.groupBy("class").agg(F.count("*").alias("rows"), F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_hash")).alias("first"))
     many = staged(many.filter("rows > 1"), "classes")
     first = many.select(F.col("first.id").alias("_id"), F.col("first._hash").alias("_first"))
-    bucket = F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(BUCKETS))
-    ask = F.broadcast(rows.join(many.select("class"), "class", "left_semi").select(bucket.alias("_b")).distinct())
-    sure = docs.join(ask, bucket == F.col("_b"), "left_anti")
-    asked = docs.join(ask, bucket == F.col("_b"), "left_semi").withColumn("_hash", text_hash)
-    members = rows.join(many.select("class"), "class", "left_semi").select(F.col(id_col).alias("_id"), F.col("_hash").alias("_member")).distinct()
-    same = lambda x: F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col(x))
-    single = asked.join(members, same("_member"), "left_anti").drop("_hash")
-    chosen = asked.join(first, same("_first"), "left_semi").dropDuplicates([id_col, "_hash"]).drop("_hash")
-    return sure.unionByName(single).unionByName(chosen)
+    bucket = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(BUCKETS))
+    own = rows.join(many.select("class"), "class", "left_semi").select(F.col(id_col).alias("_id"), F.col("_hash").alias("_member")).distinct()
+    ask = F.broadcast(own.select(bucket(F.col("_id")).alias("_b")).distinct())
+    # the row as one value, so that its columns can't clash with those used here
+    whole_rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_key"), text_hash.alias("_hash"),
+                             bucket(F.col(id_col)).alias("_bucket"))
+    in_bucket = F.col("_bucket") == F.col("_b")
+    sure = whole_rows.join(ask, in_bucket, "left_anti")
+    asked = whole_rows.join(ask, in_bucket, "left_semi")
+    same = lambda x: F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col(x))
+    single = asked.join(own, same("_member"), "left_anti")
+    chosen = asked.join(first, same("_first"), "left_semi").dropDuplicates(["_key", "_hash"])
+    return sure.unionByName(single).unionByName(chosen).select("_row.*")
 
 
 def _large(members: DataFrame, sets_at: DataFrame, part: int, whole: int) -> DataFrame:
