@@ -13,14 +13,16 @@ shingles, nodes hold the union of their children's bitmaps and the range of thei
 root drops node pairs whose largest possible overlap, popcount(A & B), or whose sizes can't reach t; leaf pairs
 are decided on the bitmaps, which are exact. Pairs within one class are skipped.
 
-A cluster that is too large for a task is cut into chunks. Chunks are joined first, then one text per class so
-far, again and again while classes merge; at last every text outside the cluster's largest class is joined with
-all chunks, so every pair of texts that isn't in one class already has met.
+A cluster that is too large for a task is divided into groups of similar set sizes, and a large group into chunks.
+Chunks are joined first, then one text per class so far, again and again while classes merge; at last every text
+outside the group's largest class is joined with all chunks, so every pair of texts that isn't in one class already
+has met.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,7 +39,7 @@ CHUNK_TEXTS, CHUNK_SHINGLES = 1024, 2_000_000
 LEAF, FANOUT = 16, 4
 #: Ratio of the sizes that one division into parts serves.
 SIZE_STEP = 1.6
-SAMPLE_TEXTS, COMMON_SHARE, COMMON_LEAST = 4096, 0.01, 8
+SAMPLE_TEXTS, COMMON_SHARE, COMMON_LEAST = 4096, 0.0007, 3
 BUCKETS = 1 << 20
 
 _RNG = np.random.default_rng(20_24)
@@ -135,42 +137,54 @@ def size_class(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def part_keys(h: np.ndarray, o: np.ndarray, size: np.ndarray, part: int, whole: int, common: IntTable | None) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) of all parts of each set, for the threshold ``part / whole``."""
-    n = len(size)
+    """(key, text) of the parts of each set, for the threshold ``part / whole``.
+
+    Sets of one division share m - d parts at least. A set with fewer empty parts than that shares one that isn't
+    empty with each partner, so it sends its non-empty parts only. Common shingles are left out first; a set that
+    has too many empty parts then also sends the parts of its whole set (and, if need be, the empty ones): of two
+    partners either one has few empty parts, or both do this.
+    """
     number, tops = size_class(size)
-    keys, owners = [], []
-    if common is not None:
-        rare = common.find((h >> np.uint64(1)).astype(np.int64)) < 0
-        h, o = h[rare], o[rare]
     live = size > 0
+    keys, owners = [], []
     for extra in (0, 1):
         c = number + extra
         top = tops[np.minimum(c, len(tops) - 1)]
         # the next class is needed only by sets with possible partners in it
         use = live if not extra else live & (size * whole > tops[number] * part)
         d = (2 * top * (whole - part)) // (whole + part)
-        m = d + 1 + np.maximum(1, d // 12)
-        m = np.where(use, m, 0)
-        first = np.cumsum(m) - m
-        total = int(m.sum())
-        mine = use[o]
-        hh, oo = h[mine], o[mine]
-        slot = first[oo] + (_mix(hh, 7) % np.maximum(m[oo], 1).astype(np.uint64)).astype(np.int64)
-        sums = np.zeros(total, np.uint64)
-        np.add.at(sums, slot, _mix(hh, 9))
-        full = np.zeros(total, bool)
-        full[slot] = True
-        owner = np.repeat(np.arange(n), m)
-        place = np.arange(total) - np.repeat(first, m)
-        empty = np.bincount(owner, ~full, n)
-        # a set with few empty parts shares a non-empty one with each partner
-        emit = full | (empty >= m - d)[owner]
-        key = _mix(sums + _mix((c[owner] * (1 << 32) + place).astype(np.uint64), 11), 13)
-        keys.append((key[emit] >> np.uint64(1)).astype(np.int64))
-        owners.append(owner[emit])
+        m = d + 1 + np.maximum(1, d // 6)
+        if common is not None:
+            rare = common.find((h >> np.uint64(1)).astype(np.int64)) < 0
+            key, owner, empty = _parts(h[rare], o[rare], np.where(use, m, 0), c, 1)
+            keys.append(key[0])
+            owners.append(owner[0])
+            use = use & (empty >= m - d)
+        key, owner, empty = _parts(h, o, np.where(use, m, 0), c, 2)
+        bare = (empty >= m - d)[owner[1]]
+        keys += [key[0], key[1][bare]]
+        owners += [owner[0], owner[1][bare]]
     return np.concatenate(keys), np.concatenate(owners)
 
 
+def _parts(h: np.ndarray, o: np.ndarray, m: np.ndarray, c: np.ndarray, kind: int) -> tuple[list, list, np.ndarray]:
+    """Keys and texts of the non-empty and of the empty ones of ``m`` parts of each set, and the number of empty ones."""
+    n = len(m)
+    first = np.cumsum(m) - m
+    total = int(m.sum())
+    mine = m[o] > 0
+    hh, oo = h[mine], o[mine]
+    slot = first[oo] + (_mix(hh, 7) % np.maximum(m[oo], 1).astype(np.uint64)).astype(np.int64)
+    sums = np.zeros(total, np.uint64)
+    np.add.at(sums, slot, _mix(hh, 9))
+    full = np.zeros(total, bool)
+    full[slot] = True
+    owner = np.repeat(np.arange(n), m)
+    place = np.arange(total) - np.repeat(first, m)
+    key = (_mix(sums + _mix((c[owner] * (1 << 32) + place).astype(np.uint64), 11), 13 + kind) >> np.uint64(1)).astype(np.int64)
+    return [key[full], key[~full]], [owner[full], owner[~full]], np.bincount(owner, ~full, n)
+
+
 # --- signature tree ---------------------------------------------------------------------------------------------
 
 class Classes:
@@ -510,18 +524,17 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([pa.array(v[once]), pa.array(n[once].astype(np.int64)),
                                                   pa.array([h[ends[i] - n[i]:ends[i]].tobytes() for i in once], pa.binary())], names=["v", "n", "data"])
-    found = (docs.select(text_col).mapInArrow(sets, "v long, n long, data binary").join(clusters, "v"))
-    weights = clusters.join(sigs.select("v", "n").distinct(), "v").groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
-    weights = weights.select("root", F.greatest(F.ceil(F.col("texts") / CHUNK_TEXTS), F.ceil(F.col("shingles") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    sets_at = staged(found.join(weights, "root").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")), "sets")
+    groups = staged(_groups(clusters.join(sigs.select("v", "n").distinct(), "v"), part, whole), "groups")
+    found = docs.select(text_col).mapInArrow(sets, "v long, n long, data binary").dropDuplicates(["v"])
+    sets_at = staged(found.select("v", "data").join(groups, "v").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")), "sets")
 
     first = staged(_solve(sets_at.withColumn("class", F.col("v")), ["root", "chunk"], part, whole), "links")
-    members = sets_at.select("v", "root", "chunks").distinct().withColumn("class", F.col("v"))
-    members = staged(_relabel(members, first), "members")
+    members = staged(_relabel(groups.select("v", "root", "chunks").withColumn("class", F.col("v")), first), "members")
     if not members.filter("chunks > 1").isEmpty():
         members = _large(members, sets_at, part, whole)
+    members = members.select("v", "class").distinct()
 
-    classes = sigs.join(members.select("v", "class"), "v", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("class", "v")))
+    classes = sigs.join(members, "v", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("class", "v")))
     least = classes.filter("class is not null").groupBy("class").agg(F.min("_id").alias("component_id"))
     return classes.join(least, "class", "left").select(F.col("_id").alias(id_col), *extra, F.col("n").alias("n_shingles"),
                                                        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "class")
@@ -554,32 +567,51 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return sure.unionByName(single).unionByName(chosen).select("_row.*")
 
 
+def _groups(clusters: DataFrame, part: int, whole: int) -> DataFrame:
+    """(v, root, chunks) from (v, root, n): the groups in which texts are compared, and the number of their chunks.
+
+    Small clusters are groups as they are. A cluster of more than one chunk is divided by size: bands of sizes within a
+    factor whole / part, a group for each two neighbouring bands. Texts that may link are in one group still.
+    """
+    def sized(rows: DataFrame) -> DataFrame:
+        chunks = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+        return rows.join(chunks, "root")
+    by = sized(clusters)
+    if part == whole:
+        bands = F.array(F.col("n"))
+    else:  # a little wider than the factor, so that rounding can't part two texts
+        band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(whole / part)))
+        bands = F.array(band - 1, band)
+    large = by.filter("chunks > 1").select("v", "n", F.col("root").alias("of"), F.explode(bands).alias("band"))
+    return by.filter("chunks = 1").select("v", "root", "chunks").unionByName(
+        sized(large.select("v", "n", F.xxhash64("of", "band").alias("root"))).select("v", "root", "chunks"))
+
+
 def _large(members: DataFrame, sets_at: DataFrame, part: int, whole: int) -> DataFrame:
     """Merge classes across the chunks of large clusters, until every pair of classes has been compared."""
-    small = members.filter("chunks = 1")
-    large = staged(members.filter("chunks > 1"), "large")
-    data = sets_at.filter("chunks > 1").select("v", "data", "n").dropDuplicates(["v"])
+    small = members.filter("chunks = 1").select("v", "class")
+    large = staged(members.filter("chunks > 1").select("v", "root", "class"), "large")
+    data = sets_at.filter("chunks > 1").select("root", "v", "data", "chunk", "chunks")
     for turn in itertools.count(1):
         # one text per class, the classes dealt out anew each time
         reps = large.groupBy("root", "class").agg(F.min_by("v", F.xxhash64("v", F.lit(turn))).alias("v"))
         n = reps.groupBy("root").agg(F.count("*").alias("k"))
         before = reps.count()
         dealt = reps.join(n, "root").withColumn("deal", F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("k") / CHUNK_TEXTS)).cast("int"))
-        links = staged(_solve(dealt.filter("k > 1").join(data, "v"), ["root", "deal"], part, whole), "links")
+        links = staged(_solve(dealt.filter("k > 1").join(data, ["root", "v"]), ["root", "deal"], part, whole), "links")
         large = staged(_relabel(large, links), "large")
         after = large.select("root", "class").distinct().count()
         if after > 0.9 * before:
             break
-    # every text outside its cluster's largest class meets all chunks of the cluster
+    # every text outside its group's largest class meets all chunks of the group
     counts = large.groupBy("root", "class").agg(F.count("*").alias("k"))
     biggest = counts.groupBy("root").agg(F.max_by("class", F.struct("k", "class")).alias("big"))
     rest = large.join(biggest, "root").filter("class != big").select("v", "root", "class")
-    sizes = rest.groupBy("root").agg(F.count("*").alias("k"))
-    rest = rest.join(sizes, "root").withColumn("deal", F.pmod(F.xxhash64("v"), F.ceil(F.col("k") / CHUNK_TEXTS)).cast("int"))
-    deals = rest.select("root", F.ceil(F.col("k") / CHUNK_TEXTS).cast("int").alias("deals")).distinct()
-    left = (rest.join(sets_at.select("v", "data", "chunks").dropDuplicates(["v"]), "v")
+    sizes = rest.groupBy("root").agg(F.ceil(F.count("*") / CHUNK_TEXTS).cast("int").alias("deals"))
+    left = (rest.join(sizes, "root").withColumn("deal", F.pmod(F.xxhash64("v"), F.col("deals")).cast("int")).join(data, ["root", "v"])
             .select("root", "deal", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "v", "class", "data", F.lit(0).alias("side")))
-    right = (large.select("v", "root", "class").join(sets_at.select("v", "data", "chunk").dropDuplicates(["v"]), "v").join(deals, "root")
+    right = (large.join(sizes, "root").join(data, ["root", "v"])
              .select("root", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "chunk", "v", "class", "data", F.lit(1).alias("side")))
     links = staged(_solve(left.unionByName(right), ["root", "deal", "chunk"], part, whole, sides=True), "links")
-    return small.unionByName(_relabel(large, links))
+    merged = _relabel(small.unionByName(large.select("v", "class")).distinct(), links)
+    return merged
