@@ -7,6 +7,7 @@ use the key md5(concat_ws(':', seed + epoch, ...)) in place of a PRNG stream (sa
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 import pandas as pd
@@ -26,25 +27,19 @@ def perm_key(seed: int, epoch: int, *parts) -> F.Column:
     return F.md5(F.concat_ws(":", *cols))
 
 
-def _drop_short(df: DataFrame, group_cols: Sequence[str], bs: int) -> DataFrame:
-    keys = [*group_cols, "batch_id"]
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_pf_bn"))
-    return df.join(sizes.where(F.col("_pf_bn") >= bs).drop("_pf_bn"), keys, "left_semi")
-
-
 def sequential_batches(df: DataFrame, batch_size: int, drop_last: bool = True, idx_col: str = "idx",
                        within: Sequence[str] = ()) -> DataFrame:
     """H2: consecutive batches by ``idx_col`` (a 0-based position, per ``within`` group if given)."""
     if within:
-        df = group_index(df, list(within), [idx_col], pos_col="_pf_pos", size_col=None)
-        pos = F.col("_pf_pos")
+        df = group_index(df, list(within), [idx_col], pos_col="_pf_pos", size_col="_pf_size")
+        pos, n = F.col("_pf_pos"), F.col("_pf_size")
     else:
-        pos = F.col(idx_col)
+        pos, n = F.col(idx_col), F.lit(df.count() if drop_last else 0)
     out = df.withColumn("batch_id", F.floor(pos / batch_size).cast("bigint")) \
             .withColumn("pos_in_batch", (pos % batch_size).cast("int"))
-    if within:
-        out = out.drop("_pf_pos")
-    return _drop_short(out, within, batch_size) if drop_last else out
+    if drop_last:  # only the last batch can be short
+        out = out.where((F.col("batch_id") + 1) * batch_size <= n)
+    return out.drop("_pf_pos", "_pf_size") if within else out
 
 
 def shuffled_batches(df: DataFrame, batch_size: int, seed: int = DEFAULT_SEED, epoch: int = 0,
@@ -52,12 +47,15 @@ def shuffled_batches(df: DataFrame, batch_size: int, seed: int = DEFAULT_SEED, e
     """H3: permutation (by md5 key, per ``within`` group e.g. shard_id), then consecutive batches."""
     keyed = df.withColumn("_pf_key", perm_key(seed, epoch, F.col(idx_col)))
     if within:
-        ix = group_index(keyed, list(within), ["_pf_key", idx_col], pos_col="perm_pos", size_col=None)
+        ix = group_index(keyed, list(within), ["_pf_key", idx_col], pos_col="perm_pos", size_col="_pf_size")
     else:
-        ix = global_index(keyed, ["_pf_key", idx_col], "perm_pos").df
+        one = global_index(keyed, ["_pf_key", idx_col], "perm_pos")
+        ix = one.df.withColumn("_pf_size", F.lit(one.total))
     out = ix.drop("_pf_key").withColumn("batch_id", F.floor(F.col("perm_pos") / batch_size).cast("bigint")) \
             .withColumn("pos_in_batch", (F.col("perm_pos") % batch_size).cast("int"))
-    return _drop_short(out, within, batch_size) if drop_last else out
+    if drop_last:
+        out = out.where((F.col("batch_id") + 1) * batch_size <= F.col("_pf_size"))
+    return out.drop("_pf_size")
 
 
 def collate(plan: DataFrame, batch_cols: Sequence[str] = ("batch_id",), pos_col: str = "pos_in_batch") -> DataFrame:
@@ -93,9 +91,9 @@ def detect_interleave(df: DataFrame, idx_col: str = "idx", modality_col: str = "
     first = interleave_pattern(df, idx_col, modality_col, scan_rows, max_period).orderBy("slot").collect()
     pattern = [r["modality"] for r in first]
     if not pattern:
-        raise ValueError("Cannot build a modality batch sampler for an empty cached dataset.")
+        raise ValueError("no rows to detect an interleave pattern in")
     if len(pattern) < 2:
-        raise ValueError("Cached dataset does not expose enough query-modality variation for modality-aware batching.")
+        raise ValueError("one query modality only: there is no interleave pattern")
     period = len(pattern)
     expected = F.element_at(F.array(*[F.lit(m) for m in pattern]), (F.col(idx_col) % period).cast("int") + 1)
     wrong = ~F.col(modality_col).eqNullSafe(expected)
@@ -107,22 +105,21 @@ def detect_interleave(df: DataFrame, idx_col: str = "idx", modality_col: str = "
                     .orderBy("_pf_key", idx_col).limit(sample_size))
         bad = head + sample.where(wrong).count()
     if bad:
-        raise ValueError("Cached dataset query modalities are not globally interleaved; disable modality-aware "
-                         "batching or regenerate the cache with stable ordering.")
+        raise ValueError(f"query modalities are not interleaved as {'-'.join(pattern)} over the whole table")
     return pattern
 
 
 def modality_batches(df: DataFrame, pattern: Sequence[str], batch_size: int, seed: int = DEFAULT_SEED,
-                     epoch: int = 0, drop_last: bool = True, idx_col: str = "idx") -> DataFrame:
-    """H5: batches homogeneous in the pattern slot. Slot m owns positions offset_m + j * period; per slot the
-    j are permuted and cut into batches; batch order is a permutation of all (slot, batch) descriptors.
-    Output: (batch_order, modality, batch_idx, pos_in_batch, idx)."""
-    period = len(pattern)
-    mods = F.element_at(F.array(*[F.lit(m) for m in pattern]), (F.col(idx_col) % period).cast("int") + 1)
-    rows = df.select(idx_col).withColumn("modality", mods) \
-             .withColumn("_pf_j", F.floor(F.col(idx_col) / period).cast("bigint"))
-    rows = rows.withColumn("_pf_key", perm_key(seed, epoch, F.col("modality"), F.col("_pf_j")))
-    ix = group_index(rows, ["modality"], ["_pf_key", "_pf_j"], pos_col="_pf_rank", size_col="_pf_n")
+                     epoch: int = 0, drop_last: bool = True, idx_col: str = "idx",
+                     modality_col: str = "query_type") -> DataFrame:
+    """H5: batches of one query modality each, whether or not the rows are interleaved (H4 tells). The rows of a
+    modality of ``pattern`` are permuted and cut into batches; batch order is a permutation of all (modality, batch)
+    descriptors. Rows of other modalities fail. Output: (batch_order, modality, batch_idx, pos_in_batch, idx)."""
+    mod = F.col(modality_col)
+    known = F.when(mod.isin(*pattern), mod).otherwise(F.raise_error(F.concat(F.lit("no batches for query modality "), F.coalesce(mod, F.lit("null")))))
+    rows = df.select(idx_col, known.alias("modality"))
+    rows = rows.withColumn("_pf_key", perm_key(seed, epoch, F.col("modality"), F.col(idx_col)))
+    ix = group_index(rows, ["modality"], ["_pf_key", idx_col], pos_col="_pf_rank", size_col="_pf_n")
     ix = ix.withColumn("batch_idx", F.floor(F.col("_pf_rank") / batch_size).cast("bigint")) \
            .withColumn("pos_in_batch", (F.col("_pf_rank") % batch_size).cast("int"))
     if drop_last:
@@ -161,27 +158,30 @@ def _greedy_no_dup(batch_size: int, keep_partial: bool):
 
 
 def no_duplicate_batches(df: DataFrame, batch_size: int, seed: int = DEFAULT_SEED, epoch: int = 0,
-                         drop_last: bool = True, block_batches: int = 64, rounds: int = 3,
+                         drop_last: bool = True, block_batches: int = 64, rounds: int | None = None,
                          idx_col: str = "idx") -> DataFrame:
     """H6: batches in which no text (query/positive/negative value) repeats.
 
     Rows are permuted (P1 over the md5 key), cut into blocks of ``block_batches * batch_size`` rows, and each
     block is filled greedily in ``applyInPandas`` (a bounded group, never the whole table). Rows that end in an
-    incomplete batch are re-blocked and retried for ``rounds`` rounds; in the last round incomplete batches
-    are kept (duplicate-free) unless ``drop_last``. Output: (idx, batch_id, pos_in_batch).
+    incomplete batch are re-blocked and retried, until one block held all that was left or a round placed nothing
+    (or after ``rounds`` retries); in that last round incomplete batches are kept (duplicate-free) unless
+    ``drop_last``. Texts are compared by their 64-bit hash, so no text is shuffled; equal hashes of different texts
+    would only keep two rows apart. Output: (idx, batch_id, pos_in_batch).
     """
     ship_package(df.sparkSession)
-    texts = F.array("query_value", "positive_value", "negative_value")
+    texts = F.transform(F.array("query_value", "positive_value", "negative_value"), lambda t: F.when(t.isNotNull(), F.xxhash64(t)))
     work = df.select(idx_col, texts.alias("_pf_texts"), perm_key(seed, epoch, F.col(idx_col)).alias("_pf_key"))
     rows_per_block = block_batches * batch_size
     schema = T.StructType([T.StructField("_pf_rank", T.LongType()), T.StructField("block", T.LongType()),
                            T.StructField("block_batch", T.LongType()), T.StructField("pos_in_batch", T.LongType())])
-    done = None
-    for rnd in range(rounds + 1):
+    done, before = None, None
+    for rnd in itertools.count():
         ix = global_index(work, ["_pf_key", idx_col], "_pf_rank")
         if ix.total == 0:
             break
-        last = rnd == rounds
+        last = ix.total <= rows_per_block or ix.total == before or rnd == rounds
+        before = ix.total
         staged = ix.df.withColumn("_pf_block", F.floor(F.col("_pf_rank") / rows_per_block))
         placed = staged.select("_pf_rank", "_pf_block", "_pf_texts").groupBy("_pf_block") \
                        .applyInPandas(_greedy_no_dup(batch_size, keep_partial=last and not drop_last), schema)
@@ -189,6 +189,8 @@ def no_duplicate_batches(df: DataFrame, batch_size: int, seed: int = DEFAULT_SEE
         good = res.where(F.col("block") >= 0).select(
             idx_col, F.lit(rnd).alias("round"), "block", "block_batch", "pos_in_batch")
         done = good if done is None else done.unionByName(good)
+        if last:
+            break
         work = res.where(F.col("block") < 0).select(idx_col, "_pf_texts", "_pf_key")
     if done is None:
         return df.sparkSession.createDataFrame([], f"{idx_col} long, batch_id long, pos_in_batch long")

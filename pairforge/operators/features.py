@@ -68,10 +68,10 @@ def tokenize_with(df: DataFrame, text_col: str, encode: Callable[[list[str]], li
 
 def pad_tokens(df: DataFrame, batch_col: str = "batch_id", ids_col: str = "input_ids",
                mask_col: str = "attention_mask") -> DataFrame:
-    """Pad every sequence of a batch to the batch's longest with 0 (ids and mask). The per-batch maximum is a
-    partial/final aggregate joined back (one row per batch)."""
-    longest = df.groupBy(batch_col).agg(F.max(F.size(ids_col)).alias("_pf_max"))
-    j = df.join(longest, batch_col)
+    """Pad every sequence of a batch to the batch's longest with 0 (ids and mask). A window over the batch (bounded by
+    its size) finds the longest, so the sequences are made and shuffled once."""
+    from pyspark.sql import Window
+    j = df.withColumn("_pf_max", F.max(F.size(ids_col)).over(Window.partitionBy(batch_col)))
     j = j.withColumn("_pf_pad", F.greatest(F.col("_pf_max") - F.size(ids_col), F.lit(0)))
     return (j.withColumn(ids_col, F.concat(ids_col, F.array_repeat(F.lit(0), F.col("_pf_pad"))))
              .withColumn(mask_col, F.concat(mask_col, F.array_repeat(F.lit(0), F.col("_pf_pad"))))
@@ -94,7 +94,6 @@ def read_wav(spark, path: str) -> DataFrame:
 
     def decode(batches):
         for pdf in batches:
-            out = []
             for p, content in zip(pdf["path"], pdf["content"]):
                 try:
                     with wave.open(io.BytesIO(bytes(content))) as w:
@@ -106,43 +105,37 @@ def read_wav(spark, path: str) -> DataFrame:
                             frames = frames.reshape(-1, ch).mean(axis=1)
                         rate = w.getframerate()
                     err = None if rate == SAMPLE_RATE else f"sample rate {rate} is not {SAMPLE_RATE}"
-                    out.append((p, rate, (frames / 32768.0).tolist(), err))
+                    row = (p, rate, frames / np.float32(32768.0), err)
                 except Exception as e:  # noqa: BLE001 - quarantined with its reason
-                    out.append((p, None, None, f"unreadable audio: {e}"))
-            yield pd.DataFrame(out, columns=["path", "sample_rate", "waveform", "error"])
+                    row = (p, None, None, f"unreadable audio: {e}")
+                yield pd.DataFrame([row], columns=["path", "sample_rate", "waveform", "error"])  # one file at a time
     return raw.mapInPandas(decode, schema)
 
 
 def _hz_to_mel(f):
-    f = np.asarray(f, dtype=np.float64)
-    mel = f / (200.0 / 3)
-    log_t = f >= 1000.0
-    return np.where(log_t, 15.0 + np.log(np.maximum(f, 1e-10) / 1000.0) / (np.log(6.4) / 27.0), mel)
+    return 2595.0 * np.log10(1.0 + np.asarray(f, dtype=np.float64) / 700.0)
 
 
 def _mel_to_hz(m):
-    m = np.asarray(m, dtype=np.float64)
-    f = m * (200.0 / 3)
-    log_t = m >= 15.0
-    return np.where(log_t, 1000.0 * np.exp((np.log(6.4) / 27.0) * (m - 15.0)), f)
+    return 700.0 * (10.0 ** (np.asarray(m, dtype=np.float64) / 2595.0) - 1.0)
 
 
 def mel_filters(sr: int = SAMPLE_RATE, n_fft: int = N_FFT, n_mels: int = N_MELS, fmin: float = 0.0,
                 fmax: float = 8000.0) -> np.ndarray:
-    """Triangular mel filterbank on the Slaney mel scale with area normalisation (n_mels x (n_fft//2+1))."""
+    """Triangular mel filterbank on the HTK mel scale, peaks of 1, not normalised (n_mels x (n_fft//2+1))."""
     fft_freqs = np.linspace(0, sr / 2, n_fft // 2 + 1)
     mel_pts = _mel_to_hz(np.linspace(_hz_to_mel(fmin), _hz_to_mel(fmax), n_mels + 2))
     fdiff = np.diff(mel_pts)
     ramps = mel_pts[:, None] - fft_freqs[None, :]
     lower = -ramps[:-2] / fdiff[:-1, None]
     upper = ramps[2:] / fdiff[1:, None]
-    w = np.maximum(0, np.minimum(lower, upper))
-    return w * (2.0 / (mel_pts[2:n_mels + 2] - mel_pts[:n_mels]))[:, None]
+    return np.maximum(0, np.minimum(lower, upper))
 
 
 def log_mel_array(wave_arr: np.ndarray, filters: np.ndarray | None = None) -> np.ndarray:
     """J5 for one waveform: periodic Hann STFT (n_fft 400, hop 160, centre reflect padding), power 2, mel,
-    clamp 1e-10, log10, floor at max - 8, (x + 4) / 4, cut/pad to 3000 frames -> 80 x 3000 float32."""
+    clamp 1e-10, log10, floor at the maximum of all frames - 8, (x + 4) / 4, then cut/pad to 3000 frames -> 80 x 3000
+    float32."""
     x = np.asarray(wave_arr, dtype=np.float64)
     x = np.pad(x, (N_FFT // 2, N_FFT // 2), mode="reflect") if len(x) > N_FFT // 2 else \
         np.pad(x, (N_FFT // 2, N_FFT // 2))
@@ -150,7 +143,7 @@ def log_mel_array(wave_arr: np.ndarray, filters: np.ndarray | None = None) -> np
     idx = np.arange(N_FFT)[None, :] + HOP * np.arange(n_frames)[:, None]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(N_FFT) / N_FFT)
     spec = np.abs(np.fft.rfft(x[idx] * window, axis=1)) ** 2
-    spec = spec[:-1].T  # drop the last frame, bins x frames
+    spec = spec.T  # bins x frames
     fb = mel_filters() if filters is None else filters
     mel = fb @ spec
     logm = np.log10(np.maximum(mel, 1e-10))
@@ -180,9 +173,14 @@ def log_mel(df: DataFrame, wave_col: str = "waveform", out_col: str = "log_mel")
     return df.mapInPandas(run, schema)
 
 
-def resize_bilinear(img: np.ndarray, size: int) -> np.ndarray:
-    """Bilinear resize of H x W x C to size x size with half-pixel centres (no corner alignment)."""
+def _height_width(size: int | tuple[int, int]) -> tuple[int, int]:
+    return (size, size) if isinstance(size, int) else (int(size[0]), int(size[1]))
+
+
+def resize_bilinear(img: np.ndarray, size: int | tuple[int, int]) -> np.ndarray:
+    """Bilinear resize of H x W x C to ``size`` (a side, or height and width) with half-pixel centres."""
     h, w = img.shape[:2]
+    out_h, out_w = _height_width(size)
 
     def axis(n_in, n_out):
         pos = (np.arange(n_out) + 0.5) * (n_in / n_out) - 0.5
@@ -190,14 +188,14 @@ def resize_bilinear(img: np.ndarray, size: int) -> np.ndarray:
         lo = np.floor(pos).astype(int)
         hi = np.minimum(lo + 1, n_in - 1)
         return lo, hi, pos - lo
-    y0, y1, fy = axis(h, size)
-    x0, x1, fx = axis(w, size)
+    y0, y1, fy = axis(h, out_h)
+    x0, x1, fx = axis(w, out_w)
     top = img[y0][:, x0] * (1 - fx)[None, :, None] + img[y0][:, x1] * fx[None, :, None]
     bot = img[y1][:, x0] * (1 - fx)[None, :, None] + img[y1][:, x1] * fx[None, :, None]
     return top * (1 - fy)[:, None, None] + bot * fy[:, None, None]
 
 
-def image_array(row_struct, size: int = IMAGE_SIZE, mean: float = IMAGE_MEAN, std: float = IMAGE_STD) -> np.ndarray:
+def image_array(row_struct, size: int | tuple[int, int] = IMAGE_SIZE, mean: float = IMAGE_MEAN, std: float = IMAGE_STD) -> np.ndarray:
     """J3 for one Spark ``image`` struct (BGR bytes): RGB, /255, bilinear resize, (x - mean) / std, C x H x W."""
     h, w, c = int(row_struct["height"]), int(row_struct["width"]), int(row_struct["nChannels"])
     arr = np.frombuffer(bytes(row_struct["data"]), dtype=np.uint8).reshape(h, w, c).astype(np.float64)
@@ -209,20 +207,29 @@ def image_array(row_struct, size: int = IMAGE_SIZE, mean: float = IMAGE_MEAN, st
     return out.transpose(2, 0, 1).astype(np.float32)
 
 
-def image_tensors(spark, path: str, size: int = IMAGE_SIZE, mean: float = IMAGE_MEAN,
+def image_tensors(spark, path: str, size: int | tuple[int, int] = IMAGE_SIZE, mean: float = IMAGE_MEAN,
                   std: float = IMAGE_STD) -> DataFrame:
-    """Spark ``image`` source (JVM decode) -> (path, tensor STRUCT<shape, data>) via numpy per batch."""
+    """Spark ``image`` source (JVM decode) -> (path, tensor STRUCT<shape, data>, error) via numpy, a few images at a
+    time (an output tensor has the same size whatever the picture's). Unreadable images keep their row, with a null
+    tensor and the reason in ``error``."""
     ship_package(spark)
-    imgs = spark.read.format("image").option("dropInvalid", "true").load(path).select("image")
-    feat = "path string, tensor struct<shape: array<int>, data: array<float>>"
+    imgs = spark.read.format("image").option("dropInvalid", "false").load(path).select("image")
+    feat = "path string, tensor struct<shape: array<int>, data: array<float>>, error string"
+
+    def one(im):
+        if im is None or int(im["height"]) <= 0 or int(im["width"]) <= 0:
+            return None, "unreadable image"
+        try:
+            t = image_array(im, size, mean, std)
+        except Exception as e:  # noqa: BLE001 - quarantined with its reason
+            return None, f"unreadable image: {e}"
+        return {"shape": list(t.shape), "data": t.reshape(-1)}, None
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for im in pdf["image"]:
-                t = image_array(im, size, mean, std)
-                out.append((im["origin"], {"shape": list(t.shape), "data": t.reshape(-1)}))
-            yield pd.DataFrame(out, columns=["path", "tensor"])
+            for s in range(0, len(pdf), 16):
+                out = [(im["origin"] if im is not None else None, *one(im)) for im in pdf["image"].iloc[s:s + 16]]
+                yield pd.DataFrame(out, columns=["path", "tensor", "error"])
     return imgs.mapInPandas(run, feat)
 
 
@@ -259,11 +266,15 @@ def hashed_embedding(df: DataFrame, text_col: str, out_col: str = "embedding", d
     return tf.withColumn(out_col, emb).drop("_pf_words", "_pf_tf")
 
 
-def encode_items(df: DataFrame, encoders: dict | None = None, dim: int = 64, idx_col: str = "idx") -> DataFrame:
+def encode_items(df: DataFrame, encoders: dict | None = None, dim: int = 64, idx_col: str = "idx",
+                 missing: str = "error") -> DataFrame:
     """K1: route items (B3 unpivot) by modality, encode, L2-normalise; returns (idx, role, modality, embedding).
 
     ``encoders`` maps modality -> callable(list[value]) -> 2-D array, run per Arrow batch in ``mapInPandas``
-    (model loaded once per Python worker by the callable); text defaults to ``hashed_embedding``."""
+    (model loaded once per Python worker by the callable); text defaults to ``hashed_embedding``. An item of a
+    modality without an encoder fails the job, or with ``missing="null"`` keeps its row with a null embedding."""
+    if missing not in ("error", "null"):
+        raise ValueError("missing must be 'error' or 'null'")
     ship_package(df.sparkSession)
     items = unpivot_items(df, idx_col)
     encoders = encoders or {}
@@ -288,6 +299,11 @@ def encode_items(df: DataFrame, encoders: dict | None = None, dim: int = 64, idx
         elif m == "text":
             parts.append(hashed_embedding(sub.select(idx_col, "role", "modality", "value"), "value", "embedding", dim)
                          .drop("value"))
+    rest = items.where(~F.col("modality").isin("text", *[m for m in mods if m in encoders]))
+    none = F.lit(None).cast("array<double>")
+    if missing == "error":
+        none = F.raise_error(F.concat(F.lit("no encoder for modality "), F.col("modality"))).cast("array<double>")
+    parts.append(rest.select(idx_col, "role", "modality", none.alias("embedding")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -310,14 +326,17 @@ def featurize(df: DataFrame, image_root: str | None = None, audio_root: str | No
     Text items are tokenized (J1); image items join the decoded tensors of ``image_root`` (J3) on their path;
     audio items join the 30 s log-mel features of the WAV files under ``audio_root`` (J4 + J5) on their path.
     Paths are compared relative to the roots (as written in manifests). Output: one row per (idx, role) with
-    ``modality``, ``input_ids`` (text), ``tensor`` (image) or ``log_mel`` (audio); missing media give NULL
-    features (see D1 to list them first). Joins are on the path key: equi-joins on bulk-processed tables."""
+    ``modality``, ``input_ids`` (text), ``tensor`` (image) or ``log_mel`` (audio); missing media, and all items of a
+    modality without a root, keep their row with NULL features (see D1 to list them first). Joins are on the path key: equi-joins on bulk-processed tables."""
     from pairforge.sources.media import _strip_root
     spark = df.sparkSession
     items = unpivot_items(df, idx_col)
     text = tokenize(items.where(F.col("modality") == "text"), "value", max_len).select(
         idx_col, "role", "modality", "input_ids")
     parts = [text]
+    for m, root in (("image", image_root), ("audio", audio_root)):
+        if not root:  # items stay, without features
+            parts.append(items.where(F.col("modality") == m).select(idx_col, "role", "modality"))
     if image_root:
         imgs = image_tensors(spark, image_root, image_size).withColumn("value", _strip_root("path", image_root))
         parts.append(items.where(F.col("modality") == "image")

@@ -129,7 +129,7 @@ def group_index_stats(df: DataFrame, group_cols: Sequence[str], order: Sequence[
 
 
 def take_first(df: DataFrame, n: int | None, order: Sequence[str | Column], zero_means_all: bool = True) -> DataFrame:
-    """The first ``n`` rows in ``order``, by index rather than an unordered ``limit``.
+    """The first ``n`` rows in ``order``, a limit over a total order.
 
     Source limits use ``n <= 0`` = all; ``max_records`` uses ``None`` = all and rejects 0.
     """
@@ -137,18 +137,16 @@ def take_first(df: DataFrame, n: int | None, order: Sequence[str | Column], zero
         return df
     if n <= 0:
         raise ValueError("max_records must be positive")
-    return global_index(df, order, "_pf_take").df.where(F.col("_pf_take") < n).drop("_pf_take")
+    return df.orderBy(*_cols(order)).limit(n)  # a top-k per partition, merged; large n become a sort
 
 
 def running_sum(df: DataFrame, order: Sequence[str | Column], value_col: str, out_col: str = "running",
                 num_partitions: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``value_col`` in ``order`` without a single-partition window.
+    """Inclusive running sum of ``value_col`` (null counts as 0) in ``order`` without a single-partition window.
 
     Same staging as P1 (range partition, sort, checkpoint); each partition's total is collected (one number
-    per partition), and inside a partition the sum runs in ``mapInPandas`` with a carry across Arrow batches
-    (a partition's batches arrive in order)."""
-    import pandas as pd  # noqa: F401 - used inside the task
-    from pyspark.sql import types as T
+    per partition), and inside a partition the sum is a window over that partition."""
+    from pyspark.sql import Window
 
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -156,24 +154,14 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value_col: str, ou
     staged = (_range(df, keys, num_partitions).sortWithinPartitions(*keys)
                 .withColumn(_MONO, F.monotonically_increasing_id()).checkpoint(eager=True))
     part = F.shiftright(F.col(_MONO), _POS_BITS).cast("int")
-    sums = sorted(tuple(r) for r in staged.groupBy(part.alias("p")).agg(F.sum(value_col)).collect())
+    kind = staged.schema[value_col].dataType
+    value = F.coalesce(F.col(value_col), F.lit(0))
+    sums = sorted(tuple(r) for r in staged.groupBy(part.alias("p")).agg(F.sum(value)).collect())
     offsets = [0] * ((sums[-1][0] + 1) if sums else 1)
     run = 0
     for p, v in sums:
         offsets[p] = run
         run += v or 0
-    schema = T.StructType(staged.schema.fields + [T.StructField(out_col, staged.schema[value_col].dataType)])
-
-    def cumulate(batches):
-        carry = None
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if carry is None:
-                carry = offsets[int(pdf[_MONO].iloc[0]) >> _POS_BITS]
-            c = pdf[value_col].fillna(0).cumsum() + carry
-            carry = c.iloc[-1]
-            pdf = pdf.copy()
-            pdf[out_col] = c
-            yield pdf
-    return staged.mapInPandas(cumulate, schema).drop(_MONO)
+    here = F.sum(value).over(Window.partitionBy(part).orderBy(_MONO))
+    before = F.element_at(F.array(*[F.lit(x) for x in offsets]), part + 1)
+    return staged.withColumn(out_col, (here + before).cast(kind)).drop(_MONO)

@@ -1,10 +1,10 @@
 """Loss and retrieval metrics: D5 batch scores, L1 MNRL, L2 top-1, L3 evaluation, L4 MNRL with negatives,
 L5 Matryoshka loss, D6 retrieval top-k, L6 IR metrics, L7 quality gate.
 
-In-batch scoring never emits the B x B pairs as rows: each batch (bounded by the batch size) is one
-``applyInPandas`` group holding a numpy matrix product; only per-row results come back. Retrieval scores a
-bounded query block (checked against ``max_queries`` before it is collected and broadcast) against the
-corpus partition by partition in ``mapInPandas``; only counts or partial top-k leave the tasks.
+In-batch scoring never emits the B x B pairs as rows: each batch (bounded by the batch size, which is checked) is one
+``applyInPandas`` group holding a numpy matrix product; only per-row results come back. Retrieval scores the queries
+in blocks of at most ``QUERY_BLOCK`` rows, any number of them: each block is collected, broadcast and scored against
+the corpus partition by partition in ``mapInPandas``; only counts or one top-k per partition leave the tasks.
 """
 
 from __future__ import annotations
@@ -19,14 +19,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairforge.functions.vectors import l2_normalize
+from pairforge.operators.index import global_index
 
 # Reference defaults.
 DEFAULT_SCALE = 20.0
 GATE_MIN_TOP1 = 0.85
 GATE_MAX_LOSS = 0.45
 IR_KS = (1, 3, 5, 10)
-IR_MAX_ROWS = 2048
+QUERY_BLOCK = 2048
+# Rows of one in-batch score matrix: 8,192 x 8,192 doubles are 0.5 GB.
+MAX_BATCH_ROWS = 8192
 MATRYOSHKA_DIMS = (1024, 768, 512, 256, 128, 64)
 # Retrieval scores are compared at 1e-9 resolution, so duplicate documents tie (then doc id decides) whatever
 # the summation order of the engine.
@@ -53,15 +55,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _in_batch(scale: float, use_negative: bool, cosine: bool):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pair_id")
-        a, p = _stack(pdf["q"]), _stack(pdf["p"])
+def _in_batch(scale: float, use_negative: bool, cosine: bool, dims: Sequence[int] | None):
+    def rows(pdf: pd.DataFrame, dim: int | None) -> pd.DataFrame:
+        a, p = _stack(pdf["q"])[:, :dim], _stack(pdf["p"])[:, :dim]
         if cosine:
             a, p = _unit(a), _unit(p)
         s = a @ p.T * scale
         if use_negative:
-            n = _stack(pdf["n"])
+            n = _stack(pdf["n"])[:, :dim]
             if cosine:
                 n = _unit(n)
             cand = np.hstack([s, a @ n.T * scale])
@@ -72,23 +73,28 @@ def _in_batch(scale: float, use_negative: bool, cosine: bool):
         ids = pdf["pair_id"].to_numpy()
         cand_ids = np.concatenate([ids, ids]) if use_negative else ids
         return pd.DataFrame({
-            "group_key": pdf["group_key"].to_numpy(), "batch_id": pdf["batch_id"].to_numpy(), "pair_id": ids,
+            "group_key": "" if dim is None else str(dim), "batch_id": pdf["batch_id"].to_numpy(), "pair_id": ids,
             "diag": diag, "row_max": cand.max(axis=1), "argmax_pair": cand_ids[best],
             "row_lse": _lse(cand, 1), "col_lse": _lse(s, 0), "hit": (best == np.arange(len(ids))).astype("int32")})
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) > MAX_BATCH_ROWS:
+            raise ValueError(f"a batch has {len(pdf)} rows; a score matrix takes at most {MAX_BATCH_ROWS}")
+        pdf = pdf.sort_values("pair_id")
+        return pd.concat([rows(pdf, d) for d in (dims or [None])], ignore_index=True)
     return fn
 
 
 def batch_scores(pairs: DataFrame, scale: float = DEFAULT_SCALE, use_negative: bool = False,
-                 cosine: bool = False, group_cols: Sequence[str] = ()) -> DataFrame:
+                 cosine: bool = False, dims: Sequence[int] | None = None) -> DataFrame:
     """Per query row of each batch: diagonal score, best score and its pair, row/column log-sum-exp.
 
-    Input: ``batch_id``, ``pair_id``, ``q``, ``p`` (and ``n`` with ``use_negative``); ``group_cols`` adds outer
-    grouping (e.g. the Matryoshka dim). Scores = q . p * scale (cosine when asked)."""
+    Input: ``batch_id``, ``pair_id``, ``q``, ``p`` (and ``n`` with ``use_negative``). With ``dims`` each batch is scored
+    once per dimension on truncated vectors (``group_key`` = the dimension), from one shuffle of the whole vectors.
+    Scores = q . p * scale (cosine when asked). A batch is at most ``MAX_BATCH_ROWS`` rows."""
     ship_package(pairs.sparkSession)
-    key = F.concat_ws("|", *[F.col(c).cast("string") for c in group_cols]) if group_cols else F.lit("")
     cols = ["batch_id", "pair_id", "q", "p"] + (["n"] if use_negative else [])
-    staged = pairs.select(key.alias("group_key"), *cols)
-    return staged.groupBy("group_key", "batch_id").applyInPandas(_in_batch(scale, use_negative, cosine), _ROW_SCHEMA)
+    return pairs.select(*cols).groupBy("batch_id").applyInPandas(_in_batch(scale, use_negative, cosine, dims), _ROW_SCHEMA)
 
 
 def batch_mnrl(pairs: DataFrame, scale: float = DEFAULT_SCALE) -> DataFrame:
@@ -102,16 +108,21 @@ def batch_mnrl(pairs: DataFrame, scale: float = DEFAULT_SCALE) -> DataFrame:
         F.avg("hit").alias("top1"))
 
 
-def evaluate_pairs(pairs: DataFrame, scale: float = DEFAULT_SCALE) -> DataFrame:
-    """L3: unweighted mean over batches of the per-batch loss and top-1 (short last batch counts fully)."""
+def evaluate_pairs(pairs: DataFrame, scale: float = DEFAULT_SCALE, max_samples: int | None = None) -> DataFrame:
+    """L3: unweighted mean over batches of the per-batch loss and top-1 (short last batch counts fully).
+    ``max_samples`` evaluates only the first so many pairs by (batch_id, pair_id)."""
+    if max_samples is not None:
+        if max_samples <= 0:
+            raise ValueError("max_samples must be positive")
+        pairs = pairs.orderBy("batch_id", "pair_id").limit(max_samples)
     per = batch_mnrl(pairs, scale)
     return per.agg(F.avg("loss").alias("eval_loss"), F.avg("top1").alias("eval_top1"),
                    F.count(F.lit(1)).alias("num_batches"))
 
 
-def mnrl_with_negatives(triples: DataFrame, scale: float = DEFAULT_SCALE, group_cols: Sequence[str] = ()) -> DataFrame:
-    """L4: per batch, one-directional CE of each query against batch positives and batch negatives, cosine."""
-    rows = batch_scores(triples, scale, use_negative=True, cosine=True, group_cols=group_cols)
+def mnrl_with_negatives(triples: DataFrame, scale: float = DEFAULT_SCALE, dims: Sequence[int] | None = None) -> DataFrame:
+    """L4: per batch (and dimension), one-directional CE of each query against batch positives and batch negatives, cosine."""
+    rows = batch_scores(triples, scale, use_negative=True, cosine=True, dims=dims)
     return rows.groupBy("group_key", "batch_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("row_lse") - F.col("diag")).alias("loss"), F.avg("hit").alias("top1"))
 
@@ -119,105 +130,113 @@ def mnrl_with_negatives(triples: DataFrame, scale: float = DEFAULT_SCALE, group_
 def matryoshka_loss(triples: DataFrame, dims: Sequence[int] = MATRYOSHKA_DIMS,
                     scale: float = DEFAULT_SCALE) -> DataFrame:
     """Per batch, sum over dims (weight 1 each) of L4 on vectors truncated to the first d dimensions
-    (a dim at or above the vector length uses the whole vector)."""
-    staged = triples.withColumn("dim", F.explode(F.array(*[F.lit(int(d)) for d in dims])))
-    staged = staged.withColumn("q", F.slice("q", 1, F.col("dim"))).withColumn("p", F.slice("p", 1, F.col("dim"))) \
-                   .withColumn("n", F.slice("n", 1, F.col("dim")))
-    per = mnrl_with_negatives(staged, scale, group_cols=["dim"])
+    (a dim at or above the vector length uses the whole vector). The vectors are shuffled once, not once per dim."""
+    per = mnrl_with_negatives(triples, scale, dims=[int(d) for d in dims])
     return per.groupBy("batch_id").agg(F.sum("loss").alias("loss"), F.count(F.lit(1)).alias("num_dims"))
 
 
-def _collect_bounded(df: DataFrame, id_col: str, vec_col: str, max_rows: int):
-    n = df.count()
-    if n > max_rows:
-        raise ValueError(f"query block of {n} rows is above the broadcast bound {max_rows}")
-    rows = sorted((int(r[0]), r[1]) for r in df.select(id_col, vec_col).collect())
-    ids = np.asarray([r[0] for r in rows], dtype=np.int64)
-    mat = np.stack([np.asarray(r[1], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
-    return ids, mat
+def _blocks(rows: DataFrame, order: Sequence[str], size: int):
+    """``rows`` in blocks of at most ``size`` (by position in ``order``), collected one block at a time."""
+    ix = global_index(rows, list(order), "_pf_at")
+    for s in range(0, ix.total, size):
+        yield ix.df.where((F.col("_pf_at") >= s) & (F.col("_pf_at") < s + size)).orderBy("_pf_at").drop("_pf_at").collect()
+
 
+def _merge_top(best: tuple, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
+    """The running top ``k`` (ids, scores) per query with another batch of docs: score desc, id asc."""
+    if scores.shape[1] > k:
+        # everything that scores at least the k-th best may matter, ties included
+        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1:k]
+        cols = np.flatnonzero((scores >= kth).any(axis=0))
+        ids, scores = ids[cols], scores[:, cols]
+    all_ids = np.hstack([best[0], np.broadcast_to(ids, scores.shape)]) if best is not None else np.broadcast_to(ids, scores.shape)
+    all_scores = np.hstack([best[1], scores]) if best is not None else scores
+    order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
+    return np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
 
-def retrieval_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, max_queries: int = IR_MAX_ROWS) -> DataFrame:
+
+def retrieval_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
     """Top-k corpus docs per query by cosine, ties by doc id. Input: queries (query_id, vec), corpus
-    (doc_id, vec). The query block (bounded) is broadcast; each corpus partition emits its partial top-k per
-    query; a per-query window keeps the final k (k x partitions rows per query)."""
+    (doc_id, vec). Queries are scored a block at a time; each corpus partition keeps a running top-k per query of the
+    block and emits it once; a per-query window keeps the final k (k x partitions rows per query)."""
     ship_package(queries.sparkSession)
     spark = queries.sparkSession
-    qids, qmat = _collect_bounded(queries.select("query_id", l2_normalize("vec").alias("vec")), "query_id", "vec",
-                                  max_queries)
-    bq = spark.sparkContext.broadcast((qids, qmat))
-    schema = "query_id long, doc_id long, score double"
-
-    def part(batches):
-        ids, qm = bq.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            d = _unit(_stack(pdf["vec"]))
-            s = np.round(qm @ d.T, SCORE_DECIMALS)  # queries x docs
-            docs = pdf["doc_id"].to_numpy()
-            kk = min(k, s.shape[1])
-            order = np.lexsort((np.broadcast_to(docs, s.shape), -s), axis=1)[:, :kk]
-            rows = np.repeat(np.arange(len(ids)), kk)
-            cols = order.reshape(-1)
-            yield pd.DataFrame({"query_id": ids[rows], "doc_id": docs[cols], "score": s[rows, cols]})
-    partial = corpus.select("doc_id", l2_normalize("vec").alias("vec")).mapInPandas(part, schema)
+    docs = corpus.select("doc_id", "vec")
+    out = None
+    for rows in _blocks(queries.select("query_id", "vec"), ["query_id"], block):
+        shared = spark.sparkContext.broadcast((np.asarray([r[0] for r in rows], dtype=np.int64), _unit(_stack([r[1] for r in rows]))))
+
+        def part(batches, shared=shared):
+            ids, qm = shared.value
+            best = None
+            for pdf in batches:
+                for s in range(0, len(pdf), 4096):
+                    p = pdf.iloc[s:s + 4096]
+                    scores = np.round(qm @ _unit(_stack(p["vec"])).T, SCORE_DECIMALS)
+                    best = _merge_top(best, p["doc_id"].to_numpy(), scores, k)
+            if best is not None:
+                n = best[0].shape[1]
+                yield pd.DataFrame({"query_id": np.repeat(ids, n), "doc_id": best[0].reshape(-1), "score": best[1].reshape(-1)})
+        found = docs.mapInPandas(part, "query_id long, doc_id long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return partial.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def relevant_ranks(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, max_queries: int = IR_MAX_ROWS) -> DataFrame:
-    """Rank (1-based, cosine desc, ties by doc id) of each query's relevant doc: 1 + number of corpus docs that
-    beat it. Counts are summed per query over corpus partitions, so no score row leaves a task."""
+def relevant_ranks(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, doc_id, rank) of every relevant pair: rank 1-based, cosine desc, ties by doc id: 1 + number of corpus
+    docs that beat it; null if the doc isn't in the corpus. Pairs whose query is missing are left out. Pairs are scored
+    a block at a time; counts are summed over corpus partitions, so no score row leaves a task."""
     ship_package(queries.sparkSession)
     spark = queries.sparkSession
-    qn = queries.select("query_id", l2_normalize("vec").alias("vec"))
-    rel = (qrels.join(qn, "query_id")
-                .join(corpus.select("doc_id", l2_normalize("vec").alias("dvec")), "doc_id")
-                .select("query_id", "doc_id", F.aggregate(F.zip_with("vec", "dvec", lambda a, b: a * b),
-                                                          F.lit(0.0).cast("double"), lambda s, x: s + x).alias("rel")))
-    relrows = sorted((int(r[0]), int(r[1]), round(float(r[2]), SCORE_DECIMALS)) for r in rel.collect())
-    if len(relrows) > max_queries:
-        raise ValueError(f"{len(relrows)} relevant pairs above the broadcast bound {max_queries}")
-    qids, qmat = _collect_bounded(qn, "query_id", "vec", max_queries)
-    pos = {q: i for i, q in enumerate(qids.tolist())}
-    order = np.asarray([pos[q] for q, _, _ in relrows], dtype=np.int64)
-    rdoc = np.asarray([d for _, d, _ in relrows], dtype=np.int64)
-    rscore = np.asarray([s for _, _, s in relrows], dtype=np.float64)
-    rq = np.asarray([q for q, _, _ in relrows], dtype=np.int64)
-    b = spark.sparkContext.broadcast((qmat[order] if len(order) else qmat, rq, rdoc, rscore))
-
-    def part(batches):
-        qm, q_ids, d_rel, s_rel = b.value
-        acc = np.zeros(len(q_ids), dtype=np.int64)
-        for pdf in batches:
-            if not len(pdf) or not len(q_ids):
-                continue
-            d = _unit(_stack(pdf["vec"]))
-            docs = pdf["doc_id"].to_numpy()
-            s = np.round(qm @ d.T, SCORE_DECIMALS)
-            better = (s > s_rel[:, None]) | ((s == s_rel[:, None]) & (docs[None, :] < d_rel[:, None]))
-            better &= docs[None, :] != d_rel[:, None]
-            acc += better.sum(axis=1)
-        yield pd.DataFrame({"query_id": q_ids, "beaten": acc})
-    counts = corpus.select("doc_id", "vec").mapInPandas(part, "query_id long, beaten long")
-    return counts.groupBy("query_id").agg((F.sum("beaten") + 1).alias("rank"))
+    pairs = (qrels.select("query_id", "doc_id").distinct().join(queries.select("query_id", "vec"), "query_id")
+             .join(corpus.select("doc_id", F.col("vec").alias("dvec")), "doc_id", "left").select("query_id", "doc_id", "vec", "dvec"))
+    docs = corpus.select("doc_id", "vec")
+    out = pairs.where(F.col("dvec").isNull()).select("query_id", "doc_id", F.lit(None).cast("long").alias("beaten"))
+    for rows in _blocks(pairs.where(F.col("dvec").isNotNull()), ["query_id", "doc_id"], block):
+        q, d = _unit(_stack([r["vec"] for r in rows])), _unit(_stack([r["dvec"] for r in rows]))
+        shared = spark.sparkContext.broadcast((q, np.asarray([r["query_id"] for r in rows], dtype=np.int64),
+                                               np.asarray([r["doc_id"] for r in rows], dtype=np.int64),
+                                               np.round((q * d).sum(axis=1), SCORE_DECIMALS)))
+
+        def part(batches, shared=shared):
+            qm, q_ids, d_rel, s_rel = shared.value
+            acc = np.zeros(len(q_ids), dtype=np.int64)
+            for pdf in batches:
+                for s in range(0, len(pdf), 4096):
+                    p = pdf.iloc[s:s + 4096]
+                    ids = p["doc_id"].to_numpy()
+                    scores = np.round(qm @ _unit(_stack(p["vec"])).T, SCORE_DECIMALS)
+                    better = (scores > s_rel[:, None]) | ((scores == s_rel[:, None]) & (ids[None, :] < d_rel[:, None]))
+                    acc += (better & (ids[None, :] != d_rel[:, None])).sum(axis=1)
+            yield pd.DataFrame({"query_id": q_ids, "doc_id": d_rel, "beaten": acc})
+        out = out.unionByName(docs.mapInPandas(part, "query_id long, doc_id long, beaten long"))
+    return out.groupBy("query_id", "doc_id").agg((F.sum("beaten") + 1).alias("rank"))
 
 
 def ir_metrics(ranks: DataFrame, ks: Sequence[int] = IR_KS) -> DataFrame:
-    """L6 from the rank of the single relevant doc per query: accuracy@k, precision@k, recall@k, MRR@10,
-    NDCG@10, MAP@100 (cosine)."""
-    r = F.col("rank")
-    aggs = []
+    """L6 from the ranks of each query's relevant docs (null: not in the corpus, so never found): accuracy@k,
+    precision@k, recall@k, MRR@10, NDCG@10, MAP@100 (cosine), averaged over queries."""
+    per = ranks.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("rank")).alias("r"))
+
+    def hits(k):
+        return F.size(F.filter("r", lambda x: x <= k))
+    cols, aggs = [], []
     for k in ks:
-        hit = F.when(r <= k, 1.0).otherwise(0.0)
-        aggs += [F.avg(hit).alias(f"accuracy_at_{k}"), F.avg(hit / k).alias(f"precision_at_{k}"),
-                 F.avg(hit).alias(f"recall_at_{k}")]
-    aggs += [F.avg(F.when(r <= 10, 1.0 / r).otherwise(0.0)).alias("mrr_at_10"),
-             F.avg(F.when(r <= 10, 1.0 / F.log2(r + 1)).otherwise(0.0)).alias("ndcg_at_10"),
-             F.avg(F.when(r <= 100, 1.0 / r).otherwise(0.0)).alias("map_at_100"),
-             F.count(F.lit(1)).alias("num_queries")]
-    return ranks.agg(*aggs)
+        cols += [F.when(hits(k) > 0, 1.0).otherwise(0.0).alias(f"accuracy_at_{k}"), (hits(k) / F.lit(float(k))).alias(f"precision_at_{k}"),
+                 (hits(k) / F.col("n")).alias(f"recall_at_{k}")]
+    zero = F.lit(0.0)
+    best = F.array_min("r")
+    gain = F.aggregate(F.filter("r", lambda x: x <= 10), zero, lambda a, x: a + 1.0 / F.log2(x + 1.0))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(10)).cast("int")), zero, lambda a, i: a + 1.0 / F.log2(i + 1.0))
+    precisions = F.transform(F.filter("r", lambda x: x <= 100), lambda x, i: (i + 1.0) / x)
+    cols += [F.when(best <= 10, 1.0 / best).otherwise(0.0).alias("mrr_at_10"), (gain / ideal).alias("ndcg_at_10"),
+             (F.aggregate(precisions, zero, lambda a, x: a + x) / F.least(F.col("n"), F.lit(100))).alias("map_at_100")]
+    scored = per.select("query_id", *cols)
+    aggs = [F.avg(c).alias(c) for c in scored.columns if c != "query_id"]
+    return scored.agg(*aggs, F.count(F.lit(1)).alias("num_queries"))
 
 
 def quality_gate(metrics: DataFrame, min_top1: float | None = GATE_MIN_TOP1,

@@ -84,5 +84,4 @@ def unsupported_modalities(df: DataFrame, supported: Iterable[str] | None, idx_c
 def raise_unsupported(df: DataFrame, supported: Iterable[str]) -> None:
     rows = sorted(r["modality"] for r in unsupported_modalities(df, supported).collect())
     if rows:
-        raise ValueError(f"Model does not support dataset modalities: {', '.join(rows)}. "
-                         f"Supported modalities: {', '.join(sorted(set(supported)))}.")
+        raise ValueError(f"the model takes {', '.join(sorted(set(supported)))}, but the data also has {', '.join(rows)}")

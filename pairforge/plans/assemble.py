@@ -37,7 +37,9 @@ def assemble(groups: Sequence[tuple[str, Sequence[DataFrame]]], val_fraction: fl
     """Build the interleaved manifest from ``[(group_name, [source_df, ...]), ...]`` in order.
 
     Each source is a record table (``RECORD_COLUMNS``) ordered by ``k``; sources of a group are concatenated
-    in the given order (e.g. captions then chat for images); ring negatives are per source.
+    in the given order (e.g. captions then chat for images); ring negatives are per source. Instead of a DataFrame a
+    source may be ``(DataFrame, names)``: one table of many sources, told apart by its ``source`` column and
+    concatenated in the order of ``names``; it is scanned once, whatever their number.
 
     ``values=False`` builds the positional skeleton only (keys, types, negatives' presence, split): the value
     columns are NULL and never enter the P1 checkpoint, which Catalyst cannot prune through. Plans that need
@@ -45,9 +47,15 @@ def assemble(groups: Sequence[tuple[str, Sequence[DataFrame]]], val_fraction: fl
     """
     keep = RECORD_COLUMNS if values else [c for c in RECORD_COLUMNS if not c.endswith("_value")]
     parts = []
+    numbers = []  # sources per group
     for g, (_, sources) in enumerate(groups):
-        for s, src in enumerate(sources):
-            parts.append(src.select(*keep).withColumn("_g", F.lit(g)).withColumn("_s", F.lit(s)))
+        s = 0
+        for src in sources:
+            df, names = src if isinstance(src, tuple) else (src, None)
+            at = F.lit(s) if names is None else (F.array_position(F.lit(list(names)).cast("array<string>"), F.col("source")).cast("int") + F.lit(s - 1))
+            parts.append(df.select(*keep).withColumn("_g", F.lit(g)).withColumn("_s", at))
+            s += 1 if names is None else len(names)
+        numbers.append(s)
     if not parts:
         raise ValueError("no sources")
     union = reduce(lambda a, b: a.unionByName(b), parts)
@@ -62,9 +70,9 @@ def assemble(groups: Sequence[tuple[str, Sequence[DataFrame]]], val_fraction: fl
     # ordered concatenation inside each group: offset of the source + position in the source
     offset = F.lit(0).cast("bigint")
     group_sizes = []
-    for g, (_, sources) in enumerate(groups):
+    for g in range(len(groups)):
         run = 0
-        for s in range(len(sources)):
+        for s in range(numbers[g]):
             if run:
                 offset = F.when((F.col("_g") == g) & (F.col("_s") == s), F.lit(run)).otherwise(offset)
             run += src_sizes.get((g, s), 0)

@@ -13,8 +13,6 @@ from pairforge.operators.index import group_index
 from pairforge.sources.tables import first_assistant_turn
 
 NL = "\n"
-# The three documents sources used as audio sources, in requested order.
-AUDIO_SOURCES = ("src0", "src1", "src2")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +53,14 @@ def fx_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FX4: transcribed-audio shape (k, source, text = the whole document) from documents of the audio sources."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return d.where(F.col("source").isin(*AUDIO_SOURCES)).select(F.col("doc_id").alias("k"), "source", "text")
+    """FX4: transcribed-audio shape (k, source, text = the whole document) from all documents."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("k"), "source", "text")
+
+
+def audio_sources(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Names of the transcript sources (one row per source), in name order: the order of their concatenation."""
+    names = table(spark, sf_dir, "documents").select("source").distinct().collect()
+    return sorted(r[0] for r in names if r[0] is not None)
 
 
 def fx_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +77,7 @@ def fx_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     sys_flag = conv.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "system", 1).otherwise(0)).alias("s"))
     chat_paths = sys_flag.select(F.when(F.col("s") == 1, F.format_string("images/conv_%06d.jpg", "conv_id"))
                                   .otherwise(F.format_string("conv_%06d.jpg", "conv_id")).alias("path"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source").where(F.col("source").isin(*AUDIO_SOURCES))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     lab = table(spark, sf_dir, "labels").select("doc_id")
     ranked = group_index(docs, ["source"], ["doc_id"], pos_col="idx", size_col=None)
     audio = (ranked.join(lab, "doc_id", "left_semi")
@@ -84,12 +87,11 @@ def fx_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_pairs(spark: SparkSession, sf_dir: str, batch_size: int = 32) -> DataFrame:
     """FX7: embedding pairs. Every row is used: pair i = vec_id div 2, query = the even id, positive = the odd
-    one (a bounded group of two); batch = pair div batch_size."""
+    one, or itself for a last vector without a partner (a bounded group of two); batch = pair div batch_size."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     g = (e.groupBy(F.floor(F.col("vec_id") / 2).alias("pair_id"))
-          .agg(F.count(F.lit(1)).alias("_n"), F.min_by("embedding", "vec_id").alias("q"),
-               F.max_by("embedding", "vec_id").alias("p")))
-    return g.where(F.col("_n") == 2).select("pair_id", F.floor(F.col("pair_id") / batch_size).alias("batch_id"), "q", "p")
+          .agg(F.min_by("embedding", "vec_id").alias("q"), F.max_by("embedding", "vec_id").alias("p")))
+    return g.select("pair_id", F.floor(F.col("pair_id") / batch_size).alias("batch_id"), "q", "p")
 
 
 def fx_triples(spark: SparkSession, sf_dir: str, batch_size: int = 32) -> DataFrame:

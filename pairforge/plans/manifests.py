@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from pairforge.plans.assemble import Manifest, assemble
-from pairforge.plans.fixtures import AUDIO_SOURCES, fx_captions, fx_chats, fx_questions, fx_transcripts
+from pairforge.plans.fixtures import audio_sources, fx_captions, fx_chats, fx_questions, fx_transcripts
 from pairforge.sources.tables import caption_pairs, chat_caption_pairs, qqp_pairs, transcript_pairs
 
 
 def source_groups(spark: SparkSession, sf_dir: str, inventory: DataFrame | None = None):
-    """FX8 groups: text = questions; image = captions then chat; audio = src0, src1, src2 in that order."""
+    """FX8 groups: text = questions; image = captions then chat; audio = every transcript source, by name."""
     text = qqp_pairs(fx_questions(spark, sf_dir))
     captions = caption_pairs(fx_captions(spark, sf_dir), inventory=inventory, source="caption")
     chats = chat_caption_pairs(fx_chats(spark, sf_dir), inventory=inventory, source="chat")
     audio = transcript_pairs(fx_transcripts(spark, sf_dir), "transcripts", source_col="source")
-    audio_sources = [audio.where(F.col("source") == s) for s in AUDIO_SOURCES]
-    return [("text", [text]), ("image", [captions, chats]), ("audio", audio_sources)]
+    return [("text", [text]), ("image", [captions, chats]), ("audio", [(audio, audio_sources(spark, sf_dir))])]
 
 
 def training_manifest(spark: SparkSession, sf_dir: str, val_fraction: float | None = 0.1,

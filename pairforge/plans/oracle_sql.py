@@ -32,14 +32,14 @@ AUDIO_SRC = """audio_src AS (
          text AS positive_value, source
   FROM (SELECT doc_id AS k, source, text,
                row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx
-        FROM documents WHERE source IN ('src0', 'src1', 'src2'))
+        FROM documents)
   WHERE text <> '')"""
 
 MANIFEST = """all_src AS (
   SELECT *, 0 AS g, 0 AS s FROM text_src
   UNION ALL SELECT *, 1, 0 FROM cap_src
   UNION ALL SELECT *, 1, 1 FROM chat_src
-  UNION ALL SELECT *, 2, CASE source WHEN 'src0' THEN 0 WHEN 'src1' THEN 1 ELSE 2 END FROM audio_src),
+  UNION ALL SELECT *, 2, dense_rank() OVER (ORDER BY source) - 1 FROM audio_src),
 ringed AS (
   SELECT *,
          CASE WHEN count(*) OVER w > 1 THEN 'text' END AS negative_type,
@@ -74,7 +74,7 @@ INVENTORY = """inventory AS (
   UNION ALL
   SELECT printf('%s_%06d.wav', source, idx)
   FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS idx
-        FROM documents WHERE source IN ('src0', 'src1', 'src2'))
+        FROM documents)
   WHERE doc_id IN (SELECT doc_id FROM labels))"""
 
 PARSED = """parsed AS (
@@ -101,7 +101,7 @@ def payload_cols(role: str, out: str | None = None, src: str | None = None) -> s
 
 PAIRS = """pairs AS (
   SELECT vec_id // 2 AS pair_id, arg_min(embedding, vec_id) AS q0, arg_max(embedding, vec_id) AS p0
-  FROM embeddings GROUP BY 1 HAVING count(*) = 2),
+  FROM embeddings GROUP BY 1),
 fx AS (SELECT pair_id, pair_id // 32 AS batch_id, CAST(q0 AS DOUBLE[]) AS q, CAST(p0 AS DOUBLE[]) AS p FROM pairs),
 tri AS (
   SELECT pair_id, batch_id, q, p,

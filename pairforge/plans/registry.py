@@ -427,6 +427,15 @@ def q_pad_shard(spark, sf):
     return sh.pad_shard(_shards(spark, sf), 64).select("shard_id", "idx", "padded_pos")
 
 
+@register("f4_pad_keeps_large_shards", osql.with_manifest_and(SHARDS, """sizes AS (SELECT shard_id, count(*) AS n FROM shards GROUP BY shard_id)""") + """
+SELECT s.shard_id, s.idx, r * z.n + s.shard_pos AS padded_pos
+FROM shards s JOIN sizes z USING (shard_id), LATERAL (SELECT unnest(range(0, CAST(greatest(1, ceil(40 / z.n)) AS BIGINT))) AS r)
+WHERE r = 0 OR r * z.n + s.shard_pos < 40""")
+def q_pad_large(spark, sf):
+    """F4 to a target below the size of most shards: those stay whole."""
+    return sh.pad_shard(_shards(spark, sf), 40).select("shard_id", "idx", "padded_pos")
+
+
 @register("f5_rank_rows", osql.with_manifest("""
 SELECT idx, matched_index, CAST(matched_index % 6 AS INTEGER) AS slot, CAST(floor((matched_index % 6) / 2) AS INTEGER) AS rank,
        CAST(matched_index % 6 % 2 AS INTEGER) AS worker
@@ -539,7 +548,7 @@ def q_pattern(spark, sf):
 
 @register("h5_modality_batches", osql.with_manifest("""
 , rows AS (
-  SELECT idx, ['text', 'image', 'audio'][idx % 3 + 1] AS modality, CAST(floor(idx / 3) AS BIGINT) AS j FROM manifest),
+  SELECT idx, query_type AS modality, idx AS j FROM manifest),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY modality ORDER BY md5(concat_ws(':', '42', modality, CAST(j AS VARCHAR))), j) - 1 AS r,
          count(*) OVER (PARTITION BY modality) AS n
@@ -557,6 +566,36 @@ def q_modality_batches(spark, sf):
     return bat.modality_batches(m, ["text", "image", "audio"], 12, seed=42, epoch=0)
 
 
+@register("h5_mixed_batches", """
+SELECT CAST(0 AS BIGINT) AS mixed_batches""")
+def q_mixed_batches(spark, sf):
+    """H5 over all rows: batches that hold more than one true query modality (none may)."""
+    m = training_manifest(spark, sf, values=False).df
+    plan = bat.modality_batches(m, ["text", "image", "audio"], 12).join(m.select("idx", "query_type"), "idx")
+    per = plan.groupBy("batch_order").agg(F.count_distinct("query_type").alias("n"))
+    return per.agg(F.count_if(F.col("n") > 1).alias("mixed_batches"))
+
+
+@register("h4_detect_interleave", osql.with_manifest("""
+SELECT 'manifest' AS rows_of, count(*) FILTER (WHERE query_type <> ['text', 'image', 'audio'][idx % 3 + 1]) = 0 AS interleaved
+FROM manifest
+UNION ALL SELECT 'items', count(*) > 0 FROM documents"""))
+def q_detect(spark, sf):
+    """H4 on every row: the manifest, whose groups end at different rows, and one text, image and audio row per document."""
+    m = training_manifest(spark, sf, values=False).df
+    items = global_index(_docs(spark, sf).select("doc_id"), ["doc_id"], "pos").df.select(
+        F.posexplode(F.array(F.lit("text"), F.lit("image"), F.lit("audio"))).alias("slot", "query_type"), "pos")
+    items = items.select((F.col("pos") * 3 + F.col("slot")).alias("idx"), "query_type")
+
+    def ok(df):
+        try:
+            bat.detect_interleave(df, verify_all=True)
+        except ValueError:
+            return False
+        return True
+    return spark.createDataFrame([("manifest", ok(m)), ("items", ok(items))], "rows_of string, interleaved boolean")
+
+
 @register("h6_no_duplicate_batches")
 def q_no_dup(spark, sf):
     d = _docs(spark, sf).select(F.col("doc_id").alias("idx"), F.col("text").alias("query_value"),
@@ -656,6 +695,31 @@ def q_ir(spark, sf):
     return m.select(*[_r(x) for x in _IR_COLS], "num_queries")
 
 
+_MULTI = """multi AS (
+  SELECT a.query_id, 1 + count(*) FILTER (WHERE b.doc_id <> a.doc_id AND (b.s > a.s OR (b.s = a.s AND b.doc_id < a.doc_id))) AS rank
+  FROM sc a JOIN sc b USING (query_id)
+  WHERE a.doc_id = a.query_id OR a.doc_id = a.query_id + (SELECT count(*) FROM tri) GROUP BY a.query_id, a.doc_id),
+placed AS (SELECT query_id, rank, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS i FROM multi)"""
+
+
+@register("l6_ir_metrics_multi", "WITH " + osql.PAIRS + ",\n" + IR + ",\n" + _MULTI + """
+SELECT round(avg(a1), 6) AS accuracy_at_1, round(avg(p10), 6) AS precision_at_10, round(avg(r10), 6) AS recall_at_10,
+       round(avg(mrr), 6) AS mrr_at_10, round(avg(ndcg), 6) AS ndcg_at_10, round(avg(ap), 6) AS map_at_100, count(*) AS num_queries
+FROM (SELECT query_id, max(CASE WHEN rank <= 1 THEN 1.0 ELSE 0.0 END) AS a1,
+             CAST(count(*) FILTER (WHERE rank <= 10) AS DOUBLE) / 10 AS p10, CAST(count(*) FILTER (WHERE rank <= 10) AS DOUBLE) / 3 AS r10,
+             max(CASE WHEN rank <= 10 THEN CAST(1 AS DOUBLE) / rank ELSE 0 END) AS mrr,
+             sum(CASE WHEN rank <= 10 THEN 1 / log2(rank + 1) ELSE 0 END) / (1 + 1 / log2(3) + 1 / log2(4)) AS ndcg,
+             sum(CASE WHEN rank <= 100 THEN CAST(i AS DOUBLE) / rank ELSE 0 END) / 3 AS ap
+      FROM placed GROUP BY query_id)""")
+def q_ir_multi(spark, sf):
+    """L6 with three relevant docs for each query, one of them not in the corpus, in query blocks of 100 pairs."""
+    q, c, rels = _ir_inputs(spark, sf)
+    n = q.count()
+    more = rels.select("query_id", F.explode(F.array(F.col("doc_id"), F.col("doc_id") + n, F.col("doc_id") + 2 * n)).alias("doc_id"))
+    m = met.ir_metrics(met.relevant_ranks(q, c, more, block=100))
+    return m.select(*[_r(x) for x in ("accuracy_at_1", "precision_at_10", "recall_at_10", "mrr_at_10", "ndcg_at_10", "map_at_100")], "num_queries")
+
+
 @register("d6_retrieval_topk", "WITH " + osql.PAIRS + ",\n" + IR + """
 SELECT query_id, doc_id, round(s, 6) AS score, rank FROM (
   SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM sc)
@@ -758,6 +822,50 @@ def q_fix_waveform(spark, sf):
                     F.element_at("waveform", -1).cast("double").alias("last_value"))
 
 
+@register("j1_tokenize_truncates", f"""
+SELECT doc_id, CAST(least({_NWORDS.format(t='text')}, 100) AS INTEGER) AS n_tokens,
+       {_NWORDS.format(t='text')} > 100 AS truncated FROM documents""")
+def q_tokenize_truncates(spark, sf):
+    return feat.tokenize(_docs(spark, sf).select("doc_id", "text"), "text", 100).select("doc_id", "n_tokens", "truncated")
+
+
+@register("j4_cut_waveform", """
+SELECT vec_id, 50 AS n_samples, round(list_sum(CAST(list_slice(embedding, 1, 50) AS DOUBLE[])), 6) AS total,
+       CAST(embedding[50] AS DOUBLE) AS last_value FROM embeddings""")
+def q_cut_waveform(spark, sf):
+    e = fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("waveform"))
+    w = feat.fix_waveform(e, "waveform", 50)
+    return w.select("vec_id", F.size("waveform").alias("n_samples"), _r(vx.vector_sum("waveform"), "total"),
+                    F.element_at("waveform", -1).cast("double").alias("last_value"))
+
+
+@register("l7_quality_gate_branches", "WITH " + osql.PAIRS + ",\n" + osql.BATCH_ROWS + """
+SELECT batch_id, NOT (1 - top1 < 0.85 OR loss > 3.9) AS passed,
+       CASE WHEN 1 - top1 < 0.85 THEN 'low_top1' WHEN loss > 3.9 THEN 'high_loss' END AS reason_code
+FROM per_batch""")
+def q_gate_branches(spark, sf):
+    """L7 on the share of misses and a bound near the mean loss, so that batches pass and fail."""
+    runs = met.batch_mnrl(fx.fx_pairs(spark, sf)).select("batch_id", F.col("loss").alias("eval_loss"), (1 - F.col("top1")).alias("eval_top1"))
+    return met.quality_gate(runs, max_loss=3.9).select("batch_id", "passed", "reason_code")
+
+
+@register("k4_l2_normalize_scaled", """
+SELECT vec_id, round(v[1] * (1 + vec_id) / greatest((1 + vec_id) * sqrt(list_dot_product(v, v)), 1e-12), 6) AS first_value
+FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""")
+def q_normalize_scaled(spark, sf):
+    """K4 on vectors of different lengths."""
+    e = fx.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * (1 + F.col("vec_id"))).alias("embedding"))
+    return vop.normalize(e, "embedding", "v").select("vec_id", _r(F.element_at("v", 1), "first_value"))
+
+
+@register("l3_evaluate_max_samples", "WITH " + osql.PAIRS.replace("FROM pairs)", "FROM pairs ORDER BY pair_id // 32, pair_id LIMIT 100)", 1) + ",\n" + osql.BATCH_ROWS + """
+SELECT round(avg(loss), 6) AS eval_loss, round(avg(top1), 6) AS eval_top1, count(*) AS num_batches FROM per_batch""")
+def q_evaluate_max(spark, sf):
+    """L3 on the first 100 pairs: the limit is the feature."""
+    e = met.evaluate_pairs(fx.fx_pairs(spark, sf), max_samples=100)
+    return e.select(_r("eval_loss"), _r("eval_top1"), "num_batches")
+
+
 @register("j6_normalize_payload", osql.with_manifest("""
 SELECT idx, CASE WHEN query_type = 'image' THEN 1 ELSE 0 END AS num_images, 0 AS num_videos, 1 AS n_fields
 FROM manifest"""))
@@ -779,11 +887,15 @@ def q_featurize(spark, sf):
 
 
 @register("k1_encode_items", osql.with_manifest_and(osql.ITEMS) + f"""
-SELECT idx, role, CAST(CASE WHEN {_NWORDS.format(t='value')} > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS norm
-FROM items WHERE modality = 'text'""")
+SELECT idx, role, modality, CASE WHEN modality = 'text' THEN CAST(CASE WHEN {_NWORDS.format(t='value')} > 0 THEN 1.0 ELSE 0.0 END AS DOUBLE)
+                                WHEN modality = 'image' THEN 1.0 END AS norm,
+       CASE WHEN modality = 'image' THEN round(length(value) / sqrt(length(value) * length(value) + 1.0), 6) END AS first_value
+FROM items""")
 def q_encode(spark, sf):
-    emb = feat.encode_items(training_manifest(spark, sf).df)
-    return emb.select("idx", "role", _r(vx.l2_norm("embedding"), "norm"))
+    """K1 on every item: text by the default encoder, image paths by a given one (length and 1), audio kept without."""
+    emb = feat.encode_items(training_manifest(spark, sf).df, {"image": lambda paths: [[len(p), 1.0] for p in paths]}, missing="null")
+    return emb.select("idx", "role", "modality", _r(vx.l2_norm("embedding"), "norm"),
+                      F.when(F.col("modality") == "image", F.round(F.element_at("embedding", 1), 6)).alias("first_value"))
 
 
 # ---------------------------------------------------------------- S1-S4 streaming twins (stream result = batch)
@@ -946,11 +1058,16 @@ FROM events WHERE event_type IN ('purchase', 'signup') GROUP BY user_id
 HAVING count(*) FILTER (WHERE event_type = 'purchase') > 0 AND count(*) FILTER (WHERE event_type = 'signup') > 0""")
 def q_stream_ready_once(spark, sf):
     path = scratch_path(spark, "s3once-in")
-    fx.table(spark, sf, "events").write.parquet(path)
+    ev = fx.table(spark, sf, "events")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    low, high = ev.agg(F.min(at), F.max(at)).first()
+    quarter = F.least(F.lit(3), F.floor(4 * (at - F.lit(low)) / F.lit(float(max(1, (high or 0) - (low or 0))))))
+    for i in range(4):  # files arrive in the order of their events, several triggers carry the state on
+        ev.where(quarter == i).write.mode("append").parquet(path)
     out = stream.stream_ready_once(spark, path, "event_id long, ts timestamp, user_id long, event_type string, "
                                    "value double, props string", ["purchase", "signup"],
                                    scratch_path(spark, "s3once-out"), dir_col="user_id", name_col="event_type",
-                                   watermark="31 days")
+                                   watermark="31 days", files_per_trigger=1)
     return spark.read.parquet(out)
 
 

@@ -73,6 +73,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = spark.sparkContext.getCheckpointDir() or _LOCAL_ROOTS.get(spark.sparkContext.applicationId)
     if not root:
         # Unset only outside a cluster (tests): take a private folder once per application.
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pairforge-ckpt-")
         _LOCAL_ROOTS[spark.sparkContext.applicationId] = root
     return root

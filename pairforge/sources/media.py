@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 SCHEMA = "path string, length long, modificationTime timestamp"
 
 
-def media_inventory(spark: SparkSession, root: str, glob: str | None = None, recursive: bool = True,
+def media_inventory(spark: SparkSession, root: str, glob: str | None = None, recursive: bool = False,
                     relative: bool = True) -> DataFrame:
-    """(path, length, modificationTime) of the files under ``root``; ``relative`` strips the scheme and root
+    """(path, length, modificationTime) of the files in the folder ``root`` (with ``recursive`` also below it); ``relative`` strips the scheme and root
     prefix so paths compare with manifest values written relative to a media root."""
     reader = spark.read.format("binaryFile")
     if recursive:
@@ -23,7 +23,9 @@ def media_inventory(spark: SparkSession, root: str, glob: str | None = None, rec
         reader = reader.option("pathGlobFilter", glob)
     try:
         df = reader.load(root).select("path", "length", "modificationTime")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], SCHEMA)
     if relative:
         df = df.withColumn("path", _strip_root("path", root))

@@ -2,8 +2,9 @@
 one-row ``_metadata`` table (num_records, num_shards, shard_size).
 
 Writes use dynamic partition overwrite, so rewriting a shard id is idempotent (a retried or resumed job
-replaces exactly the shards it produces). Reads prune partitions by ``shard_id`` and skip unreadable files
-(``ignoreCorruptFiles``), like the reference's discovery that skips unreadable shards.
+replaces exactly the shards it produces). Reads prune partitions by ``shard_id``, ignore shards beyond the
+metadata's number (left by an earlier, larger write), and fail on unreadable files; only counting which shards are
+there to resume after may skip those.
 """
 
 from __future__ import annotations
@@ -21,13 +22,8 @@ def write_shards(df: DataFrame, path: str, shard_size: int = DEFAULT_SHARD_SIZE,
     shards = assign_shards(df, shard_size, idx_col)
     n = total if total is not None else df.count()
     num_shards = -(-n // shard_size) if n else 0
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (shards.drop("shard_name").repartition("shard_id").sortWithinPartitions("shard_id", "shard_pos")
-               .write.mode("overwrite").partitionBy("shard_id").parquet(f"{path}/records"))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (shards.drop("shard_name").repartition("shard_id").sortWithinPartitions("shard_id", "shard_pos")
+           .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(f"{path}/records"))
     meta = spark.range(1).select(F.lit(n).cast("long").alias("num_records"),
                                  F.lit(num_shards).cast("int").alias("num_shards"),
                                  F.lit(shard_size).cast("int").alias("shard_size"))
@@ -35,9 +31,13 @@ def write_shards(df: DataFrame, path: str, shard_size: int = DEFAULT_SHARD_SIZE,
     return num_shards
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shard table (records with ``shard_id``, ``shard_pos``); fails when no shard exists."""
-    df = spark.read.option("ignoreCorruptFiles", "true").parquet(f"{path}/records")
+def read_shards(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+    """The shard table (records with ``shard_id``, ``shard_pos``); fails when no shard exists or one can't be read.
+    ``skip_unreadable`` leaves unreadable files out: for E4's count before a resume, never for training data."""
+    df = spark.read.option("ignoreCorruptFiles", str(skip_unreadable).lower()).parquet(f"{path}/records")
+    meta = read_shard_metadata(spark, path).limit(1).collect()
+    if meta:
+        df = df.where(F.col("shard_id") < meta[0]["num_shards"])
     if df.limit(1).count() == 0:
         raise FileNotFoundError(f"No shards found under {path}")
     return df

@@ -141,11 +141,13 @@ def stream_summary(spark: SparkSession, path: str, out: str, checkpoint: str | N
 def stream_ready_once(spark: SparkSession, events_path: str, schema: str, required: Sequence[str], out: str,
                       dir_col: str = "dir", name_col: str = "name", ts_col: str = "ts", watermark: str = "1 day",
                       checkpoint: str | None = None, files_per_trigger: int | None = None) -> str:
-    """S3 as the watcher behaves: a directory fires exactly once, when every required file has arrived, with
+    """S3 as the watcher behaves: a directory fires once, when every required file has arrived, with
     ready_ts = the latest first-arrival time of the required names. Custom state per directory
     (``applyInPandasWithState``): the first-arrival time of each required name and a fired flag. State is
     dropped by an event-time timeout once the watermark passes ``watermark`` beyond the directory's last event,
-    so it stays bounded by the directories active within that delay. Output: parquet file sink (append)."""
+    so it stays bounded by the directories active within that delay. The promise holds within it: choose it longer than
+    the longest wait between a directory's files. A directory whose files are further apart doesn't fire, and
+    one that starts over after its state was dropped can fire again (``stream_ready`` keeps all state instead). Output: parquet file sink (append)."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 

@@ -6,6 +6,7 @@ import pytest
 import __spark_entry__ as entry
 from conftest import SF0001
 from pairforge.plans.manifests import training_manifest
+from pairforge.plans.registry import ORACLE, QUERIES
 
 TABLES = ["documents", "labels", "pages", "conversations", "embeddings", "events"]
 SAMPLE = ["t1_manifest", "e3_dataset_summary", "b1_parse_records", "c1_ring_negatives", "h5_modality_batches",
@@ -14,14 +15,15 @@ SAMPLE = ["t1_manifest", "e3_dataset_summary", "b1_parse_records", "c1_ring_nega
 
 def test_entry_smoke(spark):
     df = entry.entry(spark)
-    assert df.count() == 172  # FIXTURES: 76 text / 66 image / 30 audio at sf0.001
+    assert df.count() == 342  # 76 text / 66 image / 200 audio (every document) at sf0.001
     assert df.columns[0] == "idx"
 
 
 def test_every_query_has_oracle_or_is_documented():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
-    assert set(q) - set(o) == {"h6_no_duplicate_batches"}
+    assert set(QUERIES) <= set(q)
+    assert set(QUERIES) - set(ORACLE) == {"h6_no_duplicate_batches"}  # its invariants have a query of their own
 
 
 def _norm(rows):

@@ -126,3 +126,43 @@ def test_ready_fires_once_with_bounded_state(spark, tmp_path):
     ev = spark.createDataFrame(rows, "dir string, name string, ts string").withColumn("ts", F.to_timestamp("ts"))
     want = sorted((r.dir, str(r.ready_ts)) for r in stream.ready_dirs(ev, ["model.pt", "config.json"]).collect())
     assert got == want == [("a", "2024-01-01 00:00:03"), ("c", "2024-01-01 00:00:06")]  # each fired exactly once
+
+
+def test_mel_filters_are_htk_without_normalisation():
+    """Hand values: 2595 log10(1 + f / 700) puts 8 kHz at 2840.023 mel; the 82 points are 35.0620 mel apart, so filter 0 peaks
+    at 22.125 - no FFT bin (40 Hz apart) - and filter 40 between its edges at mel 1402.48, 1437.54 and 1472.60."""
+    fb = feat.mel_filters()
+    step = 2595 * np.log10(1 + 8000 / 700) / 81
+    hz = lambda m: 700 * (10 ** (m / 2595) - 1)
+    assert abs(step * 81 - 2840.0230467) < 1e-6
+    lo, mid, hi = hz(40 * step), hz(41 * step), hz(42 * step)
+    for k in range(201):
+        f = 40.0 * k
+        assert abs(fb[40, k] - max(0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid)))) < 1e-9
+    assert fb.max() <= 1.0 and fb[70:].max() > 0.8
+
+
+def test_log_mel_floor_uses_all_frames():
+    """A loud end beyond 3,000 frames sets the floor for the frames that are kept."""
+    quiet = np.random.default_rng(0).normal(0, 1e-4, 480_000)
+    loud = np.concatenate([quiet, np.sin(np.arange(16_000) * 0.3)])
+    assert feat.log_mel_array(loud).min() > feat.log_mel_array(quiet).min()
+
+
+def test_unreadable_images_and_sizes(spark, tmp_path):
+    _png(str(tmp_path / "a.png"), [[(255, 0, 0), (0, 255, 0)], [(0, 0, 255), (255, 255, 255)]])
+    (tmp_path / "bad.png").write_bytes(b"not an image")
+    rows = {os.path.basename(r.path): r for r in feat.image_tensors(spark, str(tmp_path), size=(2, 5)).collect()}
+    assert list(rows["a.png"].tensor.shape) == [3, 2, 5] and rows["a.png"].error is None
+    assert rows["bad.png"].tensor is None and rows["bad.png"].error
+
+
+def test_no_item_is_dropped_without_encoder_or_root(spark):
+    df = spark.createDataFrame([(0, "image", "a.png", "text", "red", "text", "blue"), (1, "audio", "s.wav", "text", "tone", None, None)],
+                               "idx long, query_type string, query_value string, positive_type string, "
+                               "positive_value string, negative_type string, negative_value string")
+    with pytest.raises(Exception, match="no encoder for modality"):
+        feat.encode_items(df).collect()
+    kept = feat.encode_items(df, missing="null").collect()
+    assert len(kept) == 5 and sum(r.embedding is None for r in kept) == 2
+    assert len(feat.featurize(df).collect()) == 5

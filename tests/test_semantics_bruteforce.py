@@ -116,7 +116,7 @@ def test_rank_shards_shuffle_is_deterministic_per_epoch(spark, manifest):
 
 def test_step_budget_zero_steps_fails(spark):
     counts = spark.createDataFrame([("text", 5)], "group_name string, num_rows long")
-    with pytest.raises(Exception, match="zero training steps"):
+    with pytest.raises(Exception, match="no full step"):
         sh.step_budget(counts, batch_size=12, world_size=1).collect()
     row = sh.step_budget(counts, batch_size=12, drop_last=False, epochs=2.5, warmup_ratio=0.1).collect()[0]
     assert (row.micro_steps_per_epoch, row.optimizer_steps_per_epoch, row.max_steps, row.warmup_steps) == (1, 1, 3, 1)
@@ -176,10 +176,11 @@ def test_pluggable_tokenizer_and_encoder(spark, manifest):
                               lambda texts: [[len(w) for w in t.split()] for t in texts], max_len=3)
     got = {r.idx: list(r.input_ids) for r in toks.collect()}
     assert got == {r.idx: [len(w) for w in r.query_value.split()][:3] for r in rows}
-    emb = feat.encode_items(m, encoders={"image": lambda vals: np.ones((len(vals), 4))}, dim=8)
-    norms = {(r.idx, r.role, r.modality): float(np.linalg.norm(r.embedding)) for r in emb.collect()}
-    assert all(abs(v - 1.0) < 1e-9 for k, v in norms.items() if k[2] == "image")
-    assert not any(k[2] == "audio" for k in norms)  # no audio encoder given: audio items are not encoded
+    emb = feat.encode_items(m, encoders={"image": lambda vals: np.ones((len(vals), 4))}, dim=8, missing="null")
+    got = {(r.idx, r.role, r.modality): r.embedding for r in emb.collect()}
+    assert all(abs(float(np.linalg.norm(v)) - 1.0) < 1e-9 for k, v in got.items() if k[2] == "image")
+    audio = [v for k, v in got.items() if k[2] == "audio"]
+    assert audio and all(v is None for v in audio)  # no audio encoder given: the items stay, without a vector
 
 
 def test_locate_uniform_and_missing_report(spark, manifest):

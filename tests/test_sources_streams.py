@@ -1,5 +1,6 @@
 """A6 inventory, B0b append, distributed running sum, S1/S2/S4 stream result = batch result."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -24,10 +25,11 @@ def test_media_inventory(spark, tmp_path):
     (tmp_path / "a.JPG").write_bytes(b"x")
     (tmp_path / "sub" / "b.png").write_bytes(b"yy")
     (tmp_path / "c.wav").write_bytes(b"z")
-    inv = media_inventory(spark, str(tmp_path))
+    inv = media_inventory(spark, str(tmp_path), recursive=True)
     assert sorted((r.path, r.length) for r in inv.collect()) == [("a.JPG", 1), ("c.wav", 1), ("sub/b.png", 2)]
     assert count_images(inv).collect()[0].num_images == 2
     assert media_inventory(spark, str(tmp_path / "missing")).count() == 0
+    assert sorted(r.path for r in media_inventory(spark, str(tmp_path)).collect()) == ["a.JPG", "c.wav"]  # one folder
 
 
 def test_running_sum_matches_window(spark):
@@ -90,3 +92,29 @@ def test_write_shards_rewrites_only_its_shards(spark, tmp_path):
     assert {r.shard_id: r["count"] for r in after.groupBy("shard_id").count().collect()} == before
     assert _rows(after) == _rows(m)
     assert read_shard_metadata(spark, path).collect()[0].num_shards == -(-n // 64)
+
+
+def test_corrupt_shard_fails_and_is_skipped_only_on_request(spark, tmp_path):
+    import glob
+
+    from pairforge.sources.shards_io import read_shards, write_shards
+    path = str(tmp_path / "shards")
+    write_shards(spark.range(30).withColumnRenamed("id", "idx"), path, 10)
+    part = sorted(glob.glob(f"{path}/records/shard_id=1/*.parquet"))[0]
+    with open(part, "wb") as f:
+        f.write(b"damaged")
+    with pytest.raises(Exception):  # noqa: B017 - the reader's own error
+        read_shards(spark, path).collect()
+    assert {r.shard_id for r in read_shards(spark, path, skip_unreadable=True).collect()} == {0, 2}
+    write_shards(spark.range(10).withColumnRenamed("id", "idx"), path, 10)
+    assert {r.shard_id for r in read_shards(spark, path).collect()} == {0}  # shards of the larger write are ignored
+
+
+def test_checkpoint_folder_is_required_off_local():
+    from types import SimpleNamespace
+
+    from pairforge.session import checkpoint_root
+    conf = SimpleNamespace(get=lambda *a: None)
+    sc = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, applicationId="none", master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(SimpleNamespace(conf=conf, sparkContext=sc))
