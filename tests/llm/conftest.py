@@ -2,6 +2,8 @@ import random
 
 import pytest
 
+SF0001, SF001 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+
 #: Extra columns with names that operators use for their results or inside.
 CLASHING = "score double, rank int, lang_pred string, _id long, piece int, vertex long, kept boolean"
 
