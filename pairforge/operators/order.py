@@ -111,11 +111,12 @@ def positional_split(df: DataFrame, n: int, val_fraction: float, idx_col: str =
     return df.withColumn(split_col, F.when(F.col(idx_col) < k, F.lit("train")).otherwise(F.lit("val")))
 
 
-def prefer_source(candidates: Sequence[DataFrame], source_col: str = "source") -> DataFrame:
-    """Source precedence. ``candidates`` in priority order (own cache, legacy cache, build...); for each
+def prefer_source(candidates: Sequence[DataFrame], source_col: str = "source", skip: bool = False) -> DataFrame:
+    """Source precedence. With ``skip`` nothing is built: only the first candidate (the own cache) counts, and a
+    source that it lacks is empty. ``candidates`` in priority order (own cache, legacy cache, build...); for each
     source keep the rows of the highest-priority candidate that has it. The per-source minimum is a
     partial/final aggregate (one row per source) joined back."""
-    tagged = [c.withColumn("priority", F.lit(i)) for i, c in enumerate(candidates)]
+    tagged = [c.withColumn("priority", F.lit(i)) for i, c in enumerate(candidates[:1] if skip else candidates)]
     union = tagged[0]
     for t in tagged[1:]:
         union = union.unionByName(t, allowMissingColumns=True)

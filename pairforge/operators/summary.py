@@ -55,6 +55,13 @@ def summarize_manifest(df: DataFrame, allowed=None, query=None, positive=None, n
         "skipped_rows")
 
 
+def sample_head(df: DataFrame, sample_size: int = 256, idx_col: str = "idx") -> DataFrame:
+    """C0d: the first ``sample_size`` rows by ``idx_col``, a 0-based position (the sample is the feature)."""
+    if sample_size <= 0:
+        raise ValueError("sample_size must be positive")
+    return df.where(F.col(idx_col) < sample_size)
+
+
 def summarize_sample(df: DataFrame, sample_size: int = 256, idx_col: str = "idx") -> DataFrame:
     """Like E1 over the first ``sample_size`` rows (the sample is the feature), but ``num_rows`` is the full
     length and ``has_uniform_negatives`` = present == 0 OR missing == 0; adds ``sampled_rows``."""

@@ -28,7 +28,7 @@ from pairforge.plans.assemble import dataset_summary
 from pairforge.plans.manifests import training_manifest
 from pairforge.session import scratch_path
 from pairforge.sources.manifest import append_manifest, read_manifest, write_manifest
-from pairforge.sources.shards_io import read_shard_metadata, read_shards, write_shards
+from pairforge.sources.shards_io import read_payloads, read_shard_metadata, read_shards, write_feature_shards, write_shards
 from pairforge.sources.tables import caption_pairs, chat_caption_pairs, qqp_pairs, transcript_pairs
 from pairforge.streaming import jobs as stream
 
@@ -313,6 +313,11 @@ def q_summarize_sample(spark, sf):
     return _joined_mods(summ.summarize_sample(training_manifest(spark, sf, values=False).df, 256))
 
 
+@register("c0d_sample_head", osql.with_manifest("SELECT idx, query_type, positive_type FROM manifest WHERE idx < 256"))
+def q_sample_head(spark, sf):
+    return summ.sample_head(training_manifest(spark, sf, values=False).df).select("idx", "query_type", "positive_type")
+
+
 @register("e7_unsupported_modalities", osql.with_manifest_and(osql.ITEMS) + """
 SELECT modality, count(*) AS n_items FROM items WHERE modality NOT IN ('text', 'image') GROUP BY modality""")
 def q_unsupported(spark, sf):
@@ -1001,7 +1006,31 @@ def q_shard_meta(spark, sf):
     man = training_manifest(spark, sf)
     path = scratch_path(spark, "shards")
     write_shards(man.df, path, 64, total=man.num_rows)
-    return read_shard_metadata(spark, path)
+    return read_shard_metadata(spark, path).select("num_records", "num_shards", "shard_size")
+
+
+@register("b0c_feature_shards", osql.with_manifest_and(SHARDS, osql.ITEMS) + f"""
+SELECT s.idx, s.shard_id, s.shard_pos,
+  max(CASE WHEN role = 'query' THEN n END) AS query_n, max(CASE WHEN role = 'positive' THEN n END) AS positive_n,
+  max(CASE WHEN role = 'negative' THEN n END) AS negative_n
+FROM shards s JOIN (SELECT idx, role, CASE WHEN modality = 'text' THEN CAST({_NWORDS.format(t='value')} AS INTEGER) END AS n FROM items) i USING (idx)
+GROUP BY ALL""")
+def q_feature_shards(spark, sf):
+    """J7 -> B0c -> A9: token payloads of every record, through the shards and back (media items stay, without payload)."""
+    path = scratch_path(spark, "feature-shards")
+    write_feature_shards(training_manifest(spark, sf).df, path, 64, metadata={"text_encoder": "hashing"})
+    rows = read_payloads(spark, path, "input_ids")
+    size = lambda r: F.when(F.col(f"{r}_input_ids").isNotNull(), F.size(f"{r}_input_ids")).alias(f"{r}_n")
+    return rows.select("idx", "shard_id", "shard_pos", size("query"), size("positive"), size("negative"))
+
+
+@register("s1_stream_trainer_rows", osql.with_manifest(
+    "SELECT " + osql.payload_cols("query") + ", " + osql.payload_cols("positive") + ", "
+    + osql.payload_cols("negative_0", src="negative") + """ FROM manifest WHERE query_type <> 'audio'"""))
+def q_stream_trainer_rows(spark, sf):
+    out = stream.stream_manifest(spark, _manifest_files(spark, sf), scratch_path(spark, "s1-rows"), include_negative=True, allowed=["text", "image"])
+    rows = spark.read.parquet(out)
+    return rows.select(*[F.col(f"{r}.{m}").alias(f"{r}_{m}") for r in ("query", "positive", "negative_0") for m in ("text", "image", "audio")])
 
 
 # ---------------------------------------------------------------- B0b, B7, C0c, E9 (shard path)

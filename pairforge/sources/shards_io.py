@@ -1,5 +1,5 @@
 """B0c write_shards and A9 read_shards: fixed-size shards as a parquet table partitioned by ``shard_id`` plus a
-one-row ``_metadata`` table (num_records, num_shards, shard_size).
+one-row ``_metadata`` table (num_records, num_shards, shard_size and how the features were made).
 
 Writes use dynamic partition overwrite, so rewriting a shard id is idempotent (a retried or resumed job
 replaces exactly the shards it produces). Reads prune partitions by ``shard_id``, ignore shards beyond the
@@ -12,12 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pairforge.operators.features import MAX_TEXT_TOKENS, featurize
+from pairforge.operators.records import ROLES
 from pairforge.operators.shards import DEFAULT_SHARD_SIZE, assign_shards
 
 
+#: Optional metadata fields of feature shards, with their types.
+FEATURE_FIELDS = {"manifest": "string", "text_encoder": "string", "image_encoder": "string", "audio_encoder": "string",
+                  "max_text_length": "int", "device": "string"}
+
+
 def write_shards(df: DataFrame, path: str, shard_size: int = DEFAULT_SHARD_SIZE, total: int | None = None,
-                 idx_col: str = "idx") -> int:
-    """F1 then one parquet partition per shard; returns the number of shards written."""
+                 idx_col: str = "idx", metadata: dict | None = None) -> int:
+    """F1 then one parquet partition per shard; returns the number of shards written. ``metadata`` may set the
+    ``FEATURE_FIELDS`` (null otherwise)."""
+    unknown = set(metadata or {}) - set(FEATURE_FIELDS)
+    if unknown:
+        raise ValueError(f"unknown metadata fields: {', '.join(sorted(unknown))}")
     spark = df.sparkSession
     shards = assign_shards(df, shard_size, idx_col)
     n = total if total is not None else df.count()
@@ -26,7 +37,8 @@ def write_shards(df: DataFrame, path: str, shard_size: int = DEFAULT_SHARD_SIZE,
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard_id").parquet(f"{path}/records"))
     meta = spark.range(1).select(F.lit(n).cast("long").alias("num_records"),
                                  F.lit(num_shards).cast("int").alias("num_shards"),
-                                 F.lit(shard_size).cast("int").alias("shard_size"))
+                                 F.lit(shard_size).cast("int").alias("shard_size"),
+                                 *[F.lit((metadata or {}).get(f)).cast(t).alias(f) for f, t in FEATURE_FIELDS.items()])
     meta.write.mode("overwrite").parquet(f"{path}/_metadata")
     return num_shards
 
@@ -45,3 +57,21 @@ def read_shards(spark: SparkSession, path: str, skip_unreadable: bool = False) -
 
 def read_shard_metadata(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/_metadata")
+
+
+def write_feature_shards(df: DataFrame, path: str, shard_size: int = DEFAULT_SHARD_SIZE, image_root: str | None = None,
+                         audio_root: str | None = None, metadata: dict | None = None, idx_col: str = "idx", **featurize_options) -> int:
+    """J7 -> B0c: features of every record (a struct per role: modality, input_ids and, with media roots, tensor and
+    log_mel) in fixed-size shards. Returns the number of shards."""
+    items = featurize(df, image_root, audio_root, idx_col=idx_col, **featurize_options)
+    kinds = [c for c in items.columns if c not in (idx_col, "role")]
+    # three items a record: the pivot's groups are bounded
+    records = items.groupBy(idx_col).pivot("role", list(ROLES)).agg(F.first(F.struct(*kinds)))
+    meta = {"max_text_length": featurize_options.get("max_len", MAX_TEXT_TOKENS)} | (metadata or {})
+    return write_shards(records, path, shard_size, total=df.count(), idx_col=idx_col, metadata=meta)
+
+
+def read_payloads(spark: SparkSession, path: str, field: str, roles: tuple[str, ...] = ROLES) -> DataFrame:
+    """A9 for feature shards: one payload field (input_ids, tensor or log_mel) of each role, nothing else is read."""
+    df = read_shards(spark, path)
+    return df.select("idx", "shard_id", "shard_pos", *[F.col(f"{r}.{field}").alias(f"{r}_{field}") for r in roles])

@@ -122,13 +122,17 @@ def chat_caption_pairs(df: DataFrame, inventory: DataFrame | None = None, limit:
 
 
 def transcript_pairs(df: DataFrame | list[DataFrame], name: str, limit: int = 0, key: str = "k",
-                     text_col: str | None = None, prefix: str | None = None, source_col: str | None = None) -> DataFrame:
+                     text_col: str | None = None, prefix: str | None = None, source_col: str | None = None,
+                     values: bool = True) -> DataFrame:
     """A5: transcribed audio. Splits (a list of DataFrames) are concatenated in order; limit *before* the
     empty-text filter; file ``{prefix}_{idx:06d}.wav`` where idx counts rows before the filter (0-based, in
     (split, key) order).
 
     With ``source_col`` one call handles many sources at once: idx restarts per source and the prefix is
     the source value (``name`` is then unused for paths).
+
+    Only the keys and whether there is a text are indexed; the texts are joined back to them afterwards, or left out
+    (null) with ``values=False``. (split, key) is unique within a source.
     """
     cfg = TRANSCRIPT_CONFIGS.get(name, {})
     text_col = text_col or cfg.get("text_column", "text")
@@ -141,12 +145,17 @@ def transcript_pairs(df: DataFrame | list[DataFrame], name: str, limit: int = 0,
     else:
         order = [key]
     group = [source_col] if source_col else []
-    ix = group_index(df, group, order, pos_col="_idx", size_col=None)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    ix = group_index(df.select(*group, *order, (text != "").alias("_ok")), group, order, pos_col="_idx", size_col=None)
     if limit and limit > 0:
         ix = ix.where(F.col("_idx") < limit)
+    rows = ix.where("_ok").drop("_ok")
+    if values:
+        texts = df.select(*[F.col(c).alias(f"_t_{c}") for c in (*group, *order)], text.alias("_text"))
+        rows = rows.join(texts, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in (*group, *order)])
+    else:
+        rows = rows.withColumn("_text", F.lit(None).cast("string"))
     pfx = F.col(source_col) if source_col else F.lit(prefix or cfg.get("prefix", name))
     path = F.format_string("%s_%06d.wav", pfx, F.col("_idx"))
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     src = F.col(source_col) if source_col else F.lit(name)
-    rows = ix.where(text != "")
-    return rows.select(*_record(F.col(key), "audio", path, text, src))
+    return rows.select(*_record(F.col(key), "audio", path, F.col("_text"), src))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.parse import parse_records
-from pairforge.operators.records import modality_filter, resolve_media
+from pairforge.operators.records import modality_filter, resolve_media, to_trainer_rows
 from pairforge.session import scratch_path
 
 RECORD_FIELDS = ["query_type", "query_value", "positive_type", "positive_value", "negative_type",
@@ -40,9 +40,13 @@ def manifest_stream(spark: SparkSession, path: str, allowed=None, query=None, po
     return parsed.where(~ok | modality_filter(allowed, query, positive, negative))
 
 
-def stream_manifest(spark: SparkSession, path: str, out: str, checkpoint: str | None = None, **filters) -> str:
-    """Run the stream to the end of the available files (``availableNow``) into a parquet file sink."""
+def stream_manifest(spark: SparkSession, path: str, out: str, checkpoint: str | None = None,
+                    include_negative: bool | None = None, **filters) -> str:
+    """Run the stream to the end of the available files (``availableNow``) into a parquet file sink. With
+    ``include_negative`` set, the sink gets trainer rows (B5) with or without ``negative_0``."""
     df = manifest_stream(spark, path, **filters).where(F.col("error").isNull()).drop("error")
+    if include_negative is not None:
+        df = to_trainer_rows(df, include_negative)
     q = (df.writeStream.format("parquet").option("path", out)
            .option("checkpointLocation", checkpoint or scratch_path(spark, "s1-ckpt"))
            .trigger(availableNow=True).start())

@@ -118,3 +118,54 @@ def test_checkpoint_folder_is_required_off_local():
     sc = SimpleNamespace(getConf=lambda: conf, getCheckpointDir=lambda: None, applicationId="none", master="spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_root(SimpleNamespace(conf=conf, sparkContext=sc))
+
+
+def test_line_numbers_move_no_lines(spark, tmp_path):
+    """The only shuffles below the line numbers are of one row per file split."""
+    from pairforge.sources.manifest import physical_lines
+    for i in range(3):
+        (tmp_path / f"f{i}.jsonl").write_text("".join(f"line {j}\n" if j % 4 else "\n" for j in range(50 + i)))
+    lines = physical_lines(spark, str(tmp_path))
+    got = sorted((r.file[-8:], r.line_no, r.line) for r in lines.collect())
+    assert got == sorted((f"f{i}.jsonl", j + 1, f"line {j}" if j % 4 else "") for i in range(3) for j in range(50 + i))
+    plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "rangepartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_skeleton_carries_no_text(spark):
+    """Without values no text enters an index: the transcripts' scan reads neither the checkpoint nor the join with it."""
+    from pairforge.plans.fixtures import fx_transcripts
+    from pairforge.sources.tables import transcript_pairs
+    rows = transcript_pairs(fx_transcripts(spark, SF0001), "transcripts", source_col="source", values=False)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan.replace("positive_value", "") or "AS _text" in plan
+    assert rows.where("positive_value is not null").count() == 0
+    full = transcript_pairs(fx_transcripts(spark, SF0001), "transcripts", source_col="source")
+    assert sorted(r.query_value for r in full.collect()) == sorted(r.query_value for r in rows.collect())
+
+
+def test_feature_shards_with_media(spark, tmp_path):
+    import wave
+
+    import numpy as np
+
+    from pairforge.sources.shards_io import read_payloads, read_shard_metadata, write_feature_shards
+    wavs = tmp_path / "wav"
+    wavs.mkdir()
+    with wave.open(str(wavs / "s.wav"), "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(16000)
+        w.writeframes((np.sin(np.arange(4000) * 0.2) * 9000).astype("<i2").tobytes())
+    rows = [(0, "audio", "s.wav", "text", "a tone here", None, None), (1, "text", "b c", "text", "d", "text", "e f g"),
+            (2, "audio", "none.wav", "text", "x", None, None)]
+    df = spark.createDataFrame(rows, "idx long, query_type string, query_value string, positive_type string, "
+                                     "positive_value string, negative_type string, negative_value string")
+    path = str(tmp_path / "shards")
+    assert write_feature_shards(df, path, 2, audio_root=str(wavs), metadata={"device": "cpu"}) == 2
+    tokens = {r.idx: r for r in read_payloads(spark, path, "input_ids").collect()}
+    assert len(tokens[0].positive_input_ids) == 3 and tokens[0].query_input_ids is None and len(tokens[1].negative_input_ids) == 3
+    mels = {r.idx: r.query_log_mel for r in read_payloads(spark, path, "log_mel", roles=("query",)).collect()}
+    assert list(mels[0].shape) == [80, 3000] and mels[2] is None
+    meta = read_shard_metadata(spark, path).first()
+    assert (meta.num_records, meta.num_shards, meta.device, meta.max_text_length, meta.manifest) == (3, 2, "cpu", 32768, None)
