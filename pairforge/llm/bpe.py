@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import IntTable
+from pairforge.llm.common import IntTable, worker_state
 from pairforge.session import ensure_checkpoint_dir
 
 #: Fixed value: the pre-token pattern of byte-level BPE vocabularies of this kind.
@@ -222,15 +222,9 @@ class Transducer:
         return "".join(out) + machine.decode(b"", True)
 
 
-_READY: dict[int, Transducer] = {}
-
-
 def _transducer(key: int, spec) -> Transducer:
     """One transducer (with its memo) per worker and vocabulary."""
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Transducer(spec.value)
-    return _READY[key]
+    return worker_state(("bpe", key), lambda: Transducer(spec.value))
 
 
 def _shared(df: DataFrame, path: str):

@@ -69,6 +69,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_STATE: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """What an operator keeps in a Python worker between tasks (a memo, a table). A worker serves one operator after the
+    other, so it holds the state of the latest only."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
 class IntTable:
     """Values by non-negative integer key, for whole arrays of keys: an open-addressed table of numpy arrays."""
 

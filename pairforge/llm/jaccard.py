@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import IntTable, staged
+from pairforge.llm.common import IntTable, staged, worker_state
 from pairforge.llm.graph import components
 from pairforge.session import ensure_checkpoint_dir
 
@@ -147,20 +147,20 @@ def part_keys(h: np.ndarray, o: np.ndarray, size: np.ndarray, part: int, whole:
     number, tops = size_class(size)
     live = size > 0
     keys, owners = [], []
-    for extra in (0, 1):
-        c = number + extra
-        top = tops[np.minimum(c, len(tops) - 1)]
-        # the next class is needed only by sets with possible partners in it
-        use = live if not extra else live & (size * whole > tops[number] * part)
-        d = (2 * top * (whole - part)) // (whole + part)
-        m = d + 1 + np.maximum(1, d // 6)
+    # pairs within a size class, and pairs of neighbouring classes: as the smaller set's side, and as the larger one's
+    below = np.maximum(number - 1, 0)
+    for c, use, cross in ((number, live, 0), (number, live & (size * whole > tops[number] * part), 1),
+                          (below, live & (number > 0) & (size * part <= tops[below] * whole), 1)):
+        top = tops[c]
+        d = (whole - part) * top // part if cross else 2 * (whole - part) * top // (whole + part)
+        m = d + 1 + np.maximum(1, d // 8)
         if common is not None:
             rare = common.find((h >> np.uint64(1)).astype(np.int64)) < 0
-            key, owner, empty = _parts(h[rare], o[rare], np.where(use, m, 0), c, 1)
+            key, owner, empty = _parts(h[rare], o[rare], np.where(use, m, 0), c, 1 + 2 * cross)
             keys.append(key[0])
             owners.append(owner[0])
             use = use & (empty >= m - d)
-        key, owner, empty = _parts(h, o, np.where(use, m, 0), c, 2)
+        key, owner, empty = _parts(h, o, np.where(use, m, 0), c, 2 + 2 * cross)
         bare = (empty >= m - d)[owner[1]]
         keys += [key[0], key[1][bare]]
         owners += [owner[0], owner[1][bare]]
@@ -328,7 +328,7 @@ def join_sets(sets: list[np.ndarray], part: int, whole: int, classes: Classes |
 
 # --- Spark ------------------------------------------------------------------------------------------------------
 
-def _slices(b: pa.RecordBatch, col: int, chars: int = 2_000_000) -> Iterator[tuple[int, list]]:
+def _slices(b: pa.RecordBatch, col: int, chars: int = 700_000) -> Iterator[tuple[int, list]]:
     """(first row, texts) of runs of rows with about ``chars`` characters; a text is never cut."""
     texts = b.column(col).to_pylist()
     s = 0
@@ -364,6 +364,7 @@ def _clusters(docs: DataFrame, text_col: str, k: int, part: int, whole: int, see
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key, vertex, other): a task's own vertices of a key are edges (other set), the least goes on (other null)."""
+        worker_state(None, lambda: None)  # nothing is kept from an operator before
         common = shared.value
         held_k, held_v, size = [], [], 0
 
@@ -392,7 +393,7 @@ def _clusters(docs: DataFrame, text_col: str, k: int, part: int, whole: int, see
                 held_k.append(keys)
                 held_v.append(v[owner])
                 size += len(keys)
-                if size > 1_500_000:
+                if size > 700_000:
                     yield out()
                     held_k, held_v, size = [], [], 0
         if held_k:

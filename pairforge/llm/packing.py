@@ -3,8 +3,9 @@
 Only the histogram of piece lengths (at most ``cap`` counts) reaches the driver. There, lengths are grouped into
 bins, the patterns of up to three bins that fill a sequence are enumerated, and non-negative least squares fits how
 often each pattern is repeated so that the patterns use up the histogram. Rounded down, the repeats are filled with
-exact lengths, the longest of a bin first; the lengths left over go, longest first, into the fullest sequences that
-still hold them, or open new ones. All of this works on counts: one step places all pieces of one length into all
+exact lengths: the longest of each bin, and in the last place the longest that still fits (a pattern whose last place
+would leave a bin's width empty ends). The lengths left over go, longest first, into the fullest sequences that still
+hold them, or open new ones. All of this works on counts: one step places all pieces of one length into all
 equal sequences, so its cost depends on ``cap`` and not on the number of pieces.
 
 The plan says for each length which ranks go where. In Spark every piece learns its rank among the pieces of its
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.llm.bpe import byte_alphabet
-from pairforge.llm.common import staged
+from pairforge.llm.common import staged, worker_state
 from pairforge.session import ensure_checkpoint_dir
 
 MEMO = 400_000
@@ -113,9 +114,6 @@ class _WordIds:
                 for t, words in zip(texts, split, strict=True)]
 
 
-_READY: dict[int, _WordIds] = {}
-
-
 def tokenize_pieces(docs: DataFrame, vocab_path: str, cap: int = 4096, end_id: int | None = 1, id_col: str = "doc_id",
                     text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Cut every document's ids (null text: empty; ``end_id`` appended unless None) into pieces of ``cap`` tokens.
@@ -130,10 +128,7 @@ def tokenize_pieces(docs: DataFrame, vocab_path: str, cap: int = 4096, end_id: i
     tail = b"" if end_id is None else array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = _WordIds(spec.value)
-        words = _READY[key]
+        words = worker_state(("packing", key), lambda: _WordIds(spec.value))
         for b in batches:
             for s in range(0, b.num_rows, 256):
                 part = b.slice(s, 256)
@@ -207,7 +202,7 @@ def patterns(bins: int, parts: int = 3) -> list[tuple[int, ...]]:
     return out
 
 
-def pack_histogram(counts: dict[int, int], cap: int, bins: int = 128) -> list[tuple[int, int, int, int, int, int]]:
+def pack_histogram(counts: dict[int, int], cap: int, bins: int = 64) -> list[tuple[int, int, int, int, int, int]]:
     """Place all counted lengths: rows (length, first rank, last rank + 1, first sequence, pieces per sequence, offset).
 
     The pieces of that length with these ranks go, ``pieces per sequence`` at a time and end to end from ``offset``,
@@ -248,24 +243,32 @@ def pack_histogram(counts: dict[int, int], cap: int, bins: int = 128) -> list[tu
         scale = max(1.0, per_bin.max())
         repeats = np.floor(nnls(a, per_bin[1:] / scale) * scale + 1e-9).astype(np.int64)
         stock = {k: sorted((x for x in left if bin_of[x] == k), reverse=True) for k in range(1, bins + 1)}
+        lengths = sorted(left)  # with pieces left
         for j in np.argsort(-repeats, kind="stable"):
             todo = int(repeats[j])
             while todo > 0:
-                # the longest length left of each slot's bin, and how many sequences can be filled alike
+                # the longest length left of each bin but the last, then the longest that still fits
                 use: list[int] = []
-                for k in table[j]:
+                for k in table[j][:-1]:
                     x = next((x for x in stock[k] if left[x] > use.count(x)), None)
                     if x is None:
                         break
                     use.append(x)
-                if len(use) < len(table[j]):
-                    break
+                room = cap - sum(use)
+                i = bisect.bisect_right(lengths, room) - 1
+                while i >= 0 and left[lengths[i]] <= use.count(lengths[i]):
+                    i -= 1
+                if len(use) < len(table[j]) - 1 or i < 0 or room - lengths[i] >= width:
+                    break  # what is left here goes with the rest
+                use.append(lengths[i])
                 n = min([todo, *(left[x] // use.count(x) for x in use)])
                 offset = 0
                 for x, same in itertools.groupby(sorted(use, reverse=True)):
                     per = len(list(same))
                     place(x, n * per, sequences, per, offset)
                     offset += per * x
+                    if not left[x]:
+                        del lengths[bisect.bisect_left(lengths, x)]
                 free(cap - offset, sequences, n)
                 sequences += n
                 todo -= n

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import lower_words_of
+from pairforge.llm.common import lower_words_of, worker_state
 from pairforge.session import ensure_checkpoint_dir
 
 WINDOW, STRIDE = 32, 16
@@ -328,15 +328,9 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return train(list(sample.values()))
 
 
-_READY: dict = {}
-
-
 def _scorer(key: str, shared) -> Scorer | None:
     """One scorer (with its word table) per worker and network."""
-    if key not in _READY:
-        _READY.clear()
-        _READY[key] = Scorer(shared.value) if shared.value is not None else None
-    return _READY[key]
+    return worker_state(("toxicity", key), lambda: Scorer(shared.value) if shared.value is not None else None)
 
 
 def keep_clean(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
