@@ -80,6 +80,7 @@ class Transducer:
         self._byte_ids = np.array(self.byte_id, np.int64)
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._long: list[str] = []
 
     def _lookahead(self) -> int:
         made_from: dict[int, int] = {}  # token -> left part of the merge that makes it
@@ -173,6 +174,9 @@ class Transducer:
     def _learn(self, pieces: set[str]) -> None:
         """Afterwards the memo has all ``pieces``."""
         memo = self._memo
+        for p in self._long:  # pieces over 64 characters are held for one call only
+            memo.pop(p, None)
+        self._long = [p for p in pieces if len(p) > 64]
         new = [p for p in pieces if p not in memo]
         if len(memo) + len(new) > MEMO:
             self._old, self._memo = memo, {}

@@ -35,7 +35,7 @@ from pairforge.llm.graph import components
 from pairforge.session import ensure_checkpoint_dir
 
 #: Texts and shingles that a task joins at once.
-CHUNK_TEXTS, CHUNK_SHINGLES = 1024, 2_000_000
+CHUNK_TEXTS, CHUNK_SHINGLES = 768, 1_000_000
 LEAF, FANOUT = 16, 4
 #: Ratio of the sizes that one division into parts serves.
 SIZE_STEP = 1.6
@@ -232,7 +232,7 @@ class SignatureTree:
 def _overlaps(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
     """popcount(a[i] & b[j]) of each pair, in blocks of bounded size."""
     out = np.empty(len(i), np.int64)
-    step = max(1, 4_000_000 // max(1, a.shape[1]))
+    step = max(1, 1_000_000 // max(1, a.shape[1]))
     for s in range(0, len(i), step):
         out[s:s + step] = np.bitwise_count(a[i[s:s + step]] & b[j[s:s + step]]).sum(axis=1)
     return out
@@ -328,17 +328,18 @@ def join_sets(sets: list[np.ndarray], part: int, whole: int, classes: Classes |
 
 # --- Spark ------------------------------------------------------------------------------------------------------
 
-def _slices(b: pa.RecordBatch, col: int, chars: int = 700_000) -> Iterator[tuple[int, list]]:
-    """(first row, texts) of runs of rows with about ``chars`` characters; a text is never cut."""
-    texts = b.column(col).to_pylist()
-    s = 0
-    while s < len(texts):
-        e, size = s, 0
-        while e < len(texts) and (e == s or size < chars):
-            size += len(texts[e] or "")
-            e += 1
-        yield s, texts[s:e]
-        s = e
+def _slices(b: pa.RecordBatch, col: int, rows: int = 256, chars: int = 700_000) -> Iterator[tuple[int, list]]:
+    """(first row, texts) of runs of at most ``rows`` rows with about ``chars`` characters; a text is never cut."""
+    for at in range(0, b.num_rows, rows):
+        texts = b.column(col).slice(at, rows).to_pylist()
+        s = 0
+        while s < len(texts):
+            e, size = s, 0
+            while e < len(texts) and (e == s or size < chars):
+                size += len(texts[e] or "")
+                e += 1
+            yield at + s, texts[s:e]
+            s = e
 
 
 def _common(docs: DataFrame, text_col: str, k: int) -> IntTable | None:
@@ -440,7 +441,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tup
                 yield now, pa.Table.from_batches(held)
                 held = []
             now = key
-            held.append(b.slice(s, e - s))
+            held.append(b.take(pa.array(np.arange(s, e))))  # a copy: a slice would keep the whole batch in memory
     if held:
         yield now, pa.Table.from_batches(held)
 
@@ -449,7 +450,7 @@ def _solve(rows: DataFrame, keys: list[str], part: int, whole: int, sides: bool
     """Links (a, b) that merge classes in each group of (v, class, data[, side]) rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in _grouped(batches, keys):
-            v, cls, data = t.column("v").to_numpy(), t.column("class").to_numpy(), t.column("data").to_pylist()
+            v, cls, data = t.column("v").to_numpy(), t.column("class").to_numpy(), t.column("data")
             side = t.column("side").to_numpy() if sides else np.zeros(len(v), np.int64)
             order = np.lexsort((v, side))
             _, once = np.unique(np.stack([side[order], v[order]]), axis=1, return_index=True)
@@ -461,7 +462,7 @@ def _solve(rows: DataFrame, keys: list[str], part: int, whole: int, sides: bool
             classes, seen = Classes(len(v)), {}
             for i, c in enumerate(cls.tolist()):
                 classes.join(i, seen.setdefault(c, i))
-            links = join_sets([np.frombuffer(data[i], np.uint64) for i in order], part, whole, classes, second)
+            links = join_sets([np.frombuffer(data[int(i)].as_buffer(), np.uint64) for i in order], part, whole, classes, second)
             if links:
                 at = np.array(links)
                 yield pa.RecordBatch.from_arrays([pa.array(v[at[:, 0]]), pa.array(v[at[:, 1]])], names=["a", "b"])

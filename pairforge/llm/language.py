@@ -50,7 +50,7 @@ def learn_profiles(docs: DataFrame, lang_col: str = "lang", text_col: str = "tex
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in (whole.slice(s, 256) for whole in batches for s in range(0, whole.num_rows, 256)):
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 if lang not in sums:
                     sums[lang] = np.zeros(BUCKETS, np.int64)
@@ -128,7 +128,7 @@ def identify(docs: DataFrame, model: Profiles, id_col: str = "doc_id", text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in (whole.slice(s, 256) for whole in batches for s in range(0, whole.num_rows, 256)):
             got = [infer(t, m) if t else {} for t in b.column(1).to_pylist()]
             top = [next(iter(g.items()), ("und", 0.0)) for g in got]
             yield pa.RecordBatch.from_arrays(
@@ -146,6 +146,6 @@ def keep_identified(docs: DataFrame, model: Profiles, text_col: str = "text", le
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in (whole.slice(s, 256) for whole in batches for s in range(0, whole.num_rows, 256)):
             yield b.filter(pa.array([max(infer(t, m).values(), default=0.0) >= least if t else False for t in b.column(at).to_pylist()], pa.bool_()))
     return docs.mapInArrow(run, docs.schema)

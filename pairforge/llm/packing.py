@@ -65,6 +65,7 @@ class _WordIds:
         self._old: dict[str, bytes] = {}
         self._pre_ids: dict[str, bytes] = {}
         self._most = most
+        self._long: list[str] = []
 
     def _whole(self, text: str) -> bytes:
         return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -72,6 +73,9 @@ class _WordIds:
     def _learn(self, words: set[str]) -> None:
         """Afterwards the memo has all of ``words``."""
         memo = self._memo
+        for w in self._long:  # words over 64 characters are held for one call only
+            memo.pop(w, None)
+        self._long = [w for w in words if len(w) > 64]
         new = [w for w in words if w not in memo]
         if len(memo) + len(new) > self._most:
             self._old, self._memo = memo, {}

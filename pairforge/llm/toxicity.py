@@ -32,7 +32,7 @@ WORDS, GRAMS, EMBED, HIDDEN, ATTEND = 4096, 4096, 8, 8, 8
 #: Most sampled documents of labels 0 and 1, and most windows of one of them.
 SAMPLE_DOCS, SAMPLE_WINDOWS = (3000, 1000), 32
 EDGES = b".,;:!?\"'()[]{}*#|<>-_%$&"
-MEMO = 200_000
+MEMO = 120_000
 
 
 def window_starts(n: int) -> list[int]:
