@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.llm.common import IntTable, staged, worker_state
@@ -530,6 +530,8 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = docs.select(text_col).mapInArrow(sets, "v long, n long, data binary").dropDuplicates(["v"])
     sets_at = staged(found.select("v", "data").join(groups, "v").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")), "sets")
 
+    if not groups.filter("chunks > 1").isEmpty():
+        groups, sets_at = _without_loners(groups, sets_at, part, whole)
     first = staged(_solve(sets_at.withColumn("class", F.col("v")), ["root", "chunk"], part, whole), "links")
     members = staged(_relabel(groups.select("v", "root", "chunks").withColumn("class", F.col("v")), first), "members")
     if not members.filter("chunks > 1").isEmpty():
@@ -569,16 +571,45 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return sure.unionByName(single).unionByName(chosen).select("_row.*")
 
 
+def _without_loners(groups: DataFrame, sets_at: DataFrame, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
+    """Large groups without the texts that can't link with any other in them, and their chunks anew.
+
+    Two linked sets share at least part / whole of either one's shingles, so a set of which fewer shingles occur in other
+    sets of its group has no link there. Counting a group's shingles costs a row per shingle, once.
+    """
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole_batch in batches:
+            for b in (whole_batch.slice(s, 256) for s in range(0, whole_batch.num_rows, 256)):
+                n = np.array([len(x.as_buffer()) // 8 for x in b.column(2)], np.int64)
+                h = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(h)],
+                                                 names=["root", "v", "h"])
+    large = sets_at.filter("chunks > 1")
+    rows = large.select("root", "v", "data").mapInArrow(shingles, "root long, v long, h long")
+    shared = (rows.withColumn("k", F.count("*").over(Window.partitionBy("root", "h"))).filter("k > 1")
+              .groupBy("root", "v").agg(F.count("*").alias("shared")))
+    sized = large.select("root", "v", (F.length("data") / 8).cast("long").alias("n"))
+    live = staged(sized.join(shared, ["root", "v"]).filter(F.col("shared") * whole >= F.col("n") * part).select("v", "n", "root"), "live")
+    again = _sized(live).select("v", "root", "chunks")
+    kept = large.drop("chunks", "chunk").join(again, ["root", "v"]).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
+    small = sets_at.filter("chunks = 1")
+    return (staged(groups.filter("chunks = 1").select("v", "root", "chunks").unionByName(again), "groups"),
+            small.unionByName(staged(kept.select(*small.columns), "sets")))
+
+
+def _sized(rows: DataFrame) -> DataFrame:
+    """Rows (v, n, root) with the number of chunks of their group."""
+    chunks = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    return rows.join(chunks, "root")
+
+
 def _groups(clusters: DataFrame, part: int, whole: int) -> DataFrame:
     """(v, root, chunks) from (v, root, n): the groups in which texts are compared, and the number of their chunks.
 
     Small clusters are groups as they are. A cluster of more than one chunk is divided by size: bands of sizes within a
     factor whole / part, a group for each two neighbouring bands. Texts that may link are in one group still.
     """
-    def sized(rows: DataFrame) -> DataFrame:
-        chunks = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-        return rows.join(chunks, "root")
-    by = sized(clusters)
+    by = _sized(clusters)
     if part == whole:
         bands = F.array(F.col("n"))
     else:  # a little wider than the factor, so that rounding can't part two texts
@@ -586,7 +617,7 @@ def _groups(clusters: DataFrame, part: int, whole: int) -> DataFrame:
         bands = F.array(band - 1, band)
     large = by.filter("chunks > 1").select("v", "n", F.col("root").alias("of"), F.explode(bands).alias("band"))
     return by.filter("chunks = 1").select("v", "root", "chunks").unionByName(
-        sized(large.select("v", "n", F.xxhash64("of", "band").alias("root"))).select("v", "root", "chunks"))
+        _sized(large.select("v", "n", F.xxhash64("of", "band").alias("root"))).select("v", "root", "chunks"))
 
 
 def _large(members: DataFrame, sets_at: DataFrame, part: int, whole: int) -> DataFrame:
