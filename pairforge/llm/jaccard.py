@@ -536,7 +536,9 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = staged(_relabel(groups.select("v", "root", "chunks").withColumn("class", F.col("v")), first), "members")
     if not members.filter("chunks > 1").isEmpty():
         members = _large(members, sets_at, part, whole)
-    members = members.select("v", "class").distinct()
+    members = staged(members.select("v", "class").distinct(), "members")
+    if not members.groupBy("v").count().filter("count > 1").isEmpty():
+        raise RuntimeError("a text is in two classes")
 
     classes = sigs.join(members, "v", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("class", "v")))
     least = classes.filter("class is not null").groupBy("class").agg(F.min("_id").alias("component_id"))
@@ -622,17 +624,19 @@ def _groups(clusters: DataFrame, part: int, whole: int) -> DataFrame:
 
 def _large(members: DataFrame, sets_at: DataFrame, part: int, whole: int) -> DataFrame:
     """Merge classes across the chunks of large clusters, until every pair of classes has been compared."""
-    small = members.filter("chunks = 1").select("v", "class")
-    large = staged(members.filter("chunks > 1").select("v", "root", "class"), "large")
+    # a text of a large group may have a row in a small one too: all rows are relabelled, so a text keeps one class
+    members = staged(members.select("v", "root", "chunks", "class"), "members")
     data = sets_at.filter("chunks > 1").select("root", "v", "data", "chunk", "chunks")
     for turn in itertools.count(1):
+        large = members.filter("chunks > 1").select("v", "root", "class")
         # one text per class, the classes dealt out anew each time
         reps = large.groupBy("root", "class").agg(F.min_by("v", F.xxhash64("v", F.lit(turn))).alias("v"))
         n = reps.groupBy("root").agg(F.count("*").alias("k"))
         before = reps.count()
         dealt = reps.join(n, "root").withColumn("deal", F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("k") / CHUNK_TEXTS)).cast("int"))
         links = staged(_solve(dealt.filter("k > 1").join(data, ["root", "v"]), ["root", "deal"], part, whole), "links")
-        large = staged(_relabel(large, links), "large")
+        members = staged(_relabel(members, links), "members")
+        large = members.filter("chunks > 1").select("v", "root", "class")
         after = large.select("root", "class").distinct().count()
         if after > 0.9 * before:
             break
@@ -646,5 +650,4 @@ def _large(members: DataFrame, sets_at: DataFrame, part: int, whole: int) -> Dat
     right = (large.join(sizes, "root").join(data, ["root", "v"])
              .select("root", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "chunk", "v", "class", "data", F.lit(1).alias("side")))
     links = staged(_solve(left.unionByName(right), ["root", "deal", "chunk"], part, whole, sides=True), "links")
-    merged = _relabel(small.unionByName(large.select("v", "class")).distinct(), links)
-    return merged
+    return _relabel(members.select("v", "class").distinct(), links)

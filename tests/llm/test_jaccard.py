@@ -123,3 +123,18 @@ def test_keep_one(spark, odd_docs, no_docs, copies):
     assert sorted((str(r.doc_id), r.text or "") for r in left.collect()) == sorted(
         (str(r.doc_id), r.text or "") for r in odd_docs.dropDuplicates(["doc_id", "text"]).filter("doc_id is null or doc_id <> 20").collect())
     assert jaccard.keep_one(no_docs).count() == 0
+
+
+def test_sparse_band_beside_a_dense_one(spark, monkeypatch):
+    """Texts of a large size group that also have a row in a small one are in one class, whatever merges theirs."""
+    monkeypatch.setattr(jaccard, "CHUNK_TEXTS", 20)
+    words = [f"w{i}" for i in range(3 * 150 + 215)]
+    rows = []
+    for i in range(150):  # a chain: each text is linked with its next ones only
+        w = words[3 * i:3 * i + 215]
+        if i % 10 == 0:  # the sparse band
+            w = w + [f"y{i}x{j}" for j in range(6)]
+        rows.append((i, " ".join(w)))
+    rows = rows[75:] + rows[:75]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert found(df, k=3, part=90) == brute(rows, 3, 90, 100)
