@@ -1,11 +1,12 @@
 """License scans by a positional index of rare words, with DataFrame functions only.
 
 One pass over the whole texts lists, per file, the places of words that occur in licence templates. Document
-frequencies of those words (a table no larger than the templates' vocabulary) give their IDF. Each file looks up
-its highest-IDF licence words only; a posting (template, place in template) of such a word that stands at place p
-proposes that the template begins at p minus that place. The shifted place lists of the mandatory key phrase's
-words are intersected with the proposals; what is left is verified, and its score is the IDF share of the
-template's words that stand in line.
+frequencies of those words (a table no larger than the templates' vocabulary) give their IDF. Each file looks up,
+for each template, its highest-IDF words of that template and always the rarest word of the mandatory key phrase; a
+posting (template, place in template) of such a word that stands at place p proposes that the template begins at p
+minus that place. So every place of a key phrase is proposed, whatever else the file holds. The shifted place lists of
+the key phrase's words are intersected with the proposals; what is left is verified, and its score is the IDF share of
+the template's words that stand in line.
 
 Everything about one file happens within its row, in time linear in its licence words (one sort for the scores), so
 no group of files meets in a task.
@@ -95,8 +96,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Words are runs of ASCII letters, digits and non-ASCII characters after lower-casing A-Z. ``base`` maps phrases to
     labels: all their places count. ``templates`` are (label, notice, key phrase); a notice is found where its key
-    phrase stands in line and words with at least ``min_share`` of its IDF do. A file proposes places from its
-    ``top_words`` highest-IDF licence words (ties: the word earlier in the vocabulary). Null and empty texts
+    phrase stands in line and words with at least ``min_share`` of its IDF do. A file proposes places of each notice
+    from its ``top_words`` highest-IDF words of that notice (ties: the word earlier in the vocabulary) and from the
+    highest-IDF word of the key phrase. Null and empty texts
     have no words: counts 0, places null, empty labels, score 0. Every input row gives one row (repeated rows and
     null ids too), an empty table none; other columns are not read.
 
@@ -117,17 +119,19 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n_docs = max(1, rows.count())
     freq = {r["w"]: r["n"] for r in rows.select(F.explode("present").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()}
     idf = [math.log((1 + n_docs) / (1 + freq.get(i, 0))) for i in range(len(vocab))]
-    by_idf = _array(sorted(range(len(vocab)), key=lambda i: (-idf[i], i)), "array<int>")
+    by_idf = lambda ws: sorted(set(ws), key=lambda i: (-idf[i], i))
 
     found = {p: _if_all(codes(p), _aligned(codes(p)), "array<int>") for p in base}
-    out = rows.select("_id", "n_words", "hits", "present", F.slice(F.array_intersect(by_idf, F.col("present")), 1, top_words).alias("top"),
-                      *[found[p].alias(f"base{i}") for i, p in enumerate(base)])
+    out = rows.select("_id", "n_words", "hits", "present", *[found[p].alias(f"base{i}") for i, p in enumerate(base)])
 
     verified, shares = [], []
     for i, (_, notice, key) in enumerate(templates):
         words, key_words = codes(notice), codes(key)
         at = next(k for k in range(len(words)) if words[k:k + len(key_words)] == key_words)
-        proposed = F.concat(*[F.when(F.array_contains("top", w), _begins(w, k)).otherwise(F.expr("cast(array() as array<int>)"))
+        top = F.slice(F.array_intersect(_array(by_idf(words), "array<int>"), F.col("present")), 1, top_words)
+        rarest = by_idf(key_words)[0]
+        proposed = F.concat(*[_begins(w, k) if w == rarest else
+                              F.when(F.array_contains(top, w), _begins(w, k)).otherwise(F.expr("cast(array() as array<int>)"))
                               for k, w in enumerate(words)])
         verified.append(_if_all(key_words, F.array_intersect(_aligned(key_words, at), proposed), "array<int>").alias(f"v{i}"))
         shares.append(F.when(F.size(f"v{i}") > 0, _best_share(F.col(f"v{i}"), words, idf)).otherwise(F.lit(0.0)).alias(f"s{i}"))

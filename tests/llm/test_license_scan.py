@@ -34,6 +34,17 @@ def test_notices(spark):
     assert {got[i].labels for i in range(10, 60)} == {""}
 
 
+def test_notices_do_not_crowd_each_other_out(spark):
+    """A notice of common words is found in a file with the many rare words of other notices."""
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted. "
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software. "
+    cc = "Licensed under CC BY-NC 4.0."
+    rows = [(1, bsd + cc), (2, mit + cc), (3, mit + bsd + "Subject to the terms of the Mozilla Public License, v. 2.0. " + cc), (4, bsd + "by nc cc")]
+    df = spark.createDataFrame(rows + [(i, "0 4 nc by cc under licensed") for i in range(10, 60)], "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in ls.scan_licenses(df).collect()}
+    assert [got[i] for i in range(1, 5)] == ["bsd,cc-by-nc", "cc-by-nc,mit", "bsd,cc-by-nc,mit,mpl", "bsd"]
+
+
 def test_no_python_in_the_plan(documents):
     plan = ls.scan_licenses(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
