@@ -7,26 +7,30 @@ only ever reduced by ``min``, which Spark combines before the shuffle: no vertex
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.common import staged
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(v, root) of every vertex of ``edges`` (a, b): ``root`` is the least vertex of its component.
 
-    Null ends are ignored; loops and repeated edges do no harm; an empty table gives none.
+    Rounds go on until no label changes; with a limit of ``rounds``, unfinished labels raise. Null ends are ignored;
+    loops and repeated edges do no harm; an empty table gives none.
     """
     e = edges.select("a", "b").dropna()
     both = staged(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "v"), "labels")
-    for _ in range(rounds):
+    for done in itertools.count():
+        if done == rounds:
+            raise RuntimeError(f"components unfinished after {rounds} rounds")
         near = (both.join(labels.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r")))
         hop = labels.join(near, labels["v"] == near["a"]).select("v", F.col("root").alias("old"), F.least("root", "r").alias("root"))
         up = labels.select(F.col("v").alias("root"), F.col("root").alias("top"))
         new = staged(hop.join(up, "root").select("v", "old", F.least("root", "top").alias("root")), "labels")
         labels = new.select("v", "root")
         if new.filter("root != old").isEmpty():
-            break
-    return labels
+            return labels

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from pairforge.llm import jaccard
+from pairforge.llm import graph, jaccard
 
 
 def brute(rows, k, part, whole):
@@ -138,3 +138,10 @@ def test_sparse_band_beside_a_dense_one(spark, monkeypatch):
     rows = rows[75:] + rows[:75]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert found(df, k=3, part=90) == brute(rows, 3, 90, 100)
+
+
+def test_components_end_finished_or_raise(spark):
+    chain = spark.createDataFrame([(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)], "a long, b long")
+    assert {r.root for r in graph.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.components(chain, rounds=1)
