@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm.common import IntTable, staged, worker_state
@@ -573,6 +573,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return sure.unionByName(single).unionByName(chosen).select("_row.*")
 
 
+def _own_shingles(rows: DataFrame) -> DataFrame:
+    """(root, v, own) from distinct (root, v, h): how many shingles of a text no other text of its group has.
+
+    Texts are counted by shingle first, which Spark combines before the shuffle; a shingle of one text names that text.
+    """
+    return (rows.groupBy("root", "h").agg(F.count("*").alias("k"), F.min("v").alias("v")).filter("k = 1")
+            .groupBy("root", "v").agg(F.count("*").alias("own")))
+
+
 def _without_loners(groups: DataFrame, sets_at: DataFrame, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
     """Large groups without the texts that can't link with any other in them, and their chunks anew.
 
@@ -588,10 +597,9 @@ def _without_loners(groups: DataFrame, sets_at: DataFrame, part: int, whole: int
                                                  names=["root", "v", "h"])
     large = sets_at.filter("chunks > 1")
     rows = large.select("root", "v", "data").mapInArrow(shingles, "root long, v long, h long")
-    shared = (rows.withColumn("k", F.count("*").over(Window.partitionBy("root", "h"))).filter("k > 1")
-              .groupBy("root", "v").agg(F.count("*").alias("shared")))
     sized = large.select("root", "v", (F.length("data") / 8).cast("long").alias("n"))
-    live = staged(sized.join(shared, ["root", "v"]).filter(F.col("shared") * whole >= F.col("n") * part).select("v", "n", "root"), "live")
+    shared = F.col("n") - F.coalesce("own", F.lit(0))
+    live = staged(sized.join(_own_shingles(rows), ["root", "v"], "left").filter(shared * whole >= F.col("n") * part).select("v", "n", "root"), "live")
     again = _sized(live).select("v", "root", "chunks")
     kept = large.drop("chunks", "chunk").join(again, ["root", "v"]).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
     small = sets_at.filter("chunks = 1")

@@ -140,6 +140,14 @@ def test_sparse_band_beside_a_dense_one(spark, monkeypatch):
     assert found(df, k=3, part=90) == brute(rows, 3, 90, 100)
 
 
+def test_shingles_are_counted_before_the_shuffle(spark):
+    rows = spark.createDataFrame([(1, v, 0) for v in range(50)] + [(1, 3, 7), (1, 3, 8), (1, 4, 9), (2, 3, 0), (2, 5, 6), (2, 6, 6)], "root long, v long, h long")
+    own = jaccard._own_shingles(rows)
+    assert {tuple(r) for r in own.collect()} == {(1, 3, 2), (1, 4, 1), (2, 3, 1)}
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_count" in plan
+
+
 def test_components_end_finished_or_raise(spark):
     chain = spark.createDataFrame([(i * 37 % 101, (i + 1) * 37 % 101) for i in range(100)], "a long, b long")
     assert {r.root for r in graph.components(chain).collect()} == {0}
