@@ -69,6 +69,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most keys that :func:`join_hot` broadcasts, and the fewest rows of such a key.
+HOT_KEYS, HOT_ROWS = 1000, 200
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The at most ``HOT_KEYS`` keys with most rows, of those with ``HOT_ROWS`` or more: any other key has at most
+    1 / ``HOT_KEYS`` of the rows, or fewer than ``HOT_ROWS``."""
+    few = rows.filter(F.col(key).isNotNull()).groupBy(key).count().filter(F.col("count") >= HOT_ROWS).orderBy(F.desc("count"), key).limit(HOT_KEYS)
+    return [r[key] for r in few.collect()]
+
+
+def join_hot(rows: DataFrame, values: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """``rows`` (written, or cheap to read again) joined with ``values`` (one row a key), when a key may hold many rows: the
+    values of hot keys, bounded in number, are broadcast, so their rows aren't shuffled; the others join by shuffle."""
+    hot = hot_keys(rows, key) if hot is None else hot
+    if not hot:
+        return rows.join(values, key, how)
+    of = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return (rows.filter(of).join(F.broadcast(values.filter(of)), key, how)
+            .unionByName(rows.filter(~of).join(values.filter(~of), key, how)))
+
+
 _STATE: dict = {}
 
 

@@ -1,8 +1,9 @@
 """Connected components of an edge table, by label propagation with shortcuts.
 
-Vertices are longs. Every round a vertex takes the least label among itself and its neighbours, the label's own
-label follows (shortcut), and the table is written to the shared folder, so lineage stays short. Neighbours are
-only ever reduced by ``min``, which Spark combines before the shuffle: no vertex's edges meet in one task.
+Vertices are longs. Every round a vertex takes the least of its own label, its neighbours' labels and its label's own label
+(shortcut), and the table is written to the shared folder, so lineage stays short. Neighbours are reduced by ``min``,
+which Spark combines before the shuffle; where edges or labels are looked up by vertex, the vertices with most edges
+and the labels with most vertices are broadcast, so neither a hub's edges nor a large component meet in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import staged
+from pairforge.llm.common import hot_keys, join_hot, staged
 
 
 def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -24,13 +25,14 @@ def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     e = edges.select("a", "b").dropna()
     both = staged(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = staged(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("root")).withColumnRenamed("a", "v"), "labels")
+    hubs = hot_keys(both, "b")
     for done in itertools.count():
         if done == rounds:
             raise RuntimeError(f"components unfinished after {rounds} rounds")
-        near = (both.join(labels.select(F.col("v").alias("b"), F.col("root").alias("r")), "b").groupBy("a").agg(F.min("r").alias("r")))
-        hop = labels.join(near, labels["v"] == near["a"]).select("v", F.col("root").alias("old"), F.least("root", "r").alias("root"))
-        up = labels.select(F.col("v").alias("root"), F.col("root").alias("top"))
-        new = staged(hop.join(up, "root").select("v", "old", F.least("root", "top").alias("root")), "labels")
+        near = join_hot(both, labels.select(F.col("v").alias("b"), F.col("root").alias("r")), "b", hot=hubs).groupBy("a").agg(F.min("r").alias("r"))
+        tops = join_hot(labels, labels.select(F.col("v").alias("root"), F.col("root").alias("top")), "root")
+        hop = tops.join(near, tops["v"] == near["a"])
+        new = staged(hop.select("v", F.col("root").alias("old"), F.least("root", "r", "top").alias("root")), "labels")
         labels = new.select("v", "root")
         if new.filter("root != old").isEmpty():
             return labels

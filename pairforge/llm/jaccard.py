@@ -8,6 +8,11 @@ hash divides all shingles they agree on m - d at least. One row per part and tex
 sample shows in very many texts are left out of the parts: that can only make sets more alike, so nothing is
 lost, and a line that a third of all texts share doesn't join them.
 
+Texts that share a part often share little else. Every text has a parity signature: one bit a shingle or more, each the parity of the
+shingles hashed to it. The bits in which two signatures differ are at most the shingles in which the sets differ, so texts that
+differ in more bits than linked sets may differ in shingles are no candidates, whatever parts they share. The texts of one part are compared
+by their signatures in a task; a part of more than ``PART_TEXTS`` texts joins them all, unseen.
+
 Within a cluster a signature tree does the join: leaves hold few texts with bitmaps over the cluster's shared
 shingles, nodes hold the union of their children's bitmaps and the range of their sizes. A dual traversal from the
 root drops node pairs whose largest possible overlap, popcount(A & B), or whose sizes can't reach t; leaf pairs
@@ -30,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import IntTable, staged, worker_state
+from pairforge.llm.common import IntTable, join_hot, staged, worker_state
 from pairforge.llm.graph import components
 from pairforge.session import ensure_checkpoint_dir
 
@@ -41,6 +46,8 @@ LEAF, FANOUT = 16, 4
 SIZE_STEP = 1.6
 SAMPLE_TEXTS, COMMON_SHARE, COMMON_LEAST = 4096, 0.0007, 3
 BUCKETS = 1 << 20
+#: Most texts of a part that are compared by their signatures, and most that one task's own rows of a part may hold.
+PART_TEXTS, TASK_TEXTS = 128, 64
 
 _RNG = np.random.default_rng(20_24)
 _BYTE = _RNG.integers(0, 2 ** 64, 256, np.uint64)
@@ -126,6 +133,32 @@ def vertices(h: np.ndarray, o: np.ndarray, n: int, seed: int = 0) -> tuple[np.nd
     return size, out[0], out[1]
 
 
+def parities(h: np.ndarray, o: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Parity signature of each set: 64 * 2^j bits, at least one a shingle."""
+    words = 1 << np.ceil(np.log2(np.maximum(1, size / 64))).astype(np.int64)
+    first = np.cumsum(words) - words
+    place = _mix(h, 23) & (words[o] * 64 - 1).astype(np.uint64)
+    bits = np.zeros(int(words.sum()), np.uint64)
+    np.bitwise_xor.at(bits, first[o] + (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return [bits[a:a + w].tobytes() for a, w in zip(first.tolist(), words.tolist(), strict=True)]
+
+
+def alike(signatures: list[bytes], size: np.ndarray, part: int, whole: int) -> list[tuple[int, int]]:
+    """Pairs (positions) that join all sets of which the signatures and sizes don't rule out a link; one is enough between
+    two groups of sets."""
+    words = min(len(x) for x in signatures) // 8
+    bits = np.zeros((len(signatures), words), np.uint64)
+    for i, x in enumerate(signatures):  # a longer signature folds to a shorter one
+        np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, words), axis=0, out=bits[i])
+    classes, links = Classes(len(size)), []
+    for i in range(len(size) - 1):
+        other = size[i + 1:]
+        apart = np.bitwise_count(bits[i] ^ bits[i + 1:]).sum(axis=1, dtype=np.int64)
+        ok = (apart * (whole + part) <= (size[i] + other) * (whole - part)) & (whole * np.minimum(size[i], other) >= part * np.maximum(size[i], other))
+        links += [(i, j) for j in (np.flatnonzero(ok) + i + 1).tolist() if classes.join(i, j)]
+    return links
+
+
 def size_class(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Class number of each set size and the largest size of its class."""
     tops = [1]
@@ -359,12 +392,13 @@ def _common(docs: DataFrame, text_col: str, k: int) -> IntTable | None:
     return IntTable(h, np.zeros(len(h), np.int64)) if len(h) else None
 
 
-def _clusters(docs: DataFrame, text_col: str, k: int, part: int, whole: int, seed: int) -> DataFrame:
-    """(v, root): vertices that share a part with another vertex, and their cluster."""
+def _clusters(docs: DataFrame, text_col: str, k: int, part: int, whole: int, seed: int, sigs: DataFrame) -> DataFrame:
+    """(v, root): vertices that may link with another vertex, and their cluster."""
     shared = docs.sparkSession.sparkContext.broadcast(_common(docs, text_col, k))
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(key, vertex, other): a task's own vertices of a key are edges (other set), the least goes on (other null)."""
+        """(key, vertex, other): the vertices of a key (other -1). If a task has many of a key, only the least goes on (other -2),
+        and the others are edges (other set)."""
         worker_state(None, lambda: None)  # nothing is kept from an operator before
         common = shared.value
         held_k, held_v, size = [], [], 0
@@ -373,15 +407,20 @@ def _clusters(docs: DataFrame, text_col: str, k: int, part: int, whole: int, see
             key, v = np.concatenate(held_k), np.concatenate(held_v)
             order = np.lexsort((v, key))
             key, v = key[order], v[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (v[1:] != v[:-1])
+            key, v = key[new], v[new]
             head = np.ones(len(key), bool)
             head[1:] = key[1:] != key[:-1]
-            least = v[head][np.cumsum(head) - 1] if len(key) else v
-            edge = v != least
+            of = np.cumsum(head) - 1
+            many = (np.bincount(of) > TASK_TEXTS)[of] if len(key) else head
+            least = v[head][of] if len(key) else v
+            edge = many & ~head
             pairs = np.unique(np.stack([v[edge], least[edge]]), axis=1) if edge.any() else np.zeros((2, 0), np.int64)
-            h = np.flatnonzero(head)
+            on = np.flatnonzero(~edge)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([key[h], pairs[0]])), pa.array(np.concatenate([v[h], pairs[0]])),
-                 pa.array(np.concatenate([np.full(len(h), -1, np.int64), pairs[1]]))], names=["key", "v", "other"])
+                [pa.array(np.concatenate([key[on], pairs[0]])), pa.array(np.concatenate([v[on], pairs[0]])),
+                 pa.array(np.concatenate([np.where(many[on], -2, -1), pairs[1]]))], names=["key", "v", "other"])
         for b in batches:
             for _, texts in _slices(b, 0):
                 h, o, _ = shingle_sets(texts, k)
@@ -400,27 +439,66 @@ def _clusters(docs: DataFrame, text_col: str, k: int, part: int, whole: int, see
         if held_k:
             yield out()
 
-    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Edges from rows sorted by key: every vertex of a key with the key's least one. Rows that are edges pass."""
-        key0, least0 = -1, -1
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """From rows sorted by key: the vertices of each key of few (vs; once for all keys that have the same), and edges
+        (a, b) from every vertex of any other key to its least one. Rows that are edges pass."""
+        star_key, star_least = -1, -1
+        left = [np.zeros(0, np.int64)] * 3  # rows of the last key so far, of which more may come
+        seen: set[bytes] = set()
+
+        def told(key, v, other, last: bool) -> tuple[pa.RecordBatch, list[np.ndarray]]:
+            nonlocal star_key, star_least
+            a, z, groups = [], [], []
+            head = np.ones(len(key), bool)
+            head[1:] = key[1:] != key[:-1]
+            start = np.flatnonzero(head)
+            stop = np.append(start[1:], len(key))
+            rest = [x[:0] for x in (key, v, other)]
+            if not last and len(start) and stop[-1] - start[-1] <= PART_TEXTS and key[-1] != star_key:
+                rest = [x[start[-1]:] for x in (key, v, other)]
+                start, stop = start[:-1], stop[:-1]
+            merged = np.logical_or.reduceat(other == -2, start) if len(start) else np.zeros(0, bool)
+            for s, e, all_in in zip(start.tolist(), stop.tolist(), merged.tolist(), strict=True):
+                if e - s == 1 and key[s] != star_key:
+                    continue
+                if all_in or e - s > PART_TEXTS or key[s] == star_key:
+                    star_least = star_least if key[s] == star_key else int(v[s])
+                    star_key = int(key[s])
+                    a.append(v[s:e])
+                    z.append(np.full(e - s, star_least))
+                    continue
+                vs = np.unique(v[s:e])
+                if len(vs) > 1 and (name := vs.tobytes()) not in seen:
+                    if len(seen) >= 50_000:
+                        seen.clear()
+                    seen.add(name)
+                    groups.append(vs.tolist())
+            pairs = np.stack([np.concatenate(a), np.concatenate(z)]) if a else np.zeros((2, 0), np.int64)
+            pairs = np.unique(pairs[:, pairs[0] != pairs[1]], axis=1)
+            n, g = pairs.shape[1], len(groups)
+            return pa.RecordBatch.from_arrays([pa.array([*pairs[0].tolist(), *[None] * g], pa.int64()), pa.array([*pairs[1].tolist(), *[None] * g], pa.int64()),
+                                               pa.array([None] * n + groups, pa.list_(pa.int64()))], names=["a", "b", "vs"]), rest
         for b in batches:
-            key, v, other = (c.to_numpy() for c in b.columns)
-            a, z = [v[other >= 0]], [other[other >= 0]]
-            key, v = key[other < 0], v[other < 0]
-            if len(key):
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                least = v[head][np.cumsum(head) - 1]
-                if key[0] == key0:
-                    least[key == key0] = least0
-                edge = v != least
-                a.append(v[edge])
-                z.append(least[edge])
-                key0, least0 = key[-1], least[-1]
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(z)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            cols = [c.to_numpy() for c in b.columns]
+            edge = cols[2] >= 0
+            if edge.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cols[1][edge]), pa.array(cols[2][edge]), pa.nulls(int(edge.sum()), pa.list_(pa.int64()))], names=["a", "b", "vs"])
+            got, left = told(*(np.concatenate([x, c[~edge]]) for x, c in zip(left, cols, strict=True)), False)
+            yield got
+        yield told(*left, True)[0]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, t in _grouped(batches, ["g"]):
+            v, first = np.unique(t.column("v").to_numpy(), return_index=True)
+            sig, n = t.column("sig").to_pylist(), t.column("n").to_numpy()[first]
+            links = np.array(alike([sig[i] for i in first], n, part, whole), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(v[links[:, 0]]), pa.array(v[links[:, 1]])], names=["a", "b"])
     rows = docs.select(text_col).mapInArrow(parts, "key long, v long, other long")
-    edges = rows.repartition("key").sortWithinPartitions("key", "v").mapInArrow(stars, "a long, b long").distinct()
+    met = staged(rows.repartition("key").sortWithinPartitions("key", "v").mapInArrow(meet, "a long, b long, vs array<long>"), "parts")
+    groups = met.filter("vs is not null").select("vs").distinct().select(F.xxhash64("vs").alias("g"), F.explode("vs").alias("v"))
+    once = sigs.filter("n > 0").groupBy("v").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
+    seen = (groups.join(once, "v").repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long"))
+    edges = met.filter("a is not null").select("a", "b").unionByName(seen).distinct()
     return components(staged(edges, "part-edges"))
 
 
@@ -472,10 +550,10 @@ def _solve(rows: DataFrame, keys: list[str], part: int, whole: int, sides: bool
 def _relabel(v: DataFrame, links: DataFrame) -> DataFrame:
     """Merge the classes of ``v`` (with a column class) that ``links`` (a, b) connect."""
     of = v.select("v", "class").distinct()
-    e = (links.join(of.select(F.col("v").alias("a"), F.col("class").alias("ca")), "a")
-         .join(of.select(F.col("v").alias("b"), F.col("class").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a != b"))
+    e = join_hot(links, of.select(F.col("v").alias("a"), F.col("class").alias("ca")), "a")
+    e = e.join(of.select(F.col("v").alias("b"), F.col("class").alias("cb")), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).filter("a != b")
     roots = components(e).select(F.col("v").alias("class"), F.col("root").alias("new"))
-    return v.join(roots, "class", "left").withColumn("class", F.coalesce("new", "class")).drop("new")
+    return join_hot(v, roots, "class", "left").withColumn("class", F.coalesce("new", "class")).drop("new")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, part: int = 80, whole: int = 100,
@@ -501,13 +579,16 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for s, texts in _slices(b, 0):
                     h, o, _ = shingle_sets(texts, k)
                     n, v, check = vertices(h, o, len(texts), seed)
-                    yield pa.RecordBatch.from_arrays([*(c.slice(s, len(texts)) for c in b.columns[1:]), *(pa.array(x.astype(np.int64)) for x in (n, v, check))],
-                                                     names=["_id", *extra, "n", "v", "check"])
-        sigs = staged(given.mapInArrow(signatures, "_id long, " + "".join(f"`{x}` {kinds[x]}, " for x in extra) + "n long, v long, check long"), "signatures")
+                    yield pa.RecordBatch.from_arrays([*(c.slice(s, len(texts)) for c in b.columns[1:]), *(pa.array(x.astype(np.int64)) for x in (n, v, check)),
+                                                      pa.array(parities(h, o, n), pa.binary())], names=["_id", *extra, "n", "v", "check", "sig"])
+        sigs = staged(given.mapInArrow(signatures, "_id long, " + "".join(f"`{x}` {kinds[x]}, " for x in extra) + "n long, v long, check long, sig binary"), "signatures")
         # two different sets with one identity: start over with another seed (all but impossible)
         if sigs.groupBy("v").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x != y").isEmpty():
             break
-    clusters = _clusters(docs, text_col, k, part, whole, seed)
+    else:
+        raise RuntimeError("different sets have one hash under three seeds")
+    clusters = _clusters(docs, text_col, k, part, whole, seed, sigs)
+    sigs = sigs.drop("sig")
 
     # sets of the clusters' vertices: a bounded set of buckets lets tasks drop most others before the shuffle
     buckets = clusters.select(F.pmod("v", F.lit(BUCKETS)).alias("b")).distinct().toArrow().column("b").to_numpy()
@@ -528,21 +609,19 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                                                   pa.array([h[ends[i] - n[i]:ends[i]].tobytes() for i in once], pa.binary())], names=["v", "n", "data"])
     groups = staged(_groups(clusters.join(sigs.select("v", "n").distinct(), "v"), part, whole), "groups")
     found = docs.select(text_col).mapInArrow(sets, "v long, n long, data binary").dropDuplicates(["v"])
-    sets_at = staged(found.select("v", "data").join(groups, "v").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")), "sets")
+    sets_at = staged(found.select("v", "data").join(groups.drop("n"), "v").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")), "sets")
 
-    if not groups.filter("chunks > 1").isEmpty():
-        groups, sets_at = _without_loners(groups, sets_at, part, whole)
     first = staged(_solve(sets_at.withColumn("class", F.col("v")), ["root", "chunk"], part, whole), "links")
-    members = staged(_relabel(groups.select("v", "root", "chunks").withColumn("class", F.col("v")), first), "members")
+    members = staged(_relabel(groups.withColumn("class", F.col("v")), first), "members")
     if not members.filter("chunks > 1").isEmpty():
         members = _large(members, sets_at, part, whole)
     members = staged(members.select("v", "class").distinct(), "members")
     if not members.groupBy("v").count().filter("count > 1").isEmpty():
         raise RuntimeError("a text is in two classes")
 
-    classes = sigs.join(members, "v", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("class", "v")))
+    classes = staged(join_hot(sigs, members, "v", "left").withColumn("class", F.when(F.col("n") > 0, F.coalesce("class", "v"))), "classes")
     least = classes.filter("class is not null").groupBy("class").agg(F.min("_id").alias("component_id"))
-    return classes.join(least, "class", "left").select(F.col("_id").alias(id_col), *extra, F.col("n").alias("n_shingles"),
+    return join_hot(classes, least, "class", "left").select(F.col("_id").alias(id_col), *extra, F.col("n").alias("n_shingles"),
                                                        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("_id")).alias("component_id"), "class")
 
 
@@ -559,7 +638,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     many = staged(many.filter("rows > 1"), "classes")
     first = many.select(F.col("first.id").alias("_id"), F.col("first._hash").alias("_first"))
     bucket = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(BUCKETS))
-    own = rows.join(many.select("class"), "class", "left_semi").select(F.col(id_col).alias("_id"), F.col("_hash").alias("_member")).distinct()
+    own = join_hot(rows, many.select("class"), "class").select(F.col(id_col).alias("_id"), F.col("_hash").alias("_member")).distinct()
     ask = F.broadcast(own.select(bucket(F.col("_id")).alias("_b")).distinct())
     # the row as one value, so that its columns can't clash with those used here
     whole_rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_key"), text_hash.alias("_hash"),
@@ -573,40 +652,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     return sure.unionByName(single).unionByName(chosen).select("_row.*")
 
 
-def _own_shingles(rows: DataFrame) -> DataFrame:
-    """(root, v, own) from distinct (root, v, h): how many shingles of a text no other text of its group has.
-
-    Texts are counted by shingle first, which Spark combines before the shuffle; a shingle of one text names that text.
-    """
-    return (rows.groupBy("root", "h").agg(F.count("*").alias("k"), F.min("v").alias("v")).filter("k = 1")
-            .groupBy("root", "v").agg(F.count("*").alias("own")))
-
-
-def _without_loners(groups: DataFrame, sets_at: DataFrame, part: int, whole: int) -> tuple[DataFrame, DataFrame]:
-    """Large groups without the texts that can't link with any other in them, and their chunks anew.
-
-    Two linked sets share at least part / whole of either one's shingles, so a set of which fewer shingles occur in other
-    sets of its group has no link there. Counting a group's shingles costs a row per shingle, once.
-    """
-    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole_batch in batches:
-            for b in (whole_batch.slice(s, 256) for s in range(0, whole_batch.num_rows, 256)):
-                n = np.array([len(x.as_buffer()) // 8 for x in b.column(2)], np.int64)
-                h = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in b.column(2)])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(b.column(1).to_numpy(), n)), pa.array(h)],
-                                                 names=["root", "v", "h"])
-    large = sets_at.filter("chunks > 1")
-    rows = large.select("root", "v", "data").mapInArrow(shingles, "root long, v long, h long")
-    sized = large.select("root", "v", (F.length("data") / 8).cast("long").alias("n"))
-    shared = F.col("n") - F.coalesce("own", F.lit(0))
-    live = staged(sized.join(_own_shingles(rows), ["root", "v"], "left").filter(shared * whole >= F.col("n") * part).select("v", "n", "root"), "live")
-    again = _sized(live).select("v", "root", "chunks")
-    kept = large.drop("chunks", "chunk").join(again, ["root", "v"]).withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"))
-    small = sets_at.filter("chunks = 1")
-    return (staged(groups.filter("chunks = 1").select("v", "root", "chunks").unionByName(again), "groups"),
-            small.unionByName(staged(kept.select(*small.columns), "sets")))
-
-
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows (v, n, root) with the number of chunks of their group."""
     chunks = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
@@ -614,7 +659,7 @@ def _sized(rows: DataFrame) -> DataFrame:
 
 
 def _groups(clusters: DataFrame, part: int, whole: int) -> DataFrame:
-    """(v, root, chunks) from (v, root, n): the groups in which texts are compared, and the number of their chunks.
+    """(v, n, root, chunks) from (v, root, n): the groups in which texts are compared, and the number of their chunks.
 
     Small clusters are groups as they are. A cluster of more than one chunk is divided by size: bands of sizes within a
     factor whole / part, a group for each two neighbouring bands. Texts that may link are in one group still.
@@ -626,33 +671,38 @@ def _groups(clusters: DataFrame, part: int, whole: int) -> DataFrame:
         band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(whole / part)))
         bands = F.array(band - 1, band)
     large = by.filter("chunks > 1").select("v", "n", F.col("root").alias("of"), F.explode(bands).alias("band"))
-    return by.filter("chunks = 1").select("v", "root", "chunks").unionByName(
-        _sized(large.select("v", "n", F.xxhash64("of", "band").alias("root"))).select("v", "root", "chunks"))
+    return by.filter("chunks = 1").select("v", "n", "root", "chunks").unionByName(
+        _sized(large.select("v", "n", F.xxhash64("of", "band").alias("root"))).select("v", "n", "root", "chunks"))
+
+
+def _deals(rows: DataFrame) -> DataFrame:
+    """(root, k, deals): texts of each group, and into how many deals a task's texts and shingles divide them."""
+    return rows.groupBy("root").agg(F.count("*").alias("k"), F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("deals"))
 
 
 def _large(members: DataFrame, sets_at: DataFrame, part: int, whole: int) -> DataFrame:
     """Merge classes across the chunks of large clusters, until every pair of classes has been compared."""
     # a text of a large group may have a row in a small one too: all rows are relabelled, so a text keeps one class
-    members = staged(members.select("v", "root", "chunks", "class"), "members")
+    members = staged(members.select("v", "n", "root", "chunks", "class"), "members")
     data = sets_at.filter("chunks > 1").select("root", "v", "data", "chunk", "chunks")
     for turn in itertools.count(1):
-        large = members.filter("chunks > 1").select("v", "root", "class")
+        large = members.filter("chunks > 1").select("v", "n", "root", "class")
         # one text per class, the classes dealt out anew each time
-        reps = large.groupBy("root", "class").agg(F.min_by("v", F.xxhash64("v", F.lit(turn))).alias("v"))
-        n = reps.groupBy("root").agg(F.count("*").alias("k"))
+        reps = large.groupBy("root", "class").agg(F.min_by(F.struct("v", "n"), F.xxhash64("v", F.lit(turn))).alias("rep")).select("root", "class", "rep.v", "rep.n")
+        reps = staged(reps, "reps")
         before = reps.count()
-        dealt = reps.join(n, "root").withColumn("deal", F.pmod(F.xxhash64("class", F.lit(turn)), F.ceil(F.col("k") / CHUNK_TEXTS)).cast("int"))
-        links = staged(_solve(dealt.filter("k > 1").join(data, ["root", "v"]), ["root", "deal"], part, whole), "links")
+        dealt = reps.join(_deals(reps), "root").withColumn("deal", F.pmod(F.xxhash64("class", F.lit(turn)), "deals").cast("int"))
+        links = staged(_solve(dealt.filter("k > 1").select("root", "class", "v", "deal").join(data, ["root", "v"]), ["root", "deal"], part, whole), "links")
         members = staged(_relabel(members, links), "members")
-        large = members.filter("chunks > 1").select("v", "root", "class")
+        large = members.filter("chunks > 1").select("v", "n", "root", "class")
         after = large.select("root", "class").distinct().count()
         if after > 0.9 * before:
             break
     # every text outside its group's largest class meets all chunks of the group
     counts = large.groupBy("root", "class").agg(F.count("*").alias("k"))
     biggest = counts.groupBy("root").agg(F.max_by("class", F.struct("k", "class")).alias("big"))
-    rest = large.join(biggest, "root").filter("class != big").select("v", "root", "class")
-    sizes = rest.groupBy("root").agg(F.ceil(F.count("*") / CHUNK_TEXTS).cast("int").alias("deals"))
+    rest = large.join(biggest, "root").filter("class != big").select("v", "n", "root", "class")
+    sizes = _deals(rest).select("root", "deals")
     left = (rest.join(sizes, "root").withColumn("deal", F.pmod(F.xxhash64("v"), F.col("deals")).cast("int")).join(data, ["root", "v"])
             .select("root", "deal", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "v", "class", "data", F.lit(0).alias("side")))
     right = (large.join(sizes, "root").join(data, ["root", "v"])

@@ -140,12 +140,35 @@ def test_sparse_band_beside_a_dense_one(spark, monkeypatch):
     assert found(df, k=3, part=90) == brute(rows, 3, 90, 100)
 
 
-def test_shingles_are_counted_before_the_shuffle(spark):
-    rows = spark.createDataFrame([(1, v, 0) for v in range(50)] + [(1, 3, 7), (1, 3, 8), (1, 4, 9), (2, 3, 0), (2, 5, 6), (2, 6, 6)], "root long, v long, h long")
-    own = jaccard._own_shingles(rows)
-    assert {tuple(r) for r in own.collect()} == {(1, 3, 2), (1, 4, 1), (2, 3, 1)}
-    plan = own._jdf.queryExecution().executedPlan().toString()
-    assert "Window" not in plan and "partial_count" in plan
+def test_signatures_never_rule_out_a_link():
+    """Sets at the threshold pass, whatever their sizes; sets that share half don't."""
+    rng = np.random.default_rng(4)
+    for t in (90, 80, 70):
+        for n in (1, 2, 5, 63, 64, 65, 130, 700, 3000):
+            a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+            b = a.copy()
+            change = int(len(a) * (100 - t) / (100 + t))
+            b[rng.permutation(len(b))[:change]] = rng.integers(0, 2 ** 63, change).astype(np.uint64)
+            c = a[: -(-len(a) * t // 100)]
+            half = np.r_[a[: n // 2], rng.integers(0, 2 ** 63, n - n // 2).astype(np.uint64)]
+            sets = [np.unique(x) for x in (a, b, c, half)]
+            h, o = np.concatenate(sets), np.repeat(np.arange(4), [len(x) for x in sets])
+            size = np.bincount(o, minlength=4)
+            sig = jaccard.parities(h, o, size)
+            for i in (1, 2):
+                both = len(np.intersect1d(sets[0], sets[i]))
+                if 100 * both >= t * (size[0] + size[i] - both):
+                    assert jaccard.alike([sig[0], sig[i]], size[[0, i]], t, 100) == [(0, 1)]
+            if n >= 63:
+                assert not jaccard.alike([sig[0], sig[3]], size[[0, 3]], t, 100)
+
+
+@pytest.mark.parametrize(("part_texts", "task_texts"), [(3, 64), (128, 2), (2, 2)])
+def test_parts_of_many_texts(spark, copies, part_texts, task_texts, monkeypatch):
+    """Whether a part's texts are compared or joined unseen, in a task or after the shuffle, the classes are the same."""
+    monkeypatch.setattr(jaccard, "PART_TEXTS", part_texts)
+    monkeypatch.setattr(jaccard, "TASK_TEXTS", task_texts)
+    assert found(spark.createDataFrame(copies, "doc_id long, text string"), k=3, part=80) == brute(copies, 3, 80, 100)
 
 
 def test_components_end_finished_or_raise(spark):
