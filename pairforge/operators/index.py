@@ -23,6 +23,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pairforge.session import ensure_checkpoint_dir
 
@@ -38,6 +39,14 @@ class Indexed(NamedTuple):
     total: int
 
 
+def per_partition(values: Sequence[int], part: Column) -> Column:
+    """The value of the partition ``part`` from 0 (null beyond the list). All values are one text that the optimizer splits into one
+    literal array, so neither the plan nor the driver's work grows by an expression a partition."""
+    if not values:
+        return F.lit(None).cast("bigint")
+    return F.get(F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>"), part)
+
+
 def _cols(order: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in order]
 
@@ -71,8 +80,7 @@ def global_index(df: DataFrame, order: Sequence[str | Column], idx_col: str = "i
     for p, c in counts:
         offsets[p] = running
         running += c
-    offset = F.element_at(F.lit(offsets).cast("array<bigint>"), part + 1)
-    out = staged.withColumn(idx_col, offset + F.col(_MONO).bitwiseAND(F.lit(_POS_MASK))).drop(_MONO)
+    out = staged.withColumn(idx_col, per_partition(offsets, part) + F.col(_MONO).bitwiseAND(F.lit(_POS_MASK))).drop(_MONO)
     return Indexed(out, running)
 
 
@@ -163,5 +171,8 @@ def running_sum(df: DataFrame, order: Sequence[str | Column], value_col: str, ou
         offsets[p] = run
         run += v or 0
     here = F.sum(value).over(Window.partitionBy(part).orderBy(_MONO))
-    before = F.element_at(F.array(*[F.lit(x) for x in offsets]), part + 1)
+    if isinstance(kind, T.IntegralType):
+        before = per_partition(offsets, part)
+    else:  # decimals and floats, as text
+        before = F.get(F.split(F.lit(",".join(map(str, offsets))), ",").cast(T.ArrayType(kind)), part)
     return staged.withColumn(out_col, (here + before).cast(kind)).drop(_MONO)

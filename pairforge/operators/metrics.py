@@ -1,10 +1,13 @@
 """Loss and retrieval metrics: D5 batch scores, L1 MNRL, L2 top-1, L3 evaluation, L4 MNRL with negatives,
 L5 Matryoshka loss, D6 retrieval top-k, L6 IR metrics, L7 quality gate.
 
-In-batch scoring never emits the B x B pairs as rows: each batch (bounded by the batch size, which is checked) is one
-``applyInPandas`` group holding a numpy matrix product; only per-row results come back. Retrieval scores the queries
-in blocks of at most ``QUERY_BLOCK`` rows, any number of them: each block is collected, broadcast and scored against
-the corpus partition by partition in ``mapInPandas``; only counts or one top-k per partition leave the tasks.
+In-batch scoring never emits the B x B pairs as rows. A batch of up to ``TILE_ROWS`` rows is one ``applyInPandas`` group holding a
+numpy matrix product. A larger one is a grid of tiles of its score matrix, a group each: a tile returns, for its rows and columns,
+the largest score and a log-sum-exp, which merge by tile, so a batch may have any size.
+
+Retrieval packs the corpus where it lies and the queries into blocks, and joins each block with each pack by key, in one plan
+whatever the number of queries: by broadcast if the queries are few (their size is counted), else by shuffle. Only
+counts or one running top-k per task and query leave the tasks.
 """
 
 from __future__ import annotations
@@ -19,16 +22,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pairforge.operators.index import global_index
-
 # Reference defaults.
 DEFAULT_SCALE = 20.0
 GATE_MIN_TOP1 = 0.85
 GATE_MAX_LOSS = 0.45
 IR_KS = (1, 3, 5, 10)
 QUERY_BLOCK = 2048
-# Rows of one in-batch score matrix: 8,192 x 8,192 doubles are 0.5 GB.
-MAX_BATCH_ROWS = 8192
+# Rows of one in-batch score matrix: 2,048 x 2,048 doubles are 32 MB.
+TILE_ROWS = 2048
+# Corpus rows of a pack, and bytes of packed queries that are broadcast.
+PACK_ROWS, BROADCAST_BYTES = 4096, 32 << 20
+# Queries whose running results a task keeps at a time.
+HELD_QUERIES = 200_000
 MATRYOSHKA_DIMS = (1024, 768, 512, 256, 128, 64)
 # Retrieval scores are compared at 1e-9 resolution, so duplicate documents tie (then doc id decides) whatever
 # the summation order of the engine.
@@ -78,29 +83,98 @@ def _in_batch(scale: float, use_negative: bool, cosine: bool, dims: Sequence[int
             "row_lse": _lse(cand, 1), "col_lse": _lse(s, 0), "hit": (best == np.arange(len(ids))).astype("int32")})
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > MAX_BATCH_ROWS:
-            raise ValueError(f"a batch has {len(pdf)} rows; a score matrix takes at most {MAX_BATCH_ROWS}")
         pdf = pdf.sort_values("pair_id")
         return pd.concat([rows(pdf, d) for d in (dims or [None])], ignore_index=True)
     return fn
 
 
+def _tile(scale: float, use_negative: bool, cosine: bool, dims: Sequence[int] | None):
+    """One tile: queries of one block of a batch against the candidates of another. A row per query and a row per candidate."""
+    def prepared(col, dim):
+        x = _stack(col)[:, :dim]
+        return _unit(x) if cosine else x
+
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks, holds = pdf[pdf["side"] != 1].sort_values("pair_id"), pdf[pdf["side"] != 0].sort_values("pair_id")
+        out = []
+        if not len(asks) or not len(holds):
+            return pd.DataFrame({f.name: [] for f in _TILE_SCHEMA})
+        a_ids, c_ids = asks["pair_id"].to_numpy(), holds["pair_id"].to_numpy()
+        for dim in dims or [None]:
+            q = prepared(asks["q"], dim)
+            s = q @ prepared(holds["p"], dim).T * scale
+            cand = np.hstack([s, q @ prepared(holds["n"], dim).T * scale]) if use_negative else s
+            best = np.argmax(cand, axis=1)
+            key = {"group_key": "" if dim is None else str(dim), "batch_id": pdf["batch_id"].iloc[0]}
+            at = np.minimum(np.searchsorted(c_ids, a_ids), len(c_ids) - 1)
+            own = c_ids[at] == a_ids
+            out.append(pd.DataFrame({**key, "pair_id": a_ids, "diag": np.where(own, s[np.arange(len(a_ids)), at], np.nan), "row_max": cand[np.arange(len(a_ids)), best],
+                                     "best_kind": (best >= len(c_ids)).astype("int32"), "best_pair": c_ids[best % len(c_ids)], "row_lse": _lse(cand, 1), "col_lse": np.nan}))
+            out.append(pd.DataFrame({**key, "pair_id": c_ids, "diag": np.nan, "row_max": np.nan, "best_kind": 0, "best_pair": 0, "row_lse": np.nan, "col_lse": _lse(s, 0)}))
+        return pd.concat(out, ignore_index=True)
+    return fn
+
+
+_TILE_SCHEMA = T.StructType([T.StructField("group_key", T.StringType()), T.StructField("batch_id", T.LongType()), T.StructField("pair_id", T.LongType()),
+                             T.StructField("diag", T.DoubleType()), T.StructField("row_max", T.DoubleType()), T.StructField("best_kind", T.IntegerType()),
+                             T.StructField("best_pair", T.LongType()), T.StructField("row_lse", T.DoubleType()), T.StructField("col_lse", T.DoubleType())])
+
+
+def _merged_lse(name: str):
+    """Log-sum-exp of the tiles' log-sum-exps: their number is the batch's size over a tile's."""
+    parts = F.collect_list(name)
+    top = F.array_max(parts)
+    return top + F.log(F.aggregate(parts, F.lit(0.0), lambda a, x: a + F.exp(x - top)))
+
+
+def _tiled(pairs: DataFrame, counts: DataFrame, cols: list[str], fn, size: int) -> DataFrame:
+    """Rows of batches of any size: each block of a batch meets each block as a tile; then tiles merge."""
+    from pairforge.operators.joins import join_bounded
+    many = counts.where(F.col("_pf_n") > size).select("batch_id", F.ceil(F.col("_pf_n") / size).cast("int").alias("_pf_k"))
+    rows = join_bounded(pairs.select(*cols), many, ["batch_id"], "left").withColumn("_pf_k", F.coalesce("_pf_k", F.lit(1)))
+    own = F.pmod(F.xxhash64("pair_id"), F.col("_pf_k")).cast("int")
+    every = F.sequence(F.lit(0), F.col("_pf_k") - 1)
+    # side 0: as a query, 1: as a candidate, 2: both (the tile on the diagonal)
+    asks = F.transform(every, lambda j: F.struct(own.alias("i"), j.alias("j"), F.when(j == own, 2).otherwise(0).alias("side")))
+    holds = F.transform(F.filter(every, lambda i: i != own), lambda i: F.struct(i.alias("i"), own.alias("j"), F.lit(1).alias("side")))
+    sent = rows.select(*cols, F.explode(F.concat(asks, holds)).alias("_pf_t"))
+    void = F.lit(None)
+    sent = sent.select("batch_id", "pair_id", F.col("_pf_t.i").alias("i"), F.col("_pf_t.j").alias("j"), F.col("_pf_t.side").alias("side"),
+                       F.when(F.col("_pf_t.side") != 1, F.col("q")).otherwise(void).alias("q"),
+                       *[F.when(F.col("_pf_t.side") != 0, F.col(c)).otherwise(void).alias(c) for c in cols if c in ("p", "n")])
+    tiles = sent.groupBy("batch_id", "i", "j").applyInPandas(fn, _TILE_SCHEMA)
+    real = lambda c: F.when(~F.isnan(c), F.col(c))
+    tiles = tiles.select("group_key", "batch_id", "pair_id", *[real(c).alias(c) for c in ("diag", "row_max", "row_lse", "col_lse")], "best_kind", "best_pair")
+    best = F.max(F.when(F.col("row_max").isNotNull(), F.struct("row_max", (-F.col("best_kind")).alias("k"), (-F.col("best_pair")).alias("p"))))
+    got = tiles.groupBy("group_key", "batch_id", "pair_id").agg(F.max("diag").alias("diag"), best.alias("_b"), _merged_lse("row_lse").alias("row_lse"), _merged_lse("col_lse").alias("col_lse"))
+    hit = (F.col("_b.k") == 0) & (-F.col("_b.p") == F.col("pair_id"))
+    return got.select("group_key", "batch_id", "pair_id", "diag", F.col("_b.row_max").alias("row_max"), (-F.col("_b.p")).alias("argmax_pair"),
+                      "row_lse", "col_lse", hit.cast("int").alias("hit"))
+
+
 def batch_scores(pairs: DataFrame, scale: float = DEFAULT_SCALE, use_negative: bool = False,
-                 cosine: bool = False, dims: Sequence[int] | None = None) -> DataFrame:
+                 cosine: bool = False, dims: Sequence[int] | None = None, batch_rows: int | None = None,
+                 tile_rows: int = TILE_ROWS) -> DataFrame:
     """Per query row of each batch: diagonal score, best score and its pair, row/column log-sum-exp.
 
-    Input: ``batch_id``, ``pair_id``, ``q``, ``p`` (and ``n`` with ``use_negative``). With ``dims`` each batch is scored
-    once per dimension on truncated vectors (``group_key`` = the dimension), from one shuffle of the whole vectors.
-    Scores = q . p * scale (cosine when asked). A batch is at most ``MAX_BATCH_ROWS`` rows."""
+    Input: ``batch_id``, ``pair_id`` (unique in its batch), ``q``, ``p`` (and ``n`` with ``use_negative``). With ``dims`` each batch is
+    scored once per dimension on truncated vectors (``group_key`` = the dimension), from one shuffle of the whole vectors.
+    Scores = q . p * scale (cosine when asked); of equal best scores the first positive, then the first negative counts.
+    ``batch_rows`` is a bound on a batch's rows that the caller knows; without it batches are counted. Beyond ``tile_rows`` rows
+    the score matrix is cut into tiles."""
     ship_package(pairs.sparkSession)
     cols = ["batch_id", "pair_id", "q", "p"] + (["n"] if use_negative else [])
+    if batch_rows is None or batch_rows > tile_rows:
+        counts = pairs.groupBy("batch_id").agg(F.count(F.lit(1)).alias("_pf_n"))
+        if (counts.agg(F.max("_pf_n")).collect()[0][0] or 0) > tile_rows:
+            return _tiled(pairs, counts, cols, _tile(scale, use_negative, cosine, dims), tile_rows)
     return pairs.select(*cols).groupBy("batch_id").applyInPandas(_in_batch(scale, use_negative, cosine, dims), _ROW_SCHEMA)
 
 
-def batch_mnrl(pairs: DataFrame, scale: float = DEFAULT_SCALE) -> DataFrame:
+def batch_mnrl(pairs: DataFrame, scale: float = DEFAULT_SCALE, batch_rows: int | None = None) -> DataFrame:
     """L1 + L2 per batch: loss = (mean row CE + mean column CE) / 2 with the diagonal as label; top-1 = share
     of rows whose argmax is the diagonal."""
-    rows = batch_scores(pairs, scale)
+    rows = batch_scores(pairs, scale, batch_rows=batch_rows)
     return rows.groupBy("batch_id").agg(
         F.count(F.lit(1)).alias("n"),
         (0.5 * (F.avg(F.col("row_lse") - F.col("diag")) + F.avg(F.col("col_lse") - F.col("diag")))).alias("loss"),
@@ -108,38 +182,63 @@ def batch_mnrl(pairs: DataFrame, scale: float = DEFAULT_SCALE) -> DataFrame:
         F.avg("hit").alias("top1"))
 
 
-def evaluate_pairs(pairs: DataFrame, scale: float = DEFAULT_SCALE, max_samples: int | None = None) -> DataFrame:
+def evaluate_pairs(pairs: DataFrame, scale: float = DEFAULT_SCALE, max_samples: int | None = None,
+                   batch_rows: int | None = None) -> DataFrame:
     """L3: unweighted mean over batches of the per-batch loss and top-1 (short last batch counts fully).
     ``max_samples`` evaluates only the first so many pairs by (batch_id, pair_id)."""
     if max_samples is not None:
         if max_samples <= 0:
             raise ValueError("max_samples must be positive")
         pairs = pairs.orderBy("batch_id", "pair_id").limit(max_samples)
-    per = batch_mnrl(pairs, scale)
+    per = batch_mnrl(pairs, scale, batch_rows)
     return per.agg(F.avg("loss").alias("eval_loss"), F.avg("top1").alias("eval_top1"),
                    F.count(F.lit(1)).alias("num_batches"))
 
 
-def mnrl_with_negatives(triples: DataFrame, scale: float = DEFAULT_SCALE, dims: Sequence[int] | None = None) -> DataFrame:
+def mnrl_with_negatives(triples: DataFrame, scale: float = DEFAULT_SCALE, dims: Sequence[int] | None = None,
+                        batch_rows: int | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """L4: per batch (and dimension), one-directional CE of each query against batch positives and batch negatives, cosine."""
-    rows = batch_scores(triples, scale, use_negative=True, cosine=True, dims=dims)
+    rows = batch_scores(triples, scale, use_negative=True, cosine=True, dims=dims, batch_rows=batch_rows, tile_rows=tile_rows)
     return rows.groupBy("group_key", "batch_id").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("row_lse") - F.col("diag")).alias("loss"), F.avg("hit").alias("top1"))
 
 
 def matryoshka_loss(triples: DataFrame, dims: Sequence[int] = MATRYOSHKA_DIMS,
-                    scale: float = DEFAULT_SCALE) -> DataFrame:
+                    scale: float = DEFAULT_SCALE, batch_rows: int | None = None) -> DataFrame:
     """Per batch, sum over dims (weight 1 each) of L4 on vectors truncated to the first d dimensions
     (a dim at or above the vector length uses the whole vector). The vectors are shuffled once, not once per dim."""
-    per = mnrl_with_negatives(triples, scale, dims=[int(d) for d in dims])
+    per = mnrl_with_negatives(triples, scale, [int(d) for d in dims], batch_rows)
     return per.groupBy("batch_id").agg(F.sum("loss").alias("loss"), F.count(F.lit(1)).alias("num_dims"))
 
 
-def _blocks(rows: DataFrame, order: Sequence[str], size: int):
-    """``rows`` in blocks of at most ``size`` (by position in ``order``), collected one block at a time."""
-    ix = global_index(rows, list(order), "_pf_at")
-    for s in range(0, ix.total, size):
-        yield ix.df.where((F.col("_pf_at") >= s) & (F.col("_pf_at") < s + size)).orderBy("_pf_at").drop("_pf_at").collect()
+def _packed(rows: DataFrame, ids: Sequence[str], vec: str, size: int) -> DataFrame:
+    """Packs of at most ``size`` rows: arrays of the long columns ``ids`` and the unit vectors as bytes; rows stay where they are."""
+    def pack(batches):
+        for pdf in batches:
+            for s in range(0, len(pdf), size):
+                part = pdf.iloc[s:s + size]
+                yield pd.DataFrame({**{c: [part[c].to_numpy(dtype=np.int64)] for c in ids}, "vecs": [_unit(_stack(part[vec])).tobytes()]})
+    return rows.select(*ids, vec).mapInPandas(pack, ", ".join(f"{c} array<long>" for c in ids) + ", vecs binary")
+
+
+def _grid(asked: DataFrame, ids: Sequence[str], corpus: DataFrame, block: int, broadcast_bytes: int) -> DataFrame:
+    """Every block of ``asked`` (``ids``, vec) beside every pack of the corpus (doc_id, vec), as (``ids``, vecs, doc_ids, doc_vecs).
+
+    A join on a key: the blocks are broadcast if their counted size is within ``broadcast_bytes``; else every pack draws one of
+    as many keys as there are shuffle partitions, and the blocks go to each key."""
+    n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("vec"))).collect()[0]
+    blocks = _packed(asked.repartition(max(1, -(-n // block))), ids, "vec", block)
+    packs = _packed(corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "vec"), ["doc_id"], "vec", PACK_ROWS).withColumnsRenamed(
+        {"doc_id": "doc_ids", "vecs": "doc_vecs"})
+    if n * (dim or 0) * 8 <= broadcast_bytes:
+        return packs.withColumn("_pf_key", F.lit(0)).join(F.broadcast(blocks.withColumn("_pf_key", F.lit(0))), "_pf_key").drop("_pf_key")
+    keys = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (packs.withColumn("_pf_key", F.pmod(F.xxhash64("doc_ids"), F.lit(keys)).cast("int"))
+            .join(blocks.withColumn("_pf_key", F.explode(F.sequence(F.lit(0), F.lit(keys - 1)))), "_pf_key").drop("_pf_key"))
+
+
+def _matrix(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, np.float64).reshape(rows, -1)
 
 
 def _merge_top(best: tuple, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple:
@@ -155,65 +254,74 @@ def _merge_top(best: tuple, ids: np.ndarray, scores: np.ndarray, k: int) -> tupl
     return np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_scores, order, 1)
 
 
-def retrieval_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = QUERY_BLOCK) -> DataFrame:
+def retrieval_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, block: int = QUERY_BLOCK,
+                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Top-k corpus docs per query by cosine, ties by doc id. Input: queries (query_id, vec), corpus
-    (doc_id, vec). Queries are scored a block at a time; each corpus partition keeps a running top-k per query of the
-    block and emits it once; a per-query window keeps the final k (k x partitions rows per query)."""
+    (doc_id, vec). Blocks of queries meet packs of the corpus; a task keeps a running top-k per query and emits it once (or when it
+    holds very many queries); a per-query window keeps the final k."""
     ship_package(queries.sparkSession)
-    spark = queries.sparkSession
-    docs = corpus.select("doc_id", "vec")
-    out = None
-    for rows in _blocks(queries.select("query_id", "vec"), ["query_id"], block):
-        shared = spark.sparkContext.broadcast((np.asarray([r[0] for r in rows], dtype=np.int64), _unit(_stack([r[1] for r in rows]))))
-
-        def part(batches, shared=shared):
-            ids, qm = shared.value
-            best = None
-            for pdf in batches:
-                for s in range(0, len(pdf), 4096):
-                    p = pdf.iloc[s:s + 4096]
-                    scores = np.round(qm @ _unit(_stack(p["vec"])).T, SCORE_DECIMALS)
-                    best = _merge_top(best, p["doc_id"].to_numpy(), scores, k)
-            if best is not None:
+
+    def part(batches):
+        held: dict = {}
+
+        def out():
+            for ids, best in held.values():
                 n = best[0].shape[1]
                 yield pd.DataFrame({"query_id": np.repeat(ids, n), "doc_id": best[0].reshape(-1), "score": best[1].reshape(-1)})
-        found = docs.mapInPandas(part, "query_id long, doc_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = spark.createDataFrame([], "query_id long, doc_id long, score double")
+        for pdf in batches:
+            for ids, vecs, docs, doc_vecs in zip(pdf["query_id"], pdf["vecs"], pdf["doc_ids"], pdf["doc_vecs"]):
+                scores = np.round(_matrix(vecs, len(ids)) @ _matrix(doc_vecs, len(docs)).T, SCORE_DECIMALS)
+                name = ids.tobytes()
+                held[name] = (ids, _merge_top(held[name][1] if name in held else None, docs, scores, k))
+                if len(held) * block > HELD_QUERIES:
+                    yield from out()
+                    held.clear()
+        yield from out()
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vec")
+    found = _grid(asked, ["query_id"], corpus, block, broadcast_bytes).mapInPandas(part, "query_id long, doc_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def relevant_ranks(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, block: int = QUERY_BLOCK) -> DataFrame:
+def relevant_ranks(queries: DataFrame, corpus: DataFrame, qrels: DataFrame, block: int = QUERY_BLOCK,
+                   broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(query_id, doc_id, rank) of every relevant pair: rank 1-based, cosine desc, ties by doc id: 1 + number of corpus
-    docs that beat it; null if the doc isn't in the corpus. Pairs whose query is missing are left out. Pairs are scored
-    a block at a time; counts are summed over corpus partitions, so no score row leaves a task."""
+    docs that beat it; null if the doc isn't in the corpus. Pairs whose query is missing are left out. Blocks of pairs
+    meet packs of the corpus; a task counts, and counts are summed, so no score row leaves a task."""
     ship_package(queries.sparkSession)
-    spark = queries.sparkSession
     pairs = (qrels.select("query_id", "doc_id").distinct().join(queries.select("query_id", "vec"), "query_id")
              .join(corpus.select("doc_id", F.col("vec").alias("dvec")), "doc_id", "left").select("query_id", "doc_id", "vec", "dvec"))
-    docs = corpus.select("doc_id", "vec")
-    out = pairs.where(F.col("dvec").isNull()).select("query_id", "doc_id", F.lit(None).cast("long").alias("beaten"))
-    for rows in _blocks(pairs.where(F.col("dvec").isNotNull()), ["query_id", "doc_id"], block):
-        q, d = _unit(_stack([r["vec"] for r in rows])), _unit(_stack([r["dvec"] for r in rows]))
-        shared = spark.sparkContext.broadcast((q, np.asarray([r["query_id"] for r in rows], dtype=np.int64),
-                                               np.asarray([r["doc_id"] for r in rows], dtype=np.int64),
-                                               np.round((q * d).sum(axis=1), SCORE_DECIMALS)))
-
-        def part(batches, shared=shared):
-            qm, q_ids, d_rel, s_rel = shared.value
-            acc = np.zeros(len(q_ids), dtype=np.int64)
-            for pdf in batches:
-                for s in range(0, len(pdf), 4096):
-                    p = pdf.iloc[s:s + 4096]
-                    ids = p["doc_id"].to_numpy()
-                    scores = np.round(qm @ _unit(_stack(p["vec"])).T, SCORE_DECIMALS)
-                    better = (scores > s_rel[:, None]) | ((scores == s_rel[:, None]) & (ids[None, :] < d_rel[:, None]))
-                    acc += (better & (ids[None, :] != d_rel[:, None])).sum(axis=1)
-            yield pd.DataFrame({"query_id": q_ids, "doc_id": d_rel, "beaten": acc})
-        out = out.unionByName(docs.mapInPandas(part, "query_id long, doc_id long, beaten long"))
-    return out.groupBy("query_id", "doc_id").agg((F.sum("beaten") + 1).alias("rank"))
+
+    def own(batches):  # the relevant doc's score, rounded like all others
+        for pdf in batches:
+            if len(pdf):
+                s = np.round((_unit(_stack(pdf["vec"])) * _unit(_stack(pdf["dvec"]))).sum(axis=1), SCORE_DECIMALS)
+                yield pd.DataFrame({"query_id": pdf["query_id"], "rel_id": pdf["doc_id"], "bits": s.view(np.int64), "vec": pdf["vec"]})
+
+    def part(batches):
+        held: dict = {}
+
+        def out():
+            for ids, rel, acc in held.values():
+                yield pd.DataFrame({"query_id": ids, "doc_id": rel, "beaten": acc})
+        for pdf in batches:
+            for ids, rel, bits, vecs, docs, doc_vecs in zip(pdf["query_id"], pdf["rel_id"], pdf["bits"], pdf["vecs"], pdf["doc_ids"], pdf["doc_vecs"]):
+                scores = np.round(_matrix(vecs, len(ids)) @ _matrix(doc_vecs, len(docs)).T, SCORE_DECIMALS)
+                mine = np.asarray(bits, np.int64).view(np.float64)[:, None]
+                better = (scores > mine) | ((scores == mine) & (docs[None, :] < rel[:, None]))
+                beaten = (better & (docs[None, :] != rel[:, None])).sum(axis=1)
+                name = ids.tobytes() + rel.tobytes()
+                held[name] = (ids, rel, held[name][2] + beaten if name in held else beaten)
+                if len(held) * block > HELD_QUERIES:
+                    yield from out()
+                    held.clear()
+        yield from out()
+    kind = dict(queries.dtypes)["vec"]
+    here = (pairs.where(F.col("dvec").isNotNull()).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), "vec", "dvec")
+            .mapInPandas(own, f"query_id long, rel_id long, bits long, vec {kind}"))
+    counted = _grid(here, ["query_id", "rel_id", "bits"], corpus, block, broadcast_bytes).mapInPandas(part, "query_id long, doc_id long, beaten long")
+    absent = pairs.where(F.col("dvec").isNull()).select("query_id", "doc_id", F.lit(None).cast("long").alias("beaten"))
+    return absent.unionByName(counted).groupBy("query_id", "doc_id").agg((F.sum("beaten") + 1).alias("rank"))
 
 
 def ir_metrics(ranks: DataFrame, ks: Sequence[int] = IR_KS) -> DataFrame:

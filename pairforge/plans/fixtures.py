@@ -85,7 +85,11 @@ def fx_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_paths.unionByName(chat_paths).unionByName(audio)
 
 
-def fx_pairs(spark: SparkSession, sf_dir: str, batch_size: int = 32) -> DataFrame:
+#: Rows of a batch of pairs.
+PAIR_BATCH = 32
+
+
+def fx_pairs(spark: SparkSession, sf_dir: str, batch_size: int = PAIR_BATCH) -> DataFrame:
     """FX7: embedding pairs. Every row is used: pair i = vec_id div 2, query = the even id, positive = the odd
     one, or itself for a last vector without a partner (a bounded group of two); batch = pair div batch_size."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -94,7 +98,7 @@ def fx_pairs(spark: SparkSession, sf_dir: str, batch_size: int = 32) -> DataFram
     return g.select("pair_id", F.floor(F.col("pair_id") / batch_size).alias("batch_id"), "q", "p")
 
 
-def fx_triples(spark: SparkSession, sf_dir: str, batch_size: int = 32) -> DataFrame:
+def fx_triples(spark: SparkSession, sf_dir: str, batch_size: int = PAIR_BATCH) -> DataFrame:
     """FX7 triples: negative of pair i = positive of the next pair (ring over pair order, C1)."""
     from pairforge.operators.order import ring_negatives
     pairs = fx_pairs(spark, sf_dir, batch_size)

@@ -620,22 +620,44 @@ def _r(c, name=None):
 SELECT batch_id, pair_id, round(diag, 6) AS diag, round(row_max, 6) AS row_max, argmax_pair,
        round(row_lse, 6) AS row_lse, round(col_lse, 6) AS col_lse, hit FROM brows""")
 def q_batch_scores(spark, sf):
-    rows = met.batch_scores(fx.fx_pairs(spark, sf))
+    rows = met.batch_scores(fx.fx_pairs(spark, sf), batch_rows=fx.PAIR_BATCH)
     return rows.select("batch_id", "pair_id", _r("diag"), _r("row_max"), "argmax_pair", _r("row_lse"),
                        _r("col_lse"), "hit")
 
 
+_ONE_BATCH = osql.PAIRS.replace("pair_id // 32 AS batch_id", "CAST(0 AS BIGINT) AS batch_id")
+
+
+@register("d5_whole_table_batch", "WITH " + _ONE_BATCH + ",\n" + osql.BATCH_ROWS + """
+SELECT batch_id, pair_id, round(diag, 6) AS diag, round(row_max, 6) AS row_max, argmax_pair,
+       round(row_lse, 6) AS row_lse, round(col_lse, 6) AS col_lse, hit FROM brows""")
+def q_batch_scores_tiled(spark, sf):
+    """D5 on one batch that is the whole table, its score matrix cut into tiles of 64 rows and columns."""
+    pairs = fx.fx_pairs(spark, sf).withColumn("batch_id", F.lit(0).cast("bigint"))
+    rows = met.batch_scores(pairs, tile_rows=64)
+    return rows.select("batch_id", "pair_id", _r("diag"), _r("row_max"), "argmax_pair", _r("row_lse"), _r("col_lse"), "hit")
+
+
+@register("l4_whole_table_negatives", "WITH " + _ONE_BATCH + ",\n" + osql.neg_batches_sql() + """
+SELECT batch_id, n, round(loss, 6) AS loss, round(top1, 6) AS top1 FROM nbatch""")
+def q_mnrl_neg_tiled(spark, sf):
+    """L4 (with L2) on one batch that is the whole table, in tiles."""
+    triples = fx.fx_triples(spark, sf).withColumn("batch_id", F.lit(0).cast("bigint"))
+    b = met.mnrl_with_negatives(triples, tile_rows=64)
+    return b.select("batch_id", "n", _r("loss"), _r("top1"))
+
+
 @register("l1_batch_mnrl", "WITH " + osql.PAIRS + ",\n" + osql.BATCH_ROWS + """
 SELECT batch_id, n, round(loss, 6) AS loss, round(row_ce, 6) AS row_ce, round(top1, 6) AS top1 FROM per_batch""")
 def q_mnrl(spark, sf):
-    b = met.batch_mnrl(fx.fx_pairs(spark, sf))
+    b = met.batch_mnrl(fx.fx_pairs(spark, sf), batch_rows=fx.PAIR_BATCH)
     return b.select("batch_id", "n", _r("loss"), _r("row_ce"), _r("top1"))
 
 
 @register("l3_evaluate_pairs", "WITH " + osql.PAIRS + ",\n" + osql.BATCH_ROWS + """
 SELECT round(avg(loss), 6) AS eval_loss, round(avg(top1), 6) AS eval_top1, count(*) AS num_batches FROM per_batch""")
 def q_evaluate(spark, sf):
-    e = met.evaluate_pairs(fx.fx_pairs(spark, sf))
+    e = met.evaluate_pairs(fx.fx_pairs(spark, sf), batch_rows=fx.PAIR_BATCH)
     return e.select(_r("eval_loss"), _r("eval_top1"), "num_batches")
 
 
@@ -644,7 +666,7 @@ SELECT batch_id, NOT (top1 < 0.85 OR loss > 0.45) AS passed,
        CASE WHEN top1 < 0.85 THEN 'low_top1' WHEN loss > 0.45 THEN 'high_loss' END AS reason_code
 FROM per_batch""")
 def q_gate(spark, sf):
-    runs = met.batch_mnrl(fx.fx_pairs(spark, sf)).select("batch_id", F.col("loss").alias("eval_loss"),
+    runs = met.batch_mnrl(fx.fx_pairs(spark, sf), batch_rows=fx.PAIR_BATCH).select("batch_id", F.col("loss").alias("eval_loss"),
                                                           F.col("top1").alias("eval_top1"))
     return met.quality_gate(runs).select("batch_id", "passed", "reason_code")
 
@@ -652,14 +674,14 @@ def q_gate(spark, sf):
 @register("l4_mnrl_negatives", "WITH " + osql.PAIRS + ",\n" + osql.neg_batches_sql() + """
 SELECT batch_id, n, round(loss, 6) AS loss, round(top1, 6) AS top1 FROM nbatch""")
 def q_mnrl_neg(spark, sf):
-    b = met.mnrl_with_negatives(fx.fx_triples(spark, sf))
+    b = met.mnrl_with_negatives(fx.fx_triples(spark, sf), batch_rows=fx.PAIR_BATCH)
     return b.select("batch_id", "n", _r("loss"), _r("top1"))
 
 
 @register("l5_matryoshka_loss", "WITH " + osql.PAIRS + ",\n" + osql.neg_batches_sql("[64, 32, 16, 8]") + """
 SELECT batch_id, round(sum(loss), 6) AS loss, count(*) AS num_dims FROM nbatch GROUP BY batch_id""")
 def q_matryoshka(spark, sf):
-    b = met.matryoshka_loss(fx.fx_triples(spark, sf), [64, 32, 16, 8])
+    b = met.matryoshka_loss(fx.fx_triples(spark, sf), [64, 32, 16, 8], batch_rows=fx.PAIR_BATCH)
     return b.select("batch_id", _r("loss"), "num_dims")
 
 
@@ -735,6 +757,17 @@ def q_topk(spark, sf):
     return t.select("query_id", "doc_id", _r("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@register("d6_retrieval_blocks", "WITH " + osql.PAIRS + ",\n" + IR + """
+SELECT query_id, doc_id, round(s, 6) AS score, rank FROM (
+  SELECT query_id, doc_id, s, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS rank FROM sc)
+WHERE rank <= 3""")
+def q_topk_blocks(spark, sf):
+    """D6 with the queries in blocks of 40 that join the corpus by shuffle, as more queries than a broadcast takes do."""
+    q, c, _ = _ir_inputs(spark, sf)
+    t = met.retrieval_topk(q, c, k=3, block=40, broadcast_bytes=0)
+    return t.select("query_id", "doc_id", _r("score"), F.col("rank").cast("bigint").alias("rank"))
+
+
 @register("k4_l2_normalize", """
 SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm, round(v[1], 6) AS first_value
 FROM (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]),
@@ -850,7 +883,7 @@ SELECT batch_id, NOT (1 - top1 < 0.85 OR loss > 3.9) AS passed,
 FROM per_batch""")
 def q_gate_branches(spark, sf):
     """L7 on the share of misses and a bound near the mean loss, so that batches pass and fail."""
-    runs = met.batch_mnrl(fx.fx_pairs(spark, sf)).select("batch_id", F.col("loss").alias("eval_loss"), (1 - F.col("top1")).alias("eval_top1"))
+    runs = met.batch_mnrl(fx.fx_pairs(spark, sf), batch_rows=fx.PAIR_BATCH).select("batch_id", F.col("loss").alias("eval_loss"), (1 - F.col("top1")).alias("eval_top1"))
     return met.quality_gate(runs, max_loss=3.9).select("batch_id", "passed", "reason_code")
 
 
@@ -867,7 +900,7 @@ def q_normalize_scaled(spark, sf):
 SELECT round(avg(loss), 6) AS eval_loss, round(avg(top1), 6) AS eval_top1, count(*) AS num_batches FROM per_batch""")
 def q_evaluate_max(spark, sf):
     """L3 on the first 100 pairs: the limit is the feature."""
-    e = met.evaluate_pairs(fx.fx_pairs(spark, sf), max_samples=100)
+    e = met.evaluate_pairs(fx.fx_pairs(spark, sf), max_samples=100, batch_rows=fx.PAIR_BATCH)
     return e.select(_r("eval_loss"), _r("eval_top1"), "num_batches")
 
 
@@ -935,6 +968,24 @@ def q_stream_append(spark, sf):
     return spark.read.parquet(out).drop("batch_id")
 
 
+@register("s2_stream_build_source", osql.with_sources("""
+SELECT k, query_type, query_value, positive_type, positive_value, source,
+       CASE WHEN count(*) OVER w > 1 THEN 'text' END AS negative_type,
+       CASE WHEN count(*) OVER w > 1 THEN coalesce(lead(positive_value) OVER wo, first_value(positive_value) OVER wo) END AS negative_value
+FROM audio_src WINDOW w AS (PARTITION BY source), wo AS (PARTITION BY source ORDER BY k)"""))
+def q_stream_build_source(spark, sf):
+    """S2 on all documents, arriving in four files, a file a micro-batch, stopped after the second file and started again."""
+    path, out, ckpt = (scratch_path(spark, f"s2-{x}") for x in ("in", "build", "ckpt"))
+    docs = fx.fx_transcripts(spark, sf)
+    low, high = docs.agg(F.min("k"), F.max("k")).first()
+    quarter = F.least(F.lit(3), F.floor(4 * (F.col("k") - F.lit(low)) / F.lit(float(max(1, (high or 0) - (low or 0))))))
+    for i in range(4):
+        docs.where(quarter == i).coalesce(1).write.mode("append").parquet(path)
+        if i % 2:
+            stream.stream_build_source(spark, path, "k long, source string, text string", out, ckpt)
+    return stream.built_source(spark, out).drop("row_index")
+
+
 READY_SQL = """
 SELECT user_id AS dir, greatest(min(ts) FILTER (WHERE event_type = 'purchase'), min(ts) FILTER (WHERE event_type = 'signup'))
          AS ready_ts
@@ -1091,13 +1142,14 @@ def q_stream_ready_once(spark, sf):
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     low, high = ev.agg(F.min(at), F.max(at)).first()
     quarter = F.least(F.lit(3), F.floor(4 * (at - F.lit(low)) / F.lit(float(max(1, (high or 0) - (low or 0))))))
-    for i in range(4):  # files arrive in the order of their events, several triggers carry the state on
+    out, ckpt = scratch_path(spark, "s3once-out"), scratch_path(spark, "s3once-ckpt")
+    for i in range(4):  # files arrive in the order of their events; the stream stops after half of them and starts again
         ev.where(quarter == i).write.mode("append").parquet(path)
-    out = stream.stream_ready_once(spark, path, "event_id long, ts timestamp, user_id long, event_type string, "
-                                   "value double, props string", ["purchase", "signup"],
-                                   scratch_path(spark, "s3once-out"), dir_col="user_id", name_col="event_type",
-                                   watermark="31 days", files_per_trigger=1)
-    return spark.read.parquet(out)
+        if i % 2:
+            stream.stream_ready_once(spark, path, "event_id long, ts timestamp, user_id long, event_type string, "
+                                     "value double, props string", ["purchase", "signup"], out, dir_col="user_id",
+                                     name_col="event_type", watermark="31 days", checkpoint=ckpt, files_per_trigger=1)
+    return spark.read.parquet(out).drop("batch_id")
 
 
 @register("b2_parse_items", """

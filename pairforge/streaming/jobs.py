@@ -1,4 +1,4 @@
-"""S1 stream_manifest, S2 stream_append, S3 stream_ready, S4 stream_summary.
+"""S1 stream_manifest, S2 stream_append and stream_build_source, S3 stream_ready, S4 stream_summary.
 
 All sinks are idempotent: S1 uses the file sink (exactly-once through its checkpoint log); S2-S4 write each
 micro-batch with ``foreachBatch`` into a folder keyed by the batch id (overwrite), so a replayed batch after a
@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairforge.functions.parse import parse_records
+from pairforge.operators.index import group_index_stats
+from pairforge.operators.joins import join_bounded
+from pairforge.operators.order import ring_negatives
 from pairforge.operators.records import modality_filter, resolve_media, to_trainer_rows
 from pairforge.session import scratch_path
 
@@ -70,6 +73,60 @@ def stream_append(spark: SparkSession, path: str, out: str, checkpoint: str | No
     return out
 
 
+def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The rows of ``path/batch_id=N`` of earlier batches, or None before the first."""
+    if batch_id == 0:
+        return None
+    from pyspark.errors import AnalysisException
+    try:
+        return spark.read.parquet(path).where(F.col("batch_id") < batch_id)
+    except AnalysisException as e:  # no batch has written anything yet
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def stream_build_source(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, key: str = "k", source_col: str = "source",
+                        text_col: str = "text", files_per_trigger: int = 1) -> str:
+    """Transcript sources (A5) built as their parquet files arrive, resumable at any file.
+
+    Rows are numbered per source in order of arrival (by ``key`` within a micro-batch), rows without a text too, as in A5; records
+    of rows with a text are written to ``out/records/batch_id=N``. What goes on from one micro-batch to the next is one
+    counter a source: a batch writes how many rows of each source it held to ``out/counters/batch_id=N``, and starts where the
+    batches before it ended. A replayed batch finds the same counters, numbers its rows alike and overwrites its own folders. Within a
+    batch, rows are numbered by a distributed sort, so a source may be any share of it. :func:`built_source` adds the
+    negatives when the source is complete.
+    """
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_trigger)).parquet(path)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        rows = batch.select(F.coalesce(F.col(source_col), F.lit("")).alias("source"), F.col(key).alias("k"), text.alias("text"))
+        numbered, sizes = group_index_stats(rows, ["source"], ["k"], pos_col="_pos", size_col=None)
+        earlier = _before(session, f"{out}/counters", batch_id)
+        if earlier is None:
+            numbered = numbered.withColumn("row_index", F.col("_pos"))
+        else:  # one row a source
+            start = earlier.groupBy("source").agg(F.sum("rows").alias("_start"))
+            numbered = join_bounded(numbered, start, ["source"], "left").withColumn("row_index", F.coalesce("_start", F.lit(0)) + F.col("_pos"))
+        records = numbered.where(F.col("text") != "").select(
+            "k", "row_index", F.lit("audio").alias("query_type"), F.format_string("%s_%06d.wav", "source", "row_index").alias("query_value"),
+            F.lit("text").alias("positive_type"), F.col("text").alias("positive_value"), "source")
+        records.write.mode("overwrite").parquet(f"{out}/records/batch_id={batch_id}")
+        sizes.select("source", F.col("size").alias("rows")).write.mode("overwrite").parquet(f"{out}/counters/batch_id={batch_id}")
+    q = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    _run(q)
+    return out
+
+
+def built_source(spark: SparkSession, out: str) -> DataFrame:
+    """The records that :func:`stream_build_source` has written so far, with C1: the negative of a record is the text of the next one
+    of its source, the first one's for the last; a source of one record has none."""
+    records = spark.read.parquet(f"{out}/records").drop("batch_id")
+    return ring_negatives(records, ["source"], ["row_index"])
+
+
 def ready_dirs(events: DataFrame, required: Sequence[str], dir_col: str = "dir", name_col: str = "name",
                ts_col: str = "ts") -> DataFrame:
     """S3 batch twin: a directory is ready once every required file has appeared; ready_ts = the latest of the
@@ -143,22 +200,24 @@ def stream_summary(spark: SparkSession, path: str, out: str, checkpoint: str | N
 
 
 def stream_ready_once(spark: SparkSession, events_path: str, schema: str, required: Sequence[str], out: str,
-                      dir_col: str = "dir", name_col: str = "name", ts_col: str = "ts", watermark: str = "1 day",
+                      dir_col: str = "dir", name_col: str = "name", ts_col: str = "ts", watermark: str = "1 day", ttl: str | None = None,
                       checkpoint: str | None = None, files_per_trigger: int | None = None) -> str:
     """S3 as the watcher behaves: a directory fires once, when every required file has arrived, with
-    ready_ts = the latest first-arrival time of the required names. Custom state per directory
-    (``applyInPandasWithState``): the first-arrival time of each required name and a fired flag. State is
-    dropped by an event-time timeout once the watermark passes ``watermark`` beyond the directory's last event,
-    so it stays bounded by the directories active within that delay. The promise holds within it: choose it longer than
-    the longest wait between a directory's files. A directory whose files are further apart doesn't fire, and
-    one that starts over after its state was dropped can fire again (``stream_ready`` keeps all state instead). Output: parquet file sink (append)."""
+    ready_ts = the latest first-arrival time of the required names. Returns ``out``: a table (dir, ready_ts, batch_id).
+
+    State (``applyInPandasWithState``) is held only for directories that wait: the first-arrival time of each required
+    name. It goes when the directory fires, or by an event-time timer once the watermark is ``ttl`` (default: ``watermark``)
+    beyond the directory's last event; choose it longer than the longest wait between a directory's files, since what
+    came before is forgotten then. The fired directories are the sink itself: each micro-batch writes to ``out/batch_id=N`` what
+    no earlier batch has fired, so none fires twice, however late more events of it come, after a restart or a replay too.
+    """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     from pairforge.session import ship_package
     ship_package(spark)
     req = list(required)
-    delay_ms = int(pd.Timedelta(watermark).total_seconds() * 1000)
+    delay_ms = int(pd.Timedelta(ttl or watermark).total_seconds() * 1000)
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
@@ -172,7 +231,7 @@ def stream_ready_once(spark: SparkSession, events_path: str, schema: str, requir
         if state.hasTimedOut:
             state.remove()
             return
-        firsts, fired = (list(state.get[0]), bool(state.get[1])) if state.exists else ([None] * len(req), False)
+        firsts = list(state.get[0]) if state.exists else [None] * len(req)
         last = None
         for pdf in batches:
             for name, ts in zip(pdf["name"], pdf["ts"]):
@@ -180,20 +239,23 @@ def stream_ready_once(spark: SparkSession, events_path: str, schema: str, requir
                 i = req.index(name)
                 firsts[i] = t if firsts[i] is None else min(firsts[i], t)
                 last = t if last is None else max(last, t)
-        emitted = []
-        if not fired and all(f is not None for f in firsts):
-            emitted.append((key[0], pd.Timestamp(max(firsts), unit="us")))
-            fired = True
-        state.update((firsts, fired))
-        base = max(last // 1000 if last is not None else 0, state.getCurrentWatermarkMs())
-        state.setTimeoutTimestamp(base + delay_ms)
-        yield pd.DataFrame(emitted, columns=["dir", "ready_ts"])
-
-    fired = ev.groupBy("dir").applyInPandasWithState(
-        fire, "dir string, ready_ts timestamp", "firsts array<long>, fired boolean", "append",
-        GroupStateTimeout.EventTimeTimeout)
-    q = (fired.writeStream.format("parquet").option("path", out)
+        if all(f is not None for f in firsts):
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame([(key[0], pd.Timestamp(max(firsts), unit="us"))], columns=["dir", "ready_ts"])
+            return
+        state.update((firsts,))
+        state.setTimeoutTimestamp(max(last // 1000 if last is not None else 0, state.getCurrentWatermarkMs()) + delay_ms)
+
+    ready = ev.groupBy("dir").applyInPandasWithState(
+        fire, "dir string, ready_ts timestamp", "firsts array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        earlier = _before(batch.sparkSession, out, batch_id)
+        new = batch if earlier is None else batch.join(earlier.select("dir"), "dir", "left_anti")
+        new.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    q = (ready.writeStream.foreachBatch(write).outputMode("append")
               .option("checkpointLocation", checkpoint or scratch_path(spark, "s3once-ckpt"))
-              .outputMode("append").trigger(availableNow=True).start())
+              .trigger(availableNow=True).start())
     _run(q)
     return out

@@ -128,6 +128,44 @@ def test_ready_fires_once_with_bounded_state(spark, tmp_path):
     assert got == want == [("a", "2024-01-01 00:00:03"), ("c", "2024-01-01 00:00:06")]  # each fired exactly once
 
 
+def test_ready_fires_once_whatever_comes_later(spark, tmp_path):
+    """A directory whose files all come again, after its state is gone and after a restart, doesn't fire a second time; one
+    whose files are further apart than the ttl doesn't fire."""
+    src, out, ckpt = str(tmp_path / "events"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+
+    def add(*rows):
+        spark.createDataFrame(list(rows), "dir string, name string, ts string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        return stream.stream_ready_once(spark, src, "dir string, name string, ts timestamp", ["m", "c"], out, watermark="1 hour", ttl="2 hours",
+                                        checkpoint=ckpt, files_per_trigger=1)
+    add(("a", "m", "2024-01-01 00:00:00"), ("a", "c", "2024-01-01 00:10:00"), ("late", "m", "2024-01-01 00:00:00"))
+    add(("z", "m", "2024-01-02 00:00:00"))
+    run()
+    add(("a", "m", "2024-01-03 00:00:00"), ("a", "c", "2024-01-03 00:00:00"), ("late", "c", "2024-01-03 00:00:00"))
+    add(("z", "c", "2024-01-02 00:30:00"))
+    run()
+    run()  # nothing new
+    got = sorted((r.dir, str(r.ready_ts)) for r in spark.read.parquet(out).collect())
+    assert got == [("a", "2024-01-01 00:10:00"), ("z", "2024-01-02 00:30:00")]
+
+
+def test_source_build_goes_on_after_a_restart(spark, tmp_path):
+    """Rows are numbered over all files, empty texts too; a replayed batch overwrites its own records; negatives come at the end."""
+    src, out, ckpt = str(tmp_path / "rows"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    parts = [[(1, "s", "a"), (0, "s", "b"), (2, "t", "only")], [(3, "s", ""), (5, "s", "c"), (4, "s", None)], [], [(6, "s", "d"), (7, None, "x")]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "k long, source string, text string").coalesce(1).write.mode("append").parquet(src)
+        if i in (0, 2, 3):
+            stream.stream_build_source(spark, src, "k long, source string, text string", out, ckpt)
+    rows = sorted(stream.built_source(spark, out).collect(), key=lambda r: (r.source, r.row_index))
+    assert [(r.source, r.k, r.query_value, r.positive_value, r.negative_value) for r in rows] == [
+        ("", 7, "_000000.wav", "x", None), ("s", 0, "s_000000.wav", "b", "a"), ("s", 1, "s_000001.wav", "a", "c"),
+        ("s", 5, "s_000004.wav", "c", "d"), ("s", 6, "s_000005.wav", "d", "b"), ("t", 2, "t_000000.wav", "only", None)]
+    earlier = stream._before(spark, f"{out}/counters", 1).collect()
+    assert {(r.source, r.rows) for r in earlier} == {("s", 2), ("t", 1)}
+
+
 def test_mel_filters_are_htk_without_normalisation():
     """Hand values: 2595 log10(1 + f / 700) puts 8 kHz at 2840.023 mel; the 82 points are 35.0620 mel apart, so filter 0 peaks
     at 22.125 - no FFT bin (40 Hz apart) - and filter 40 between its edges at mel 1402.48, 1437.54 and 1472.60."""

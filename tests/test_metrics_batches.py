@@ -122,11 +122,34 @@ def test_topk_in_blocks(spark):
         assert [got[i][k] for k in range(1, 8)] == np.lexsort((np.arange(300), -s[i]))[:7].tolist()
 
 
-def test_in_batch_scores_refuse_huge_batches(spark, monkeypatch):
-    fn = met._in_batch(20.0, False, False, None)
-    monkeypatch.setattr(met, "MAX_BATCH_ROWS", 2)
-    with pytest.raises(ValueError, match="at most 2"):
-        fn(pd.DataFrame({"batch_id": [0] * 3, "pair_id": [0, 1, 2], "q": [[1.0]] * 3, "p": [[1.0]] * 3}))
+@pytest.mark.parametrize("options", [{}, {"use_negative": True, "cosine": True}, {"use_negative": True, "cosine": True, "dims": [2, 4]}])
+def test_tiles_of_a_large_batch(spark, options):
+    """A score matrix in tiles gives the rows of the whole one, ties included, beside a batch of one tile and one of one row."""
+    rng = np.random.default_rng(3)
+    rows = [(b, i * 7 % 101 + 1000 * b, *(rng.normal(size=4).round(1).tolist() for _ in range(3))) for b, n in ((0, 90), (1, 10), (2, 1)) for i in range(n)]
+    rows[5] = (*rows[5][:2], rows[5][2], rows[6][3], rows[7][3])  # equal candidates
+    df = spark.createDataFrame(rows, "batch_id long, pair_id long, q array<double>, p array<double>, n array<double>")
+    cols = ["group_key", "batch_id", "pair_id", "argmax_pair", "hit", "diag", "row_max", "row_lse", "col_lse"]
+    whole = sorted(tuple(r) for r in met.batch_scores(df, **options).select(*cols).collect())
+    tiled = sorted(tuple(r) for r in met.batch_scores(df, tile_rows=16, **options).select(*cols).collect())
+    assert len(whole) == len(tiled) == 101 * len(options.get("dims", [0]))
+    for a, b in zip(whole, tiled):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=0, atol=1e-9)
+
+
+def test_retrieval_plan_does_not_grow_with_queries(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    vecs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(60, 4)))], "query_id long, vec array<double>")
+    corpus = vecs.withColumnRenamed("query_id", "doc_id")
+    rels = vecs.select("query_id", ((F.col("query_id") + 1) % 60).alias("doc_id"))
+    nodes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
+    top, ranks = met.retrieval_topk(vecs, corpus, k=3, block=60), met.relevant_ranks(vecs, corpus, rels, block=60)
+    small = met.retrieval_topk(vecs, corpus, k=3, block=2), met.relevant_ranks(vecs, corpus, rels, block=2)
+    assert nodes(small[0]) == nodes(top) and nodes(small[1]) == nodes(ranks)
+    want = [sorted(tuple(r) for r in x.collect()) for x in (top, ranks)]
+    monkeypatch.setattr(met, "HELD_QUERIES", 4)  # and tasks hand on results early
+    got = met.retrieval_topk(vecs, corpus, k=3, block=2, broadcast_bytes=0), met.relevant_ranks(vecs, corpus, rels, block=2, broadcast_bytes=0)
+    assert [sorted(tuple(r) for r in x.collect()) for x in got] == want
 
 
 def test_no_duplicate_batches_invariant(spark):

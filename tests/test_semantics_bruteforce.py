@@ -96,6 +96,29 @@ def test_locate_out_of_range_fails(spark):
         sh.locate(spark.createDataFrame([(9,)], "position long"), off).collect()
 
 
+def test_locate_on_many_partitions(spark):
+    """Starts are carried over 2,000 partitions by one literal: the plan has no branch a partition."""
+    rng = np.random.default_rng(0)
+    sizes = rng.integers(0, 12, 3000)
+    end = np.cumsum(sizes)
+    off = spark.createDataFrame([(i, int(n), int(e - n), int(e)) for i, (n, e) in enumerate(zip(sizes, end))], "shard_id int, size long, start long, end long")
+    at = rng.integers(0, int(end[-1]), 4000)
+    pos = spark.createDataFrame([(int(p),) for p in at], "position long")
+    conf = {"spark.sql.shuffle.partitions": "2000", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = sh.locate(pos, off)
+        got = sorted((r.position, r.shard_id, r.local_pos) for r in found.collect())
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("CASE WHEN") <= 4
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    shard = np.searchsorted(end, at, side="right")
+    assert got == sorted((int(p), int(s), int(p - end[s] + sizes[s])) for p, s in zip(at, shard))
+
+
 def test_invalid_shard_metadata_fails(spark):
     meta = spark.createDataFrame([(100, 3, 64)], "num_records long, num_shards int, shard_size int")
     with pytest.raises(Exception, match="Invalid shard metadata"):
