@@ -607,7 +607,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 ends = np.cumsum(n)
                 yield pa.RecordBatch.from_arrays([pa.array(v[once]), pa.array(n[once].astype(np.int64)),
                                                   pa.array([h[ends[i] - n[i]:ends[i]].tobytes() for i in once], pa.binary())], names=["v", "n", "data"])
-    groups = staged(_groups(clusters.join(sigs.select("v", "n").distinct(), "v"), part, whole), "groups")
+    groups = staged(_groups(staged(clusters.join(sigs.select("v", "n").distinct(), "v"), "clusters"), part, whole), "groups")
     found = docs.select(text_col).mapInArrow(sets, "v long, n long, data binary").dropDuplicates(["v"])
     sets_at = staged(found.select("v", "data").join(groups.drop("n"), "v").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")), "sets")
 
@@ -655,7 +655,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 def _sized(rows: DataFrame) -> DataFrame:
     """Rows (v, n, root) with the number of chunks of their group."""
     chunks = rows.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / CHUNK_TEXTS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
-    return rows.join(chunks, "root")
+    return join_hot(rows, chunks, "root")
 
 
 def _groups(clusters: DataFrame, part: int, whole: int) -> DataFrame:
@@ -691,7 +691,7 @@ def _large(members: DataFrame, sets_at: DataFrame, part: int, whole: int) -> Dat
         reps = large.groupBy("root", "class").agg(F.min_by(F.struct("v", "n"), F.xxhash64("v", F.lit(turn))).alias("rep")).select("root", "class", "rep.v", "rep.n")
         reps = staged(reps, "reps")
         before = reps.count()
-        dealt = reps.join(_deals(reps), "root").withColumn("deal", F.pmod(F.xxhash64("class", F.lit(turn)), "deals").cast("int"))
+        dealt = join_hot(reps, _deals(reps), "root").withColumn("deal", F.pmod(F.xxhash64("class", F.lit(turn)), "deals").cast("int"))
         links = staged(_solve(dealt.filter("k > 1").select("root", "class", "v", "deal").join(data, ["root", "v"]), ["root", "deal"], part, whole), "links")
         members = staged(_relabel(members, links), "members")
         large = members.filter("chunks > 1").select("v", "n", "root", "class")
@@ -701,11 +701,11 @@ def _large(members: DataFrame, sets_at: DataFrame, part: int, whole: int) -> Dat
     # every text outside its group's largest class meets all chunks of the group
     counts = large.groupBy("root", "class").agg(F.count("*").alias("k"))
     biggest = counts.groupBy("root").agg(F.max_by("class", F.struct("k", "class")).alias("big"))
-    rest = large.join(biggest, "root").filter("class != big").select("v", "n", "root", "class")
+    rest = join_hot(large, biggest, "root").filter("class != big").select("v", "n", "root", "class")
     sizes = _deals(rest).select("root", "deals")
-    left = (rest.join(sizes, "root").withColumn("deal", F.pmod(F.xxhash64("v"), F.col("deals")).cast("int")).join(data, ["root", "v"])
+    left = (join_hot(rest, sizes, "root").withColumn("deal", F.pmod(F.xxhash64("v"), F.col("deals")).cast("int")).join(data, ["root", "v"])
             .select("root", "deal", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "v", "class", "data", F.lit(0).alias("side")))
-    right = (large.join(sizes, "root").join(data, ["root", "v"])
+    right = (join_hot(large, sizes, "root").join(data, ["root", "v"])
              .select("root", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), "chunk", "v", "class", "data", F.lit(1).alias("side")))
     links = staged(_solve(left.unionByName(right), ["root", "deal", "chunk"], part, whole, sides=True), "links")
     return _relabel(members.select("v", "class").distinct(), links)

@@ -1,23 +1,26 @@
 """Toxicity scores by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-Each word enters as its embedding (the most frequent words of the training sample; others share one) beside the
-mean embedding of its hashed character n-grams. A GRU reads each window in both directions, attention pools its
-states, and a linear layer gives the window's logit. Windows of ``WINDOW`` words overlap by half and cover the whole
-text; the text's logit is the largest of its windows.
-
-Training sees a bounded sample of labelled documents and a bounded number of windows of each; a document's loss
-is on a soft maximum over its windows, since the label doesn't say where the toxic words stand. A scale and an
-offset, fitted on the sample's true maxima, turn the logit into a probability.
-
-Scoring is a map over documents: the input projection of a word is computed once and kept in a bounded table of a
-worker, so a step of the recurrence is a gather and one small matrix product.
+Each word enters as its embedding (words that several sampled documents hold; others share one) beside the mean embeddings of its hashed
+character trigrams and of its beginnings. A GRU reads the text in both directions, attention weighs its states, and a
+linear layer makes a logit of the weighted mean over each window of ``WINDOW`` words. All overlapping windows are
+scored, at every word: a window's weighted mean is a ratio of two sliding sums, so the states of a word are computed once.
+The text's logit is the largest of its windows.
+
+A long text is read in pieces of ``PIECE`` windows; a piece's states are computed from ``CONTEXT`` words before and behind it, so
+memory doesn't grow with the text, and a text's score doesn't depend on the texts beside it.
+
+Training sees a bounded sample of labelled documents, with all windows of their whole texts; a document's loss is on a soft maximum
+over its windows, since the label doesn't say where the toxic words stand. A scale and an offset, fitted on the
+maxima over whole texts, turn the logit into a probability.
 """
 
 from __future__ import annotations
 
+import pickle
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -27,34 +30,98 @@ from pyspark.sql import functions as F
 from pairforge.llm.common import lower_words_of, worker_state
 from pairforge.session import ensure_checkpoint_dir
 
-WINDOW, STRIDE = 32, 16
-WORDS, GRAMS, EMBED, HIDDEN, ATTEND = 4096, 4096, 8, 8, 8
-#: Most sampled documents of labels 0 and 1, and most windows of one of them.
-SAMPLE_DOCS, SAMPLE_WINDOWS = (3000, 1000), 32
+WINDOW, PIECE, CONTEXT = 32, 448, 16
+#: Windows of a piece in training: shorter pieces, more of them side by side.
+TRAIN_PIECE = 128
+GRAMS, EMBED, HIDDEN, ATTEND = 4096, 8, 12, 8
+#: Lengths, in bytes, of the beginnings of a word that have an embedding.
+BEGIN = (4, 5, 6, 7)
+#: Most sampled documents of labels 0 and 1.
+SAMPLE_DOCS = (3000, 1000)
 EDGES = b".,;:!?\"'()[]{}*#|<>-_%$&"
 MEMO = 120_000
 
 
-def window_starts(n: int) -> list[int]:
-    """Starts of the windows over ``n`` words: every ``STRIDE`` words, the last one ending with the text."""
-    return [0] if n <= WINDOW else [*range(0, n - WINDOW, STRIDE), n - WINDOW]
+def pieces(n: int, piece: int = PIECE) -> list[tuple[int, int, int, int]]:
+    """(first word, end of the words, first window, end of the windows) of the pieces of a text of ``n`` words. There is a window
+    at every word up to the last that a whole window fits behind; a text shorter than a window is one window."""
+    starts = max(1, n - WINDOW + 1)
+    return [(max(0, s - CONTEXT), min(n, e + WINDOW - 1 + CONTEXT), s, e) for s in range(0, starts, piece) for e in (min(starts, s + piece),)]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def _sum_rows(at: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Sums of the rows of ``values`` by position ``at``."""
+    out = np.zeros((size, values.shape[1]), np.float32)
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        a = at[order]
+        head = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        out[a[head]] = np.add.reduceat(values[order], head, axis=0)
+    return out
+
+
+def starts_of(word: bytes) -> list[bytes]:
+    """The beginnings of a word without edge marks; the shortest stands for a shorter word too."""
+    return [word[:k] for k in BEGIN if k <= len(word)] or [word]
+
+
+@dataclass
+class Batch:
+    """Pieces, longest first: ``idx`` (pieces, time) are rows of the word table, in text order and reversed, both from time 0 on;
+    ``live[t]`` pieces have a word at time t. ``first`` and ``last`` are the windows of a piece, counted from its first word."""
+
+    idx: np.ndarray
+    back: np.ndarray
+    size: np.ndarray
+    live: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    doc: np.ndarray
+
+    @staticmethod
+    def of(docs: list[np.ndarray], piece: int = PIECE) -> Batch:
+        rows = [(e - s, a, b, d, s) for d, x in enumerate(docs) for s, e, a, b in pieces(len(x), piece)]
+        rows.sort(key=lambda r: -r[0])
+        size = np.array([r[0] for r in rows], np.int64)
+        idx, back = (np.zeros((len(rows), int(size[0])), np.int64) for _ in range(2))
+        for i, (n, _, _, d, s) in enumerate(rows):
+            idx[i, :n] = docs[d][s:s + n]
+            back[i, :n] = idx[i, :n][::-1]
+        live = np.searchsorted(-size, -np.arange(size[0]), side="left")
+        start = np.array([r[4] for r in rows])
+        return Batch(idx, back, size, live, np.array([r[1] for r in rows]) - start, np.array([r[2] for r in rows]) - start, np.array([r[3] for r in rows]))
+
+    def turned(self, x: np.ndarray) -> np.ndarray:
+        """(time, pieces, ...) of reversed pieces in text order, and the other way round."""
+        t = self.size[None, :] - 1 - np.arange(x.shape[0])[:, None]
+        out = x[np.maximum(t, 0), np.arange(x.shape[1])[None, :]]
+        out[t < 0] = 0
+        return out
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, piece) of all windows."""
+        count = self.last - self.first
+        piece = np.repeat(np.arange(len(count)), count)
+        start = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + self.first[piece]
+        return start, np.minimum(start + WINDOW, self.size[piece]), piece
+
+
 class Network:
-    """Parameters ``w`` (name -> float32 array), the word list and the final scale and offset."""
+    """Parameters ``w`` (name -> float32 array), the words and beginnings that have embeddings, and the final scale and offset."""
 
-    def __init__(self, words: list[bytes], seed: int = 0):
+    def __init__(self, words: list[bytes], starts: list[bytes], seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.word_id = {x: i + 1 for i, x in enumerate(words)}  # 0: any other word
-        d, h = 2 * EMBED, HIDDEN
+        self.word_id = {x: i + 1 for i, x in enumerate(words)}  # 0: any other
+        self.start_id = {x: i + 1 for i, x in enumerate(starts)}
+        d, h = 3 * EMBED, HIDDEN
 
         def init(*shape, scale):
             return rng.normal(0, scale, shape).astype(np.float32)
-        self.w = {"word": init(len(words) + 1, EMBED, scale=0.1), "gram": init(GRAMS, EMBED, scale=0.1),
+        self.w = {"word": init(len(words) + 1, EMBED, scale=0.1), "gram": init(GRAMS, EMBED, scale=0.1), "start": init(len(starts) + 1, EMBED, scale=0.1),
                   "in": init(d, 6 * h, scale=d ** -0.5), "in_b": np.zeros(6 * h, np.float32),
                   "fwd": init(h, 3 * h, scale=h ** -0.5), "bwd": init(h, 3 * h, scale=h ** -0.5),
                   "att": init(2 * h, ATTEND, scale=(2 * h) ** -0.5), "att_v": init(ATTEND, scale=ATTEND ** -0.5),
@@ -62,8 +129,8 @@ class Network:
         self.scale, self.offset = 1.0, 0.0
 
     # words -> inputs
-    def features(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word ids, and the hashed character trigrams of all words (with edge marks) end to end, with their counts."""
+    def features(self, words: list[bytes]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """Word ids, and (ids, counts) of the hashed character trigrams (with edge marks) and of the beginnings of all words, end to end."""
         bare = [x.strip(EDGES) or x or b" " for x in words]
         counts = np.fromiter(map(len, bare), np.int64, len(bare))
         raw = np.frombuffer(b"^" + b"$^".join(bare) + b"$", np.uint8).astype(np.uint32)
@@ -73,163 +140,178 @@ class Network:
         ends = np.cumsum(counts + 2) - 2
         keep[ends[:-1]] = False
         keep[ends[:-1] + 1] = False
-        return np.fromiter((self.word_id.get(x, 0) for x in bare), np.int64, len(bare)), h[keep].astype(np.int64), counts
+        get, begin, n_begin = self.start_id.get, [], []
+        for x in bare:
+            known = [i for x_ in starts_of(x) if (i := get(x_))] or [0]
+            begin += known
+            n_begin.append(len(known))
+        return (np.fromiter((self.word_id.get(x, 0) for x in bare), np.int64, len(bare)), (h[keep].astype(np.int64), counts),
+                (np.array(begin, np.int64), np.array(n_begin, np.int64)))
 
     def inputs(self, feats) -> np.ndarray:
-        ids, grams, counts = feats
-        ends = np.cumsum(counts)
-        sums = np.add.reduceat(self.w["gram"][grams], ends - counts, axis=0) if len(ids) else np.zeros((0, EMBED), np.float32)
-        return np.concatenate([self.w["word"][ids], sums / counts[:, None].astype(np.float32)], axis=1)
+        ids, *sets = feats
+        out = [self.w["word"][ids]]
+        for name, (at, counts) in zip(("gram", "start"), sets, strict=True):
+            sums = np.add.reduceat(self.w[name][at], np.cumsum(counts) - counts, axis=0) if len(ids) else np.zeros((0, EMBED), np.float32)
+            out.append(sums / counts[:, None].astype(np.float32))
+        return np.concatenate(out, axis=1)
 
     def project(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Input side of the gates, per word: forwards and backwards."""
         both = x @ self.w["in"] + self.w["in_b"]
         return np.ascontiguousarray(both[:, :3 * HIDDEN]), np.ascontiguousarray(both[:, 3 * HIDDEN:])
 
-    # windows -> logits
-    def _direction(self, side: np.ndarray, idx: np.ndarray, mask: np.ndarray | None, name: str, tape: list | None) -> np.ndarray:
-        """States (time, windows, hidden) of one direction, in text order; ``side`` is its half of the projection."""
+    # pieces -> logits of windows
+    def _direction(self, side: np.ndarray, idx: np.ndarray, live: np.ndarray, name: str, tape: list | None) -> np.ndarray:
+        """States (time, pieces, hidden) of one direction, in its own order; zero where a piece has no word."""
         h, u = HIDDEN, self.w[name]
-        n, t_max = idx.shape
-        state = np.zeros((n, h), np.float32)
-        out = np.empty((t_max, n, h), np.float32)
-        for t in range(t_max) if name == "fwd" else range(t_max - 1, -1, -1):
-            x = side[idx[:, t]]
-            hu = state @ u
+        state = np.zeros((len(idx), h), np.float32)
+        out = np.zeros((idx.shape[1], len(idx), h), np.float32)
+        for t, k in enumerate(live.tolist()):
+            x, prev = side[idx[:k, t]], state[:k]
+            hu = prev @ u
             zr = _sigmoid(x[:, :2 * h] + hu[:, :2 * h])
             z, r = zr[:, :h], zr[:, h:]
             c = np.tanh(x[:, 2 * h:] + r * hu[:, 2 * h:])
-            new = c + z * (state - c)
-            if mask is not None:
-                new = np.where(mask[:, t, None], new, state)
             if tape is not None:
-                tape.append((t, state, hu[:, 2 * h:], z, r, c))
-            state = out[t] = new
+                tape.append((prev, hu[:, 2 * h:], z, r, c))
+            state = out[t, :k] = c + z * (prev - c)
         return out
 
-    def logits(self, sides: tuple[np.ndarray, np.ndarray], idx: np.ndarray, mask: np.ndarray | None, tape: dict | None = None) -> np.ndarray:
-        """One logit per window: ``idx`` (windows, time) are rows of the projection's ``sides``; ``mask`` is None if no word is missing."""
+    def logits(self, sides: tuple[np.ndarray, np.ndarray], b: Batch, tape: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """One logit per window, and its piece; ``sides`` are the projected words."""
         tf, tb = ([], []) if tape is not None else (None, None)
-        states = np.concatenate([self._direction(sides[0], idx, mask, "fwd", tf), self._direction(sides[1], idx, mask, "bwd", tb)], axis=2)
+        states = np.concatenate([self._direction(sides[0], b.idx, b.live, "fwd", tf), b.turned(self._direction(sides[1], b.back, b.live, "bwd", tb))], axis=2)
         a = np.tanh(states @ self.w["att"])
-        e = a @ self.w["att_v"]
-        if mask is not None:
-            e = np.where(mask.T, e, np.float32(-1e9))
-        e = np.exp(e - e.max(axis=0))
-        alpha = e / e.sum(axis=0)
-        pooled = (alpha[:, :, None] * states).sum(axis=0)
+        e = np.exp((a @ self.w["att_v"]).astype(np.float64))
+        y = (states @ self.w["out"]).astype(np.float64)
+        weight, value = (np.concatenate([np.zeros((1, x.shape[1])), np.cumsum(x, axis=0)]) for x in (e, e * y))
+        start, end, piece = b.windows()
+        below, above = weight[end, piece] - weight[start, piece], value[end, piece] - value[start, piece]
         if tape is not None:
-            tape.update(f=tf, b=tb, states=states, a=a, alpha=alpha, pooled=pooled)
-        return pooled @ self.w["out"] + self.w["out_b"][0]
+            tape.update(f=tf, b=tb, states=states, a=a, e=e, y=y, below=below, above=above)
+        return (above / below + self.w["out_b"][0]).astype(np.float32), piece
 
-    def gradients(self, dlogit: np.ndarray, tape: dict, proj_shape, idx: np.ndarray, mask: np.ndarray) -> tuple[dict, np.ndarray]:
+    def gradients(self, dlogit: np.ndarray, tape: dict, n_rows: int, b: Batch) -> tuple[dict, np.ndarray]:
         """Gradients of the weights above the projection, and of the projection."""
         w, h = self.w, HIDDEN
-        states, a, alpha, pooled = tape["states"], tape["a"], tape["alpha"], tape["pooled"]
-        g = {"out": pooled.T @ dlogit, "out_b": np.array([dlogit.sum()], np.float32)}
-        dpool = dlogit[:, None] * w["out"]
-        dstates = alpha[:, :, None] * dpool
-        dalpha = (states * dpool).sum(axis=2)
-        de = alpha * (dalpha - (alpha * dalpha).sum(axis=0))
-        g["att_v"] = np.einsum("tna,tn->a", a, de)
-        da = de[:, :, None] * w["att_v"] * (1 - a * a)
-        g["att"] = np.einsum("tnh,tna->ha", states, da)
-        dstates += da @ w["att"].T
-        dproj = np.zeros(proj_shape, np.float32)
-        for name, s, cols in (("f", dstates[:, :, :h], slice(0, 3 * h)), ("b", dstates[:, :, h:], slice(3 * h, 6 * h))):
-            u = w["fwd" if name == "f" else "bwd"]
+        states, a, e, y = tape["states"], tape["a"], tape["e"], tape["y"]
+        start, end, piece = b.windows()
+        shape = (e.shape[0] + 1, e.shape[1])
+
+        def spread(g: np.ndarray) -> np.ndarray:
+            """Sum, for each word, of the gradients of the windows that hold it."""
+            d = np.zeros(shape)
+            np.add.at(d, (start, piece), g)
+            np.add.at(d, (end, piece), -g)
+            return np.cumsum(d, axis=0)[:-1]
+        dvalue = spread(dlogit / tape["below"])
+        dweight = spread(-dlogit * tape["above"] / tape["below"] ** 2)
+        dy = (dvalue * e).astype(np.float32)
+        ds = ((dvalue * y + dweight) * e).astype(np.float32)
+        g = {"out": np.einsum("tnh,tn->h", states, dy), "out_b": np.array([dlogit.sum()], np.float32), "att_v": np.einsum("tna,tn->a", a, ds)}
+        da = ds[:, :, None] * w["att_v"] * (1 - a * a)
+        g["att"] = np.tensordot(states, da, axes=((0, 1), (0, 1)))
+        dstates = da @ w["att"].T + dy[:, :, None] * w["out"]
+        halves = []
+        for name, idx, d in (("fwd", b.idx, dstates[:, :, :h]), ("bwd", b.back, b.turned(dstates[:, :, h:]))):
+            u = w[name]
             du = np.zeros_like(u)
-            dh = np.zeros((idx.shape[0], h), np.float32)
-            for t, prev, hun, z, r, c in reversed(tape[name]):
-                m = mask[:, t, None]
-                d = dh + s[t]
-                keep = np.where(m, 0, d)
-                d = np.where(m, d, 0)
-                dc = d * (1 - z) * (1 - c * c)
-                dz = d * (prev - c) * z * (1 - z)
+            dproj = np.zeros((idx.shape[1], len(idx), 3 * h), np.float32)
+            dh = np.zeros((len(idx), h), np.float32)
+            for t in range(idx.shape[1] - 1, -1, -1):
+                k = int(b.live[t])
+                prev, hun, z, r, c = tape["f" if name == "fwd" else "b"][t]
+                dn = dh[:k] + d[t, :k]
+                dc = dn * (1 - z) * (1 - c * c)
+                dz = dn * (prev - c) * z * (1 - z)
                 dr = dc * hun * r * (1 - r)
                 dgate = np.concatenate([dz, dr, dc * r], axis=1)
                 du += prev.T @ dgate
-                dh = d * z + dgate @ u.T + keep
-                np.add.at(dproj[:, cols], idx[:, t], np.concatenate([dz, dr, dc], axis=1))
-            g["fwd" if name == "f" else "bwd"] = du
-        return g, dproj
-
-
-def _index(docs: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(windows, time) rows, mask, and the document of each window."""
-    flat = [x for d in docs for x in d]
-    idx = np.zeros((len(flat), WINDOW), np.int64)
-    mask = np.zeros((len(flat), WINDOW), bool)
-    for i, x in enumerate(flat):
-        idx[i, :len(x)] = x
-        mask[i, :len(x)] = True
-    mask[:, 0] = True  # an empty text is one unknown word
-    return idx, mask, np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-
-
-def train(sample: list[tuple[int, list[list[bytes]]]], epochs: int = 3, batch: int = 64, rate: float = 0.01, seed: int = 0, least: int = 8,
-          decay: float = 2e-2, steps: int = 180) -> Network | None:
-    """Fit a network to (label, windows of words) documents; None without both labels. Words of fewer than ``least``
-    documents share the embedding of unknown words; embeddings shrink by ``decay`` a step. There are at
-    least ``epochs`` passes and ``steps`` steps."""
-    sample = [(y, [x for x in ws if x] or [[b""]]) for y, ws in sample]
+                dh[:k] = dn * z + dgate @ u.T
+                dproj[t, :k, :2 * h], dproj[t, :k, 2 * h:] = dgate[:, :2 * h], dc
+            g[name] = du
+            held = (np.arange(idx.shape[1])[None, :] < b.size[:, None])
+            halves.append(_sum_rows(idx[held], dproj.transpose(1, 0, 2)[held], n_rows))
+        return g, np.concatenate(halves, axis=1)
+
+
+def train(sample: list[tuple[int, list[bytes]]], share: tuple[float, float] = (1.0, 1.0), **how) -> Network | None:
+    """A network fitted to (label, words) documents by :func:`fit` and calibrated on their whole texts; None without both labels. A
+    document of label y stands for ``share[y]`` labelled ones when logits become probabilities."""
+    sample = [(y, ws or [b""]) for y, ws in sample]
     if len({y for y, _ in sample}) < 2:
         return None
-    seen = Counter(x.strip(EDGES) or x for _, ws in sample for x in {x for win in ws for x in win})
-    vocab = sorted((x for x, n in seen.items() if n >= least), key=lambda x: (-seen[x], x))[:WORDS]
-    net = Network(vocab, seed)
+    net = fit(sample, **how)
+    _calibrate(net, sample, share)
+    return net
+
+
+def fit(sample: list[tuple[int, list[bytes]]], epochs: int = 2, batch: int = 64, rate: float = 0.01, seed: int = 0, least: int = 5,
+        decay: float = 2e-2, steps: int = 160, drop: float = 0.3) -> Network:
+    """Words, and beginnings of words, of fewer than ``least`` documents share one embedding each; embeddings shrink by ``decay`` a step, and each kind
+    of input of a word is left out of a step with chance ``drop``. There are at least ``epochs`` passes and ``steps`` steps."""
+    bare = [{x.strip(EDGES) or x for x in ws} for _, ws in sample]
+    known = [sorted(x for x, n in Counter(x for ws in sets for x in ws).items() if n >= least)
+             for sets in (bare, [{b for x in ws for b in starts_of(x)} for ws in bare])]
+    net = Network(*known, seed)
     rng = np.random.default_rng(seed + 1)
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.w.items()}
-    step = 0
-    for _ in range(max(epochs, -(-steps * batch // len(sample)))):
+    step, passes = 0, max(epochs, -(-steps * batch // len(sample)))
+    total = passes * -(-len(sample) // batch)
+    for _ in range(passes):
         order = rng.permutation(len(sample))
         for s in range(0, len(order), batch):
             part = [sample[i] for i in order[s:s + batch]]
-            words = list(dict.fromkeys(x for _, ws in part for win in ws for x in win))
+            words = list(dict.fromkeys(x for _, ws in part for x in ws))
             at = {x: i for i, x in enumerate(words)}
-            idx, mask, doc = _index([[[at[x] for x in win] for win in ws] for _, ws in part])
+            b = Batch.of([np.array([at[x] for x in ws]) for _, ws in part], TRAIN_PIECE)
             feats = net.features(words)
-            x = net.inputs(feats)
-            sides = net.project(x)
+            part_of = np.repeat(rng.random((len(words), 3)) >= drop, EMBED, axis=1).astype(np.float32)  # a word's inputs fail now and then
+            x = net.inputs(feats) * part_of
             tape: dict = {}
-            logit = net.logits(sides, idx, mask, tape)
+            logit, piece = net.logits(net.project(x), b, tape)
+            doc = b.doc[piece]
             y = np.array([y for y, _ in part], np.float32)
             # soft maximum over a document's windows
             top = np.full(len(part), -np.inf, np.float32)
             np.maximum.at(top, doc, logit)
             e = np.exp(2 * (logit - top[doc]))
-            total = np.bincount(doc, e, len(part))
-            share = (e / total[doc]).astype(np.float32)
+            share = (e / np.bincount(doc, e, len(part))[doc]).astype(np.float32)
             soft = np.bincount(doc, share * logit, len(part))
             grad = ((_sigmoid(soft) - y) / len(part)).astype(np.float32)
-            g, dproj = net.gradients((grad[doc] * share).astype(np.float32), tape, (len(x), 6 * HIDDEN), idx, mask)
+            g, dproj = net.gradients(grad[doc] * share, tape, len(x), b)
             g["in"], g["in_b"] = x.T @ dproj, dproj.sum(axis=0)
-            dx = dproj @ net.w["in"].T
-            g["word"], g["gram"] = np.zeros_like(net.w["word"]), np.zeros_like(net.w["gram"])
-            np.add.at(g["word"], feats[0], dx[:, :EMBED])
-            np.add.at(g["gram"], feats[1], np.repeat(dx[:, EMBED:] / feats[2][:, None], feats[2], axis=0))
+            dx = dproj @ net.w["in"].T * part_of
+            g["word"] = _sum_rows(feats[0], dx[:, :EMBED], len(net.w["word"]))
+            for j, name in ((1, "gram"), (2, "start")):
+                rows, counts = feats[j]
+                g[name] = _sum_rows(rows, np.repeat(dx[:, j * EMBED:(j + 1) * EMBED] / counts[:, None].astype(np.float32), counts, axis=0), len(net.w[name]))
             step += 1
+            pace = rate * min(1.0, 2 * (1 - (step - 1) / total))  # falls over the second half
             for k in net.w:
                 m[k] += 0.1 * (g[k] - m[k])
                 v2[k] += 0.001 * (g[k] ** 2 - v2[k])
-                if k in ("word", "gram"):
+                if k in ("word", "gram", "start"):
                     net.w[k] *= np.float32(1 - decay)
-                net.w[k] -= (rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v2[k] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
-    _calibrate(net, sample)
+                net.w[k] -= (pace * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v2[k] / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
     return net
 
 
-def _calibrate(net: Network, sample) -> None:
-    """Logistic scale and offset on the maxima over windows."""
+def _calibrate(net: Network, sample: list[tuple[int, list[bytes]]], share: tuple[float, float]) -> None:
+    """Logistic scale and offset on the maxima over whole texts."""
+    scorer = Scorer(net)
     y = np.array([y for y, _ in sample], float)
-    x = np.array([max_logit for s in range(0, len(sample), 256) for max_logit in Scorer(net).maxima([[w for win in ws for w in win] for _, ws in sample[s:s + 256]])])
+    x = np.array([top for s in range(0, len(sample), 128) for top in scorer.maxima([ws for _, ws in sample[s:s + 128]])])
+    weight = np.array([share[int(v)] for v in y])
+    weight /= weight.mean()
     a, b = 1.0, 0.0
     for _ in range(50):  # Newton steps with a small ridge
         p = _sigmoid(a * x + b)
-        g = np.array([((p - y) * x).sum() + 1e-2 * (a - 1), (p - y).sum() + 1e-2 * b])
-        q = p * (1 - p)
+        d = (p - y) * weight
+        g = np.array([(d * x).sum() + 1e-2 * (a - 1), d.sum() + 1e-2 * b])
+        q = p * (1 - p) * weight
         hess = np.array([[(q * x * x).sum() + 1e-2, (q * x).sum()], [(q * x).sum(), q.sum() + 1e-2]])
         d = np.linalg.solve(hess, g)
         a, b = a - np.clip(d[0], -1, 1), b - np.clip(d[1], -1, 1)
@@ -249,45 +331,38 @@ class Scorer:
         self._sides = [np.concatenate([x, np.zeros((1023, 3 * HIDDEN), np.float32)])
                        for x in self.net.project(self.net.inputs(self.net.features([b""])))]
 
-    def _rows(self, docs: list[list[bytes]]) -> list[list[int]]:
-        row = self._row
+    def _rows(self, docs: list[list[bytes]]) -> list[np.ndarray]:
         words = set().union(*docs)
-        new = [x for x in words if x not in row]
-        if len(row) + len(new) > MEMO and len(row) > 1:
+        new = [x for x in words if x not in self._row]
+        if len(self._row) + len(new) > MEMO and len(self._row) > 1:
             self._reset()
-            row, new = self._row, [x for x in words if x]
+            new = [x for x in words if x]
         if new:
-            n = len(row)
+            n = len(self._row)
             for k, x in enumerate(self.net.project(self.net.inputs(self.net.features(new)))):
                 if n + len(new) > len(self._sides[k]):
                     grown = np.zeros((max(2 * len(self._sides[k]), n + len(new)), 3 * HIDDEN), np.float32)
                     grown[:n] = self._sides[k][:n]
                     self._sides[k] = grown
                 self._sides[k][n:n + len(new)] = x
-            row.update(zip(new, range(n, n + len(new)), strict=True))
-        return [[row[x] for x in d] for d in docs]
+            self._row.update(zip(new, range(n, n + len(new)), strict=True))
+        row = self._row.__getitem__
+        return [np.fromiter(map(row, d), np.int64, len(d)) if d else np.zeros(1, np.int64) for d in docs]
 
-    def maxima(self, docs: list[list[bytes]], block: int = 2048) -> list[float]:
-        """Largest window logit of each document."""
+    def maxima(self, docs: list[list[bytes]], words: int = 150_000) -> list[float]:
+        """Largest window logit of each document; documents are read together up to about ``words`` words."""
         rows = self._rows(docs)
         out = np.full(len(docs), -np.inf, np.float32)
-        full, owner = [], []
-        short, short_owner = [], []
-        for i, r in enumerate(rows):
-            if len(r) < WINDOW:
-                short.append(r)
-                short_owner.append(i)
-            else:
-                a = np.array(r)
-                full.append(a[np.array(window_starts(len(r)))[:, None] + np.arange(WINDOW)])
-                owner.append(np.full(len(full[-1]), i))
-        if full:
-            idx, doc = np.concatenate(full), np.concatenate(owner)
-            for s in range(0, len(idx), block):
-                np.maximum.at(out, doc[s:s + block], self.net.logits(self._sides, idx[s:s + block], None))
-        if short:
-            idx, mask, _ = _index([[r] for r in short])
-            out[short_owner] = self.net.logits(self._sides, idx, mask)
+        s = 0
+        while s < len(rows):
+            e, size = s, 0
+            while e < len(rows) and (e == s or size + len(rows[e]) <= words):
+                size += len(rows[e])
+                e += 1
+            b = Batch.of(rows[s:e])
+            logit, piece = self.net.logits(self._sides, b)
+            np.maximum.at(out[s:e], b.doc[piece], logit)
+            s = e
         return out.tolist()
 
     def scores(self, texts: list[str | None]) -> list[float]:
@@ -296,36 +371,29 @@ class Scorer:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          sample_docs: tuple[int, int] = SAMPLE_DOCS, sample_windows: int = SAMPLE_WINDOWS) -> Network | None:
-    """Train on at most ``sample_docs`` documents of labels 0 and 1 (lowest hash of the id) and at most
-    ``sample_windows`` windows of each, so at most sum(sample_docs) * sample_windows * WINDOW words reach the driver.
+          sample_docs: tuple[int, int] = SAMPLE_DOCS) -> Network | None:
+    """Train on the whole texts of at most ``sample_docs`` documents of labels 0 and 1 (lowest hash of the id), in one task, whose
+    numpy has the threads that Spark gives a task; only the network reaches the driver.
 
-    A document labelled twice counts as toxic if any label says so; null ids, labels and texts aren't learned from.
-    Returns None if one of the labels has no document.
+    A document labelled twice counts as toxic if any label says so; null ids, labels and texts aren't learned from, and an id that
+    several texts share counts once. Returns None if one of the labels has no document.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     known = (labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).dropna()
              .groupBy("_id").agg(F.max("_y").alias("_y")))
+    total = {r["_y"]: r["count"] for r in known.groupBy("_y").count().collect()}
     picked = [r for y in (0, 1) for r in known.filter(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample_docs[y]).collect()]
-    kind = dict(labels.dtypes)[id_col]
-    local = docs.sparkSession.createDataFrame(picked, f"_id {kind}, _y int")
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).dropna().join(F.broadcast(local), "_id").select("_id", "_y", "_text")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for i, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = lower_words_of(text)
-                wins = [words[s:s + WINDOW] for s in range(0, max(1, len(words)), WINDOW)]
-                if len(wins) > sample_windows:  # spread over the text
-                    wins = [wins[k * len(wins) // sample_windows] for k in range(sample_windows)]
-                out.append([b" ".join(x) for x in wins])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], names=["_id", "_y", "wins"])
-    got = rows.mapInArrow(cut, f"_id {kind}, _y int, wins array<binary>").collect()
-    sample: dict = {}
-    for r in sorted(got, key=lambda r: (str(r["_id"]), r["wins"])):
-        sample.setdefault(r["_id"], (r["_y"], [bytes(x).split() for x in r["wins"]]))  # a repeated id counts once
-    return train(list(sample.values()))
+    local = docs.sparkSession.createDataFrame(picked, known.schema)
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).dropna().join(F.broadcast(local), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.min("_text").alias("_text")).orderBy(F.col("_id").cast("string"), "_y")
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = [(y, lower_words_of(t)) for b in batches for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        held = {y: sum(r[0] == y for r in sample) for y in (0, 1)}
+        net = train(sample, share=tuple(total.get(y, 0) / max(1, held[y]) for y in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+    got = rows.select("_y", "_text").coalesce(1).mapInArrow(fitted, "net binary").collect()
+    return pickle.loads(got[0]["net"]) if got else None
 
 
 def _scorer(key: str, shared) -> Scorer | None:
