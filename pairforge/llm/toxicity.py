@@ -258,8 +258,9 @@ def fit(sample: list[tuple[int, list[bytes]]], epochs: int = 2, batch: int = 64,
     rng = np.random.default_rng(seed + 1)
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
     v2 = {k: np.zeros_like(v) for k, v in net.w.items()}
-    step, passes = 0, max(epochs, -(-steps * batch // len(sample)))
-    total = passes * -(-len(sample) // batch)
+    batches = -(-len(sample) // batch)
+    step, passes = 0, max(epochs, -(-steps // batches))
+    total = passes * batches
     for _ in range(passes):
         order = rng.permutation(len(sample))
         for s in range(0, len(order), batch):
