@@ -97,19 +97,49 @@ def test_write_shards_rewrites_only_its_shards(spark, tmp_path):
 def test_corrupt_shard_fails_and_is_skipped_only_on_request(spark, tmp_path):
     import glob
 
-    from pairforge.sources.shards_io import read_shards, write_shards
+    from pairforge.sources.shards_io import read_shards, verify_shards, write_shards
     path = str(tmp_path / "shards")
-    write_shards(spark.range(30).withColumnRenamed("id", "idx"), path, 10)
-    part = sorted(glob.glob(f"{path}/records/shard_id=1/*.parquet"))[0]
+    write_shards(spark.range(30).withColumnRenamed("id", "idx"), path, 10, pack_shards=1)
+    assert {(r.shard_id, r.num_records, r.found, r.ok) for r in verify_shards(spark, path).collect()} == {(i, 10, 10, True) for i in range(3)}
+    part = sorted(glob.glob(f"{path}/records/write=*/pack=1/*.parquet"))[0]
     with open(part, "wb") as f:
         f.write(b"damaged")
     with pytest.raises(Exception):  # noqa: B017 - the reader's own error
         read_shards(spark, path).collect()
     assert {r.shard_id for r in read_shards(spark, path, skip_unreadable=True).collect()} == {0, 2}
+    assert {(r.shard_id, r.found, r.ok) for r in verify_shards(spark, path).collect()} == {(0, 10, True), (1, 0, False), (2, 10, True)}
+    write_shards(spark.range(10, 20).withColumnRenamed("id", "idx"), path, 10, total=30)  # the bad shard again
+    assert sorted(r.idx for r in read_shards(spark, path).where("shard_id = 1").collect()) == list(range(10, 20))
     write_shards(spark.range(10).withColumnRenamed("id", "idx"), path, 10)
     assert {r.shard_id for r in read_shards(spark, path).collect()} == {0}  # shards of the larger write are ignored
 
 
+def test_shards_share_files_and_commit_by_their_log(spark, tmp_path):
+    """Folders and files don't follow the number of shards; a changed value is found by checksum; records without a log aren't seen."""
+    import glob
+    import shutil
+
+    from pairforge.sources.shards_io import read_shards, shard_log, verify_shards, write_shards
+    path = str(tmp_path / "shards")
+    with pytest.raises(FileNotFoundError):
+        read_shards(spark, path)
+    rows = spark.range(500).select(F.col("id").alias("idx"), F.concat(F.lit("v"), "id").alias("v"), F.create_map(F.lit("k"), "id").alias("m"))
+    assert write_shards(rows, path, 5) == 100
+    assert len(glob.glob(f"{path}/records/write=*/pack=*")) == 1 and len(glob.glob(f"{path}/records/write=*/pack=*/*.parquet")) <= 8
+    assert {(r.shard_id, r.num_records) for r in shard_log(spark, path).collect()} == {(i, 5) for i in range(100)}
+    assert sorted((r.idx, r.v, r.shard_pos) for r in read_shards(spark, path).where("shard_id = 7").collect()) == [(i, f"v{i}", i % 5) for i in range(35, 40)]
+    # another value in one record of shard 3, in files that read well
+    folder = glob.glob(f"{path}/records/write=*/pack=0")[0]
+    changed = spark.read.parquet(folder).withColumn("v", F.when(F.col("idx") == 17, F.lit("x")).otherwise(F.col("v")))
+    changed.write.parquet(str(tmp_path / "changed"))
+    spark.read.parquet(str(tmp_path / "changed")).write.mode("overwrite").parquet(folder)
+    assert not verify_shards(spark, path).where("shard_id = 3").first().ok
+    # a write that stopped before its log
+    write_shards(rows.where("idx < 5").withColumn("v", F.lit("new")), str(tmp_path / "other"), 5)
+    shutil.copytree(glob.glob(f"{tmp_path}/other/records/write=*")[0], f"{path}/records/write=9999999999999999")
+    assert read_shards(spark, path).where("v = 'new'").isEmpty()
+
+
 def test_checkpoint_folder_is_required_off_local():
     from types import SimpleNamespace
 
