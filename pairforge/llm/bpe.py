@@ -5,7 +5,8 @@ the merge list alone it computes a sufficient lookahead L: text added on the rig
 token border only by merges of rising rank whose right side begins at that border, so the longest such chain,
 weighted by the left sides' lengths, bounds how far a change reaches back. A token that ends L bytes or more before
 the end of what was read is therefore stable: it is emitted and forgotten, and what follows it is tokenised on its
-own. Memory is one window of L plus a fixed step, however long the stream.
+own. Memory is one window of L plus a fixed step, however long the stream. Every pre-token is such a stream; those of a slice of
+texts advance together, a window each, so that their windows merge in whole arrays.
 
 Decoding turns ids into bytes and runs an incremental UTF-8 state machine over them, so a character may be spread
 over any number of tokens; undecodable bytes become U+FFFD.
@@ -19,7 +20,6 @@ import codecs
 import json
 import re
 import sys
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,11 +73,11 @@ class Transducer:
         for rank, (a, b) in enumerate(pairs):
             self.merges.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
         self.lookahead = self._lookahead()
-        self._rank_of = {a << 32 | b: rank for (a, b), (rank, _) in self.merges.items()}
-        self._made = {rank: c for rank, c in self.merges.values()}
+        made = {rank: c for rank, c in self.merges.values()}
         self._pairs = IntTable([a << 32 | b for a, b in self.merges], [rank for rank, _ in self.merges.values()], NO_MERGE)
-        self._made_at = np.array([self._made.get(r, -1) for r in range(len(pairs))], np.int64)
+        self._made_at = np.array([made.get(r, -1) for r in range(len(pairs))], np.int64)
         self._byte_ids = np.array(self.byte_id, np.int64)
+        self._lengths = np.array([len(x) for x in self.bytes_of], np.int64)
         self._memo: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         self._long: list[str] = []
@@ -94,44 +94,28 @@ class Transducer:
             made_from.setdefault(c, a)
         return max(reach.values(), default=0) + 1
 
-    def _merge(self, ids: list[int]) -> list[int]:
-        """Apply the merge list to one window: lowest rank first, from left to right."""
-        get, made = self._rank_of.get, self._made
-        ranks = [get(a << 32 | b, NO_MERGE) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == NO_MERGE:
-                break
-            i = ranks.index(best)
-            ids[i] = t = made[best]
-            del ids[i + 1], ranks[i]
-            if i < len(ranks):
-                ranks[i] = get(t << 32 | ids[i + 1], NO_MERGE)
-            if i:
-                ranks[i - 1] = get(ids[i - 1] << 32 | t, NO_MERGE)
-        return ids
-
-    def stream(self, data: bytes) -> Iterator[int]:
-        """Ids of one pre-token, each emitted once it is stable."""
-        ids_of, lengths = self.byte_id, self.bytes_of
-        tail = b""
-        for s in range(0, len(data), STEP):
-            tail += data[s:s + STEP]
-            if s + STEP >= len(data):
-                break
-            if len(tail) <= self.lookahead:
-                continue
-            done = 0
-            for t in self._merge([ids_of[b] for b in tail]):
-                if done + len(lengths[t]) > len(tail) - self.lookahead:
-                    break
-                done += len(lengths[t])
-                yield t
-            tail = tail[done:]
-        yield from self._merge([ids_of[b] for b in tail])
-
-    def _merge_many(self, streams: list[bytes]) -> list[bytes]:
-        """Ids of many short pre-tokens, whose windows advance together: each round every window applies its lowest rank."""
+    def stream_many(self, streams: list[bytes]) -> list[bytes]:
+        """Ids of many pre-tokens, whose streams advance together: each round every stream reads on, merges its window, and emits
+        the tokens that end before its lookahead (all, at its end). A stream holds ``STEP`` and the lookahead of bytes at most."""
+        out: list[list[bytes]] = [[] for _ in streams]
+        done, read, live = [0] * len(streams), [0] * len(streams), [i for i, d in enumerate(streams) if d]
+        while live:
+            for i in live:
+                read[i] = min(len(streams[i]), max(read[i], done[i] + self.lookahead) + STEP)
+            rest = []
+            for i, raw in zip(live, self._merge_windows([streams[i][done[i]:read[i]] for i in live]), strict=True):
+                if read[i] < len(streams[i]):
+                    ends = np.cumsum(self._lengths[np.frombuffer(raw, np.int32)])
+                    k = int(np.searchsorted(ends, read[i] - done[i] - self.lookahead, side="right"))
+                    raw = raw[:4 * k]
+                    done[i] += int(ends[k - 1]) if k else 0
+                    rest.append(i)
+                out[i].append(raw)
+            live = rest
+        return [b"".join(x) for x in out]
+
+    def _merge_windows(self, streams: list[bytes]) -> list[bytes]:
+        """Ids of many windows, merged together: each round every window applies its lowest rank."""
         out_of = np.repeat(np.arange(len(streams)), list(map(len, streams)))
         ids = self._byte_ids[np.frombuffer(b"".join(streams), np.uint8)]
         done_of, done_ids = [], []
@@ -161,16 +145,6 @@ class Transducer:
         raw, ends = flat[order].tobytes(), np.cumsum(np.bincount(owner, minlength=len(streams))) * 4
         return [raw[s:e] for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
-    def _ids_of(self, pres: list[str]) -> dict[str, bytes]:
-        """Ids of distinct pre-tokens: short ones together, long ones as streams."""
-        data = [p.encode("utf-8", "surrogatepass") for p in pres]
-        short = [i for i, d in enumerate(data) if len(d) <= STEP]
-        out = dict(zip([pres[i] for i in short], self._merge_many([data[i] for i in short]), strict=True)) if short else {}
-        for p, d in zip(pres, data, strict=True):
-            if len(d) > STEP:
-                out[p] = array("i", self.stream(d)).tobytes()
-        return out
-
     def _learn(self, pieces: set[str]) -> None:
         """Afterwards the memo has all ``pieces``."""
         memo = self._memo
@@ -189,7 +163,8 @@ class Transducer:
             else:
                 ask[p] = [p] if (p[1:] if p[0] == " " else p).isalpha() else _PRE.findall(p)
         if ask:
-            ids = self._ids_of(list({x for pres in ask.values() for x in pres}))
+            pres = list({x for pres in ask.values() for x in pres})
+            ids = dict(zip(pres, self.stream_many([x.encode("utf-8", "surrogatepass") for x in pres]), strict=True))
             for p, pres in ask.items():
                 memo[p] = ids[p] if len(pres) == 1 else b"".join([ids[x] for x in pres])
 

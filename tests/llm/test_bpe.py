@@ -47,6 +47,18 @@ def test_streams_longer_than_the_lookahead(library, transducer, text):
     assert ids(transducer, text) == library.encode(text, add_special_tokens=False).ids
 
 
+def test_tokens_leave_once_stable(library, transducer, monkeypatch):
+    """Streams of all lengths that advance together, by small steps: no window is larger than lookahead and step, and ids are the library's."""
+    monkeypatch.setattr(bpe, "STEP", 16)
+    seen, merge = [], transducer._merge_windows
+    monkeypatch.setattr(transducer, "_merge_windows", lambda w: (seen.append(max(map(len, w))), merge(w))[1])
+    rng = random.Random(7)
+    words = ["".join(rng.choice("etaoinsh") for _ in range(rng.choice([1, 5, 40, 400, 1500]))) for _ in range(60)] + ["a" * 2000, "the" * 700]
+    got = transducer.stream_many([w.encode() for w in words])
+    assert [np.frombuffer(x, np.int32).tolist() for x in got] == [library.encode(w, add_special_tokens=False).ids for w in words]
+    assert len(seen) > 50 and max(seen) <= transducer.lookahead + 2 * bpe.STEP
+
+
 def test_any_ids_decode_like_the_library(library, transducer):
     rng = random.Random(4)
     for _ in range(300):
