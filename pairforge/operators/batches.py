@@ -185,7 +185,8 @@ def no_duplicate_batches(df: DataFrame, batch_size: int, seed: int = DEFAULT_SEE
         staged = ix.df.withColumn("_pf_block", F.floor(F.col("_pf_rank") / rows_per_block))
         placed = staged.select("_pf_rank", "_pf_block", "_pf_texts").groupBy("_pf_block") \
                        .applyInPandas(_greedy_no_dup(batch_size, keep_partial=last and not drop_last), schema)
-        res = ix.df.select("_pf_rank", idx_col, "_pf_key", "_pf_texts").join(placed, "_pf_rank")
+        # written once: the round's placements and the rows left for the next one
+        res = ix.df.select("_pf_rank", idx_col, "_pf_key", "_pf_texts").join(placed, "_pf_rank").checkpoint(eager=True)
         good = res.where(F.col("block") >= 0).select(
             idx_col, F.lit(rnd).alias("round"), "block", "block_batch", "pos_in_batch")
         done = good if done is None else done.unionByName(good)

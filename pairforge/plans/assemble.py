@@ -33,7 +33,7 @@ class Manifest(NamedTuple):
 
 
 def assemble(groups: Sequence[tuple[str, Sequence[DataFrame]]], val_fraction: float | None = 0.1,
-             ring: bool = True, values: bool = True) -> Manifest:
+             ring: bool = True, values: bool | str = True) -> Manifest:
     """Build the interleaved manifest from ``[(group_name, [source_df, ...]), ...]`` in order.
 
     Each source is a record table (``RECORD_COLUMNS``) ordered by ``k``; sources of a group are concatenated
@@ -43,7 +43,8 @@ def assemble(groups: Sequence[tuple[str, Sequence[DataFrame]]], val_fraction: fl
 
     ``values=False`` builds the positional skeleton only (keys, types, negatives' presence, split): the value
     columns are NULL and never enter the P1 checkpoint, which Catalyst cannot prune through. Plans that need
-    only positions and modalities (shards, ranks, batch plans, summaries) use it.
+    only positions and modalities (shards, ranks, batch plans, summaries) use it. ``values="media"`` keeps the paths of media
+    items and leaves texts NULL, for plans that look at files.
     """
     keep = RECORD_COLUMNS if values else [c for c in RECORD_COLUMNS if not c.endswith("_value")]
     parts = []
@@ -53,6 +54,8 @@ def assemble(groups: Sequence[tuple[str, Sequence[DataFrame]]], val_fraction: fl
         for src in sources:
             df, names = src if isinstance(src, tuple) else (src, None)
             at = F.lit(s) if names is None else (F.array_position(F.lit(list(names)).cast("array<string>"), F.col("source")).cast("int") + F.lit(s - 1))
+            if values == "media":
+                df = df.withColumns({f"{r}_value": F.when(F.col(f"{r}_type") != "text", F.col(f"{r}_value")) for r in ("query", "positive")})
             parts.append(df.select(*keep).withColumn("_g", F.lit(g)).withColumn("_s", at))
             s += 1 if names is None else len(names)
         numbers.append(s)

@@ -226,13 +226,13 @@ def q_require_negative(spark, sf):
 SELECT idx, role, modality, value AS path FROM items
 WHERE modality IN ('image', 'audio') AND value NOT IN (SELECT path FROM inventory)""")
 def q_missing_media(spark, sf):
-    return media_ops.missing_media(training_manifest(spark, sf).df, fx.fx_inventory(spark, sf))
+    return media_ops.missing_media(training_manifest(spark, sf, values="media").df, fx.fx_inventory(spark, sf))
 
 
 @register("d2_keep_existing_media", osql.with_manifest_and(osql.INVENTORY) + """
 SELECT idx, query_type, query_value FROM manifest WHERE query_value IN (SELECT path FROM inventory)""")
 def q_keep_existing(spark, sf):
-    m = training_manifest(spark, sf).df.where(F.col("query_type").isin("image", "audio"))
+    m = training_manifest(spark, sf, values="media").df.where(F.col("query_type").isin("image", "audio"))
     return media_ops.keep_existing_media(m, fx.fx_inventory(spark, sf)).select("idx", "query_type", "query_value")
 
 
