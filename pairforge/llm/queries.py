@@ -62,7 +62,7 @@ def op6_suffix_tree_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = docs.filter(~held_out)
     counts = suffix_tree.count_words(known)
     tree = suffix_tree.grow(known, counts)
-    return suffix_tree.score(docs, tree, counts, keep={"held_out": held_out})
+    return suffix_tree.score(docs, tree, counts, keep={"held_out": held_out}, tail=suffix_tree.tail_contexts(known, tree, counts))
 
 
 def toxicity_network(spark: SparkSession, sf_dir: str) -> toxicity.Network | None:
