@@ -270,44 +270,43 @@ def encode_items(df: DataFrame, encoders: dict | None = None, dim: int = 64, idx
                  missing: str = "error") -> DataFrame:
     """K1: route items (B3 unpivot) by modality, encode, L2-normalise; returns (idx, role, modality, embedding).
 
-    ``encoders`` maps modality -> callable(list[value]) -> 2-D array, run per Arrow batch in ``mapInPandas``
-    (model loaded once per Python worker by the callable); text defaults to ``hashed_embedding``. An item of a
-    modality without an encoder fails the job, or with ``missing="null"`` keeps its row with a null embedding."""
+    ``encoders`` maps modality -> callable(list[value]) -> 2-D array. The items are read once: an Arrow batch's items go to their
+    encoders in one call a modality, in ``mapInPandas`` (a callable that loads its model once per Python worker does so for all of
+    them); text defaults to ``hashed_embedding``, which stays in the JVM, and values without a given encoder aren't sent to
+    Python. An item of a modality without an encoder fails the job, or with ``missing="null"`` keeps its row with a null embedding."""
     if missing not in ("error", "null"):
         raise ValueError("missing must be 'error' or 'null'")
     ship_package(df.sparkSession)
-    items = unpivot_items(df, idx_col)
     encoders = encoders or {}
-    parts = []
-    mods = ["text", "image", "audio"]
-    for m in mods:
-        sub = items.where(F.col("modality") == m)
-        if m in encoders:
-            fn = encoders[m]
-
-            def run(batches, fn=fn):
-                for pdf in batches:
-                    if not len(pdf):
-                        continue
-                    emb = np.asarray(fn(pdf["value"].tolist()), dtype=np.float64)
-                    emb = emb / np.maximum(np.linalg.norm(emb, axis=1, keepdims=True), 1e-12)
-                    out = pdf[[idx_col, "role", "modality"]].copy()
-                    out["embedding"] = list(emb)
-                    yield out
-            parts.append(sub.select(idx_col, "role", "modality", "value")
-                         .mapInPandas(run, f"{idx_col} long, role string, modality string, embedding array<double>"))
-        elif m == "text":
-            parts.append(hashed_embedding(sub.select(idx_col, "role", "modality", "value"), "value", "embedding", dim)
-                         .drop("value"))
-    rest = items.where(~F.col("modality").isin("text", *[m for m in mods if m in encoders]))
+    modality = F.col("modality")
+    items = unpivot_items(df, idx_col).select(idx_col, "role", "modality", "value")
     none = F.lit(None).cast("array<double>")
     if missing == "error":
-        none = F.raise_error(F.concat(F.lit("no encoder for modality "), F.col("modality"))).cast("array<double>")
-    parts.append(rest.select(idx_col, "role", "modality", none.alias("embedding")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        none = F.raise_error(F.concat(F.lit("no encoder for modality "), modality)).cast("array<double>")
+    if "text" in encoders:
+        items = items.withColumn("embedding", F.when(~modality.isin(*encoders), none))
+    else:
+        own = hashed_embedding(items.withColumn("_pf_text", F.when(modality == "text", F.col("value"))), "_pf_text", "embedding", dim).drop("_pf_text")
+        items = own.withColumn("embedding", F.when(modality == "text", F.col("embedding")).when(~modality.isin("text", *encoders), none))
+    if not encoders:
+        return items.select(idx_col, "role", "modality", "embedding")
+    sent = items.select(idx_col, "role", "modality", F.when(modality.isin(*encoders), F.col("value")).alias("value"), "embedding")
+
+    def route(batches):
+        for pdf in batches:
+            out = pdf[[idx_col, "role", "modality"]].copy()
+            out["embedding"] = pdf["embedding"]
+            for m, fn in encoders.items():
+                at = np.flatnonzero((pdf["modality"] == m).to_numpy())
+                if len(at):
+                    emb = np.asarray(fn(pdf["value"].iloc[at].tolist()), dtype=np.float64)
+                    emb = emb / np.maximum(np.linalg.norm(emb, axis=1, keepdims=True), 1e-12)
+                    held = out["embedding"].tolist()
+                    for i, v in zip(at.tolist(), emb, strict=True):
+                        held[i] = v
+                    out["embedding"] = pd.Series(held, index=out.index, dtype=object)
+            yield out
+    return sent.mapInPandas(route, f"{idx_col} long, role string, modality string, embedding array<double>")
 
 
 def featurize_text(df: DataFrame, max_len: int = MAX_TEXT_TOKENS, idx_col: str = "idx") -> DataFrame:

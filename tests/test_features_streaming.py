@@ -195,6 +195,29 @@ def test_unreadable_images_and_sizes(spark, tmp_path):
     assert rows["bad.png"].tensor is None and rows["bad.png"].error
 
 
+def test_items_are_read_once_for_all_encoders(spark):
+    """One scan of the records, whatever the number of encoders; each gets its own values only, text by bucket."""
+    df = spark.createDataFrame([(i, "image", f"{i}.png", "text", "red red blue" if i else "", "audio", "t.wav") for i in range(6)],
+                               "idx long, query_type string, query_value string, positive_type string, positive_value string, negative_type string, negative_value string")
+
+    def image(values):
+        assert all(v.endswith(".png") for v in values)
+        return [[len(v), 0.0] for v in values]
+
+    def audio(values):
+        assert set(values) == {"t.wav"}
+        return [[3.0, 4.0]] * len(values)
+    got = feat.encode_items(df, {"image": image, "audio": audio}, dim=16)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "Union" not in plan
+    rows = {(r.idx, r.role): r.embedding for r in got.collect()}
+    assert len(rows) == 18 and rows[0, "negative"] == [0.6, 0.8] and rows[2, "query"] == [1.0, 0.0] and set(rows[0, "positive"]) == {0.0}
+    two = sorted(x for x in rows[1, "positive"] if x)
+    assert np.allclose(two, [1 / 5 ** 0.5, 2 / 5 ** 0.5]) or np.allclose(two, [1.0])
+    one = {w: feat.hashed_embedding(spark.createDataFrame([(w,)], "t string"), "t", dim=16).first().embedding.index(1.0) for w in ("red", "blue")}
+    assert one["red"] == one["blue"] or (rows[1, "positive"][one["red"]] > rows[1, "positive"][one["blue"]] > 0)
+
+
 def test_no_item_is_dropped_without_encoder_or_root(spark):
     df = spark.createDataFrame([(0, "image", "a.png", "text", "red", "text", "blue"), (1, "audio", "s.wav", "text", "tone", None, None)],
                                "idx long, query_type string, query_value string, positive_type string, "
