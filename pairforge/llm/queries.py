@@ -110,6 +110,18 @@ QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_best_fit_packing,
 
 _RULES_SQL = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 ORACLE = {
+    "op1_ngram_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w
+                     FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                          ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) END AS sh FROM d),
+n AS (SELECT doc_id, len(sh) AS n FROM s),
+u AS (SELECT doc_id, unnest(sh) AS h FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM u a JOIN u b USING (h) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n na ON na.doc_id = x JOIN n nb ON nb.doc_id = y WHERE 100 * k >= 90 * (na.n + nb.n - k)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
+SELECT doc_id, n AS n_shingles, (SELECT min(y) FROM r WHERE r.x = n.doc_id) AS component_id FROM n""",
     "op5_url_filter": f"""
 WITH rules(rhost, rpath, rverdict) AS (VALUES {_RULES_SQL}),
 u AS (SELECT page_id,
