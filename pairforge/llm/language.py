@@ -140,7 +140,9 @@ def identify(docs: DataFrame, model: Profiles, id_col: str = "doc_id", text_col:
 
 
 def keep_identified(docs: DataFrame, model: Profiles, text_col: str = "text", least: float = 0.4) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose text has a language of at least the proportion ``least``."""
+    """The rows of ``docs`` (all columns) whose text has a language of at least the proportion ``least``. Null and empty texts, and
+    texts without a letter, have none and go; each row is judged on its own, so repeated rows and null ids stay or go alike;
+    an empty table stays empty."""
     ensure_checkpoint_dir(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 

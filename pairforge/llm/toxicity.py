@@ -403,7 +403,9 @@ def _scorer(key: str, shared) -> Scorer | None:
 
 
 def keep_clean(docs: DataFrame, net: Network | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (all columns) whose whole text scores below ``least``; without a network all rows."""
+    """The rows of ``docs`` (all columns) whose whole text scores below ``least``; without a network all rows. A null or empty text is
+    scored as one unknown word; each row is judged on its own, so repeated rows and null ids stay or go alike; an empty
+    table stays empty."""
     ensure_checkpoint_dir(docs.sparkSession)
     shared, key, names = docs.sparkSession.sparkContext.broadcast(net), uuid.uuid4().hex, docs.columns
     at = names.index(text_col)
