@@ -15,6 +15,9 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark.sql import Observation  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+
 from pairforge.plans.registry import QUERIES  # noqa: E402
 from pairforge.session import get_session  # noqa: E402
 
@@ -35,14 +38,17 @@ def main() -> None:
     if os.path.isdir(warm):
         QUERIES["t1_manifest"](spark, warm).count()  # untimed: JIT and Python worker start
     times: dict[str, float] = {}
+    rows: dict[str, int] = {}
     for name in names:
         t0 = time.perf_counter()
-        df = QUERIES[name](spark, sf_dir)
+        seen = Observation()
+        df = QUERIES[name](spark, sf_dir).observe(seen, F.count(F.lit(1)).alias("rows"))  # counted as they are written
         df.write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - t0, 3)
+        rows[name] = seen.get["rows"]
     m = re.search(r"sf([0-9.]+)", sf_dir)
     out = {"metric": "headline_total_wall", "value": round(sum(times.values()), 3), "unit": "sec",
-           "queries": times, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}
+           "queries": times, "rows": rows, "sf": float(m.group(1)) if m else sf_dir, "cpus": int(cpus)}
     print(json.dumps(out))
 
 

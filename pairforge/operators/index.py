@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pairforge.operators.joins import fits
 from pairforge.session import ensure_checkpoint_dir
 
 _POS_BITS = 33
 _POS_MASK = (1 << _POS_BITS) - 1
 _MONO = "_pf_mono"
-# Largest per-group table (rows) joined back by broadcast; ~40 bytes a row keeps it under ~8 MB.
+# Largest per-group table (rows) joined back by broadcast, if its bytes fit too.
 BROADCAST_GROUPS = 200_000
 
 
@@ -120,7 +121,7 @@ def group_index_stats(df: DataFrame, group_cols: Sequence[str], order: Sequence[
     # broadcast (no shuffle of the data by a possibly skewed group key, no second pass over the stats);
     # otherwise a regular join that AQE may split on skew.
     rows = stats.limit(BROADCAST_GROUPS + 1).collect()
-    small = len(rows) <= BROADCAST_GROUPS
+    small = len(rows) <= BROADCAST_GROUPS and fits(rows)
     if small:
         stats = spark.createDataFrame(rows, stats.schema)
     public = stats.select(*group_cols, F.col("_pf_st0").alias("start"), F.col("_pf_sz0").alias("size"))

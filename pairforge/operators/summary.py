@@ -49,6 +49,7 @@ def summarize_manifest(df: DataFrame, allowed=None, query=None, positive=None, n
                    F.count_if(~ok).alias("skipped_rows"))
     out = out.withColumn("has_uniform_negatives",
                          (F.col("num_negatives_present") > 0) & (F.col("num_negatives_missing") == 0))
+    # fixed value: the text of the error
     out = out.withColumn("_pf_chk", F.when(F.col("num_rows") == 0, F.raise_error(F.lit("No records loaded"))))
     return out.where(F.col("_pf_chk").isNull()).select(
         "modalities", "num_rows", "has_uniform_negatives", "num_negatives_present", "num_negatives_missing",

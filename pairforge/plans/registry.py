@@ -275,6 +275,7 @@ SELECT (SELECT array_to_string(list_sort(list_distinct(list(m))), ',')
        count(*) FILTER (WHERE NOT ok) AS skipped_rows
 FROM flagged""")
 def q_summarize(spark, sf):
+    """E1 over JSON lines as a manifest file holds them: parsing them, bad ones included, is part of the summary."""
     return _joined_mods(summ.summarize_manifest(_parsed(spark, sf), allowed=["text", "image"]))
 
 
@@ -877,6 +878,23 @@ def q_cut_waveform(spark, sf):
                     F.element_at("waveform", -1).cast("double").alias("last_value"))
 
 
+@register("j5_log_mel", """
+WITH samples AS (SELECT vec_id, i + 199 AS j, embedding[i]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * (i + 199) / 400)) AS x
+                 FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)),
+bins AS (SELECT unnest(range(0, 201)) AS k),
+spectrum AS (SELECT vec_id, k, sum(x * cos(2 * pi() * k * j / 400)) AS re, sum(x * sin(2 * pi() * k * j / 400)) AS im FROM samples, bins GROUP BY vec_id, k),
+points AS (SELECT i, 700 * (10 ** (i * 2595 * log10(1 + 8000 / 700.0::DOUBLE) / 81 / 2595) - 1) AS hz FROM (SELECT unnest(range(0, 82)) AS i)),
+filters AS (SELECT a.i AS mel, k, greatest(0, least((40.0::DOUBLE * k - a.hz) / (b.hz - a.hz), (c.hz - 40.0::DOUBLE * k) / (c.hz - b.hz))) AS g
+            FROM points a JOIN points b ON b.i = a.i + 1 JOIN points c ON c.i = a.i + 2, bins),
+energy AS (SELECT vec_id, mel, log10(greatest(sum((re * re + im * im) * g), 1e-10)) AS v FROM spectrum JOIN filters USING (k) GROUP BY vec_id, mel)
+SELECT vec_id, mel::INT AS mel, round(((greatest(v, max(v) OVER (PARTITION BY vec_id) - 8) + 4) / 4)::FLOAT::DOUBLE, 6) AS value FROM energy""")
+def q_log_mel(spark, sf):
+    """J5 on the embeddings as waveforms of one frame: all mel bins of it."""
+    mels = feat.log_mel(fx.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("waveform")))
+    frame = F.transform(F.sequence(F.lit(0), F.lit(feat.N_MELS - 1)), lambda m: F.element_at(F.col("log_mel.data"), m * feat.N_FRAMES + 1))
+    return mels.select("vec_id", F.posexplode(frame).alias("mel", "value")).select("vec_id", "mel", _r(F.col("value").cast("double"), "value"))
+
+
 @register("l7_quality_gate_branches", "WITH " + osql.PAIRS + ",\n" + osql.BATCH_ROWS + """
 SELECT batch_id, NOT (1 - top1 < 0.85 OR loss > 3.9) AS passed,
        CASE WHEN 1 - top1 < 0.85 THEN 'low_top1' WHEN loss > 3.9 THEN 'high_loss' END AS reason_code
