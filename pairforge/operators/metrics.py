@@ -227,7 +227,7 @@ def _grid(asked: DataFrame, ids: Sequence[str], corpus: DataFrame, block: int, b
     A join on a key: the blocks are broadcast if their counted size is within ``broadcast_bytes``; else every pack draws one of
     as many keys as there are shuffle partitions, and the blocks go to each key."""
     n, dim = asked.agg(F.count(F.lit(1)), F.max(F.size("vec"))).collect()[0]
-    blocks = _packed(asked.repartition(max(1, -(-n // block))), ids, "vec", block)
+    blocks = _packed(asked.repartition(-(-n // block)) if n > block else asked, ids, "vec", block)  # one block's rows pack where they lie
     packs = _packed(corpus.select(F.col("doc_id").cast("long").alias("doc_id"), "vec"), ["doc_id"], "vec", PACK_ROWS).withColumnsRenamed(
         {"doc_id": "doc_ids", "vecs": "doc_vecs"})
     if n * (dim or 0) * 8 <= broadcast_bytes:

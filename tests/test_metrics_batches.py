@@ -143,7 +143,7 @@ def test_retrieval_plan_does_not_grow_with_queries(spark, monkeypatch):
     corpus = vecs.withColumnRenamed("query_id", "doc_id")
     rels = vecs.select("query_id", ((F.col("query_id") + 1) % 60).alias("doc_id"))
     nodes = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("\n")
-    top, ranks = met.retrieval_topk(vecs, corpus, k=3, block=60), met.relevant_ranks(vecs, corpus, rels, block=60)
+    top, ranks = met.retrieval_topk(vecs, corpus, k=3, block=30), met.relevant_ranks(vecs, corpus, rels, block=30)
     small = met.retrieval_topk(vecs, corpus, k=3, block=2), met.relevant_ranks(vecs, corpus, rels, block=2)
     assert nodes(small[0]) == nodes(top) and nodes(small[1]) == nodes(ranks)
     want = [sorted(tuple(r) for r in x.collect()) for x in (top, ranks)]
