@@ -1,5 +1,6 @@
 """Spark operators against plain-Python simulations of the reference's sequential loops (sf0.001 manifest)."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
