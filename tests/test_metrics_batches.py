@@ -152,6 +152,54 @@ def test_retrieval_plan_does_not_grow_with_queries(spark, monkeypatch):
     assert [sorted(tuple(r) for r in x.collect()) for x in got] == want
 
 
+@pytest.mark.parametrize("tile", [4, 2048])
+def test_many_cells_of_retrieval(spark, monkeypatch, tile):
+    """Queries beyond a broadcast and a cell: no join repeats blocks; ties, repeated ids, near ties and rows that are no numbers rank as in plain scores."""
+    monkeypatch.setattr(met, "HELD_QUERIES", 8)
+    monkeypatch.setattr(met, "CELL_ROWS", 90)
+    monkeypatch.setattr(met, "TILE_COLUMNS", 16)
+    rng = np.random.default_rng(5)
+    qv, cv = rng.normal(size=(45, 6)), rng.normal(size=(400, 6))
+    cv[50:90] = cv[3]
+    cv[90:95] = cv[3] + 1e-8 * rng.normal(size=(5, 6))
+    cv[200] = np.nan
+    qv[:5] = cv[[3, 60, 91, 300, 301]]
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(qv)], "query_id long, vec array<double>")
+    c = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(cv)], "doc_id long, vec array<double>").repartition(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(np.einsum("ij,kj->ik", unit(qv), unit(cv)), 9)
+    top = met.retrieval_topk(q, c, k=7, block=tile, broadcast_bytes=0)
+    assert "Join" not in top._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.query_id, r["rank"]): r.doc_id for r in top.collect()}
+    assert got == {(i, k + 1): d for i in range(45) for k, d in enumerate(np.lexsort((np.arange(400), -s[i]))[:7].tolist())}
+    rel = [(i, (i * 37 + j * 11) % 400) for i in range(45) for j in range(5) if (i * 37 + j * 11) % 400 != 200]
+    ranks = met.relevant_ranks(q, c, spark.createDataFrame(rel, "query_id long, doc_id long"), block=tile, broadcast_bytes=0)
+    place = lambda i, d: 1 + int(((s[i] > s[i, d]) | ((s[i] == s[i, d]) & (np.arange(400) < d))).sum())
+    assert {(r.query_id, r.doc_id): r["rank"] for r in ranks.collect()} == {(i, d): place(i, d) for i, d in rel}
+
+
+@pytest.mark.parametrize("options", [{}, {"use_negative": True, "cosine": True, "dims": [2, 4]}, {"scale": 3000.0}])
+def test_many_cells_of_a_batch(spark, monkeypatch, options):
+    """The cells of a batch don't grow in number as tiles get smaller; they merge to the rows of the whole matrix, also where scores are far apart."""
+    rng = np.random.default_rng(4)
+    rows = [(b, i * 7 % 101 + 1000 * b, *(rng.normal(size=4).round(1).tolist() for _ in range(3))) for b, n in ((0, 100), (1, 30), (2, 1)) for i in range(n)]
+    rows[5] = (*rows[5][:2], rows[5][2], rows[6][3], rows[7][3])  # equal candidates
+    df = spark.createDataFrame(rows, "batch_id long, pair_id long, q array<double>, p array<double>, n array<double>")
+    cols = ["group_key", "batch_id", "pair_id", "argmax_pair", "hit", "diag", "row_max", "row_lse", "col_lse"]
+    whole = sorted(tuple(r) for r in met.batch_scores(df, **options).select(*cols).collect())
+    cells, dealt = [], met._cell_partitions
+    monkeypatch.setattr(met, "_cell_partitions", lambda spark, n: cells.append(n) or dealt(spark, n))
+    met.batch_scores(df, tile_rows=4, **options)
+    assert cells == [3]
+    monkeypatch.setattr(met, "HELD_QUERIES", 20)
+    monkeypatch.setattr(met, "CELL_ROWS", 40)
+    monkeypatch.setattr(met, "TILE_COLUMNS", 7)
+    tiled = sorted(tuple(r) for r in met.batch_scores(df, tile_rows=4, **options).select(*cols).collect())
+    assert cells == [3, 5 * 3 + 2 + 1] and len(whole) == len(tiled) == 131 * len(options.get("dims", [0]))
+    for a, b in zip(whole, tiled):
+        assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-12, atol=1e-9)
+
+
 def test_no_duplicate_batches_invariant(spark):
     d = spark.read.parquet(f"{SF001}/documents.parquet").select(
         F.col("doc_id").alias("idx"), F.col("text").alias("query_value"),
