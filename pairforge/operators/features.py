@@ -14,6 +14,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pairforge.session import ship_package
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -132,10 +133,10 @@ def mel_filters(sr: int = SAMPLE_RATE, n_fft: int = N_FFT, n_mels: int = N_MELS,
     return np.maximum(0, np.minimum(lower, upper))
 
 
-def log_mel_array(wave_arr: np.ndarray, filters: np.ndarray | None = None) -> np.ndarray:
+def log_mel_array(wave_arr: np.ndarray, filters: np.ndarray | None = None, out: np.ndarray | None = None) -> np.ndarray:
     """J5 for one waveform: periodic Hann STFT (n_fft 400, hop 160, centre reflect padding), power 2, mel,
     clamp 1e-10, log10, floor at the maximum of all frames - 8, (x + 4) / 4, then cut/pad to 3000 frames -> 80 x 3000
-    float32."""
+    float32 (written to ``out``, zeros, if it is given)."""
     x = np.asarray(wave_arr, dtype=np.float64)
     x = np.pad(x, (N_FFT // 2, N_FFT // 2), mode="reflect") if len(x) > N_FFT // 2 else \
         np.pad(x, (N_FFT // 2, N_FFT // 2))
@@ -149,7 +150,7 @@ def log_mel_array(wave_arr: np.ndarray, filters: np.ndarray | None = None) -> np
     logm = np.log10(np.maximum(mel, 1e-10))
     logm = np.maximum(logm, logm.max() - 8.0)
     logm = (logm + 4.0) / 4.0
-    out = np.zeros((N_MELS, N_FRAMES), dtype=np.float32)
+    out = np.zeros((N_MELS, N_FRAMES), dtype=np.float32) if out is None else out
     k = min(N_FRAMES, logm.shape[1])
     out[:, :k] = logm[:, :k]
     return out
@@ -162,16 +163,22 @@ def log_mel(df: DataFrame, wave_col: str = "waveform", out_col: str = "log_mel")
                          T.StructField("data", T.ArrayType(T.FloatType()))])
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, feat)])
 
+    at, names = df.columns.index(wave_col), schema.names
+
     def run(batches):
         fb = mel_filters()
         for batch in batches:
-            for s in range(0, len(batch), 16):  # a result is a megabyte, whatever the batch's rows are
-                pdf = batch.iloc[s:s + 16].copy()
-                pdf[out_col] = [None if w is None else {"shape": [N_MELS, N_FRAMES],
-                                                        "data": log_mel_array(np.asarray(w), fb).reshape(-1)}
-                                for w in pdf[wave_col]]
-                yield pdf
-    return df.mapInPandas(run, schema)
+            for s in range(0, batch.num_rows, 16):  # a result is a megabyte, whatever the batch's rows are
+                part = batch.slice(s, 16)
+                given = part.column(at).is_valid().to_numpy(zero_copy_only=False)
+                data = np.zeros((int(given.sum()), N_MELS, N_FRAMES), dtype=np.float32)
+                for i, row in enumerate(np.flatnonzero(given).tolist()):
+                    log_mel_array(part.column(at)[row].values.to_numpy(zero_copy_only=False), fb, data[i])
+                ends = np.concatenate([[0], np.cumsum(given)]).astype(np.int32)
+                shapes = pa.ListArray.from_arrays(pa.array(2 * ends), pa.array(np.tile(np.int32([N_MELS, N_FRAMES]), len(data))))
+                mels = pa.ListArray.from_arrays(pa.array(N_MELS * N_FRAMES * ends), pa.array(data.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays([shapes, mels], ["shape", "data"], mask=pa.array(~given))], names=names)
+    return df.mapInArrow(run, schema)
 
 
 def _height_width(size: int | tuple[int, int]) -> tuple[int, int]:

@@ -227,3 +227,20 @@ def test_no_item_is_dropped_without_encoder_or_root(spark):
     kept = feat.encode_items(df, missing="null").collect()
     assert len(kept) == 5 and sum(r.embedding is None for r in kept) == 2
     assert len(feat.featurize(df).collect()) == 5
+
+
+def test_log_mel_of_rows(spark):
+    """Rows without waveform, samples that are null and other columns stay; results come as Arrow batches, not as objects."""
+    rng = np.random.default_rng(2)
+    rows = [(i, None if i % 5 == 3 else [float(x) for x in rng.normal(size=10 + 300 * i).astype(np.float32)], f"r{i}") for i in range(20)]
+    rows[4][1][2] = None
+    df = spark.createDataFrame(rows, "k long, waveform array<float>, name string").coalesce(1)
+    out = feat.log_mel(df)
+    assert "MapInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.k: r for r in out.collect()}
+    assert len(got) == 20
+    for k, w, name in rows:
+        assert got[k].name == name and (got[k].log_mel is None) == (w is None)
+        if w is not None:
+            want = feat.log_mel_array(np.array([np.nan if x is None else x for x in w], np.float32))
+            assert list(got[k].log_mel.shape) == [80, 3000] and np.array_equal(np.array(got[k].log_mel.data, np.float32), want.reshape(-1), equal_nan=True)
