@@ -65,7 +65,7 @@ def stream_append(spark: SparkSession, path: str, out: str, checkpoint: str | No
         .where(F.col("error").isNull()).drop("error")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        batch.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/batch_id={batch_id}")
     q = (df.writeStream.foreachBatch(write)
            .option("checkpointLocation", checkpoint or scratch_path(spark, "s2-ckpt"))
            .trigger(availableNow=True).start())
@@ -87,8 +87,9 @@ def _before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
 
 
 def stream_build_source(spark: SparkSession, path: str, schema: str, out: str, checkpoint: str, key: str = "k", source_col: str = "source",
-                        text_col: str = "text", files_per_trigger: int = 1) -> str:
-    """Transcript sources (A5) built as their parquet files arrive, resumable at any file.
+                        text_col: str = "text", files_per_trigger: int | None = 1) -> str:
+    """Transcript sources (A5) built as their parquet files arrive, resumable at any file. A micro-batch takes ``files_per_trigger``
+    files (None: all that are there, so that several files may be read by several tasks).
 
     Rows are numbered per source in order of arrival (by ``key`` within a micro-batch), rows without a text too, as in A5; records
     of rows with a text are written to ``out/records/batch_id=N``. What goes on from one micro-batch to the next is one
@@ -97,7 +98,10 @@ def stream_build_source(spark: SparkSession, path: str, schema: str, out: str, c
     batch, rows are numbered by a distributed sort, so a source may be any share of it. :func:`built_source` adds the
     negatives when the source is complete.
     """
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files_per_trigger)).parquet(path)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
+    rows = reader.parquet(path)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
@@ -113,7 +117,7 @@ def stream_build_source(spark: SparkSession, path: str, schema: str, out: str, c
         records = numbered.where(F.col("text") != "").select(
             "k", "row_index", F.lit("audio").alias("query_type"), F.format_string("%s_%06d.wav", "source", "row_index").alias("query_value"),
             F.lit("text").alias("positive_type"), F.col("text").alias("positive_value"), "source")
-        records.write.mode("overwrite").parquet(f"{out}/records/batch_id={batch_id}")
+        records.write.mode("overwrite").option("compression", "zstd").parquet(f"{out}/records/batch_id={batch_id}")
         sizes.select("source", F.col("size").alias("rows")).write.mode("overwrite").parquet(f"{out}/counters/batch_id={batch_id}")
     q = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     _run(q)

@@ -199,3 +199,15 @@ def test_feature_shards_with_media(spark, tmp_path):
     assert list(mels[0].shape) == [80, 3000] and mels[2] is None
     meta = read_shard_metadata(spark, path).first()
     assert (meta.num_records, meta.num_shards, meta.device, meta.max_text_length, meta.manifest) == (3, 2, "cpu", 32768, None)
+
+
+def test_build_source_takes_all_files_of_a_part(spark, tmp_path):
+    """A part that arrived as many files is one micro-batch, numbered as one, so no task has to read or write it whole."""
+    src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    for part in range(2):
+        rows = spark.createDataFrame([(k, "s", f"t{k}") for k in range(20 * part, 20 * part + 20)], "k long, source string, text string")
+        rows.repartition(4).write.mode("append").parquet(src)
+        stream.stream_build_source(spark, src, "k long, source string, text string", out, ckpt, files_per_trigger=None)
+    got = spark.read.parquet(f"{out}/records")
+    assert got.select("batch_id").distinct().count() == 2
+    assert sorted((r.k, r.row_index) for r in got.collect()) == [(k, k) for k in range(40)]
