@@ -43,7 +43,7 @@ def write_shards(df: DataFrame, path: str, shard_size: int = DEFAULT_SHARD_SIZE,
     write = time.time_ns() // 1000  # later writes have larger numbers
     pack = F.floor(F.col("shard_id") / pack_shards).cast("int")
     (shards.withColumn("pack", pack).repartition("pack", F.pmod("shard_id", F.lit(PACK_FILES))).sortWithinPartitions("pack", "shard_id", "shard_pos")
-           .write.mode("overwrite").partitionBy("pack").parquet(f"{path}/records/write={write}"))
+           .write.mode("overwrite").option("compression", "zstd").partitionBy("pack").parquet(f"{path}/records/write={write}"))
     written = spark.read.schema(shards.schema).parquet(f"{path}/records/write={write}")
     _sums(written).write.mode("overwrite").parquet(f"{path}/log/write={write}")
     meta = spark.range(1).select(F.lit(n).cast("long").alias("num_records"),

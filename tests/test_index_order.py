@@ -102,3 +102,35 @@ def test_join_bounded_both_paths(spark):
     regular = join_bounded(d, small, ["source"], max_rows=0)  # over the bound: a regular join
     assert "BroadcastHashJoin" in broadcast._jdf.queryExecution().executedPlan().toString()
     assert sorted(tuple(r) for r in broadcast.collect()) == sorted(tuple(r) for r in regular.collect())
+
+
+def test_ring_takes_the_next_row_where_it_lies(spark):
+    """No row is shuffled for its negative, over groups of one, two and many rows, over several partitions, with null values and arrays."""
+    from pyspark.sql import functions as F
+
+    from pairforge.operators.index import group_index
+    from pairforge.operators.order import ring_join, ring_negatives
+
+    rows = [(g, k, "text" if k % 3 else None, f"{g}{k}" if k % 5 else None, [float(k)]) for g, n in (("a", 1), ("b", 2), ("c", 400), (None, 7)) for k in range(n)]
+    df = spark.createDataFrame(rows, "g string, k long, positive_type string, positive_value string, v array<double>").repartition(7)
+    want = {}
+    for g in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == g]
+        for i, r in enumerate(own):
+            nxt = own[(i + 1) % len(own)]
+            want[g, r[1]] = (nxt[2], nxt[3], nxt[4]) if len(own) > 1 else (None, None, None)
+    spark.conf.set("pairforge.index.partitions", "9")
+    try:
+        ix = group_index(df, ["g"], ["k"], pos_col="p", size_col="n", gidx_col="i", start_col="s")
+        out = ring_join(ix, "i", "s", "p", "n")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+        arrays = {(r.g, r.k): r.o for r in ring_negatives(df, ["g"], ["k"], value_col="v", type_col=None, out_value="o").collect()}
+        # rows that don't lie in the order of the index any more are joined on it
+        moved = ring_join(ix.repartition(5, F.col("k")), "i", "s", "p", "n")
+        for got in (out, moved):
+            found = {(r.g, r.k): (r.negative_type, r.negative_value) for r in got.collect()}
+            assert found == {key: v[:2] for key, v in want.items()}
+    finally:
+        spark.conf.unset("pairforge.index.partitions")
+    assert arrays == {key: v[2] for key, v in want.items()}
