@@ -201,6 +201,23 @@ def test_feature_shards_with_media(spark, tmp_path):
     assert (meta.num_records, meta.num_shards, meta.device, meta.max_text_length, meta.manifest) == (3, 2, "cpu", 32768, None)
 
 
+def test_stream_input_is_written_in_one_pass(spark, tmp_path):
+    """A manifest in folders, and rows in the order they lie in, without a shuffle a folder."""
+    from pyspark.sql import functions as F
+
+    from pairforge.sources.manifest import read_manifest, write_manifest
+
+    df = spark.createDataFrame([(i, "text", f"q{i}", "text", f"p{i}", None, None, "s", "ab"[i % 2]) for i in range(10)],
+                               "idx long, query_type string, query_value string, positive_type string, positive_value string, "
+                               "negative_type string, negative_value string, source string, part string").coalesce(1)
+    write_manifest(df, str(tmp_path / "m"), order=None, folders=["part"])
+    got = {p: [r.query_value for r in read_manifest(spark, str(tmp_path / "m" / f"part={p}")).records.orderBy("idx").collect()] for p in "ab"}
+    assert got == {"a": [f"q{i}" for i in range(0, 10, 2)], "b": [f"q{i}" for i in range(1, 10, 2)]}
+    records = stream.stream_append(spark, str(tmp_path / "m" / "*"), str(tmp_path / "out"))
+    assert sorted(r[0] for r in spark.read.parquet(records).select("query_value").collect()) == sorted(f"q{i}" for i in range(10))
+    assert spark.read.parquet(records).where(F.col("source") != "s").isEmpty()
+
+
 def test_build_source_takes_all_files_of_a_part(spark, tmp_path):
     """A part that arrived as many files is one micro-batch, numbered as one, so no task has to read or write it whole."""
     src, out, ckpt = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
