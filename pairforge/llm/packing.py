@@ -19,9 +19,10 @@ import bisect
 import itertools
 import json
 import os
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +34,40 @@ from pairforge.llm.bpe import byte_alphabet
 from pairforge.llm.common import staged, worker_state
 from pairforge.session import ensure_checkpoint_dir
 
-MEMO = 400_000
-#: Python takes these for white space, the vocabulary doesn't.
-_ODD = "\x1c\x1d\x1e\x1f"
+#: Pre-tokens that a worker's memo holds in each of its two generations.
+MEMO = 200_000
+#: Up to here normal form C changes nothing and lower case is that of each character, by any version of Unicode.
+_LATIN_END = 0x180
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------
 
+class _Memo(dict):
+    """Ids of pre-tokens, asked for when they are missing. Full, it becomes the old generation, and what is used again comes back
+    from there; pre-tokens over 64 characters aren't held."""
+
+    def __init__(self, ask: Callable[[str], bytes], most: int):
+        super().__init__()
+        self._ask, self._most, self.old = ask, most, {}
+
+    def __missing__(self, pre: str) -> bytes:
+        got = self.old.get(pre)
+        if got is None:
+            got = self._ask(pre)
+        if len(pre) <= 64:
+            if len(self) >= self._most:
+                self.old = dict(self)
+                self.clear()
+            self[pre] = got
+        return got
+
+
 class _WordIds:
-    """Ids of whole texts by the tokenizers library, whose normaliser and model are asked once for each word that a
-    worker's memo doesn't hold.
+    """Ids of whole texts by the tokenizers library, whose model is asked once for each pre-token that a worker's memo doesn't hold.
 
-    The vocabulary's normaliser and pre-token pattern never join what white space separates, so a text's ids are
-    those of its words. Left to the whole library: texts with control characters that Python takes for white space
-    and the library doesn't, and words with a special token.
+    A text is normalised, cut by the vocabulary's pre-token pattern, and looked up. Text below U+0180 is normalised and cut by
+    Python alone; other text by the library's normaliser and the pattern with all of Unicode's classes. Texts with a special token are
+    left to the whole library.
     """
 
     def __init__(self, spec: str, most: int = MEMO):
@@ -57,65 +78,30 @@ class _WordIds:
         self._library.no_padding()
         self._library.no_truncation()
         self._normal, self._model = self._library.normalizer, self._library.model
-        steps = got["pre_tokenizer"]["pretokenizers"]
-        self._pre = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        pattern = got["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self._pre = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
+        for name, kind in ((r"\s", r"\p{White_Space}"), (r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}")):
+            pattern = pattern.replace(name, "".join(map(re.escape, regex.findall(kind, "".join(map(chr, range(_LATIN_END)))))))
+        self._pre_latin = re.compile(pattern)
+        self._beyond = re.compile(f"[^\0-{chr(_LATIN_END - 1)}]")
         self._byte_char = {b: c for c, b in byte_alphabet().items()}
         self._special = [t["content"] for t in got["added_tokens"]]
-        self._memo: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._pre_ids: dict[str, bytes] = {}
-        self._most = most
-        self._long: list[str] = []
-
-    def _whole(self, text: str) -> bytes:
-        return array("I", self._library.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _learn(self, words: set[str]) -> None:
-        """Afterwards the memo has all of ``words``."""
-        memo = self._memo
-        for w in self._long:  # words over 64 characters are held for one call only
-            memo.pop(w, None)
-        self._long = [w for w in words if len(w) > 64]
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > self._most:
-            self._old, self._memo = memo, {}
-            memo, new = self._memo, list(words)
-        old, plain, other = self._old, [], []
-        for w in new:
-            got = old.get(w)
-            if got is not None:
-                memo[w] = got
-            else:
-                (plain if w.isascii() else other).append(w)
-        for ask, ascii_only in ((plain, True), (other, False)):
-            joined = " ".join(ask)  # the normaliser keeps words apart: one space stays one space
-            if any(s in joined for s in self._special):
-                memo.update((w, self._whole(w)) for w in ask if any(s in w for s in self._special))
-                ask = [w for w in ask if w not in memo]
-                joined = " ".join(ask)
-            if ask:
-                self._learn_plain(ask, (joined.lower() if ascii_only else self._normal.normalize_str(joined)).split(" "))
-
-    def _learn_plain(self, words: list[str], normal: list[str]) -> None:
-        """Pre-tokenise the normalised words and ask the model for pre-tokens not seen lately."""
-        memo, find, tokenize = self._memo, self._pre.findall, self._model.tokenize
-        cut = [[n] if n.isalpha() else find(n) for n in normal]
-        if len(self._pre_ids) >= self._most:
-            self._pre_ids.clear()
-        ids = self._pre_ids
-        for pre in {x for c in cut for x in c if x not in ids}:
-            mapped = pre if pre.isascii() and pre.isprintable() else "".join([self._byte_char[b] for b in pre.encode("utf-8", "surrogatepass")])
-            ids[pre] = array("I", [t.id for t in tokenize(mapped)]).tobytes()
-        for w, c in zip(words, cut, strict=True):
-            memo[w] = ids[c[0]] if len(c) == 1 else b"".join([ids[x] for x in c])
+        self._memo = _Memo(self._ask, most)
+
+    def _ask(self, pre: str) -> bytes:
+        mapped = pre if pre.isascii() and pre.isprintable() else "".join([self._byte_char[b] for b in pre.encode("utf-8", "surrogatepass")])
+        return array("I", [t.id for t in self._model.tokenize(mapped)]).tobytes()
+
+    def _cut(self, text: str) -> list[str]:
+        if text.isascii() or not self._beyond.search(text):
+            return self._pre_latin.findall(text.lower())
+        return self._pre.findall(self._normal.normalize_str(text))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Per text its ids as native unsigned 32-bit integers."""
-        split = [None if any(c in t for c in _ODD) else t.split() for t in texts]
-        self._learn(set().union(*(w for w in split if w)))
-        memo = self._memo
-        return [self._whole(t) if words is None else b"".join([memo[w] for w in words])
-                for t, words in zip(texts, split, strict=True)]
+        get, special = self._memo.__getitem__, self._special
+        return [array("I", self._library.encode(t, add_special_tokens=False).ids).tobytes() if any(s in t for s in special)
+                else b"".join(map(get, self._cut(t))) for t in texts]
 
 
 def tokenize_pieces(docs: DataFrame, vocab_path: str, cap: int = 4096, end_id: int | None = 1, id_col: str = "doc_id",

@@ -80,3 +80,18 @@ def test_words_equal_the_whole_text():
 def test_bad_lengths_are_refused(spark):
     with pytest.raises(ValueError, match="from 1 to"):
         packing.pack(spark.createDataFrame([(1, 0, 0)], "doc_id long, piece int, length long"))
+
+
+def test_memo_holds_two_generations_of_pre_tokens():
+    """Whatever the spelling around them, words share their pre-tokens' ids, and a worker holds no more than two generations of these."""
+    with open(PATH, encoding="utf-8") as f:
+        spec = f.read()
+    words, library = packing._WordIds(spec, most=50), Tokenizer.from_str(spec)
+    for i in range(0, 600, 3):
+        t = f"Word{i}x, word{i}x; (é{i}X) ŁÓDŹ{i} x{'y' * 70}{i} ſ\xa0ª²"
+        assert np.frombuffer(words.ids([t])[0], np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert sum(len(x) for v in vars(words).values() if isinstance(v, dict) for x in (v, getattr(v, "old", ()))) <= 2 * 50 + 256
+    assert len(words._memo) <= 50 and len(words._memo.old) <= 50 and max(map(len, [*words._memo, *words._memo.old])) <= 64
+    for c in map(chr, range(0x250)):
+        t = f"A{c}b {c}{c}'S1{c}"
+        assert np.frombuffer(words.ids([t])[0], np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, c
