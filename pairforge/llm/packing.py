@@ -35,7 +35,7 @@ from pairforge.llm.common import staged, worker_state
 from pairforge.session import ensure_checkpoint_dir
 
 #: Pre-tokens that a worker's memo holds in each of its two generations.
-MEMO = 200_000
+MEMO = 100_000
 #: Up to here normal form C changes nothing and lower case is that of each character, by any version of Unicode.
 _LATIN_END = 0x180
 
@@ -73,19 +73,18 @@ class _WordIds:
     def __init__(self, spec: str, most: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        got = json.loads(spec)
         self._library = Tokenizer.from_str(spec)
         self._library.no_padding()
         self._library.no_truncation()
         self._normal, self._model = self._library.normalizer, self._library.model
-        pattern = got["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        pattern = json.loads(self._library.pre_tokenizer.__getstate__())["pretokenizers"][0]["pattern"]["Regex"]
         self._pre = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         for name, kind in ((r"\s", r"\p{White_Space}"), (r"\p{L}", r"\p{L}"), (r"\p{N}", r"\p{N}")):
             pattern = pattern.replace(name, "".join(map(re.escape, regex.findall(kind, "".join(map(chr, range(_LATIN_END)))))))
         self._pre_latin = re.compile(pattern)
         self._beyond = re.compile(f"[^\0-{chr(_LATIN_END - 1)}]")
         self._byte_char = {b: c for c, b in byte_alphabet().items()}
-        self._special = [t["content"] for t in got["added_tokens"]]
+        self._special = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._memo = _Memo(self._ask, most)
 
     def _ask(self, pre: str) -> bytes:

@@ -7,7 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from pairforge.llm import packing
+from pairforge.llm import common, packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -95,3 +95,11 @@ def test_memo_holds_two_generations_of_pre_tokens():
     for c in map(chr, range(0x250)):
         t = f"A{c}b {c}{c}'S1{c}"
         assert np.frombuffer(words.ids([t])[0], np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids, c
+
+
+def test_the_next_operator_of_a_worker_gives_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "_STATE", {})
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(dict(common._STATE)))
+    assert [common.worker_state(k, lambda k=k: k * 2) for k in ("a", "a", "b", "a")] == ["aa", "aa", "bb", "aa"]
+    assert given == [{}, {}, {}]  # what was held is gone by then
