@@ -40,6 +40,8 @@ BEGIN = (4, 5, 6, 7)
 SAMPLE_DOCS = (3000, 1000)
 EDGES = b".,;:!?\"'()[]{}*#|<>-_%$&"
 MEMO = 120_000
+#: Texts that are tokenized at once.
+SLICE = 256
 
 
 def pieces(n: int, piece: int = PIECE) -> list[tuple[int, int, int, int]]:
@@ -117,6 +119,9 @@ class Network:
         rng = np.random.default_rng(seed)
         self.word_id = {x: i + 1 for i, x in enumerate(words)}  # 0: any other
         self.start_id = {x: i + 1 for i, x in enumerate(starts)}
+        codes = {int.from_bytes(x, "little") | len(x) << 56: i for x, i in self.start_id.items() if 0 < len(x) < 8}
+        self.start_codes = np.array(sorted(codes), np.uint64)
+        self.start_rows = np.array([codes[c] for c in sorted(codes)], np.int64)
         d, h = 3 * EMBED, HIDDEN
 
         def init(*shape, scale):
@@ -140,13 +145,27 @@ class Network:
         ends = np.cumsum(counts + 2) - 2
         keep[ends[:-1]] = False
         keep[ends[:-1] + 1] = False
-        get, begin, n_begin = self.start_id.get, [], []
-        for x in bare:
-            known = [i for x_ in starts_of(x) if (i := get(x_))] or [0]
-            begin += known
-            n_begin.append(len(known))
+        # beginnings as numbers: up to seven bytes, and their length in the eighth
+        text = np.frombuffer(b"".join(bare) + bytes(7), np.uint8)
+        first = np.cumsum(counts) - counts
+        head = np.zeros(len(bare), np.uint64)
+        begin = np.zeros((len(bare), len(BEGIN)), np.int64)
+        for at in range(BEGIN[-1]):
+            head |= np.where(at < counts, text[first + at], 0).astype(np.uint64) << np.uint64(8 * at)
+            if at + 1 in BEGIN:
+                size = np.minimum(counts, at + 1) if at + 1 == BEGIN[0] else np.full(len(bare), at + 1)
+                begin[:, BEGIN.index(at + 1)] = np.where(counts >= size, self._starts(head | size.astype(np.uint64) << np.uint64(56)), 0)
+        known = begin > 0
+        known[~known.any(axis=1), 0] = True
         return (np.fromiter((self.word_id.get(x, 0) for x in bare), np.int64, len(bare)), (h[keep].astype(np.int64), counts),
-                (np.array(begin, np.int64), np.array(n_begin, np.int64)))
+                (begin[known], known.sum(axis=1)))
+
+    def _starts(self, codes: np.ndarray) -> np.ndarray:
+        """Ids of beginnings, 0 if not known."""
+        if not len(self.start_codes):
+            return np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(self.start_codes, codes), len(self.start_codes) - 1)
+        return np.where(self.start_codes[at] == codes, self.start_rows[at], 0)
 
     def inputs(self, feats) -> np.ndarray:
         ids, *sets = feats
@@ -178,10 +197,47 @@ class Network:
             state = out[t, :k] = c + z * (prev - c)
         return out
 
+    def _both(self, sides: tuple[np.ndarray, np.ndarray], b: Batch) -> np.ndarray:
+        """States (time, pieces, 2 * hidden) of both directions, each in its own order, computed together; as :meth:`_direction` without a tape."""
+        h = HIDDEN
+        u = np.stack([self.w["fwd"], self.w["bwd"]])
+        half = np.ones(3 * h, np.float32)
+        half[:2 * h] = 0.5  # sigmoid(x) = (1 + tanh(x / 2)) / 2; halves are exact
+        u *= half
+        fwd, bwd = b.idx.T.copy(), b.back.T.copy()
+        state = np.zeros((2, len(b.idx), h), np.float32)
+        out = np.zeros((b.idx.shape[1], len(b.idx), 2 * h), np.float32)
+        for t, k in enumerate(b.live.tolist()):
+            x = np.empty((2, k, 3 * h), sides[0].dtype)
+            np.take(sides[0], fwd[t, :k], axis=0, out=x[0], mode="clip")
+            np.take(sides[1], bwd[t, :k], axis=0, out=x[1], mode="clip")
+            prev = state[:, :k]
+            hu = np.matmul(prev, u)
+            zr = x[:, :, :2 * h]
+            zr *= np.float32(0.5)
+            zr += hu[:, :, :2 * h]
+            zr = np.tanh(zr)
+            zr += np.float32(1)
+            zr *= np.float32(0.5)
+            c = hu[:, :, 2 * h:]
+            c *= zr[:, :, h:]
+            c += x[:, :, 2 * h:]
+            c = np.tanh(c)
+            new = prev - c
+            new *= zr[:, :, :h]
+            new += c
+            state = new
+            out[t, :k, :h], out[t, :k, h:] = new[0], new[1]
+        return out
+
     def logits(self, sides: tuple[np.ndarray, np.ndarray], b: Batch, tape: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
         """One logit per window, and its piece; ``sides`` are the projected words."""
         tf, tb = ([], []) if tape is not None else (None, None)
-        states = np.concatenate([self._direction(sides[0], b.idx, b.live, "fwd", tf), b.turned(self._direction(sides[1], b.back, b.live, "bwd", tb))], axis=2)
+        if tape is None:
+            states = self._both(sides, b)
+            states[:, :, HIDDEN:] = b.turned(states[:, :, HIDDEN:])
+        else:
+            states = np.concatenate([self._direction(sides[0], b.idx, b.live, "fwd", tf), b.turned(self._direction(sides[1], b.back, b.live, "bwd", tb))], axis=2)
         a = np.tanh(states @ self.w["att"])
         e = np.exp((a @ self.w["att_v"]).astype(np.float64))
         y = (states @ self.w["out"]).astype(np.float64)
@@ -328,6 +384,7 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
+        """Only the empty word is known."""
         self._row: dict[bytes, int] = {b"": 0}
         self._sides = [np.concatenate([x, np.zeros((1023, 3 * HIDDEN), np.float32)])
                        for x in self.net.project(self.net.inputs(self.net.features([b""])))]
@@ -336,8 +393,14 @@ class Scorer:
         words = set().union(*docs)
         new = [x for x in words if x not in self._row]
         if len(self._row) + len(new) > MEMO and len(self._row) > 1:
-            self._reset()
-            new = [x for x in words if x]
+            if len(new) < MEMO // 2 < len(self._row):  # the words that came first are the frequent ones
+                self._row = {x: i for x, i in self._row.items() if i < MEMO // 2}
+            else:
+                self._reset()
+            new = [x for x in words if x not in self._row]
+            if len(self._row) + len(new) > MEMO and len(self._row) > 1:
+                self._reset()
+                new = [x for x in words if x]
         if new:
             n = len(self._row)
             for k, x in enumerate(self.net.project(self.net.inputs(self.net.features(new)))):
@@ -413,8 +476,8 @@ def keep_clean(docs: DataFrame, net: Network | None, text_col: str = "text", lea
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(key, shared)
         for b in batches:
-            for s in range(0, b.num_rows, 128):
-                part = b.slice(s, 128)
+            for s in range(0, b.num_rows, SLICE):
+                part = b.slice(s, SLICE)
                 yield part.filter(pa.array([x < least for x in scorer.scores(part.column(at).to_pylist())], pa.bool_())) if scorer else part
     return docs.mapInArrow(run, docs.schema)
 
@@ -432,8 +495,8 @@ def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(key, shared)
         for b in batches:
-            for s in range(0, b.num_rows, 128):
-                part = b.slice(s, 128)
+            for s in range(0, b.num_rows, SLICE):
+                part = b.slice(s, SLICE)
                 got = scorer.scores(part.column(1).to_pylist()) if scorer else [0.0] * part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.float64()), pa.array([int(x >= 0.5) for x in got], pa.int32())],
                                                  names=[id_col, "score", "predicted"])

@@ -63,6 +63,36 @@ def test_a_window_is_the_weighted_mean_of_its_states():
         assert np.allclose(np.sort(alone), np.sort(logit[b.doc[piece] == d]), atol=1e-5)
 
 
+def test_directions_computed_together_match_single_ones():
+    net, rng = network(), np.random.default_rng(2)
+    sides = net.project(net.inputs(net.features(WORDS)))
+    b = toxicity.Batch.of([rng.integers(0, len(WORDS), n) for n in (3, 900, 32, 40, 1)])
+    both = net._both(sides, b)
+    one = np.concatenate([net._direction(sides[0], b.idx, b.live, "fwd", None), net._direction(sides[1], b.back, b.live, "bwd", None)], axis=2)
+    assert both.shape == one.shape and np.allclose(both, one, atol=1e-6)
+
+
+def test_beginnings_are_those_that_dictionaries_find():
+    words = [b"abcdefg", b"abcd", b"abc", b"ab", b"zzzzzzz", b"abcdzz", b"x", "été".encode(), b"a\x00", b"a", b"ab\x00\x00"]
+    for starts in ([b"abcd", b"abcde", b"abcdef", b"ab", b"x", b"a\x00", b"ab\x00\x00", "été".encode()], [b"abcdef", b"ab"], []):
+        net = toxicity.Network([], starts)
+        _, _, (at, counts) = net.features(words)
+        known = [[starts.index(x) + 1 for x in toxicity.starts_of(w) if x in starts] or [0] for w in words]
+        assert at.tolist() == [i for k in known for i in k] and counts.tolist() == [len(k) for k in known]
+
+
+def test_a_full_word_table_keeps_its_first_words(monkeypatch):
+    monkeypatch.setattr(toxicity, "MEMO", 40)
+    net = network()
+    docs = [[b"ab", b"w%d" % (9 * i % 61), b"cd", *(b"v%d" % j for j in range(i, i + 9))] for i in range(60)]
+    scorer = toxicity.Scorer(net)
+    got = [x for i in range(0, 60, 2) for x in scorer.maxima(docs[i:i + 2])]
+    assert len(scorer._row) <= 40 and scorer._row[b"v0"] < 20 and scorer._row[b"w0"] < 20
+    assert np.allclose(got, [toxicity.Scorer(net).maxima([d])[0] for d in docs], atol=1e-5)
+    big = [[b"u%d" % i for i in range(100)]]
+    assert np.allclose(scorer.maxima(big), toxicity.Scorer(net).maxima(big), atol=1e-6)
+
+
 def held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
