@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import IntTable, join_hot, staged, worker_state
+from pairforge.llm.common import IntTable, giving_back, join_hot, staged, worker_state
 from pairforge.llm.graph import components
 from pairforge.session import ensure_checkpoint_dir
 
@@ -493,11 +493,11 @@ def _clusters(docs: DataFrame, text_col: str, k: int, part: int, whole: int, see
             sig, n = t.column("sig").to_pylist(), t.column("n").to_numpy()[first]
             links = np.array(alike([sig[i] for i in first], n, part, whole), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(v[links[:, 0]]), pa.array(v[links[:, 1]])], names=["a", "b"])
-    rows = docs.select(text_col).mapInArrow(parts, "key long, v long, other long")
-    met = staged(rows.repartition("key").sortWithinPartitions("key", "v").mapInArrow(meet, "a long, b long, vs array<long>"), "parts")
+    rows = docs.select(text_col).mapInArrow(giving_back(parts), "key long, v long, other long")
+    met = staged(rows.repartition("key").sortWithinPartitions("key", "v").mapInArrow(giving_back(meet), "a long, b long, vs array<long>"), "parts")
     groups = met.filter("vs is not null").select("vs").distinct().select(F.xxhash64("vs").alias("g"), F.explode("vs").alias("v"))
     once = sigs.filter("n > 0").groupBy("v").agg(F.first("n").alias("n"), F.first("sig").alias("sig"))
-    seen = (groups.join(once, "v").repartition("g").sortWithinPartitions("g").mapInArrow(compare, "a long, b long"))
+    seen = (groups.join(once, "v").repartition("g").sortWithinPartitions("g").mapInArrow(giving_back(compare), "a long, b long"))
     edges = met.filter("a is not null").select("a", "b").unionByName(seen).distinct()
     return components(staged(edges, "part-edges"))
 
@@ -544,7 +544,7 @@ def _solve(rows: DataFrame, keys: list[str], part: int, whole: int, sides: bool
             if links:
                 at = np.array(links)
                 yield pa.RecordBatch.from_arrays([pa.array(v[at[:, 0]]), pa.array(v[at[:, 1]])], names=["a", "b"])
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(giving_back(run), "a long, b long")
 
 
 def _relabel(v: DataFrame, links: DataFrame) -> DataFrame:
@@ -575,13 +575,14 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kinds = dict(given.dtypes)
     for seed in range(3):
         def signatures(batches: Iterator[pa.RecordBatch], seed=seed) -> Iterator[pa.RecordBatch]:
+            worker_state(None, lambda: None)  # nothing is kept from an operator before
             for b in batches:
                 for s, texts in _slices(b, 0):
                     h, o, _ = shingle_sets(texts, k)
                     n, v, check = vertices(h, o, len(texts), seed)
                     yield pa.RecordBatch.from_arrays([*(c.slice(s, len(texts)) for c in b.columns[1:]), *(pa.array(x.astype(np.int64)) for x in (n, v, check)),
                                                       pa.array(parities(h, o, n), pa.binary())], names=["_id", *extra, "n", "v", "check", "sig"])
-        sigs = staged(given.mapInArrow(signatures, "_id long, " + "".join(f"`{x}` {kinds[x]}, " for x in extra) + "n long, v long, check long, sig binary"), "signatures")
+        sigs = staged(given.mapInArrow(giving_back(signatures), "_id long, " + "".join(f"`{x}` {kinds[x]}, " for x in extra) + "n long, v long, check long, sig binary"), "signatures")
         # two different sets with one identity: start over with another seed (all but impossible)
         if sigs.groupBy("v").agg(F.min("check").alias("x"), F.max("check").alias("y")).filter("x != y").isEmpty():
             break
@@ -608,7 +609,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array(v[once]), pa.array(n[once].astype(np.int64)),
                                                   pa.array([h[ends[i] - n[i]:ends[i]].tobytes() for i in once], pa.binary())], names=["v", "n", "data"])
     groups = staged(_groups(staged(clusters.join(sigs.select("v", "n").distinct(), "v"), "clusters"), part, whole), "groups")
-    found = docs.select(text_col).mapInArrow(sets, "v long, n long, data binary").dropDuplicates(["v"])
+    found = docs.select(text_col).mapInArrow(giving_back(sets), "v long, n long, data binary").dropDuplicates(["v"])
     sets_at = staged(found.select("v", "data").join(groups.drop("n"), "v").withColumn("chunk", F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int")), "sets")
 
     first = staged(_solve(sets_at.withColumn("class", F.col("v")), ["root", "chunk"], part, whole), "links")

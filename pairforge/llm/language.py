@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairforge.llm.common import giving_back, worker_state
 from pairforge.session import ensure_checkpoint_dir
 
 BUCKETS = 1 << 13
@@ -127,6 +128,7 @@ def identify(docs: DataFrame, model: Profiles, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, lambda: None)  # nothing is kept from an operator before
         m = shared.value
         for b in (whole.slice(s, 256) for whole in batches for s in range(0, whole.num_rows, 256)):
             got = [infer(t, m) if t else {} for t in b.column(1).to_pylist()]
@@ -147,7 +149,8 @@ def keep_identified(docs: DataFrame, model: Profiles, text_col: str = "text", le
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state(None, lambda: None)  # nothing is kept from an operator before
         m = shared.value
         for b in (whole.slice(s, 256) for whole in batches for s in range(0, whole.num_rows, 256)):
             yield b.filter(pa.array([max(infer(t, m).values(), default=0.0) >= least if t else False for t in b.column(at).to_pylist()], pa.bool_()))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)

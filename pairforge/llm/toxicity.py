@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.llm.common import lower_words_of, worker_state
+from pairforge.llm.common import giving_back, lower_words_of, worker_state
 from pairforge.session import ensure_checkpoint_dir
 
 WINDOW, PIECE, CONTEXT = 32, 448, 16
@@ -479,7 +479,7 @@ def keep_clean(docs: DataFrame, net: Network | None, text_col: str = "text", lea
             for s in range(0, b.num_rows, SLICE):
                 part = b.slice(s, SLICE)
                 yield part.filter(pa.array([x < least for x in scorer.scores(part.column(at).to_pylist())], pa.bool_())) if scorer else part
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def score(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,3 +43,36 @@ def test_near_copies_keep_the_smallest_id(spark):
     got = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, df, SF).collect()]
     assert sorted(map(str, got)) == sorted(map(str, [(3, text + " more"), (9, "w1 w2"), (None, None)]))
     assert jaccard.keep_one(df.limit(0)).count() == 0
+
+
+def test_a_tasks_end_gives_memory_back(monkeypatch):
+    """After the last batch of a task, and not before it."""
+    from pairforge.llm import common
+    given = []
+    monkeypatch.setattr(common, "_give_back", lambda: given.append(1))
+    seen = []
+    for x in common.giving_back(lambda batches: (2 * b for b in batches))(iter([1, 2, 3])):
+        seen.append((x, len(given)))
+    assert seen == [(2, 0), (4, 0), (6, 0)] and given == [1]
+
+
+def test_language_keeps_nothing_of_the_operator_before(spark, monkeypatch):
+    """The word table of the toxicity stage isn't held while the language stage runs."""
+    import pyarrow as pa
+    from pairforge.llm import common
+
+    class Table:
+        """Hands out the function that tasks run."""
+        sparkSession, columns, dtypes, schema = spark, ["doc_id", "text"], [("doc_id", "bigint"), ("text", "string")], None
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+    model = language.learn_profiles(spark.createDataFrame([(0, "the cat sat on the mat", "en")], "doc_id long, text string, lang string"))
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array(["the cat sat on the mat"])], names=["doc_id", "text"])
+    for run in (language.keep_identified(Table(), model), language.identify(Table(), model)):
+        monkeypatch.setattr(common, "_STATE", {"before": 1})
+        assert sum(b.num_rows for b in run(iter([batch]))) == 1
+        assert common._STATE == {None: None}
