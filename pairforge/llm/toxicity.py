@@ -41,7 +41,7 @@ SAMPLE_DOCS = (3000, 1000)
 EDGES = b".,;:!?\"'()[]{}*#|<>-_%$&"
 MEMO = 120_000
 #: Texts that are tokenized at once.
-SLICE = 256
+SLICE = 128
 
 
 def pieces(n: int, piece: int = PIECE) -> list[tuple[int, int, int, int]]:
