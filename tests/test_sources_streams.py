@@ -48,6 +48,21 @@ def test_append_is_noop_on_empty(spark, tmp_path):
     assert _rows(read_manifest(spark, path).records) == _rows(m)
 
 
+@pytest.mark.parametrize("name", ["a1_read_manifest"])
+def test_scratch_manifests_are_compressed(spark, tmp_path, monkeypatch, name):
+    """The manifest that a query writes and reads back takes less than half the bytes of its lines, and no row changes."""
+    from pairforge.plans import registry
+
+    monkeypatch.setattr(registry, "scratch_path", lambda spark, name: str(tmp_path / name))
+    records = registry.QUERIES[name](spark, SF0001)
+    cols = records.columns
+    want = training_manifest(spark, SF0001).df.select(*cols)
+    assert sorted(map(repr, records.collect())) == sorted(map(repr, want.collect()))
+    lines = spark.read.text(str(tmp_path / "*")).agg(F.count("value"), F.sum(F.octet_length("value"))).first()
+    files = [f for d in tmp_path.iterdir() for f in d.glob("part-*")]
+    assert lines[0] == records.count() and sum(f.stat().st_size for f in files) < 0.5 * lines[1]
+
+
 def test_streams_equal_batch(spark, tmp_path):
     m = training_manifest(spark, SF0001).df
     src = tmp_path / "in"
