@@ -48,7 +48,7 @@ def test_append_is_noop_on_empty(spark, tmp_path):
     assert _rows(read_manifest(spark, path).records) == _rows(m)
 
 
-@pytest.mark.parametrize("name", ["a1_read_manifest"])
+@pytest.mark.parametrize("name", ["a1_read_manifest", "b0b_append_manifest"])
 def test_scratch_manifests_are_compressed(spark, tmp_path, monkeypatch, name):
     """The manifest that a query writes and reads back takes less than half the bytes of its lines, and no row changes."""
     from pairforge.plans import registry
